@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from oracle.base import CANON, modes_cte, queries_values, report_ctes, middle_ok, jn
-from paylens.plans.parity import PERSON, YEARS, SEARCH_YEAR
+from oracle.base import (
+    BRIDGE_SQL, CANON, jn, middle_ok, modes_cte, parsed_names_values, queries_values,
+    report_ctes, sql_str, strip,
+)
+from paylens.plans.parity import (
+    BATCH_NAMES, PERSON, SEARCH_YEAR, SUMMARY_FILTER, YEARS,
+)
 
 _ONE = queries_values([(0, *PERSON)])
 _DETAIL_COLS = ("NPI, Physician_Name, Specialty, Entry_Count, "
@@ -51,9 +56,161 @@ SELECT ident AS NPI, name AS Physician_Name, specialty AS Specialty, CAST(n AS B
        CAST(tot AS DOUBLE) AS Total_Payment_USD FROM r WHERE rn = 1"""
 
 
+_PAY = [f"Payment_{y}_USD" for y in YEARS]
+_BQ = ("q AS (SELECT query_id, first_name AS qf, middle_name AS qm, last_name AS ql FROM parsed "
+       "WHERE first_name IS NOT NULL AND last_name IS NOT NULL)")
+
+
+def _batch_with(extra: str = "") -> str:
+    """Parsed names -> detail -> summary CTEs for the parity names list."""
+    pq = ", ".join(f"sum(CAST({c} AS DECIMAL(38,6))) AS {c}" for c in _PAY)
+    sel = ", ".join(f"CAST(coalesce(s.{c}, 0) AS DOUBLE) AS {c}" for c in _PAY)
+    return f"""WITH {CANON}, {parsed_names_values(BATCH_NAMES)}, {_BQ}{report_ctes(YEARS)},
+perq AS (
+  SELECT query_id, {pq}, sum(CAST(Total_USD AS DECIMAL(38,6))) AS tp, sum(Entry_Count) AS te
+  FROM detail GROUP BY query_id
+), summary AS (
+  SELECT a.query_id, a.raw AS Full_Name, a.first_name AS First_Name,
+    coalesce(a.middle_name, '') AS Middle_Name, a.last_name AS Last_Name, {sel},
+    CAST(coalesce(s.tp, 0) AS DOUBLE) AS Total_Payment, CAST(coalesce(s.te, 0) AS BIGINT) AS Total_Entries
+  FROM parsed a LEFT JOIN perq s ON s.query_id = a.query_id
+  WHERE a.first_name IS NOT NULL AND a.last_name IS NOT NULL
+), winners AS (
+  SELECT {jn('first_name', "coalesce(middle_name, '')", 'last_name')} AS display_name,
+         max(query_id) AS query_id
+  FROM parsed WHERE first_name IS NOT NULL AND last_name IS NOT NULL GROUP BY 1
+){extra}"""
+
+
+def _batch_detail() -> str:
+    return _batch_with() + f"\nSELECT query_id, {_DETAIL_COLS} FROM detail"
+
+
+def _batch_summary() -> str:
+    return _batch_with() + "\nSELECT * FROM summary"
+
+
+def _rejected() -> str:
+    return (f"WITH {parsed_names_values(BATCH_NAMES)} SELECT query_id, raw FROM parsed "
+            "WHERE first_name IS NULL OR last_name IS NULL")
+
+
+def _multi() -> str:
+    return _batch_with() + """
+SELECT w.display_name AS name, d.NPI, d.Specialty, d.Entry_Count, d.Total_USD
+FROM detail d JOIN winners w ON w.query_id = d.query_id
+WHERE d.query_id IN (SELECT query_id FROM detail GROUP BY query_id HAVING count(*) > 1)"""
+
+
+def _counts() -> str:
+    return _batch_with() + """
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM summary) AS physicians_processed,
+  (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT d.query_id, count(DISTINCT d.NPI) AS n
+     FROM detail d JOIN winners w ON w.query_id = d.query_id GROUP BY d.query_id)) AS total_unique_npis,
+  (SELECT CAST(count(DISTINCT d.NPI) AS BIGINT) FROM detail d JOIN winners w ON w.query_id = d.query_id)
+     AS global_unique_npis,
+  (SELECT CAST(count(*) AS BIGINT) FROM (SELECT d.query_id FROM detail d JOIN winners w
+     ON w.query_id = d.query_id GROUP BY d.query_id HAVING count(DISTINCT d.NPI) > 1))
+     AS physicians_with_multiple_npis"""
+
+
+def _year_totals() -> str:
+    arms = " UNION ALL ".join(
+        f"SELECT '{y}' AS label, CAST(coalesce(sum(CAST(Payment_{y}_USD AS DECIMAL(38,6))), 0) AS DOUBLE) "
+        f"AS total_payment FROM summary" for y in YEARS)
+    return _batch_with() + (f"\n{arms} UNION ALL SELECT 'TOTAL', CAST(coalesce(sum(CAST(Total_Payment "
+                            "AS DECIMAL(38,6))), 0) AS DOUBLE) FROM summary")
+
+
+def _top10() -> str:
+    cols = ", ".join(_PAY)
+    return _batch_with() + f"""
+SELECT query_id, {jn('First_Name', 'Middle_Name', 'Last_Name')} AS Physician_Name, {cols},
+  Total_Payment, Total_Entries FROM summary ORDER BY Total_Payment DESC, query_id LIMIT 10"""
+
+
+def _last_wins() -> str:
+    return _batch_with() + "\nSELECT display_name, query_id FROM winners"
+
+
+def _summary_filter() -> str:
+    return _batch_with() + (f"\nSELECT * FROM summary WHERE contains(upper("
+                            f"{jn('First_Name', 'Middle_Name', 'Last_Name')}), upper({sql_str(SUMMARY_FILTER)}))")
+
+
+_DATA_NAMES = f"""nm AS (
+  SELECT row_id AS query_id,
+    concat_ws(' ', Covered_Recipient_First_Name, Covered_Recipient_Middle_Name, Covered_Recipient_Last_Name)
+    || coalesce(' (' || Covered_Recipient_Specialty_1 || ')', '') AS raw
+  FROM ({BRIDGE_SQL}) w
+)"""
+
+
+def _parse_names() -> str:
+    parts = (r"list_filter(string_split_regex("
+             + strip(r"regexp_replace(raw, '\([^)]*\)', '', 'g')")
+             + r", '\s+'), lambda x: x <> '')")
+    return f"""WITH {_DATA_NAMES}, np AS (SELECT query_id, raw, {parts} AS parts FROM nm)
+SELECT query_id, raw,
+  CASE WHEN len(parts) >= 2 THEN parts[1] END AS first_name,
+  CASE WHEN len(parts) = 3 THEN parts[2]
+       WHEN len(parts) > 3 THEN array_to_string(parts[2:len(parts)-1], ' ') END AS middle_name,
+  CASE WHEN len(parts) >= 1 THEN parts[len(parts)] END AS last_name
+FROM np"""
+
+
+def _slug_label() -> str:
+    lab = f"{min(YEARS)}-{max(YEARS)}" if len(YEARS) > 1 else str(YEARS[0])
+    slug = "replace(" + strip(r"regexp_replace(raw, '[^\w\s-]', '', 'g')") + ", ' ', '_')"
+    return (f"WITH {_DATA_NAMES} SELECT query_id, raw, {slug} AS slug, "
+            f"'research_payments_' || {slug} || '_{lab}.csv' AS file_name FROM nm")
+
+
+def _batch_data_names() -> str:
+    pq = ", ".join(f"sum(CAST({c} AS DECIMAL(38,6))) AS {c}" for c in _PAY)
+    sel = ", ".join(f"CAST(coalesce(s.{c}, 0) AS DOUBLE) AS {c}" for c in _PAY)
+    parts = (r"list_filter(string_split_regex("
+             + strip(r"regexp_replace(raw, '\([^)]*\)', '', 'g')")
+             + r", '\s+'), lambda x: x <> '')")
+    return f"""WITH {CANON}, nm AS (
+  SELECT row_number() OVER (ORDER BY raw) AS query_id, raw FROM (SELECT DISTINCT concat_ws(' ',
+    Covered_Recipient_First_Name, Covered_Recipient_Middle_Name, Covered_Recipient_Last_Name) AS raw
+    FROM ({BRIDGE_SQL}) w)
+), np AS (SELECT query_id, raw, {parts} AS parts FROM nm
+), parsed AS (
+  SELECT query_id, raw,
+    CASE WHEN len(parts) >= 2 THEN parts[1] END AS first_name,
+    CASE WHEN len(parts) = 3 THEN parts[2]
+         WHEN len(parts) > 3 THEN array_to_string(parts[2:len(parts)-1], ' ') END AS middle_name,
+    CASE WHEN len(parts) >= 1 THEN parts[len(parts)] END AS last_name
+  FROM np
+), {_BQ}{report_ctes(YEARS)},
+perq AS (
+  SELECT query_id, {pq}, sum(CAST(Total_USD AS DECIMAL(38,6))) AS tp, sum(Entry_Count) AS te
+  FROM detail GROUP BY query_id
+)
+SELECT a.raw AS Full_Name, a.first_name AS First_Name, coalesce(a.middle_name, '') AS Middle_Name,
+  a.last_name AS Last_Name, {sel}, CAST(coalesce(s.tp, 0) AS DOUBLE) AS Total_Payment,
+  CAST(coalesce(s.te, 0) AS BIGINT) AS Total_Entries
+FROM parsed a LEFT JOIN perq s ON s.query_id = a.query_id
+WHERE a.first_name IS NOT NULL AND a.last_name IS NOT NULL"""
+
+
 ORACLE = {
     "physician_report": _report(),
     "dual_search_by_id": _report("by_id"),
     "physician_totals": _totals(),
     "search_summary": _search_summary(),
+    "batch_detail": _batch_detail(),
+    "batch_summary": _batch_summary(),
+    "rejected_names": _rejected(),
+    "multi_identifier": _multi(),
+    "identifier_counts": _counts(),
+    "year_totals": _year_totals(),
+    "top10": _top10(),
+    "last_query_wins": _last_wins(),
+    "summary_filter": _summary_filter(),
+    "parse_names": _parse_names(),
+    "slug_label": _slug_label(),
+    "batch_data_names": _batch_data_names(),
 }

@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylens.operators import report
-from paylens.sources.bridge import bridge_payments
+from paylens.functions.text import money_label, safe_slug, year_range_label
+from paylens.operators import batch, report
+from paylens.sources.bridge import bridge_payments, bridge_wide
 
 # --- fixed values: parity-suite requests ---
 PERSON = ("Benjamin", "G", "Domb")
@@ -54,9 +55,113 @@ def search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.search_summary(pay, _person(spark), query_rows=1).drop("query_id", "year")
 
 
+SUMMARY_FILTER = "dom"
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> batch.BatchReport:
+    names = batch.names_frame(spark, BATCH_NAMES)
+    return batch.BatchReport(_payments(spark, sf_dir), names, YEARS)
+
+
+def batch_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detail rows of every accepted name, one pass over the payments."""
+    return _batch(spark, sf_dir).detail
+
+
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One summary row per accepted name, zeros when nothing matched."""
+    return _batch(spark, sf_dir).ordered_summary()
+
+
+def rejected_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that do not parse into first + last."""
+    return _batch(spark, sf_dir).rejected
+
+
+def multi_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Physicians with more than one identifier and their rows."""
+    return _batch(spark, sf_dir).alerts()
+
+
+def identifier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processed names, summed and global distinct identifiers."""
+    return _batch(spark, sf_dir).counters()
+
+
+def year_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-year totals over all physicians plus TOTAL."""
+    return _batch(spark, sf_dir).totals_by_year()
+
+
+def top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten largest physicians by total payment."""
+    return _batch(spark, sf_dir).top(10)
+
+
+def last_query_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing that wins for each display name."""
+    return batch.last_query_wins(_batch(spark, sf_dir).accepted)
+
+
+def summary_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """summary rows whose name contains a text, ignoring case."""
+    b = _batch(spark, sf_dir)
+    return batch.summary_filter(b.summary, SUMMARY_FILTER)
+
+
+def _data_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-name strings derived from every stand-in row: covered person with the
+    first specialty in parentheses, as a names file would list them."""
+    w = bridge_wide(spark, sf_dir)
+    raw = F.concat(
+        F.concat_ws(" ", "Covered_Recipient_First_Name", "Covered_Recipient_Middle_Name",
+                    "Covered_Recipient_Last_Name"),
+        F.coalesce(F.concat(F.lit(" ("), F.col("Covered_Recipient_Specialty_1"), F.lit(")")),
+                   F.lit("")))
+    return w.select(F.col("row_id").alias("query_id"), raw.alias("raw"))
+
+
+def parse_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name parsing over a full-name string per stand-in row."""
+    return batch.parse_names(_data_names(spark, sf_dir))
+
+
+def slug_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export file name per full-name string."""
+    names = _data_names(spark, sf_dir)
+    label = year_range_label(YEARS)
+    return names.select(
+        "query_id", "raw", safe_slug("raw").alias("slug"),
+        F.concat(F.lit("research_payments_"), safe_slug("raw"),
+                 F.lit(f"_{label}.csv")).alias("file_name"))
+
+
+def batch_data_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4 over every distinct covered-recipient name found in the payments."""
+    w = bridge_wide(spark, sf_dir)
+    raw = F.concat_ws(" ", "Covered_Recipient_First_Name", "Covered_Recipient_Middle_Name",
+                      "Covered_Recipient_Last_Name")
+    names = (w.select(raw.alias("raw")).distinct()
+             .select(F.monotonically_increasing_id().alias("query_id"), "raw"))
+    b = batch.BatchReport(_payments(spark, sf_dir), names, YEARS)
+    return b.summary.drop("query_id")
+
+
 QUERIES = {
     "physician_report": physician_report,
     "dual_search_by_id": dual_search_by_id,
     "physician_totals": physician_totals,
     "search_summary": search_summary,
+    "batch_detail": batch_detail,
+    "batch_summary": batch_summary,
+    "rejected_names": rejected_names,
+    "multi_identifier": multi_identifier,
+    "identifier_counts": identifier_counts,
+    "year_totals": year_totals,
+    "top10": top10,
+    "last_query_wins": last_query_wins,
+    "summary_filter": summary_filter,
+    "parse_names": parse_names,
+    "slug_label": slug_label,
+    "batch_data_names": batch_data_names,
 }
