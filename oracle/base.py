@@ -32,31 +32,52 @@ def sql_str(v) -> str:
     return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
 
 
-# Flat cleaned columns of the stand-in file (specialty slots 3-5 and the bare
-# specialty column do not exist in it and read as missing).
-CANON = f"""c AS (
-  SELECT row_id, year,
-    CAST(year AS VARCHAR) || '_rsh_payments.csv' AS source_file,
+def canon(kind: str = "bridge", chunk: int = 2048) -> str:
+    """CTEs ``c`` (flat cleaned columns), ``ci`` (+ identifier) and ``people``.
+
+    kind: ``bridge`` -- file per year, position = row_id; ``csv`` -- the same
+    rows read back from yearly CSV files, position = 0-based line number in the
+    year; ``zip`` -- archive members of ``chunk`` row_id values per year,
+    position = line number in the member. The stand-in has no specialty slots
+    3-5 and no bare specialty column; they read as missing.
+    """
+    if kind == "bridge":
+        src, pos = "CAST(year AS VARCHAR) || '_rsh_payments.csv'", "row_id"
+    elif kind == "csv":
+        src = "CAST(year AS VARCHAR) || '_rsh_payments.csv'"
+        pos = "row_number() OVER (PARTITION BY year ORDER BY row_id) - 1"
+    else:
+        src = f"printf('%d/part-%05d.csv', year, CAST(floor(row_id / {chunk}) AS INTEGER))"
+        pos = f"row_number() OVER (PARTITION BY year, floor(row_id / {chunk}) ORDER BY row_id) - 1"
+    pi_cols = ", ".join(
+        f"{cl(f'{PI}{j}_First_Name')} AS p{j}f, {cl(f'{PI}{j}_Middle_Name')} AS p{j}m, "
+        f"{cl(f'{PI}{j}_Last_Name')} AS p{j}l, {cl(f'{PI}{j}_NPI')} AS p{j}n" for j in SLOTS)
+    pi_npis = ", ".join(f"nullif(p{j}n, '')" for j in SLOTS)
+    people = " ".join(f"UNION ALL SELECT row_id, {j}, p{j}f, p{j}m, p{j}l, p{j}n FROM ci"
+                      for j in SLOTS)
+    return f"""c AS (
+  SELECT row_id, year, {src} AS source_file, CAST({pos} AS BIGINT) AS pos,
     TRY_CAST({PAY} AS DECIMAL(20,6)) AS amount,
     {cl(CR + 'First_Name')} AS cf, {cl(CR + 'Middle_Name')} AS cm,
     {cl(CR + 'Last_Name')} AS cln, {cl(CR + 'NPI')} AS cnpi,
     {cl(CR + 'Profile_ID')} AS cprof,
     coalesce(nullif(concat_ws('; ', nullif({cl(CR + 'Specialty_1')}, ''),
                               nullif({cl(CR + 'Specialty_2')}, '')), ''), 'Unknown') AS spec,
-    {', '.join(f"{cl(f'{PI}{j}_First_Name')} AS p{j}f, {cl(f'{PI}{j}_Middle_Name')} AS p{j}m, "
-               f"{cl(f'{PI}{j}_Last_Name')} AS p{j}l, {cl(f'{PI}{j}_NPI')} AS p{j}n"
-               for j in SLOTS)}
+    {pi_cols}
   FROM ({BRIDGE_SQL}) w
 ), ci AS (
-  SELECT *, coalesce(nullif(cnpi, ''), {', '.join(f"nullif(p{j}n, '')" for j in SLOTS)},
-                     'PROFILE_' || nullif(cprof, ''), 'UNKNOWN_' || CAST(row_id AS VARCHAR)) AS ident
+  SELECT *, coalesce(nullif(cnpi, ''), {pi_npis},
+                     'PROFILE_' || nullif(cprof, ''), 'UNKNOWN_' || CAST(pos AS VARCHAR)) AS ident
   FROM c
 ), people AS (
   SELECT row_id, 0 AS slot, cf AS f, cm AS m, cln AS l, cnpi AS npi FROM ci
-  {' '.join(f"UNION ALL SELECT row_id, {j}, p{j}f, p{j}m, p{j}l, p{j}n FROM ci" for j in SLOTS)}
+  {people}
 )"""
 
 
+CANON = canon("bridge")
+
+
 def middle_ok(cell: str, km: str = "km") -> str:
     """Initial (one char once dots are gone) -> prefix test, else equality."""
     return (f"(CASE WHEN length({strip(f'replace({km}, {chr(39)}.{chr(39)}, {chr(39)}{chr(39)})')}) = 1 "

@@ -214,3 +214,247 @@ ORACLE = {
     "slug_label": _slug_label(),
     "batch_data_names": _batch_data_names(),
 }
+
+
+# ---------------------------------------------------------------- row level
+from oracle.base import canon  # noqa: E402
+from paylens.plans.parity import (  # noqa: E402
+    CASE_QUERY, MIDDLE_FULL_QUERY, MIDDLE_INITIAL_QUERY, REPORT_QUERY, ROLE_QUERY,
+    TOKEN_QUERY, ZIP_CHUNK_ROWS,
+)
+
+_FLAT = ("source_file, year, pos AS row_pos, CAST(amount AS DOUBLE) AS amount, cf AS cov_first, "
+         "cm AS cov_middle, cln AS cov_last, cnpi AS cov_npi, cprof AS cov_profile, "
+         "spec AS specialty, ident AS identifier")
+
+
+def _canonical(kind: str = "bridge") -> str:
+    return f"WITH {canon(kind, ZIP_CHUNK_ROWS)} SELECT {_FLAT} FROM ci WHERE amount IS NOT NULL"
+
+
+_INVALID = (f"WITH {CANON} SELECT year, CAST(count(*) FILTER (WHERE amount IS NULL) AS BIGINT) "
+            "AS invalid_rows, CAST(count(*) AS BIGINT) AS total_rows FROM ci GROUP BY year")
+
+_CLEAN = f"""SELECT row_id,
+  coalesce({strip("Covered_Recipient_First_Name")}, '') AS first_clean,
+  lower(coalesce({strip("Covered_Recipient_First_Name")}, '')) AS first_norm,
+  coalesce({strip("Covered_Recipient_First_Name")}, '') AS first_norm_cs,
+  lower({strip("Principal_Investigator_1_First_Name")}) AS pi1_first_value
+FROM ({BRIDGE_SQL}) w"""
+
+
+
+def _lit_middle(cell: str, q: str) -> str:
+    qn = q.strip().lower()
+    return middle_ok(cell, sql_str(qn))
+
+
+_MIDDLE = f"""WITH {CANON} SELECT row_id AS row_pos, cm AS middle,
+  length({strip("replace(cm, '.', '')")}) = 1 AS middle_is_initial,
+  {_lit_middle('cm', MIDDLE_INITIAL_QUERY)} AS match_initial,
+  {_lit_middle('cm', MIDDLE_FULL_QUERY)} AS match_full
+FROM ci"""
+
+_DISPLAY = (f"WITH {CANON} SELECT row_id AS row_pos, {jn('cf', 'cm', 'cln')} AS covered_name, "
+            f"{jn('p1f', 'p1m', 'p1l')} AS pi1_name FROM ci")
+_RESOLVE = f"WITH {CANON} SELECT row_id AS row_pos, ident AS identifier FROM ci"
+_SPEC = f"WITH {CANON} SELECT row_id AS row_pos, spec AS specialty FROM ci"
+
+_NAMED_COLS = ("SELECT query_id, mode, row_id AS row_pos, year, ident AS identifier, "
+               "CAST(amount AS DOUBLE) AS amount, name, specialty FROM named")
+
+
+def _identity_rows() -> str:
+    return f"WITH {CANON}, {_ONE}{report_ctes(YEARS)}\n{_NAMED_COLS}"
+
+
+def _batch_match_rows() -> str:
+    return _batch_with() + "\n" + _NAMED_COLS
+
+
+def _role_rows(where_slot: str) -> str:
+    f, _m, l = ROLE_QUERY
+    return f"""WITH {CANON}, hit AS (
+  SELECT DISTINCT row_id FROM people
+  WHERE {where_slot} AND lower(f) = {sql_str(f.strip().lower())} AND lower(l) = {sql_str(l.strip().lower())}
+)"""
+
+
+def _role_search(where_slot: str) -> str:
+    return _role_rows(where_slot) + """
+SELECT x.year, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(x.amount) AS DOUBLE) AS amount
+FROM hit JOIN ci x ON x.row_id = hit.row_id WHERE x.amount IS NOT NULL GROUP BY x.year"""
+
+
+_ANY_SLOT = _role_rows("slot BETWEEN 0 AND 5") + """
+SELECT x.row_id AS row_pos, x.year, CAST(x.amount AS DOUBLE) AS amount
+FROM hit JOIN ci x ON x.row_id = hit.row_id WHERE x.amount IS NOT NULL"""
+
+
+def _case_sensitive() -> str:
+    f, _m, l = CASE_QUERY
+    fq, lq = sql_str(f.strip()), sql_str(l.strip())
+    return f"""WITH {CANON}, hit AS (
+  SELECT DISTINCT row_id FROM people WHERE f = {fq} AND l = {lq}
+), pi AS (
+  SELECT row_id, min(slot) AS slot FROM people WHERE slot >= 1 AND f = {fq} AND l = {lq} GROUP BY 1
+), rows AS (
+  SELECT x.row_id, x.year, x.amount, x.ident,
+    CASE WHEN x.cf = {fq} AND x.cln = {lq} THEN {jn('x.cf', 'x.cm', 'x.cln')}
+         WHEN pi.slot IS NOT NULL THEN {jn('pp.f', 'pp.m', 'pp.l')}
+         WHEN x.cf <> '' AND x.cln <> '' THEN {jn('x.cf', 'x.cm', 'x.cln')} ELSE 'Unknown' END AS name,
+    CASE WHEN x.cf = {fq} AND x.cln = {lq} THEN x.spec
+         WHEN pi.slot IS NOT NULL THEN 'Principal Investigator'
+         WHEN x.cf <> '' AND x.cln <> '' THEN x.spec ELSE 'Unknown' END AS specialty
+  FROM hit h JOIN ci x ON x.row_id = h.row_id
+  LEFT JOIN pi ON pi.row_id = h.row_id LEFT JOIN people pp ON pp.row_id = h.row_id AND pp.slot = pi.slot
+  WHERE x.amount IS NOT NULL
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY year, ident ORDER BY row_id) AS rn,
+    sum(amount) OVER (PARTITION BY year, ident) AS tot, count(*) OVER (PARTITION BY year, ident) AS n
+  FROM rows
+)
+SELECT year, ident AS NPI, name AS Physician_Name, specialty AS Specialty,
+  CAST(n AS BIGINT) AS Entry_Count, CAST(tot AS DOUBLE) AS Total_Payment_USD FROM r WHERE rn = 1"""
+
+
+def _dual_year() -> str:
+    return (f"WITH {CANON}, {_ONE}{report_ctes(YEARS)}\n"
+            "SELECT year, ident AS NPI, name AS Physician_Name, specialty AS Specialty, "
+            "CAST(entries AS BIGINT) AS Entry_Count, CAST(total AS DOUBLE) AS Total_Payment_USD "
+            "FROM merged")
+
+
+_ORDINAL = (f"SELECT year, row_id AS row_pos, CAST(row_number() OVER (PARTITION BY year ORDER BY "
+            f"row_id) - 1 AS BIGINT) AS ordinal FROM ({BRIDGE_SQL}) w")
+
+_YEAR_PATH = (r"SELECT page_id, coalesce(nullif(regexp_extract(url, '((?:19|20)\d{2})', 1), ''), "
+              r"'Unknown') AS year FROM pages")
+
+_CURRENCY = (f"WITH {CANON} SELECT row_id AS row_pos, "
+             "printf('%.2f', coalesce(CAST(amount AS DOUBLE), 0)) AS amount_text, "
+             "'$' || format('{:,.2f}', CAST(amount AS DOUBLE)) AS amount_label FROM ci")
+
+
+def _summary_export() -> str:
+    pays = ", ".join(f"printf('%.2f', {c}) AS {c}" for c in _PAY)
+    return _batch_with() + (f"\nSELECT Full_Name, First_Name, Middle_Name, Last_Name, {pays}, "
+                            "printf('%.2f', Total_Payment) AS Total_Payment, Total_Entries FROM summary")
+
+
+# ---------------------------------------------------------- appearance index
+def _apps_ctes(kind: str = "bridge") -> str:
+    year = r"coalesce(nullif(regexp_extract(source_file, '((?:19|20)\d{2})', 1), ''), 'Unknown')"
+    cov = f"""SELECT {jn('cf', 'cm', 'cln')} AS display_name, cf AS first_name, cm AS middle_name,
+    cln AS last_name, 'Covered Recipient' AS role, {year} AS year, source_file, amount,
+    CASE WHEN cnpi <> '' THEN cnpi WHEN cprof <> '' THEN cprof ELSE '' END AS identifier,
+    CASE WHEN cnpi <> '' THEN 'NPI' WHEN cprof <> '' THEN 'Profile ID' ELSE 'Missing' END AS identifier_type,
+    spec AS specialty
+  FROM ci WHERE amount IS NOT NULL AND cf <> '' AND cln <> ''"""
+    pis = " ".join(f"""UNION ALL SELECT {jn(f'p{j}f', f'p{j}m', f'p{j}l')}, p{j}f, p{j}m, p{j}l,
+    'Principal Investigator {j}', {year}, source_file, amount, p{j}n,
+    CASE WHEN p{j}n <> '' THEN 'NPI' ELSE 'Missing' END, 'Principal Investigator'
+  FROM ci WHERE amount IS NOT NULL AND p{j}f <> '' AND p{j}l <> ''""" for j in SLOTS_)
+    return f"""WITH {canon(kind, ZIP_CHUNK_ROWS)}, apps AS (
+  {cov}
+  {pis}
+), idx AS (
+  SELECT display_name, first_name, middle_name, last_name, role, year, identifier, identifier_type,
+    specialty, source_file, sum(amount) AS total_payment, count(*) AS instance_count
+  FROM apps GROUP BY ALL
+)"""
+
+
+SLOTS_ = (1, 2, 3, 4, 5)
+_IDX_TYPED = ("SELECT display_name, first_name, middle_name, last_name, role, year, identifier, "
+              "identifier_type, specialty, source_file, CAST(total_payment AS DOUBLE) AS total_payment, "
+              "CAST(instance_count AS BIGINT) AS instance_count FROM idx")
+
+
+def _tokens_match(q: str) -> str:
+    toks = (rf"list_filter(string_split_regex(lower({strip(sql_str(q))}), '\s+'), "
+            "lambda t: t <> '')")
+    return (f"(len({toks}) > 0 AND list_bool_and(list_transform({toks}, "
+            "lambda t: contains(lower(display_name), t))))")
+
+
+def _appearances() -> str:
+    return (_apps_ctes() + "\nSELECT display_name, lower(display_name) AS display_name_normalized, "
+            "first_name, middle_name, last_name, role, year, source_file, "
+            "CAST(amount AS DOUBLE) AS payment_amount, identifier, identifier_type, specialty FROM apps")
+
+
+def _index_stats() -> str:
+    return _apps_ctes() + """
+SELECT CAST(count(*) AS BIGINT) AS indexed_matches, CAST(count(DISTINCT display_name) AS BIGINT) AS physicians,
+  coalesce(nullif(array_to_string(list_sort(list_distinct(list(year) FILTER (WHERE year <> 'Unknown'))), ', '), ''),
+           'Unknown') AS years
+FROM idx"""
+
+
+def _index_json() -> str:
+    def s(c):
+        return f"to_json({c})"
+    parts = [f'"display_name":\' || {s("display_name")}',
+             f'"display_name_normalized":\' || {s("lower(display_name)")}']
+    for c in ("first_name", "middle_name", "last_name", "role", "year", "identifier",
+              "identifier_type", "specialty", "source_file"):
+        parts.append(f'"{c}":\' || {s(c)}')
+    parts.append('"total_payment":\' || CAST(CAST(total_payment AS DECIMAL(18,2)) AS VARCHAR)')
+    parts.append('"instance_count":\' || CAST(instance_count AS VARCHAR)')
+    body = " || \',".join(parts)
+    return _apps_ctes() + f"\nSELECT '{{{body} || '}}' AS record FROM idx"
+
+
+def _search_report() -> str:
+    return _apps_ctes() + f"""
+SELECT display_name, lower(display_name) AS display_name_normalized, first_name, middle_name, last_name,
+  role, year, identifier, identifier_type, specialty, source_file,
+  CAST(CAST(total_payment AS DECIMAL(18,2)) AS DOUBLE) AS total_payment,
+  CAST(instance_count AS BIGINT) AS instance_count,
+  CASE WHEN identifier = '' THEN 'Missing unique identifier' ELSE identifier_type || ': ' || identifier END
+    AS identifier_label
+FROM idx WHERE {_tokens_match(REPORT_QUERY)}"""
+
+
+# ------------------------------------------------------------ file sources
+def _unioned_years() -> str:
+    sel = ", ".join(f"CASE WHEN year = {y} THEN CAST(total AS DOUBLE) END AS Payment_{y}_USD"
+                    for y in YEARS)
+    return (f"WITH {canon('csv')}, {_ONE}{report_ctes(YEARS)}\n"
+            "SELECT year, ident AS NPI, name AS Physician_Name, specialty AS Specialty, "
+            f"CAST(entries AS BIGINT) AS Entry_Count, {sel} FROM merged")
+
+
+ORACLE.update({
+    "canonical_payments": _canonical(),
+    "invalid_amount_count": _INVALID,
+    "clean_normalize": _CLEAN,
+    "middle_match": _MIDDLE,
+    "display_names": _DISPLAY,
+    "resolve_identifier": _RESOLVE,
+    "specialty": _SPEC,
+    "identity_rows": _identity_rows(),
+    "batch_match_rows": _batch_match_rows(),
+    "search_covered": _role_search("slot = 0"),
+    "search_pi": _role_search("slot >= 1"),
+    "search_any": _role_search("slot BETWEEN 0 AND 5"),
+    "any_slot_rows": _ANY_SLOT,
+    "search_case_sensitive": _case_sensitive(),
+    "dual_search_year": _dual_year(),
+    "row_ordinal": _ORDINAL,
+    "year_from_path": _YEAR_PATH,
+    "currency_text": _CURRENCY,
+    "summary_export": _summary_export(),
+    "appearances": _appearances(),
+    "appearance_index": _apps_ctes() + "\n" + _IDX_TYPED,
+    "token_search": _apps_ctes() + "\n" + _IDX_TYPED + f" WHERE {_tokens_match(TOKEN_QUERY)}",
+    "index_stats": _index_stats(),
+    "missing_identifier": _apps_ctes() + "\n" + _IDX_TYPED + " WHERE identifier = ''",
+    "index_json": _index_json(),
+    "search_report": _search_report(),
+    "csv_roundtrip_scan": _canonical("csv"),
+    "unioned_years": _unioned_years(),
+    "zip_scan": _canonical("zip"),
+    "zip_index": _apps_ctes("zip") + "\n" + _IDX_TYPED,
+})

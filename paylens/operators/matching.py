@@ -155,3 +155,52 @@ def match_rows(payments: DataFrame, prepared_queries: DataFrame, *,
             .select("query_id", "mode", "source_file", "year", "row_pos", "amount",
                     "identifier", ident["name"].alias("name"),
                     ident["specialty"].alias("specialty")))
+
+
+def middle_rule(cell: Column, query_middle: str, case_sensitive: bool = False) -> Column:
+    """F6 for a literal query middle name over a cleaned middle-name cell."""
+    q = query_middle.strip()
+    q = q if case_sensitive else q.lower()
+    prefix = q.replace(".", "")
+    cell_n = _norm(cell, case_sensitive)
+    if len(prefix.strip()) == 1:
+        return cell_n.startswith(F.lit(prefix))
+    return cell_n == F.lit(q)
+
+
+def person_predicate(p: Column, first: str, middle: str | None, last: str,
+                     case_sensitive: bool = False) -> Column:
+    """F2 + F4 + F6 for one person struct against a literal name (row filter rule)."""
+    f = first.strip() if case_sensitive else first.strip().lower()
+    l = last.strip() if case_sensitive else last.strip().lower()
+    pred = (p["has_name"] & (_norm(p["first"], case_sensitive) == F.lit(f))
+            & (_norm(p["last"], case_sensitive) == F.lit(l)))
+    if middle and middle.strip():
+        pred = pred & (~p["has_middle"] | middle_rule(p["middle"], middle, case_sensitive))
+    return pred
+
+
+def row_filter(payments: DataFrame, first: str, middle: str | None, last: str, *,
+               roles: str = "any", case_sensitive: bool = False) -> DataFrame:
+    """payment rows mentioning one literal name -- as covered recipient
+    (``roles="covered"``), as any PI slot (``"pi"``) or either (``"any"``).
+
+    A single lookup needs no join: the predicate runs inside the scan stage.
+    """
+    persons = F.col("persons")
+    covered = person_predicate(F.get(persons, 0), first, middle, last, case_sensitive)
+    pi = F.exists(F.slice(persons, 2, 5),
+                  lambda p: person_predicate(p, first, middle, last, case_sensitive))
+    pred = {"covered": covered, "pi": pi, "any": covered | pi}[roles]
+    return payments.where(pred)
+
+
+def any_slot_filter(payments: DataFrame, first: str, middle: str | None, last: str, *,
+                    case_sensitive: bool = False) -> DataFrame:
+    """U4: the same row filter written as an OR of the six slot predicates."""
+    preds = [person_predicate(F.get(F.col("persons"), i), first, middle, last, case_sensitive)
+             for i in range(6)]
+    cond = preds[0]
+    for p in preds[1:]:
+        cond = cond | p
+    return payments.where(cond)

@@ -1,0 +1,36 @@
+"""Distributed row ordinals (W3) without a single-task window.
+
+``row_number() OVER (PARTITION BY g ORDER BY k)`` puts a whole group in one
+task. Here rows are range-partitioned on (g, k) so each task holds a sorted
+slice; per-task counts per group form a small table whose prefix sums give
+each slice's starting offset; a row's ordinal is that offset plus its rank
+inside the slice (consecutive ``monotonically_increasing_id`` values).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+# Offset tables (one row per (task, group)) up to this size are broadcast.
+BROADCAST_SLICE_ROWS = 500_000
+
+
+def ordinal_within(df: DataFrame, group: str, order: str, name: str = "ordinal",
+                   partitions: int | None = None) -> DataFrame:
+    """Add a 0-based ``name`` = position of the row within ``group`` by ``order``
+    (``order`` must be unique within a group)."""
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    sliced = (df.repartitionByRange(n, group, order).sortWithinPartitions(group, order)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_mid", F.monotonically_increasing_id()))
+    slices = sliced.groupBy("_pid", group).agg(F.min("_mid").alias("_first"),
+                                               F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = slices.select("_pid", group, "_first",
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    side = F.broadcast(offsets) if offsets.count() <= BROADCAST_SLICE_ROWS else offsets
+    return (sliced.join(side, ["_pid", group])
+            .withColumn(name, F.col("_before") + F.col("_mid") - F.col("_first"))
+            .drop("_pid", "_mid", "_first", "_before"))

@@ -11,8 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylens.functions.text import money_label, safe_slug, year_range_label
-from paylens.operators import batch, report
+from paylens.functions import text as T
+from paylens.functions.text import money_label, money_text, safe_slug, year_range_label
+from paylens.operators import appearances as A
+from paylens.operators import batch, matching, report
+from paylens.plans.layouts import valid_payments
+from paylens.plans.ordinal import ordinal_within
+from paylens.session import shared_dir
+from paylens.sources import csv_years, zip_source
 from paylens.sources.bridge import bridge_payments, bridge_wide
 
 # --- fixed values: parity-suite requests ---
@@ -147,6 +153,277 @@ def batch_data_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.summary.drop("query_id")
 
 
+# --- fixed values: further parity requests ---
+MIDDLE_INITIAL_QUERY = "G."
+MIDDLE_FULL_QUERY = "Grant"
+ROLE_QUERY = ("Benjamin", None, "Domb")
+CASE_QUERY = ("DAVID", None, "Okafor")
+TOKEN_QUERY = "ben domb"
+REPORT_QUERY = "benjamin g"
+ZIP_CHUNK_ROWS = 2048
+
+
+def _flat(canon: DataFrame) -> DataFrame:
+    cov = F.get(F.col("persons"), 0)
+    return canon.select(
+        "source_file", "year", "row_pos", F.col("amount").cast("double").alias("amount"),
+        cov["first"].alias("cov_first"), cov["middle"].alias("cov_middle"),
+        cov["last"].alias("cov_last"), "cov_npi", "cov_profile", "specialty", "identifier")
+
+
+def canonical_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical rows with a valid amount."""
+    return _flat(valid_payments(_payments(spark, sf_dir)))
+
+
+def invalid_amount_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per year whose amount is not a number."""
+    return (_payments(spark, sf_dir).groupBy("year")
+            .agg(F.count_if(F.col("amount").isNull()).cast("bigint").alias("invalid_rows"),
+                 F.count(F.lit(1)).cast("bigint").alias("total_rows")))
+
+
+def clean_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned and normalised name cells."""
+    w = bridge_wide(spark, sf_dir)
+    return w.select(
+        "row_id",
+        T.clean("Covered_Recipient_First_Name").alias("first_clean"),
+        T.normalize("Covered_Recipient_First_Name", False).alias("first_norm"),
+        T.normalize("Covered_Recipient_First_Name", True).alias("first_norm_cs"),
+        T.normalize_value("Principal_Investigator_1_First_Name", False).alias("pi1_first_value"))
+
+
+def middle_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Middle-name rule for an initial and a full middle name."""
+    cov = F.get(F.col("persons"), 0)
+    return _payments(spark, sf_dir).select(
+        "row_pos", cov["middle"].alias("middle"),
+        T.middle_is_initial(cov["middle"]).alias("middle_is_initial"),
+        matching.middle_rule(cov["middle"], MIDDLE_INITIAL_QUERY).alias("match_initial"),
+        matching.middle_rule(cov["middle"], MIDDLE_FULL_QUERY).alias("match_full"))
+
+
+def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Display names of the covered person and PI slot 1."""
+    p = F.col("persons")
+    cov, pi1 = F.get(p, 0), F.get(p, 1)
+    return _payments(spark, sf_dir).select(
+        "row_pos", T.join_name(cov["first"], cov["middle"], cov["last"]).alias("covered_name"),
+        T.join_name(pi1["first"], pi1["middle"], pi1["last"]).alias("pi1_name"))
+
+
+def resolve_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifier of every row."""
+    return _payments(spark, sf_dir).select("row_pos", "identifier")
+
+
+def specialty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: specialty text of every row."""
+    return _payments(spark, sf_dir).select("row_pos", "specialty")
+
+
+def _matched(spark, sf_dir, queries, dual=True, case_sensitive=False, rows=None):
+    scoped = valid_payments(_payments(spark, sf_dir)).where(F.col("year").isin(YEARS))
+    prepared = matching.prepare_queries(queries, case_sensitive, dual=dual)
+    m = matching.match_rows(scoped, prepared, case_sensitive=case_sensitive, query_rows=rows)
+    return m.select("query_id", "mode", "row_pos", "year", "identifier",
+                    F.col("amount").cast("double").alias("amount"), "name", "specialty")
+
+
+def identity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched rows of the dual search with their identity."""
+    return _matched(spark, sf_dir, _person(spark), rows=1)
+
+
+def batch_match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names x payments join, one row per (name, mode, payment row)."""
+    b = batch.accepted_names(batch.parse_names(batch.names_frame(spark, BATCH_NAMES)))
+    return _matched(spark, sf_dir, b.select("query_id", "first_name", "middle_name",
+                                            "last_name"))
+
+
+def _role_search(spark, sf_dir, roles):
+    rows = matching.row_filter(valid_payments(_payments(spark, sf_dir)), *ROLE_QUERY,
+                               roles=roles)
+    return rows.groupBy("year").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
+                                    F.sum("amount").cast("double").alias("amount"))
+
+
+def search_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rows naming the person as covered recipient, per year."""
+    return _role_search(spark, sf_dir, "covered")
+
+
+def search_pi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rows naming the person in any PI slot, per year."""
+    return _role_search(spark, sf_dir, "pi")
+
+
+def search_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rows naming the person in any role, counted once, per year."""
+    return _role_search(spark, sf_dir, "any")
+
+
+def any_slot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U4: the any-role filter as an OR of six slot predicates."""
+    rows = matching.any_slot_filter(valid_payments(_payments(spark, sf_dir)), *ROLE_QUERY)
+    return rows.select("row_pos", "year", F.col("amount").cast("double").alias("amount"))
+
+
+def search_case_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a case-sensitive search, per year."""
+    q = report.single_query(spark, *CASE_QUERY)
+    return report.search_summary(valid_payments(_payments(spark, sf_dir)), q,
+                                 case_sensitive=True, query_rows=1).drop("query_id")
+
+
+def dual_search_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-year merge of the narrow and wide searches."""
+    scoped = valid_payments(_payments(spark, sf_dir)).where(F.col("year").isin(YEARS))
+    prepared = matching.prepare_queries(_person(spark))
+    m = matching.match_rows(scoped, prepared, query_rows=1)
+    merged = report.merge_modes(report.year_search(m))
+    return merged.select("year", F.col("identifier").alias("NPI"),
+                         F.col("name").alias("Physician_Name"),
+                         F.col("specialty").alias("Specialty"),
+                         F.col("entries").cast("bigint").alias("Entry_Count"),
+                         F.col("total").cast("double").alias("Total_Payment_USD"))
+
+
+def row_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """0-based position of each row within its year's file."""
+    rows = _payments(spark, sf_dir).select("year", "row_pos")
+    return ordinal_within(rows, "year", "row_pos")
+
+
+def year_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Year captured from a path (over page URLs)."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", T.year_from_path(F.col("url")).alias("year"))
+
+
+def currency_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Money as '0.00' text and '$1,234.50' labels."""
+    return _payments(spark, sf_dir).select(
+        "row_pos", money_text(F.col("amount")).alias("amount_text"),
+        money_label(F.col("amount")).alias("amount_label"))
+
+
+def summary_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered summary columns with money as two-decimal text."""
+    b = _batch(spark, sf_dir)
+    pay = [report.payment_column(y) for y in YEARS]
+    return b.summary.select(
+        "Full_Name", "First_Name", "Middle_Name", "Last_Name",
+        *[money_text(F.col(c)).alias(c) for c in pay],
+        money_text(F.col("Total_Payment")).alias("Total_Payment"), "Total_Entries")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.appearance_index(_payments(spark, sf_dir))
+
+
+def _typed(index: DataFrame) -> DataFrame:
+    return index.withColumn("total_payment", F.col("total_payment").cast("double")) \
+                .withColumn("instance_count", F.col("instance_count").cast("bigint"))
+
+
+def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per named person of each valid row."""
+    return A.appearances(_payments(spark, sf_dir)).withColumn(
+        "payment_amount", F.col("payment_amount").cast("double"))
+
+
+def appearance_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grouped appearance index."""
+    return _typed(_index(spark, sf_dir)).orderBy(*A.index_order())
+
+
+def token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token search over the index."""
+    return _typed(A.token_search(_index(spark, sf_dir), TOKEN_QUERY))
+
+
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index size, distinct names and known years."""
+    return A.index_stats(_index(spark, sf_dir))
+
+
+def missing_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """grouped appearances without an identifier."""
+    return _typed(A.missing_identifier(_index(spark, sf_dir)))
+
+
+def index_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index as one JSON object per grouped appearance."""
+    return A.index_json(_index(spark, sf_dir))
+
+
+def search_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searchable records matching a name, with identifier labels."""
+    hits = A.token_search(_index(spark, sf_dir), REPORT_QUERY)
+    return A.serialized_index(hits).withColumn(
+        "total_payment", F.col("total_payment").cast("double"))
+
+
+def _staged_csv(spark: SparkSession, sf_dir: str) -> str:
+    folder = shared_dir(spark, "csv-years")
+    csv_years.write_year_files(bridge_wide(spark, sf_dir), folder)
+    return folder
+
+
+def csv_roundtrip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in rows written as yearly CSV files by Spark,
+    read back per year, canonicalised and unioned."""
+    folder = _staged_csv(spark, sf_dir)
+    return _flat(valid_payments(csv_years.read_payment_years(spark, folder, YEARS)))
+
+
+def unioned_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-year search results, each year read from its own file,
+    renamed to Payment_<year>_USD and unioned with outer columns."""
+    folder = _staged_csv(spark, sf_dir)
+    q = matching.prepare_queries(_person(spark))
+    frames = []
+    for y in YEARS:
+        pay = valid_payments(csv_years.read_payment_file(
+            spark, csv_years.year_file(folder, y), year=y))
+        merged = report.merge_modes(report.year_search(
+            matching.match_rows(pay, q, query_rows=1)))
+        frames.append(merged.select(
+            "year", F.col("identifier").alias("NPI"), F.col("name").alias("Physician_Name"),
+            F.col("specialty").alias("Specialty"),
+            F.col("entries").cast("bigint").alias("Entry_Count"),
+            F.col("total").cast("double").alias(report.payment_column(y))))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def _staged_zip(spark: SparkSession, sf_dir: str) -> str:
+    folder = shared_dir(spark, "zip-archive")
+    w = bridge_wide(spark, sf_dir)
+    member = F.format_string("%d/part-%05d.csv", F.col("year"),
+                             F.floor(F.col("row_id") / ZIP_CHUNK_ROWS).cast("int"))
+    zip_source.write_zip_members(w.withColumn("_member", member).drop("year"), folder,
+                                 "_member", "row_id")
+    return folder
+
+
+def zip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every CSV member of ZIP archives, canonicalised."""
+    canon = zip_source.read_zip_payments(spark, _staged_zip(spark, sf_dir))
+    return _flat(valid_payments(canon))
+
+
+def zip_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D5 over a ZIP source: the appearance index of the archive members."""
+    canon = zip_source.read_zip_payments(spark, _staged_zip(spark, sf_dir))
+    return _typed(A.appearance_index(canon))
+
+
 QUERIES = {
     "physician_report": physician_report,
     "dual_search_by_id": dual_search_by_id,
@@ -164,4 +441,34 @@ QUERIES = {
     "parse_names": parse_names,
     "slug_label": slug_label,
     "batch_data_names": batch_data_names,
+    "canonical_payments": canonical_payments,
+    "invalid_amount_count": invalid_amount_count,
+    "clean_normalize": clean_normalize,
+    "middle_match": middle_match,
+    "display_names": display_names,
+    "resolve_identifier": resolve_identifier,
+    "specialty": specialty,
+    "identity_rows": identity_rows,
+    "batch_match_rows": batch_match_rows,
+    "search_covered": search_covered,
+    "search_pi": search_pi,
+    "search_any": search_any,
+    "any_slot_rows": any_slot_rows,
+    "search_case_sensitive": search_case_sensitive,
+    "dual_search_year": dual_search_year,
+    "row_ordinal": row_ordinal,
+    "year_from_path": year_from_path,
+    "currency_text": currency_text,
+    "summary_export": summary_export,
+    "appearances": appearances,
+    "appearance_index": appearance_index,
+    "token_search": token_search,
+    "index_stats": index_stats,
+    "missing_identifier": missing_identifier,
+    "index_json": index_json,
+    "search_report": search_report,
+    "csv_roundtrip_scan": csv_roundtrip_scan,
+    "unioned_years": unioned_years,
+    "zip_scan": zip_scan,
+    "zip_index": zip_index,
 }

@@ -52,3 +52,31 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, f"{label}-{uuid.uuid4().hex[:12]}")
     return path
+
+
+_SHIPPED: dict[int, str] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``paylens`` importable in Python workers (what ``--py-files`` does).
+
+    Needed only by the Python-side pieces (ZIP reader, ZIP writer); the archive
+    is built once per SparkContext in the shared folder.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(shared_dir(spark, "pyfiles"), "paylens.zip")
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    with zipfile.ZipFile(target, "w") as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(target)
+    _SHIPPED[key] = target
