@@ -1,8 +1,9 @@
 """String helpers as Spark Column expressions.
 
 Every function returns a ``Column`` built from ``pyspark.sql.functions`` so that
-it stays inside whole-stage codegen. Python's ``str.strip`` removes all Unicode
-whitespace while Spark's ``trim`` removes only spaces, hence the ``(?U)`` regex.
+it stays inside generated code. Python's ``str.strip`` removes all Unicode
+whitespace while Spark's ``trim`` removes only spaces, so ``strip`` trims the
+explicit whitespace set with ``btrim`` (no regex engine per cell).
 """
 
 from __future__ import annotations
@@ -12,7 +13,12 @@ from pyspark.sql import functions as F
 
 from paylens.constants import NULL_MARKERS, UNKNOWN, YEAR_IN_PATH
 
-_EDGE_WS = r"(?U)^\s+|\s+$"
+# --- fixed values: the characters Python's str.strip() removes (str.isspace) ---
+PY_WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def _c(col) -> Column:
@@ -21,7 +27,7 @@ def _c(col) -> Column:
 
 def strip(col) -> Column:
     """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(col), _EDGE_WS, "")
+    return F.btrim(_c(col), F.lit(PY_WHITESPACE))
 
 
 def clean(col) -> Column:

@@ -31,6 +31,11 @@ def _norm(col: Column, case_sensitive: bool) -> Column:
     return col if case_sensitive else F.lower(col)
 
 
+def _pf(p: Column, field: str, case_sensitive: bool) -> Column:
+    """A person's name field, normalised (the lower-cased copy is precomputed)."""
+    return p[field] if case_sensitive else p[field + "_l"]
+
+
 def prepare_queries(queries: DataFrame, case_sensitive: bool = False,
                     dual: bool = True) -> DataFrame:
     """(query_id, first_name, middle_name, last_name) -> one row per (query, mode).
@@ -73,10 +78,10 @@ def mask_match(p: Column, case_sensitive: bool) -> Column:
     """the row filter. An absent middle column is not checked."""
     return (
         p["has_name"]
-        & (_norm(p["first"], case_sensitive) == F.col("q_kf"))
-        & (_norm(p["last"], case_sensitive) == F.col("q_kl"))
+        & (_pf(p, "first", case_sensitive) == F.col("q_kf"))
+        & (_pf(p, "last", case_sensitive) == F.col("q_kl"))
         & (F.col("q_km").isNull() | ~p["has_middle"]
-           | _middle_ok(_norm(p["middle"], case_sensitive)))
+           | _middle_ok(_pf(p, "middle", case_sensitive)))
     )
 
 
@@ -84,35 +89,52 @@ def identity_match(p: Column, case_sensitive: bool) -> Column:
     """the identity check. Names must be non-empty; an absent middle is ''."""
     return (
         (p["first"] != "") & (p["last"] != "")
-        & (_norm(p["first"], case_sensitive) == F.col("q_kf"))
-        & (_norm(p["last"], case_sensitive) == F.col("q_kl"))
-        & (F.col("q_km").isNull() | _middle_ok(_norm(p["middle"], case_sensitive)))
+        & (_pf(p, "first", case_sensitive) == F.col("q_kf"))
+        & (_pf(p, "last", case_sensitive) == F.col("q_kl"))
+        & (F.col("q_km").isNull() | _middle_ok(_pf(p, "middle", case_sensitive)))
     )
 
 
+def _slot(i: int) -> Column:
+    return F.get(F.col("persons"), i)
+
+
+N_SLOTS = 6  # covered recipient + PI slots 1-5, fixed by the file format
+
+
 def identity(case_sensitive: bool) -> Column:
     """struct(name, specialty) of a matched row for its query.
 
     Covered person if it matches -> first matching PI (specialty 'Principal
     Investigator') -> covered person anyway -> ('Unknown', 'Unknown').
+    The six slots are unrolled into plain expressions so the whole projection
+    stays in generated code (no lambda evaluation per row).
     """
-    persons = F.col("persons")
-    cov = F.get(persons, 0)
-    pi_hit = F.get(F.filter(F.slice(persons, 2, 5),
-                            lambda x: identity_match(x, case_sensitive)), 0)
+    cov = _slot(0)
     cov_name = join_name(cov["first"], cov["middle"], cov["last"])
-    pi_name = join_name(pi_hit["first"], pi_hit["middle"], pi_hit["last"])
-    name = (F.when(identity_match(cov, case_sensitive), cov_name)
-            .when(pi_hit.isNotNull(), pi_name)
-            .when((cov["first"] != "") & (cov["last"] != ""), cov_name)
-            .otherwise(F.lit(UNKNOWN)))
-    spec = (F.when(identity_match(cov, case_sensitive), F.col("specialty"))
-            .when(pi_hit.isNotNull(), F.lit(SPECIALTY_PI))
-            .when((cov["first"] != "") & (cov["last"] != ""), F.col("specialty"))
-            .otherwise(F.lit(UNKNOWN)))
+    name = F.when(identity_match(cov, case_sensitive), cov_name)
+    spec = F.when(identity_match(cov, case_sensitive), F.col("specialty"))
+    for i in range(1, N_SLOTS):
+        p = _slot(i)
+        hit = identity_match(p, case_sensitive)
+        name = name.when(hit, join_name(p["first"], p["middle"], p["last"]))
+        spec = spec.when(hit, F.lit(SPECIALTY_PI))
+    named = (cov["first"] != "") & (cov["last"] != "")
+    name = name.when(named, cov_name).otherwise(F.lit(UNKNOWN))
+    spec = spec.when(named, F.col("specialty")).otherwise(F.lit(UNKNOWN))
     return F.struct(name.alias("name"), spec.alias("specialty"))
 
 
+def earlier_slot_matches(case_sensitive: bool) -> Column:
+    """True when a slot before ``p.slot`` of the same row also matches the query
+    (unrolled over the fixed six slots)."""
+    slot = F.col("p.slot")
+    cond = F.lit(False)
+    for i in range(N_SLOTS - 1):
+        cond = cond | ((slot > i) & mask_match(_slot(i), case_sensitive))
+    return cond
+
+
 def broadcast_if_bounded(queries: DataFrame, known_rows: int | None = None,
                          limit: int = BROADCAST_QUERY_ROWS) -> DataFrame:
     """Broadcast the query side only when its row count is proven small.
@@ -125,36 +147,69 @@ def broadcast_if_bounded(queries: DataFrame, known_rows: int | None = None,
     return F.broadcast(queries) if n <= limit else queries
 
 
-def match_rows(payments: DataFrame, prepared_queries: DataFrame, *,
-               case_sensitive: bool = False, query_rows: int | None = None) -> DataFrame:
-    """J1 + J3: one row per (query, mode, payment row) that mentions the person.
+SPEC = ["q_kf", "q_kl", "q_km", "q_mid_prefix", "q_mid_initial"]
+
+
+def search_specs(prepared_queries: DataFrame) -> DataFrame:
+    """Distinct normalised searches. Names that normalise alike -- e.g. every
+    wide search for the same first and last name -- are matched only once."""
+    return prepared_queries.select(*SPEC).distinct()
 
-    ``payments`` is canonical with valid amounts; ``prepared_queries`` comes from
-    :func:`prepare_queries`. Output carries the payment payload, the query fields
-    and ``name``/``specialty`` of the row's identity for that query.
+
+def spec_join_keys(left: DataFrame, right: DataFrame) -> list[Column]:
+    return [left[c].eqNullSafe(right[c]) for c in SPEC]
+
+
+def match_specs(payments: DataFrame, specs: DataFrame, *, case_sensitive: bool = False,
+                spec_rows: int | None = None) -> DataFrame:
+    """J1 + J3 per search spec: one row per (spec, payment row) that mentions
+    the person, with the row's identity for that spec.
+
+    ``payments`` is canonical with valid amounts; ``specs`` has the SPEC
+    columns (see :func:`search_specs`).
     """
     people = F.filter(F.col("persons"),
                       lambda p: p["has_name"] & (p["first"] != "") & (p["last"] != ""))
     exploded = (payments.select(*PAYLOAD, F.explode(people).alias("p"))
-                .withColumn("kf", _norm(F.col("p.first"), case_sensitive))
-                .withColumn("kl", _norm(F.col("p.last"), case_sensitive)))
-    q = broadcast_if_bounded(prepared_queries, query_rows)
+                .withColumn("kf", _pf(F.col("p"), "first", case_sensitive))
+                .withColumn("kl", _pf(F.col("p"), "last", case_sensitive)))
+    q = broadcast_if_bounded(specs, spec_rows)
     cond = [
         exploded["kf"] == q["q_kf"],
         exploded["kl"] == q["q_kl"],
         F.col("q_km").isNull() | ~F.col("p.has_middle")
-        | _middle_ok(_norm(F.col("p.middle"), case_sensitive)),
+        | _middle_ok(_pf(F.col("p"), "middle", case_sensitive)),
     ]
     joined = exploded.join(q, cond, "inner")
-    # Q1: a row counts once per query even when several of its slots match.
-    slot = F.col("p.slot")
-    earlier_hit = F.exists(F.col("persons"),
-                           lambda x: (x["slot"] < slot) & mask_match(x, case_sensitive))
+    # Q1: a row counts once per search even when several of its slots match.
+    earlier_hit = earlier_slot_matches(case_sensitive)
     ident = identity(case_sensitive)
     return (joined.where(~earlier_hit)
-            .select("query_id", "mode", "source_file", "year", "row_pos", "amount",
-                    "identifier", ident["name"].alias("name"),
-                    ident["specialty"].alias("specialty")))
+            .select(*SPEC, "source_file", "year", "row_pos", "amount", "identifier",
+                    ident["name"].alias("name"), ident["specialty"].alias("specialty")))
+
+
+def attach_queries(per_spec: DataFrame, prepared_queries: DataFrame,
+                   query_rows: int | None = None) -> DataFrame:
+    """Fan spec-keyed results out to every (query_id, mode) asking that search."""
+    mapping = broadcast_if_bounded(prepared_queries.select("query_id", "mode", *SPEC),
+                                   query_rows)
+    joined = per_spec.join(mapping, spec_join_keys(per_spec, mapping), "inner")
+    keep = [c for c in per_spec.columns if c not in SPEC]
+    return joined.select("query_id", "mode", *[per_spec[c] for c in keep])
+
+
+def match_rows(payments: DataFrame, prepared_queries: DataFrame, *,
+               case_sensitive: bool = False, query_rows: int | None = None) -> DataFrame:
+    """J1 + J3: one row per (query, mode, payment row) that mentions the person.
+
+    Output: query_id, mode, source_file, year, row_pos, amount, identifier, and
+    the identity (name, specialty) of the row for that query.
+    """
+    specs = search_specs(prepared_queries)
+    matched = match_specs(payments, specs, case_sensitive=case_sensitive,
+                          spec_rows=query_rows)
+    return attach_queries(matched, prepared_queries, query_rows)
 
 
 def middle_rule(cell: Column, query_middle: str, case_sensitive: bool = False) -> Column:
@@ -173,10 +228,11 @@ def person_predicate(p: Column, first: str, middle: str | None, last: str,
     """F2 + F4 + F6 for one person struct against a literal name (row filter rule)."""
     f = first.strip() if case_sensitive else first.strip().lower()
     l = last.strip() if case_sensitive else last.strip().lower()
-    pred = (p["has_name"] & (_norm(p["first"], case_sensitive) == F.lit(f))
-            & (_norm(p["last"], case_sensitive) == F.lit(l)))
+    pred = (p["has_name"] & (_pf(p, "first", case_sensitive) == F.lit(f))
+            & (_pf(p, "last", case_sensitive) == F.lit(l)))
     if middle and middle.strip():
-        pred = pred & (~p["has_middle"] | middle_rule(p["middle"], middle, case_sensitive))
+        pred = pred & (~p["has_middle"]
+                       | middle_rule(_pf(p, "middle", case_sensitive), middle, case_sensitive))
     return pred
 
 

@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paylens.operators.matching import match_rows, prepare_queries
+from paylens.operators.matching import (
+    SPEC, attach_queries, match_rows, match_specs, prepare_queries, search_specs,
+)
 from paylens.plans.layouts import valid_payments
 
 
@@ -43,17 +45,31 @@ def payment_column(year: int) -> str:
     return f"Payment_{year}_USD"
 
 
-def year_search(matched: DataFrame) -> DataFrame:
-    """D1 per year: (query_id, mode, year, identifier, total, entries, name, specialty)."""
+def year_search(matched: DataFrame, keys=("query_id", "mode")) -> DataFrame:
+    """D1 per year: (keys..., year, identifier, total, entries, name, specialty)."""
     order = F.struct("source_file", "row_pos")
-    return (matched.groupBy("query_id", "mode", "year", "identifier")
+    keys = list(keys)
+    return (matched.groupBy(*keys, "year", "identifier")
             .agg(F.sum("amount").alias("total"),
                  F.count(F.lit(1)).alias("entries"),
                  F.min_by(F.struct("name", "specialty"), order).alias("ident"))
-            .select("query_id", "mode", "year", "identifier", "total", "entries",
+            .select(*keys, "year", "identifier", "total", "entries",
                     "ident.name", "ident.specialty"))
 
 
+def searched_years(payments: DataFrame, prepared: DataFrame, *, case_sensitive: bool = False,
+                   query_rows: int | None = None) -> DataFrame:
+    """Match + D1 aggregated per distinct search spec, then fanned out to the
+    queries: (query_id, mode, year, identifier, total, entries, name, specialty).
+
+    Aggregating before the fan-out keeps the large shuffle proportional to the
+    distinct searches, not to the number of names asking them."""
+    specs = search_specs(prepared)
+    matched = match_specs(payments, specs, case_sensitive=case_sensitive,
+                          spec_rows=query_rows)
+    return attach_queries(year_search(matched, SPEC), prepared, query_rows)
+
+
 def search_summary(payments: DataFrame, queries: DataFrame, *,
                    case_sensitive: bool = False, query_rows: int | None = None) -> DataFrame:
     """One search of one payment set per query, exactly as given.
@@ -61,9 +77,9 @@ def search_summary(payments: DataFrame, queries: DataFrame, *,
     (query_id, year, NPI, Physician_Name, Specialty, Entry_Count, Total_Payment_USD).
     """
     prepared = prepare_queries(queries, case_sensitive, dual=False)
-    matched = match_rows(valid_payments(payments), prepared,
-                         case_sensitive=case_sensitive, query_rows=query_rows)
-    return year_search(matched).select(
+    per_year = searched_years(valid_payments(payments), prepared,
+                              case_sensitive=case_sensitive, query_rows=query_rows)
+    return per_year.select(
         "query_id", "year", F.col("identifier").alias("NPI"),
         F.col("name").alias("Physician_Name"), F.col("specialty").alias("Specialty"),
         F.col("entries").alias("Entry_Count"),
@@ -124,9 +140,9 @@ def physician_detail(payments: DataFrame, queries: DataFrame, years: Sequence[in
     years = unique_years(years)
     scoped = valid_payments(payments).where(F.col("year").isin(years))
     prepared = prepare_queries(queries, case_sensitive)
-    matched = match_rows(scoped, prepared, case_sensitive=case_sensitive,
-                         query_rows=query_rows)
-    return combine_years(merge_modes(year_search(matched), merge), years)
+    per_year = searched_years(scoped, prepared, case_sensitive=case_sensitive,
+                              query_rows=query_rows)
+    return combine_years(merge_modes(per_year, merge), years)
 
 
 QUERY_SCHEMA = T.StructType([

@@ -5,7 +5,8 @@ Canonical schema (one row per payment line)::
     source_file STRING, year INT, row_pos BIGINT,
     amount DECIMAL(20,6)            -- NULL when the text is not a number
     persons ARRAY<STRUCT<slot INT, first, middle, last, npi STRING,
-                         has_name BOOLEAN, has_middle BOOLEAN>>
+                         has_name BOOLEAN, has_middle BOOLEAN,
+                         first_l, middle_l, last_l STRING>>   -- *_l: lower-cased
                                     -- slot 0 = covered recipient, 1-5 = PI slots
     cov_npi STRING, cov_profile STRING,
     specialty STRING                -- slots joined by '; ', else bare column, else 'Unknown'
@@ -104,14 +105,19 @@ def required_columns(columns) -> list[str]:
 
 
 def _person(slot: int, first, middle, last, npi, has_name, has_middle) -> Column:
+    first, middle, last = clean(first), clean(middle), clean(last)
     return F.struct(
         F.lit(slot).alias("slot"),
-        clean(first).alias("first"),
-        clean(middle).alias("middle"),
-        clean(last).alias("last"),
+        first.alias("first"),
+        middle.alias("middle"),
+        last.alias("last"),
         clean(npi).alias("npi"),
         has_name.alias("has_name"),
         has_middle.alias("has_middle"),
+        # lower-cased once here, not once per (row, query) pair downstream
+        F.lower(first).alias("first_l"),
+        F.lower(middle).alias("middle_l"),
+        F.lower(last).alias("last_l"),
     )
 
 

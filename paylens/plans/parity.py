@@ -282,8 +282,7 @@ def dual_search_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-year merge of the narrow and wide searches."""
     scoped = valid_payments(_payments(spark, sf_dir)).where(F.col("year").isin(YEARS))
     prepared = matching.prepare_queries(_person(spark))
-    m = matching.match_rows(scoped, prepared, query_rows=1)
-    merged = report.merge_modes(report.year_search(m))
+    merged = report.merge_modes(report.searched_years(scoped, prepared, query_rows=1))
     return merged.select("year", F.col("identifier").alias("NPI"),
                          F.col("name").alias("Physician_Name"),
                          F.col("specialty").alias("Specialty"),
@@ -389,8 +388,7 @@ def unioned_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     for y in YEARS:
         pay = valid_payments(csv_years.read_payment_file(
             spark, csv_years.year_file(folder, y), year=y))
-        merged = report.merge_modes(report.year_search(
-            matching.match_rows(pay, q, query_rows=1)))
+        merged = report.merge_modes(report.searched_years(pay, q, query_rows=1))
         frames.append(merged.select(
             "year", F.col("identifier").alias("NPI"), F.col("name").alias("Physician_Name"),
             F.col("specialty").alias("Specialty"),

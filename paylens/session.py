@@ -27,6 +27,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Stages whose generated methods exceed the JIT's 8000-byte limit run as
+        # interpreted bytecode; above it, fall back to per-operator codegen.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
