@@ -38,16 +38,58 @@ def _reader(spark: SparkSession, multi_line: bool):
             .option("mode", "PERMISSIVE"))
 
 
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+def _data_files(spark: SparkSession, path: str) -> list:
+    """File statuses of a path: the file itself, or the non-hidden files of a folder."""
+    fs, hpath = _fs(spark, path)
+    st = fs.getFileStatus(hpath)
+    if not st.isDirectory():
+        return [st]
+    files = [f for f in fs.listStatus(hpath)
+             if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    return sorted(files, key=lambda f: f.getPath().getName())
+
+
 def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the header line only (no data pass)."""
+    """Column names from the first line of the first non-empty file, read
+    on the driver through the Hadoop file system (no Spark job, no data pass)."""
+    import csv as _csv
+
+    fs, _ = _fs(spark, path)
+    for st in _data_files(spark, path):
+        if st.getLen() == 0:
+            continue
+        stream = fs.open(st.getPath())
+        try:
+            reader = spark.sparkContext._jvm.java.io.BufferedReader(
+                spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+            line = reader.readLine()
+        finally:
+            stream.close()
+        if line:
+            return next(_csv.reader([line.lstrip("\ufeff")]))
     return _reader(spark, False).csv(path).columns
 
 
+def block_bound(spark: SparkSession, path: str, multi_line: bool) -> int:
+    """Upper bound on the input splits of a path, from the file listing: one per
+    file with ``multiLine``, else one per ``maxPartitionBytes`` slice."""
+    files = _data_files(spark, path)
+    if multi_line:
+        return len(files)
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", str(128 << 20))
+                .rstrip("b").rstrip("B") or 128 << 20)
+    return sum(st.getLen() // max(split, 1) + 1 for st in files)
+
+
 def check_exists(spark: SparkSession, path: str) -> None:
     """Fail early, naming the missing file."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, hpath = _fs(spark, path)
     if not fs.exists(hpath):
         raise FileNotFoundError(f"CSV file not found: {path}")
 
@@ -64,7 +106,7 @@ def read_raw(spark: SparkSession, path: str, *, multi_line: bool = True) -> Data
                      F.monotonically_increasing_id().alias("_mid"))
 
 
-def with_row_position(raw: DataFrame) -> DataFrame:
+def with_row_position(raw: DataFrame, max_blocks: int | None = None) -> DataFrame:
     """Exact 0-based line position within each input unit (a file, or a
     folder of part files read as one file), without a global sort: per-block
     counts -> prefix sum over the (small) block table -> offset in block."""
@@ -74,7 +116,7 @@ def with_row_position(raw: DataFrame) -> DataFrame:
         Window.unboundedPreceding, -1)
     offsets = blocks.select("_file", "_block", "_first",
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    n_blocks = offsets.count()
+    n_blocks = max_blocks if max_blocks is not None else offsets.count()
     side = F.broadcast(offsets) if n_blocks <= BROADCAST_BLOCK_ROWS else offsets
     return (raw.join(side, ["_file", "_block"])
             .withColumn("_pos", F.col("_before") + F.col("_mid") - F.col("_first"))
@@ -88,7 +130,8 @@ def read_payment_file(spark: SparkSession, path: str, *, year: int | None = None
     check_exists(spark, path)
     header = read_header(spark, path)
     validate_columns(header, required_columns(header))
-    raw = with_row_position(read_raw(spark, path, multi_line=multi_line))
+    raw = with_row_position(read_raw(spark, path, multi_line=multi_line),
+                            max_blocks=block_bound(spark, path, multi_line))
     src = F.lit(source_file or os.path.basename(path))
     yr = F.lit(year).cast("int") if year is not None else F.lit(None).cast("int")
     return canonicalize(raw, source_file=src, year=yr, row_pos=F.col("_pos"),
@@ -125,15 +168,23 @@ def read_payment_years(spark: SparkSession, directory: str, years: Sequence[int]
 
 def write_year_files(wide: DataFrame, directory: str, year_col: str = "year",
                      order_col: str = "row_id") -> list[int]:
-    """Write a wide table as one header-bearing CSV per year (stand-in fixtures and
-    the K1 writer). Each year is written by Spark into its own folder, rows in
-    ``order_col`` order; the folder is named like a yearly file so readers treat
-    it as one (Spark reads a folder of part files as one input)."""
-    years = sorted(r[0] for r in wide.select(year_col).distinct().collect())
-    for y in years:
-        part = wide.where(F.col(year_col) == y).drop(year_col)
-        (part.repartitionByRange(F.col(order_col)).sortWithinPartitions(order_col)
-             .drop(order_col)
-             .write.mode("overwrite").option("header", True).option("quote", '"')
-             .option("escape", '"').csv(year_file(directory, y)))
-    return years
+    """Write a wide table as header-bearing CSV per year in one Spark job
+    (stand-in fixtures and the K1 writer): rows range-partitioned and sorted on
+    ``(year, order_col)``, written with ``partitionBy(year)`` so every task
+    writes its own slice. Each year's folder is then named like a yearly file
+    (``<year>_rsh_payments.csv``) so readers treat it as one input."""
+    staging = directory.rstrip("/") + "/_staging"
+    (wide.repartitionByRange(F.col(year_col), F.col(order_col))
+         .sortWithinPartitions(year_col, order_col).drop(order_col)
+         .write.mode("overwrite").partitionBy(year_col).option("header", True)
+         .option("quote", '"').option("escape", '"').csv(staging))
+    spark = wide.sparkSession
+    fs, hstaging = _fs(spark, staging)
+    years = []
+    for st in fs.listStatus(hstaging):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith(f"{year_col}="):
+            y = int(name.split("=", 1)[1])
+            fs.rename(st.getPath(), _fs(spark, year_file(directory, y))[1])
+            years.append(y)
+    return sorted(years)
