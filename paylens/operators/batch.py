@@ -128,16 +128,17 @@ def identifier_counts(accepted: DataFrame, detail: DataFrame) -> DataFrame:
     count across physicians.
     """
     winners = last_query_wins(accepted).select("query_id")
-    kept = detail.join(winners, "query_id")
-    per_name = kept.groupBy("query_id").agg(F.count_distinct("NPI").alias("n"))
-    total = per_name.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    multi = per_name.agg(F.count_if(F.col("n") > 1)).scalar()
-    distinct_all = kept.agg(F.count_distinct("NPI")).scalar()
+    # detail already holds one row per (query, identifier): a row is a distinct id
+    kept = detail.join(winners, "query_id").select("query_id", "NPI")
+    totals = kept.agg(F.struct(F.count(F.lit(1)).cast("bigint").alias("t"),
+                               F.count_distinct("NPI").cast("bigint").alias("g"))).scalar()
+    multi = (kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+             .agg(F.count_if(F.col("n") > 1).cast("bigint")).scalar())
     return accepted.agg(F.count(F.lit(1)).cast("bigint").alias("physicians_processed")).select(
         "physicians_processed",
-        total.cast("bigint").alias("total_unique_npis"),
-        distinct_all.cast("bigint").alias("global_unique_npis"),
-        multi.cast("bigint").alias("physicians_with_multiple_npis"),
+        totals["t"].alias("total_unique_npis"),
+        totals["g"].alias("global_unique_npis"),
+        multi.alias("physicians_with_multiple_npis"),
     )
 
 

@@ -206,10 +206,10 @@ def match_rows(payments: DataFrame, prepared_queries: DataFrame, *,
     Output: query_id, mode, source_file, year, row_pos, amount, identifier, and
     the identity (name, specialty) of the row for that query.
     """
+    bound = None if query_rows is None else 2 * query_rows  # narrow + wide per name
     specs = search_specs(prepared_queries)
-    matched = match_specs(payments, specs, case_sensitive=case_sensitive,
-                          spec_rows=query_rows)
-    return attach_queries(matched, prepared_queries, query_rows)
+    matched = match_specs(payments, specs, case_sensitive=case_sensitive, spec_rows=bound)
+    return attach_queries(matched, prepared_queries, bound)
 
 
 def middle_rule(cell: Column, query_middle: str, case_sensitive: bool = False) -> Column:

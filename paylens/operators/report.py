@@ -64,10 +64,10 @@ def searched_years(payments: DataFrame, prepared: DataFrame, *, case_sensitive:
 
     Aggregating before the fan-out keeps the large shuffle proportional to the
     distinct searches, not to the number of names asking them."""
+    bound = None if query_rows is None else 2 * query_rows  # narrow + wide per name
     specs = search_specs(prepared)
-    matched = match_specs(payments, specs, case_sensitive=case_sensitive,
-                          spec_rows=query_rows)
-    return attach_queries(year_search(matched, SPEC), prepared, query_rows)
+    matched = match_specs(payments, specs, case_sensitive=case_sensitive, spec_rows=bound)
+    return attach_queries(year_search(matched, SPEC), prepared, bound)
 
 
 def search_summary(payments: DataFrame, queries: DataFrame, *,

@@ -63,23 +63,33 @@ _SHIPPED: dict[int, str] = {}
 def ship_package(spark: SparkSession) -> None:
     """Make ``paylens`` importable in Python workers (what ``--py-files`` does).
 
-    Needed only by the Python-side pieces (ZIP reader, ZIP writer); the archive
-    is built once per SparkContext in the shared folder.
+    Needed only by the Python-side pieces (ZIP reader, ZIP writer). The archive
+    of the package sources is written once per SparkContext into the shared
+    folder (any file system ``pyarrow`` can reach) and added with ``addPyFile``.
     """
+    import io
     import zipfile
 
+    from pyarrow import fs as pafs
+
     sc = spark.sparkContext
     key = id(sc._jsc)
     if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(shared_dir(spark, "pyfiles"), "paylens.zip")
-    os.makedirs(os.path.dirname(target), exist_ok=True)
-    with zipfile.ZipFile(target, "w") as zf:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as zf:
         for root, _dirs, files in os.walk(pkg_dir):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    folder = shared_dir(spark, "pyfiles")
+    target = folder.rstrip("/") + "/paylens.zip"
+    filesystem, path = pafs.FileSystem.from_uri(target) if "://" in target else (
+        pafs.LocalFileSystem(), target)
+    filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with filesystem.open_output_stream(path) as out:
+        out.write(buf.getvalue())
     sc.addPyFile(target)
     _SHIPPED[key] = target

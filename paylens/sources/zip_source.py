@@ -128,10 +128,11 @@ def read_zip_payments(spark: SparkSession, path: str, unknown_id: str = "row") -
 
 
 def _write_archive(batches, directory: str, member_col: str, order_col: str):
-    """mapInPandas body: one archive per task holding that task's members."""
-    import os
-    import uuid
+    """mapInPandas body: one archive per task holding that task's members.
 
+    The task's rows are the members hashed to it (bounded by the member size,
+    never a whole year); the archive is built in memory and written once, so a
+    retried task simply rewrites the same archive."""
     import pandas as pd
     from pyspark import TaskContext
 
@@ -140,25 +141,27 @@ def _write_archive(batches, directory: str, member_col: str, order_col: str):
         return
     df = pd.concat(frames, ignore_index=True)
     pid = TaskContext.get().partitionId()
-    path = os.path.join(directory, f"archive-{pid:05d}.zip")
-    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+    target = f"{directory.rstrip('/')}/archive-{pid:05d}.zip"
+    buf = io.BytesIO()
     names = []
-    with zipfile.ZipFile(tmp, "w", compression=zipfile.ZIP_DEFLATED) as zf:
+    with zipfile.ZipFile(buf, "w", compression=zipfile.ZIP_DEFLATED) as zf:
         for member, part in df.groupby(member_col, sort=True):
             body = part.sort_values(order_col).drop(columns=[member_col, order_col])
             zf.writestr(member, body.to_csv(index=False))
             names.append(member)
-    os.replace(tmp, path)
-    yield pd.DataFrame({"archive": [path] * len(names), "member": names})
+    filesystem, path = _fs(target)
+    with filesystem.open_output_stream(path) as out:
+        out.write(buf.getvalue())
+    yield pd.DataFrame({"archive": [target] * len(names), "member": names})
 
 
 def write_zip_members(wide: DataFrame, directory: str, member_col: str, order_col: str) -> int:
     """Pack a wide table into ZIP archives, one CSV member per ``member_col``
     value (rows in ``order_col`` order). Members are hash-spread over tasks and
-    each task writes its own archive into ``directory`` (local or mounted shared
-    storage), so no member list or data passes through the driver."""
-    import os
-    os.makedirs(directory, exist_ok=True)
+    each task writes its own archive into ``directory`` (any file system pyarrow
+    reaches), so no member list or data passes through the driver."""
+    filesystem, root = _fs(directory)
+    filesystem.create_dir(root, recursive=True)
     ship_package(wide.sparkSession)
     out = wide.repartition(member_col).mapInPandas(
         lambda it: _write_archive(it, directory, member_col, order_col),
