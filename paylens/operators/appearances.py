@@ -32,6 +32,7 @@ def appearances(canonical: DataFrame) -> DataFrame:
     (display_name, display_name_normalized, first_name, middle_name, last_name, role,
      year, source_file, payment_amount, identifier, identifier_type, specialty)
     """
+    # people filtered inside the array (see matching.match_specs for why)
     named = F.filter(F.col("persons"), lambda p: (p["first"] != "") & (p["last"] != ""))
     rows = valid_payments(canonical).select(
         "source_file", "amount", "cov_npi", "cov_profile", "specialty",

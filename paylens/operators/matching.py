@@ -102,27 +102,37 @@ def _slot(i: int) -> Column:
 N_SLOTS = 6  # covered recipient + PI slots 1-5, fixed by the file format
 
 
+def identity_slot(case_sensitive: bool) -> Column:
+    """Which person names a matched row for its query (P11 order of preference):
+    0 = covered person (matching, or as fallback when named), 1-5 = first
+    matching PI slot, -1 = nobody (identity 'Unknown'). Integer comparisons
+    only; strings are built once from the chosen slot."""
+    cov = _slot(0)
+    out = F.when(identity_match(cov, case_sensitive), F.lit(0))
+    for i in range(1, N_SLOTS):
+        out = out.when(identity_match(_slot(i), case_sensitive), F.lit(i))
+    named = (cov["first"] != "") & (cov["last"] != "")
+    return out.when(named, F.lit(0)).otherwise(F.lit(-1))
+
+
+def identity_from_slot(slot_col: Column) -> Column:
+    """struct(name, specialty) for an identity slot from :func:`identity_slot`."""
+    name = F.when(slot_col == -1, F.lit(UNKNOWN))
+    for i in range(N_SLOTS):
+        p = _slot(i)
+        name = name.when(slot_col == i, join_name(p["first"], p["middle"], p["last"]))
+    spec = (F.when(slot_col == 0, F.col("specialty"))
+            .when(slot_col > 0, F.lit(SPECIALTY_PI)).otherwise(F.lit(UNKNOWN)))
+    return F.struct(name.alias("name"), spec.alias("specialty"))
+
+
 def identity(case_sensitive: bool) -> Column:
     """struct(name, specialty) of a matched row for its query.
 
     Covered person if it matches -> first matching PI (specialty 'Principal
     Investigator') -> covered person anyway -> ('Unknown', 'Unknown').
-    The six slots are unrolled into plain expressions so the whole projection
-    stays in generated code (no lambda evaluation per row).
     """
-    cov = _slot(0)
-    cov_name = join_name(cov["first"], cov["middle"], cov["last"])
-    name = F.when(identity_match(cov, case_sensitive), cov_name)
-    spec = F.when(identity_match(cov, case_sensitive), F.col("specialty"))
-    for i in range(1, N_SLOTS):
-        p = _slot(i)
-        hit = identity_match(p, case_sensitive)
-        name = name.when(hit, join_name(p["first"], p["middle"], p["last"]))
-        spec = spec.when(hit, F.lit(SPECIALTY_PI))
-    named = (cov["first"] != "") & (cov["last"] != "")
-    name = name.when(named, cov_name).otherwise(F.lit(UNKNOWN))
-    spec = spec.when(named, F.col("specialty")).otherwise(F.lit(UNKNOWN))
-    return F.struct(name.alias("name"), spec.alias("specialty"))
+    return identity_from_slot(identity_slot(case_sensitive))
 
 
 def earlier_slot_matches(case_sensitive: bool) -> Column:
@@ -152,8 +162,13 @@ SPEC = ["q_kf", "q_kl", "q_km", "q_mid_prefix", "q_mid_initial"]
 
 def search_specs(prepared_queries: DataFrame) -> DataFrame:
     """Distinct normalised searches. Names that normalise alike -- e.g. every
-    wide search for the same first and last name -- are matched only once."""
-    return prepared_queries.select(*SPEC).distinct()
+    wide search for the same first and last name -- are matched only once.
+
+    ``spec_hash`` (64-bit) leads the grouping keys downstream so sorts compare
+    one long first; the spec columns stay in every key, so a collision is
+    harmless."""
+    return (prepared_queries.select(*SPEC).distinct()
+            .withColumn("spec_hash", F.xxhash64(*SPEC)))
 
 
 def spec_join_keys(left: DataFrame, right: DataFrame) -> list[Column]:
@@ -168,6 +183,9 @@ def match_specs(payments: DataFrame, specs: DataFrame, *, case_sensitive: bool =
     ``payments`` is canonical with valid amounts; ``specs`` has the SPEC
     columns (see :func:`search_specs`).
     """
+    # Filter the people inside the array, before the explode: a filter on the
+    # exploded struct over explode(array(struct(...))) sends the optimizer into
+    # a very long rewrite loop.
     people = F.filter(F.col("persons"),
                       lambda p: p["has_name"] & (p["first"] != "") & (p["last"] != ""))
     exploded = (payments.select(*PAYLOAD, F.explode(people).alias("p"))
@@ -183,10 +201,12 @@ def match_specs(payments: DataFrame, specs: DataFrame, *, case_sensitive: bool =
     joined = exploded.join(q, cond, "inner")
     # Q1: a row counts once per search even when several of its slots match.
     earlier_hit = earlier_slot_matches(case_sensitive)
-    ident = identity(case_sensitive)
+    ident = identity_from_slot(F.col("_id_slot"))
     return (joined.where(~earlier_hit)
-            .select(*SPEC, "source_file", "year", "row_pos", "amount", "identifier",
-                    ident["name"].alias("name"), ident["specialty"].alias("specialty")))
+            .withColumn("_id_slot", identity_slot(case_sensitive))
+            .select("spec_hash", *SPEC, "source_file", "year", "row_pos", "amount",
+                    "identifier", ident["name"].alias("name"),
+                    ident["specialty"].alias("specialty")))
 
 
 def attach_queries(per_spec: DataFrame, prepared_queries: DataFrame,
@@ -195,7 +215,7 @@ def attach_queries(per_spec: DataFrame, prepared_queries: DataFrame,
     mapping = broadcast_if_bounded(prepared_queries.select("query_id", "mode", *SPEC),
                                    query_rows)
     joined = per_spec.join(mapping, spec_join_keys(per_spec, mapping), "inner")
-    keep = [c for c in per_spec.columns if c not in SPEC]
+    keep = [c for c in per_spec.columns if c not in SPEC and c != "spec_hash"]
     return joined.select("query_id", "mode", *[per_spec[c] for c in keep])
 
 

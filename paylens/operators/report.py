@@ -49,7 +49,11 @@ def year_search(matched: DataFrame, keys=("query_id", "mode")) -> DataFrame:
     """D1 per year: (keys..., year, identifier, total, entries, name, specialty)."""
     order = F.struct("source_file", "row_pos")
     keys = list(keys)
-    return (matched.groupBy(*keys, "year", "identifier")
+    # min_by over strings plans a sort-based aggregate; a leading 64-bit hash of
+    # the full key lets the sort decide almost every comparison on one long.
+    # The real key columns follow, so a hash collision cannot merge groups.
+    group_hash = F.xxhash64(*keys, "year", "identifier").alias("_g")
+    return (matched.groupBy(group_hash, *keys, "year", "identifier")
             .agg(F.sum("amount").alias("total"),
                  F.count(F.lit(1)).alias("entries"),
                  F.min_by(F.struct("name", "specialty"), order).alias("ident"))
@@ -67,7 +71,7 @@ def searched_years(payments: DataFrame, prepared: DataFrame, *, case_sensitive:
     bound = None if query_rows is None else 2 * query_rows  # narrow + wide per name
     specs = search_specs(prepared)
     matched = match_specs(payments, specs, case_sensitive=case_sensitive, spec_rows=bound)
-    return attach_queries(year_search(matched, SPEC), prepared, bound)
+    return attach_queries(year_search(matched, ["spec_hash", *SPEC]), prepared, bound)
 
 
 def search_summary(payments: DataFrame, queries: DataFrame, *,

@@ -139,14 +139,15 @@ def _canonical_columns(f, source_file: Column, year: Column, row_pos: Column,
     cov_profile = clean(f.pick("profile"))
 
     # P10: non-empty specialty slots joined by '; ', else the bare column, else Unknown.
-    slots = F.array(*[clean(f.prefix_get(f"_{j}")) for j in PI_SLOTS])
-    joined = F.array_join(F.filter(slots, lambda s: s != ""), "; ")
+    # (concat_ws skips NULLs; plain expressions, no per-row lambda.)
+    joined = F.concat_ws("; ", *[F.nullif(clean(f.prefix_get(f"_{j}")), F.lit(""))
+                                 for j in PI_SLOTS])
     specialty = F.coalesce(F.nullif(joined, F.lit("")),
                            F.nullif(clean(f.prefix_get("")), F.lit("")),
                            F.lit(UNKNOWN))
 
     # Covered NPI -> first non-empty PI NPI in slot order -> PROFILE_ -> UNKNOWN_.
-    pi_npis = F.filter(F.slice(persons_arr, 2, len(PI_SLOTS)), lambda p: p["npi"] != "")
+    pi_npis = [F.nullif(clean(f.get(f"{PI_PREFIX}{j}_NPI")), F.lit("")) for j in PI_SLOTS]
     if unknown_id == "row":
         unknown = F.concat(F.lit("UNKNOWN_"), row_pos.cast("string"))
     elif unknown_id == "file_row":
@@ -155,7 +156,7 @@ def _canonical_columns(f, source_file: Column, year: Column, row_pos: Column,
         raise ValueError(f"unknown_id must be 'row' or 'file_row', not {unknown_id!r}")
     identifier = F.coalesce(
         F.nullif(cov_npi, F.lit("")),
-        F.get(pi_npis, 0)["npi"],
+        *pi_npis,
         F.concat(F.lit("PROFILE_"), F.nullif(cov_profile, F.lit(""))),
         unknown,
     )
