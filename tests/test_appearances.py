@@ -69,3 +69,15 @@ def test_members_without_payment_column_are_skipped(spark, tmp_path):  # F9
                         "2020.CSV": [covered_row("Ann", "Li", "1")]})
     rows = read_zip_payments(spark, z).collect()
     assert [r.source_file for r in rows] == ["2020.CSV"]
+
+
+def test_ragged_member_falls_back_to_row_reader(spark, tmp_path):
+    header = ("Covered_Recipient_First_Name,Covered_Recipient_Last_Name,"
+              "Covered_Recipient_NPI,Total_Amount_of_Payment_USDollars\n")
+    body = header + "Ann,Li,1,5\n\nBo,Ng\nCy,Ot,3,7\n"   # blank line and a short row
+    path = tmp_path / "ragged.zip"
+    with zipfile.ZipFile(path, "w") as zf:
+        zf.writestr("2020.csv", body)
+    rows = read_zip_payments(spark, str(path)).orderBy("row_pos").collect()
+    assert [r.row_pos for r in rows] == [0, 1, 2]
+    assert rows[1].amount is None and rows[2].identifier == "3"
