@@ -60,11 +60,16 @@ def display_name() -> "F.Column":
 
 
 def batch_detail(payments: DataFrame, accepted: DataFrame, years: Sequence[int], *,
-                 case_sensitive: bool = False, merge: str = "reference") -> DataFrame:
-    """D3 for every accepted name in one pass: detail rows keyed by query_id."""
+                 case_sensitive: bool = False, merge: str = "reference",
+                 n_names: int | None = None) -> DataFrame:
+    """D3 for every accepted name in one pass: detail rows keyed by query_id.
+
+    ``n_names`` (the number of accepted names, counted once when not given) is
+    the proven size bound that decides whether the query side is broadcast."""
     queries = accepted.select("query_id", "first_name", "middle_name", "last_name")
+    n = accepted.count() if n_names is None else n_names
     return report.physician_detail(payments, queries, years, case_sensitive=case_sensitive,
-                                   merge=merge)
+                                   merge=merge, query_rows=n)
 
 
 def batch_summary(accepted: DataFrame, detail: DataFrame, years: Sequence[int]) -> DataFrame:
