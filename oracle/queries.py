@@ -138,6 +138,16 @@ def _summary_filter() -> str:
                             f"{jn('First_Name', 'Middle_Name', 'Last_Name')}), upper({sql_str(SUMMARY_FILTER)}))")
 
 
+def _alert_flags() -> str:
+    return _batch_with() + f"""
+SELECT s.*, EXISTS (
+  SELECT 1 FROM detail d JOIN winners w ON w.query_id = d.query_id
+  WHERE w.display_name = {jn('s.First_Name', 's.Middle_Name', 's.Last_Name')}
+    AND d.query_id IN (SELECT query_id FROM detail GROUP BY query_id HAVING count(*) > 1)
+) AS Has_Multiple_NPIs
+FROM summary s"""
+
+
 _DATA_NAMES = f"""nm AS (
   SELECT row_id AS query_id,
     concat_ws(' ', Covered_Recipient_First_Name, Covered_Recipient_Middle_Name, Covered_Recipient_Last_Name)
@@ -210,6 +220,7 @@ ORACLE = {
     "top10": _top10(),
     "last_query_wins": _last_wins(),
     "summary_filter": _summary_filter(),
+    "alert_flags": _alert_flags(),
     "parse_names": _parse_names(),
     "slug_label": _slug_label(),
     "batch_data_names": _batch_data_names(),

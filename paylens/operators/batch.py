@@ -125,6 +125,16 @@ def multi_identifier(accepted: DataFrame, detail: DataFrame) -> DataFrame:
                     "Entry_Count", "Total_USD"))
 
 
+def summary_with_alerts(accepted: DataFrame, detail: DataFrame,
+                        summary: DataFrame) -> DataFrame:
+    """Each summary row flagged when its display name is in the alert set
+    (a physician whose winning listing holds more than one identifier)."""
+    flagged = multi_identifier(accepted, detail).select(F.col("name").alias("_n")).distinct()
+    name = join_name(F.col("First_Name"), F.col("Middle_Name"), F.col("Last_Name"))
+    return (summary.join(flagged, name == F.col("_n"), "left")
+            .withColumn("Has_Multiple_NPIs", F.col("_n").isNotNull()).drop("_n"))
+
+
 def identifier_counts(accepted: DataFrame, detail: DataFrame) -> DataFrame:
     """A9 + A12: dashboard counters in one row.
 
@@ -198,6 +208,9 @@ class BatchReport:
     def alerts(self) -> DataFrame:
         return multi_identifier(self.accepted, self.detail)
 
+    def flagged_summary(self) -> DataFrame:
+        return summary_with_alerts(self.accepted, self.detail, self.summary)
+
     def counters(self) -> DataFrame:
         return identifier_counts(self.accepted, self.detail)
 

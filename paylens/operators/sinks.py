@@ -50,6 +50,12 @@ def single_physician_file(directory: str, first: str, last: str, years: Sequence
     return f"{directory.rstrip('/')}/research_payments_{last}_{first}_{year_range_label(unique_years(years))}.csv"
 
 
+def save_physician_report(detail: DataFrame, first: str, last: str, years: Sequence[int],
+                          directory: str) -> str:
+    """K3: one physician's report under its conventional export name."""
+    return save_detail_csv(detail, years, single_physician_file(directory, first, last, years))
+
+
 def save_batch_details(detail: DataFrame, accepted: DataFrame, years: Sequence[int],
                        directory: str) -> str:
     """K1 for a batch: every name's detail in one job, partitioned by the slug of

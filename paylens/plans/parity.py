@@ -115,6 +115,12 @@ def summary_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.summary_filter(b.summary, SUMMARY_FILTER)
 
 
+def alert_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary rows flagged when the physician is in the alert set."""
+    b = _batch(spark, sf_dir)
+    return b.flagged_summary()
+
+
 def _data_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-name strings derived from every stand-in row: covered person with the
     first specialty in parentheses, as a names file would list them."""
@@ -436,6 +442,7 @@ QUERIES = {
     "top10": top10,
     "last_query_wins": last_query_wins,
     "summary_filter": summary_filter,
+    "alert_flags": alert_flags,
     "parse_names": parse_names,
     "slug_label": slug_label,
     "batch_data_names": batch_data_names,
