@@ -20,7 +20,7 @@ def ordinal_within(df: DataFrame, group: str, order: str, name: str = "ordinal",
                    partitions: int | None = None) -> DataFrame:
     """Add a 0-based ``name`` = position of the row within ``group`` by ``order``
     (``order`` must be unique within a group)."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sliced = (df.repartitionByRange(n, group, order).sortWithinPartitions(group, order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
