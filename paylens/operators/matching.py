@@ -146,13 +146,14 @@ def earlier_slot_matches(case_sensitive: bool) -> Column:
 
 
 def broadcast_if_bounded(queries: DataFrame, known_rows: int | None = None,
-                         limit: int = BROADCAST_QUERY_ROWS) -> DataFrame:
+                         limit: int | None = None) -> DataFrame:
     """Broadcast the query side only when its row count is proven small.
 
     Above the limit the join falls back to a shuffle on the two name keys (the
     residual is row-local, so that is exact); AQE's skew-join splitting handles a
     name that holds a large share of the payment rows.
     """
+    limit = BROADCAST_QUERY_ROWS if limit is None else limit
     n = known_rows if known_rows is not None else queries.count()
     return F.broadcast(queries) if n <= limit else queries
 
