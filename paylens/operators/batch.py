@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paylens.functions.text import join_name, parse_name, strip
@@ -117,10 +117,11 @@ def multi_identifier(accepted: DataFrame, detail: DataFrame) -> DataFrame:
     """A8 + P24: physicians whose report holds more than one identifier, with
     their detail rows: (name, NPI, Specialty, Entry_Count, Total_USD)."""
     winners = last_query_wins(accepted)
-    counts = (detail.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_ids"))
-              .where(F.col("n_ids") > 1))
-    flagged = winners.join(counts, "query_id")
-    return (detail.join(flagged, "query_id")
+    # detail is already one row per (query, identifier): a window over one
+    # name's identifiers counts them without a second pass over the payments
+    n_ids = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    multi = detail.withColumn("n_ids", n_ids).where(F.col("n_ids") > 1)
+    return (multi.join(winners, "query_id")
             .select(F.col("display_name").alias("name"), "NPI", "Specialty",
                     "Entry_Count", "Total_USD"))
 

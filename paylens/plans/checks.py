@@ -31,6 +31,7 @@ def node_counts(df: DataFrame) -> dict[str, int]:
     out = {}
     for n in names:
         out[n] = len(re.findall(rf"(?<![A-Za-z]){n}(?![A-Za-z])", tree))
+    out["FileScans"] = len(re.findall(r"(?<![A-Za-z])(?:FileScan|BatchScan)(?![A-Za-z])", tree))
     out["ShuffleExchange"] = len(re.findall(
         r"(?<![A-Za-z])Exchange (?:hashpartitioning|rangepartitioning|SinglePartition|"
         r"RoundRobinPartitioning)", tree))
