@@ -161,15 +161,17 @@ def broadcast_if_bounded(queries: DataFrame, known_rows: int | None = None,
 SPEC = ["q_kf", "q_kl", "q_km", "q_mid_prefix", "q_mid_initial"]
 
 
-def search_specs(prepared_queries: DataFrame) -> DataFrame:
+def search_specs(prepared_queries: DataFrame, single_query: bool = False) -> DataFrame:
     """Distinct normalised searches. Names that normalise alike -- e.g. every
     wide search for the same first and last name -- are matched only once.
 
     ``spec_hash`` (64-bit) leads the grouping keys downstream so sorts compare
     one long first; the spec columns stay in every key, so a collision is
     harmless."""
-    return (prepared_queries.select(*SPEC).distinct()
-            .withColumn("spec_hash", F.xxhash64(*SPEC)))
+    specs = prepared_queries.select(*SPEC)
+    if not single_query:  # one query's narrow and wide searches always differ
+        specs = specs.distinct()
+    return specs.withColumn("spec_hash", F.xxhash64(*SPEC))
 
 
 def spec_join_keys(left: DataFrame, right: DataFrame) -> list[Column]:
@@ -228,7 +230,7 @@ def match_rows(payments: DataFrame, prepared_queries: DataFrame, *,
     the identity (name, specialty) of the row for that query.
     """
     bound = None if query_rows is None else 2 * query_rows  # narrow + wide per name
-    specs = search_specs(prepared_queries)
+    specs = search_specs(prepared_queries, single_query=query_rows == 1)
     matched = match_specs(payments, specs, case_sensitive=case_sensitive, spec_rows=bound)
     return attach_queries(matched, prepared_queries, bound)
 

@@ -69,7 +69,7 @@ def searched_years(payments: DataFrame, prepared: DataFrame, *, case_sensitive:
     Aggregating before the fan-out keeps the large shuffle proportional to the
     distinct searches, not to the number of names asking them."""
     bound = None if query_rows is None else 2 * query_rows  # narrow + wide per name
-    specs = search_specs(prepared)
+    specs = search_specs(prepared, single_query=query_rows == 1)
     matched = match_specs(payments, specs, case_sensitive=case_sensitive, spec_rows=bound)
     return attach_queries(year_search(matched, ["spec_hash", *SPEC]), prepared, bound)
 
@@ -146,6 +146,9 @@ def physician_detail(payments: DataFrame, queries: DataFrame, years: Sequence[in
     prepared = prepare_queries(queries, case_sensitive)
     per_year = searched_years(scoped, prepared, case_sensitive=case_sensitive,
                               query_rows=query_rows)
+    # At most 2 x years rows per (query, identifier) from here on: one small
+    # exchange on those two keys serves both the merge and the combine.
+    per_year = per_year.repartition("query_id", "identifier")
     return combine_years(merge_modes(per_year, merge), years)
 
 
