@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paylens.functions.text import join_name, parse_name, strip
-from paylens.operators import report
+from paylens.operators import matching, report
 from paylens.operators.report import payment_column, unique_years
 
 
@@ -72,11 +72,14 @@ def batch_detail(payments: DataFrame, accepted: DataFrame, years: Sequence[int],
                                    merge=merge, query_rows=n)
 
 
-def batch_summary(accepted: DataFrame, detail: DataFrame, years: Sequence[int]) -> DataFrame:
-    """J5 + A10 + O4: one row per accepted name, zeros when nothing matched.
+def batch_summary(accepted: DataFrame, detail: DataFrame, years: Sequence[int],
+                  n_names: int | None = None) -> DataFrame:
+    """J5 + A10: one row per accepted name, zeros when nothing matched.
 
     Full_Name, First_Name, Middle_Name, Last_Name, Payment_<y>_USD..., Total_Payment,
-    Total_Entries (plus query_id), ordered by Total_Payment descending.
+    Total_Entries (plus query_id). The per-name totals hold at most one row per
+    accepted name, so ``n_names`` bounds them and they are broadcast under the
+    limit (the names side is preserved by the outer join, so it streams).
     """
     years = unique_years(years)
     exact = [F.sum(F.col(payment_column(y)).cast("decimal(38,6)")).alias(payment_column(y))
@@ -85,6 +88,8 @@ def batch_summary(accepted: DataFrame, detail: DataFrame, years: Sequence[int])
                  .agg(*exact,
                       F.sum(F.col("Total_USD").cast("decimal(38,6)")).alias("Total_Payment"),
                       F.sum("Entry_Count").alias("Total_Entries")))
+    if n_names is not None:
+        per_query = matching.broadcast_if_bounded(per_query, n_names)
     joined = accepted.join(per_query, "query_id", "left")
     return (joined.select(
         "query_id",
@@ -195,13 +200,21 @@ class BatchReport:
 
     def __init__(self, payments: DataFrame, names: DataFrame, years: Sequence[int], *,
                  case_sensitive: bool = False, merge: str = "reference"):
+        from paylens.session import ensure_checkpoint_dir
+
         self.years = unique_years(years)
         self.parsed = parse_names(names)
-        self.accepted = accepted_names(self.parsed)
+        # The names table feeds the size check, the searches, the fan-out and the
+        # summary: materialise it once in the shared checkpoint folder (cuts its
+        # lineage, survives executor loss) instead of re-deriving it four times.
+        ensure_checkpoint_dir(names.sparkSession)
+        self.accepted = accepted_names(self.parsed).checkpoint(eager=True)
         self.rejected = rejected_names(self.parsed)
+        self.n_names = self.accepted.count()
         self.detail = batch_detail(payments, self.accepted, self.years,
-                                   case_sensitive=case_sensitive, merge=merge)
-        self.summary = batch_summary(self.accepted, self.detail, self.years)
+                                   case_sensitive=case_sensitive, merge=merge,
+                                   n_names=self.n_names)
+        self.summary = batch_summary(self.accepted, self.detail, self.years, self.n_names)
 
     def ordered_summary(self) -> DataFrame:
         return order_summary(self.summary)
