@@ -18,6 +18,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -94,13 +95,15 @@ def check_exists(spark: SparkSession, path: str) -> None:
         raise FileNotFoundError(f"CSV file not found: {path}")
 
 
-def read_raw(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
-    """One file (or header-compatible files) as all-string columns with
-    pandas NULL markers applied, plus the file-order columns."""
+def read_raw(spark: SparkSession, path, *, multi_line: bool = True,
+             unit=None) -> DataFrame:
+    """One file, or several files sharing one header, as all-string columns
+    with pandas NULL markers applied, plus the file-order columns. ``_unit`` is
+    the input whose rows are numbered together (default: the given path)."""
     df = _reader(spark, multi_line).csv(path)
     cols = [null_markers(F.col(f"`{c}`")).alias(c) for c in df.columns]
     return df.select(*cols,
-                     F.lit(path).alias("_unit"),
+                     (F.lit(path) if unit is None else unit).alias("_unit"),
                      F.col("_metadata.file_path").alias("_file"),
                      F.col("_metadata.file_block_start").alias("_block"),
                      F.monotonically_increasing_id().alias("_mid"))
@@ -142,27 +145,51 @@ def year_file(directory: str, year: int) -> str:
     return os.path.join(directory, FILE_NAME_PATTERN.format(year=year))
 
 
+def _unit_pattern() -> str:
+    """Regex over a data file's path capturing the yearly file name -- the file
+    itself, or the folder holding Spark's part files -- and its year."""
+    prefix, suffix = FILE_NAME_PATTERN.split("{year}")
+    name = re.escape(prefix) + r"(\d{4})" + re.escape(suffix)
+    return rf"^.*/({name})(?:/[^/]*)?$"
+
+
 def read_payment_years(spark: SparkSession, directory: str, years: Sequence[int], *,
                        multi_line: bool = True, unknown_id: str = "row",
                        on_error: str = "raise") -> DataFrame:
-    """S2 + U2: ``<year>_rsh_payments.csv`` per requested year, each canonicalised
-    on its own (layouts may differ by year), unioned by name.
-
-    ``on_error="skip_year"`` drops a year whose file lacks required columns
-    (a missing file always raises), mirroring the disclosure tool.
+    """S2 + U2: ``<year>_rsh_payments.csv`` per requested year.
+
+    Years whose files share one header are read by a single CSV scan (the year
+    and the numbering unit come from each row's file path); groups with
+    different headers -- e.g. the older and newer layouts -- are read and
+    canonicalised separately and unioned by name, so columns never bind by
+    position across layouts. ``on_error="skip_year"`` drops a year whose file
+    lacks required columns (a missing file always raises).
     """
-    parts = []
+    groups: dict[tuple, list[str]] = {}
     for y in dict.fromkeys(int(v) for v in years):
         path = year_file(directory, y)
         check_exists(spark, path)
+        header = read_header(spark, path)
         try:
-            parts.append(read_payment_file(spark, path, year=y, multi_line=multi_line,
-                                           unknown_id=unknown_id))
+            validate_columns(header, required_columns(header))
         except ValueError:
             if on_error != "skip_year":
                 raise
-    if not parts:
+            continue
+        groups.setdefault(tuple(header), []).append(path)
+    if not groups:
         raise ValueError("no readable year file")
+    pattern = _unit_pattern()
+    parts = []
+    for paths in groups.values():
+        unit = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+        raw = read_raw(spark, paths, multi_line=multi_line, unit=unit)
+        bound = sum(block_bound(spark, p, multi_line) for p in paths)
+        raw = with_row_position(raw, max_blocks=bound)
+        year = F.regexp_extract(F.col("_unit"), pattern.replace("^.*/(", "^("), 2).cast("int")
+        parts.append(canonicalize(raw, source_file=F.col("_unit"), year=year,
+                                  row_pos=F.col("_pos"), unknown_id=unknown_id,
+                                  validate=False))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
