@@ -118,10 +118,14 @@ def last_query_wins(accepted: DataFrame) -> DataFrame:
             .groupBy("display_name").agg(F.max("query_id").alias("query_id")))
 
 
-def multi_identifier(accepted: DataFrame, detail: DataFrame) -> DataFrame:
+def multi_identifier(accepted: DataFrame, detail: DataFrame,
+                     n_names: int | None = None) -> DataFrame:
     """A8 + P24: physicians whose report holds more than one identifier, with
-    their detail rows: (name, NPI, Specialty, Entry_Count, Total_USD)."""
+    their detail rows: (name, NPI, Specialty, Entry_Count, Total_USD).
+    ``n_names`` bounds the winners table (one row per display name)."""
     winners = last_query_wins(accepted)
+    if n_names is not None:
+        winners = matching.broadcast_if_bounded(winners, n_names)
     # detail is already one row per (query, identifier): a window over one
     # name's identifiers counts them without a second pass over the payments
     n_ids = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
@@ -132,10 +136,13 @@ def multi_identifier(accepted: DataFrame, detail: DataFrame) -> DataFrame:
 
 
 def summary_with_alerts(accepted: DataFrame, detail: DataFrame,
-                        summary: DataFrame) -> DataFrame:
+                        summary: DataFrame, n_names: int | None = None) -> DataFrame:
     """Each summary row flagged when its display name is in the alert set
     (a physician whose winning listing holds more than one identifier)."""
-    flagged = multi_identifier(accepted, detail).select(F.col("name").alias("_n")).distinct()
+    flagged = (multi_identifier(accepted, detail, n_names)
+               .select(F.col("name").alias("_n")).distinct())
+    if n_names is not None:
+        flagged = matching.broadcast_if_bounded(flagged, n_names)
     name = join_name(F.col("First_Name"), F.col("Middle_Name"), F.col("Last_Name"))
     return (summary.join(flagged, name == F.col("_n"), "left")
             .withColumn("Has_Multiple_NPIs", F.col("_n").isNotNull()).drop("_n"))
@@ -220,10 +227,10 @@ class BatchReport:
         return order_summary(self.summary)
 
     def alerts(self) -> DataFrame:
-        return multi_identifier(self.accepted, self.detail)
+        return multi_identifier(self.accepted, self.detail, self.n_names)
 
     def flagged_summary(self) -> DataFrame:
-        return summary_with_alerts(self.accepted, self.detail, self.summary)
+        return summary_with_alerts(self.accepted, self.detail, self.summary, self.n_names)
 
     def counters(self) -> DataFrame:
         return identifier_counts(self.accepted, self.detail)
