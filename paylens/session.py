@@ -40,13 +40,17 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, creating a local one only if unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
+        # Only when nothing is configured (local tests): a folder of our own.
         current = tempfile.mkdtemp(prefix="paylens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+        try:
+            spark.conf.set("spark.checkpoint.dir", current)
+        except Exception:  # noqa: BLE001 - core confs may be read-only at runtime
+            pass
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
     return current
 
 
@@ -57,6 +61,21 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+def arrow_fs(path: str):
+    """(pyarrow FileSystem, path) for a local path, a ``file:`` URI or any URI
+    pyarrow understands (hdfs://, s3://, ...)."""
+    from pyarrow import fs as pafs
+
+    if path.startswith("file:"):
+        local = path[len("file:"):]
+        while local.startswith("//"):
+            local = local[1:]
+        return pafs.LocalFileSystem(), local
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path
+
+
 _SHIPPED: dict[int, str] = {}
 
 
@@ -70,8 +89,6 @@ def ship_package(spark: SparkSession) -> None:
     import io
     import zipfile
 
-    from pyarrow import fs as pafs
-
     sc = spark.sparkContext
     key = id(sc._jsc)
     if key in _SHIPPED:
@@ -86,8 +103,7 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     folder = shared_dir(spark, "pyfiles")
     target = folder.rstrip("/") + "/paylens.zip"
-    filesystem, path = pafs.FileSystem.from_uri(target) if "://" in target else (
-        pafs.LocalFileSystem(), target)
+    filesystem, path = arrow_fs(target)
     filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
     with filesystem.open_output_stream(path) as out:
         out.write(buf.getvalue())

@@ -27,15 +27,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from paylens.constants import NULL_MARKERS, PAYMENT_COLUMN, YEAR_IN_PATH
 from paylens.plans.layouts import canonicalize_map
-from paylens.session import ship_package
+from paylens.session import arrow_fs, ship_package
 
 FORMAT = "paylens_zip"
 SCHEMA = "source_file string, row_no bigint, fields map<string,string>"
 
 
 def _fs(path: str):
-    from pyarrow import fs
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return arrow_fs(path)
 
 
 def list_archives(path: str) -> list[str]:
@@ -49,7 +48,8 @@ def list_archives(path: str) -> list[str]:
     sel = pafs.FileSelector(root, recursive=True)
     found = [i.path for i in filesystem.get_file_info(sel)
              if i.type == pafs.FileType.File and i.path.lower().endswith(".zip")]
-    prefix = path[: len(path) - len(root)] if "://" in path else ""
+    prefix = path[: len(path) - len(root)] if "://" in path else (
+        "file:" if path.startswith("file:") else "")
     return sorted(prefix + p for p in found)
 
 
