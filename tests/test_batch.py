@@ -56,3 +56,12 @@ def test_batch_plan_shape(spark, tmp_path):
     assert counts["BroadcastNestedLoopJoin"] == 0 and counts["CartesianProduct"] == 0
     assert all(counts[n] == 0 for n in PYTHON_NODES)
     assert node_counts(b.top(10))["TakeOrderedAndProject"] == 1
+
+
+def test_unique_ids_are_summed_per_physician(spark, tmp_path):  # N15 / Q20
+    d = year_dir(tmp_path, {2015: [covered_row("Ann", "Li", "5", npi="1", middle="G"),
+                                   covered_row("Ann", "Lee", "6", npi="1")]})
+    pay = read_payment_years(spark, d, [2015])
+    b = batch.BatchReport(pay, batch.names_frame(spark, ["Ann G Li", "Ann Lee"]), [2015])
+    c = b.counters().first()
+    assert (c.total_unique_npis, c.global_unique_npis) == (2, 1)

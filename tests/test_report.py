@@ -159,3 +159,11 @@ def test_missing_file_and_columns(spark, tmp_path):  # S6, S9, Q15
     write_csv(tmp_path / "2016_rsh_payments.csv", [covered_row("Ann", "Li", "1")])
     ok = read_payment_years(spark, str(tmp_path), [2015, 2016], on_error="skip_year")
     assert ok.count() == 1
+
+
+def test_single_physician_total(spark, tmp_path):  # R14
+    d = year_dir(tmp_path, {2015: [covered_row("Benjamin", "Domb", "220", **BGD)]})
+    pay = read_payment_years(spark, d, [2015])
+    q = report.single_query(spark, "Benjamin", "G", "Domb")
+    tot = report.physician_totals(report.physician_detail(pay, q, [2015], query_rows=1)).first()
+    assert (tot.total_payment, tot.total_entries) == (220.0, 1)
