@@ -29,8 +29,11 @@ from paylens.constants import FILE_NAME_PATTERN
 from paylens.functions.text import null_markers
 from paylens.plans.layouts import canonicalize, required_columns, validate_columns
 
-# Per-block offset tables above this many blocks are joined by shuffle.
-BROADCAST_BLOCK_ROWS = 200_000
+# The per-block offset table has one ~100-byte row per input split: 2M splits
+# (about 250 TB of CSV at 128 MB splits) is ~200 MB, still fine to broadcast.
+# Above it the join shuffles the rows on (file, block) -- exact, but a full
+# shuffle; at that size ingest once into the Parquet store instead.
+BROADCAST_BLOCK_ROWS = 2_000_000
 
 
 def _reader(spark: SparkSession, multi_line: bool):
