@@ -22,8 +22,6 @@ in the first case the layout choice is folded away at plan time.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,7 +192,3 @@ def canonicalize_map(df: DataFrame, map_col: str, *, source_file: Column, year:
 def valid_payments(canonical: DataFrame) -> DataFrame:
     """drop rows whose amount is not a number."""
     return canonical.where(F.col("amount").isNotNull())
-
-
-def or_all(cols) -> Column:
-    return reduce(lambda a, b: a | b, cols)

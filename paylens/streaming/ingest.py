@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from paylens.constants import YEAR_IN_PATH
 from paylens.operators.appearances import appearance_index
 from paylens.sources.csv_years import read_payment_file
+from paylens.sources.store import write_canonical
 
 
 def _year_of(path: str) -> int | None:
@@ -44,8 +45,8 @@ def ingest_batch(spark: SparkSession, paths: list[str], store: str, index: str,
     canonical = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     canonical = canonical.persist()
     try:
-        (canonical.write.mode("overwrite").partitionBy("year")
-         .parquet(os.path.join(store, f"batch_id={batch_id}")))
+        write_canonical(canonical, os.path.join(store, f"batch_id={batch_id}"),
+                        mode="overwrite")
         idx = appearance_index(canonical).withColumn(
             "total_payment", F.col("total_payment").cast("decimal(38,6)"))
         idx.write.mode("overwrite").parquet(os.path.join(index, f"batch_id={batch_id}"))

@@ -33,3 +33,19 @@ def test_stream_ingest_matches_batch(spark, tmp_path):
     expected = {(r.display_name, r.role, r.source_file): float(r.total_payment)
                 for r in batch.collect()}
     assert streamed == expected
+
+
+def test_parquet_store_round_trip(spark, tmp_path):
+    from paylens.operators import report
+    from paylens.sources.store import read_canonical, write_canonical
+    from tests.helpers import year_dir
+
+    d = year_dir(tmp_path, {2015: [covered_row("Ann", "Li", "5", npi="1", middle="G")],
+                            2016: [covered_row("Ann", "Li", "7", npi="1"),
+                                   covered_row("Ann", "Li", "x")]})
+    pay = read_payment_years(spark, d, [2015, 2016])
+    path = write_canonical(pay, shared_dir(spark, "store") + "/canonical", mode="overwrite")
+    stored = read_canonical(spark, path)
+    want = report.physician_report(spark, pay, "Ann", "G", "Li", [2015, 2016]).collect()
+    got = report.physician_report(spark, stored, "Ann", "G", "Li", [2015, 2016]).collect()
+    assert got == want and stored.where(F.col("amount").isNull()).count() == 1
