@@ -468,4 +468,5 @@ ORACLE.update({
     "unioned_years": _unioned_years(),
     "zip_scan": _canonical("zip"),
     "zip_index": _apps_ctes("zip") + "\n" + _IDX_TYPED,
+    "stream_index": _apps_ctes("csv") + "\n" + _IDX_TYPED,
 })

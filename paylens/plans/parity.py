@@ -428,6 +428,22 @@ def zip_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _typed(A.appearance_index(canon))
 
 
+def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streaming ingest: the stand-in rows land as yearly CSV files (Spark part
+    files); a file-source stream with an available-now trigger canonicalises
+    them into the Parquet store and appends their index groups; the index is
+    read back re-aggregated."""
+    from paylens.streaming import read_index, start_ingest
+
+    base = shared_dir(spark, "stream")
+    landing = f"{base}/landing"
+    csv_years.write_year_files(bridge_wide(spark, sf_dir), landing)
+    q = start_ingest(spark, landing, f"{base}/store", f"{base}/index", f"{base}/ckpt",
+                     available_now=True)
+    q.awaitTermination()
+    return _typed(read_index(spark, f"{base}/index"))
+
+
 QUERIES = {
     "physician_report": physician_report,
     "dual_search_by_id": dual_search_by_id,
@@ -476,4 +492,5 @@ QUERIES = {
     "unioned_years": unioned_years,
     "zip_scan": zip_scan,
     "zip_index": zip_index,
+    "stream_index": stream_index,
 }

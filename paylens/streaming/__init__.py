@@ -1,5 +1,5 @@
 """Structured Streaming: incremental ingestion of newly landed payment files."""
 
-from paylens.streaming.ingest import start_ingest
+from paylens.streaming.ingest import read_index, start_ingest
 
-__all__ = ["start_ingest"]
+__all__ = ["read_index", "start_ingest"]

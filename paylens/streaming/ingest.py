@@ -24,24 +24,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylens.constants import YEAR_IN_PATH
-from paylens.operators.appearances import appearance_index
-from paylens.sources.csv_years import read_payment_file
+from paylens.operators.appearances import INDEX_KEYS, appearance_index
+from paylens.plans.layouts import canonicalize, required_columns, validate_columns
+from paylens.sources.csv_years import (
+    _unit_pattern, block_bound, read_header, read_raw, with_row_position,
+)
 from paylens.sources.store import write_canonical
 
 
-def _year_of(path: str) -> int | None:
+def unit_of(path: str) -> tuple[str, int | None]:
+    """(source_file, year) of a landed data file: the yearly file itself, or the
+    ``<year>_rsh_payments.csv`` folder holding Spark's part files; otherwise the
+    file name and the first 19xx/20xx in it."""
     import re
-    m = re.search(YEAR_IN_PATH, os.path.basename(path))
-    return int(m.group(1)) if m else None
+
+    m = re.match(_unit_pattern(), path)
+    if m:
+        return m.group(1), int(m.group(2))
+    name = os.path.basename(path)
+    y = re.search(YEAR_IN_PATH, name)
+    return name, (int(y.group(1)) if y else None)
 
 
 def ingest_batch(spark: SparkSession, paths: list[str], store: str, index: str,
                  batch_id: int, multi_line: bool = True) -> None:
-    """Canonicalise the given files and append them (one folder per batch)."""
+    """Canonicalise the given files and append them (one folder per batch).
+
+    Files of one logical yearly file are read together, so their rows are
+    numbered as one file."""
     if not paths:
         return
-    parts = [read_payment_file(spark, p, year=_year_of(p), multi_line=multi_line)
-             for p in sorted(paths)]
+    units: dict[tuple, list[str]] = {}
+    for p in sorted(paths):
+        units.setdefault(unit_of(p), []).append(p)
+    parts = []
+    for (source_file, year), files in units.items():
+        header = read_header(spark, files[0])
+        validate_columns(header, required_columns(header))
+        raw = with_row_position(read_raw(spark, files, multi_line=multi_line),
+                                max_blocks=sum(block_bound(spark, f, multi_line) for f in files))
+        parts.append(canonicalize(raw, source_file=F.lit(source_file),
+                                  year=F.lit(year).cast("int"), row_pos=F.col("_pos"),
+                                  validate=False))
     canonical = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     canonical = canonical.persist()
     try:
@@ -54,6 +78,15 @@ def ingest_batch(spark: SparkSession, paths: list[str], store: str, index: str,
         canonical.unpersist()
 
 
+def read_index(spark: SparkSession, index: str) -> DataFrame:
+    """The streamed index, re-aggregated so that a group whose files arrived in
+    different micro-batches is still one exact row."""
+    parts = spark.read.parquet(index).drop("batch_id")
+    return (parts.groupBy(*INDEX_KEYS)
+            .agg(F.sum("total_payment").alias("total_payment"),
+                 F.sum("instance_count").alias("instance_count")))
+
+
 def start_ingest(spark: SparkSession, landing: str, store: str, index: str,
                  checkpoint: str, *, available_now: bool = False,
                  glob: str = "*.csv", multi_line: bool = True):
