@@ -192,3 +192,16 @@ def canonicalize_map(df: DataFrame, map_col: str, *, source_file: Column, year:
 def valid_payments(canonical: DataFrame) -> DataFrame:
     """drop rows whose amount is not a number."""
     return canonical.where(F.col("amount").isNotNull())
+
+
+def observe_invalid(canonical: DataFrame, name: str = "invalid_amounts"):
+    """A13 as a side metric: ``(df, observation)``; after any action on ``df``,
+    ``observation.get`` holds ``invalid_rows`` and ``rows`` counted during that
+    same scan (the disclosure tool logged this count per file)."""
+    from pyspark.sql import Observation
+
+    obs = Observation(name)
+    observed = canonical.observe(
+        obs, F.count_if(F.col("amount").isNull()).alias("invalid_rows"),
+        F.count(F.lit(1)).alias("rows"))
+    return observed, obs

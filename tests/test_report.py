@@ -167,3 +167,13 @@ def test_single_physician_total(spark, tmp_path):  # R14
     q = report.single_query(spark, "Benjamin", "G", "Domb")
     tot = report.physician_totals(report.physician_detail(pay, q, [2015], query_rows=1)).first()
     assert (tot.total_payment, tot.total_entries) == (220.0, 1)
+
+
+def test_invalid_amounts_observed_during_the_scan(spark, tmp_path):  # A13
+    from paylens.plans.layouts import observe_invalid, valid_payments
+
+    d = year_dir(tmp_path, {2015: [covered_row("Ann", "Li", a, npi="1")
+                                   for a in ("1", "N/A", "$5", "2")]})
+    observed, obs = observe_invalid(read_payment_years(spark, d, [2015]))
+    assert valid_payments(observed).count() == 2
+    assert obs.get == {"invalid_rows": 2, "rows": 4}
