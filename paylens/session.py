@@ -26,6 +26,10 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # AQE merges small shuffle partitions up to this size and splits skewed
+        # ones above it; scan splits use the same unit.
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
+        .config("spark.sql.files.maxPartitionBytes", "128m")
         .config("spark.sql.session.timeZone", "UTC")
         # Stages whose generated methods exceed the JIT's 8000-byte limit run as
         # interpreted bytecode; above it, fall back to per-operator codegen.
