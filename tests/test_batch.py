@@ -65,3 +65,18 @@ def test_unique_ids_are_summed_per_physician(spark, tmp_path):  # N15 / Q20
     b = batch.BatchReport(pay, batch.names_frame(spark, ["Ann G Li", "Ann Lee"]), [2015])
     c = b.counters().first()
     assert (c.total_unique_npis, c.global_unique_npis) == (2, 1)
+
+
+def test_report_plan_keeps_one_scan_and_few_exchanges(spark, tmp_path):
+    from paylens.operators import report
+
+    b = _setup(spark, tmp_path, ["Benjamin G Domb", "Alice M Smith"])
+    pay = read_payment_years(spark, str(tmp_path), [2015])
+    one = report.physician_report(spark, pay, "Benjamin", "G", "Domb", [2015])
+    c = node_counts(one)
+    # CSV input: one scan of the rows plus one pass for the per-block counts that
+    # number them. Exchanges: partial aggregates of matched rows, (query,
+    # identifier) co-partitioning, final order -- plus two on the per-block table
+    # (one row per input split: its group-by and its prefix-sum window)
+    assert c["FileScans"] == 2 and c["ShuffleExchange"] <= 5
+    assert node_counts(b.detail)["FileScans"] == 2
