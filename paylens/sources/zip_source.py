@@ -2,8 +2,9 @@
 
 CSV members of each archive are packed into input partitions of about
 ``targetPartitionBytes`` (a large member is a partition of its own) and parsed
-inside the task with pyarrow's CSV reader, handed to Spark as Arrow record
-batches; ragged members fall back to the ``csv`` module. Members carry their own header, so every row is emitted as
+inside the task by pyarrow's streaming CSV reader in bounded blocks (a member
+never sits whole in memory), handed to Spark as Arrow record batches; ragged
+members fall back to the ``csv`` module from the first row not yet emitted. Members carry their own header, so every row is emitted as
 ``(source_file, row_no, fields MAP<STRING,STRING>)`` and canonicalised with
 Spark expressions (:func:`paylens.plans.layouts.canonicalize_map`). Members
 without the payment column are skipped, as are folders and non-``.csv`` names
@@ -85,51 +86,88 @@ def _header(zf: zipfile.ZipFile, member: str) -> list[str] | None:
         return next(rows, None)
 
 
+_BATCH_SCHEMA = None
+
+
+def _batch_schema():
+    import pyarrow as pa
+
+    global _BATCH_SCHEMA
+    if _BATCH_SCHEMA is None:
+        _BATCH_SCHEMA = pa.schema([("source_file", pa.string()), ("row_no", pa.int64()),
+                                   ("fields", pa.map_(pa.string(), pa.string()))])
+    return _BATCH_SCHEMA
+
+
 def _arrow_member(zf: zipfile.ZipFile, member: str, header: list[str], markers):
-    """Parse one member with pyarrow's CSV reader into (source_file, row_no,
-    fields) record batches; the header map is built with vectorised takes."""
+    """Stream one member through pyarrow's CSV reader in bounded blocks and turn
+    each block into (source_file, row_no, fields) with vectorised takes."""
     import numpy as np
     import pyarrow as pa
     from pyarrow import csv as pacsv
 
+    k = len(header)
+    keys_one = np.array(header, dtype=object)
+    row0 = 0
     with zf.open(member) as fh:
-        table = pacsv.read_csv(
+        reader = pacsv.open_csv(
             fh,
-            read_options=pacsv.ReadOptions(column_names=header, skip_rows=1),
+            read_options=pacsv.ReadOptions(column_names=header, skip_rows=1,
+                                           block_size=8 << 20),
             parse_options=pacsv.ParseOptions(newlines_in_values=True),
             convert_options=pacsv.ConvertOptions(
                 column_types={h: pa.string() for h in header}, null_values=list(markers),
                 strings_can_be_null=True, quoted_strings_can_be_null=True))
-    n, k = table.num_rows, len(header)
-    if n == 0:
-        return
-    cols = [table.column(i).combine_chunks() for i in range(k)]
-    stacked = pa.concat_arrays(cols)
-    order = (np.arange(k)[None, :] * n + np.arange(n)[:, None]).ravel()
-    items = stacked.take(pa.array(order))
-    keys = pa.array(np.tile(np.array(header, dtype=object), n), pa.string())
-    offsets = pa.array(np.arange(0, n * k + 1, k, dtype=np.int32))
-    fields = pa.MapArray.from_arrays(offsets, keys, items)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([member] * n, pa.string()), pa.array(np.arange(n, dtype=np.int64)), fields],
-        names=["source_file", "row_no", "fields"])
-
-
-def _python_member(zf: zipfile.ZipFile, member: str, markers):
-    """Row-by-row fallback for members pyarrow rejects (e.g. ragged rows):
-    short rows read the missing cells as NULL, like pandas."""
+        for block in reader:
+            n = block.num_rows
+            if n == 0:
+                continue
+            stacked = pa.concat_arrays([block.column(i) for i in range(k)])
+            order = (np.arange(k)[None, :] * n + np.arange(n)[:, None]).ravel()
+            items = stacked.take(pa.array(order))
+            keys = pa.array(np.tile(keys_one, n), pa.string())
+            offsets = pa.array(np.arange(0, n * k + 1, k, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([member] * n, pa.string()),
+                 pa.array(np.arange(row0, row0 + n, dtype=np.int64)),
+                 pa.MapArray.from_arrays(offsets, keys, items)],
+                schema=_batch_schema())
+            row0 += n
+
+
+def _python_member(zf: zipfile.ZipFile, member: str, markers, skip: int = 0,
+                   chunk: int = 8192):
+    """Row-by-row fallback for members pyarrow rejects (e.g. ragged rows): short
+    rows read the missing cells as NULL, like pandas. Rows already emitted by
+    the pyarrow pass (``skip``) are not repeated; output is Arrow batches too."""
+    import pyarrow as pa
+
+    def flush(rows):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.string()),
+             pa.array([r[1] for r in rows], pa.int64()),
+             pa.array([list(r[2].items()) for r in rows],
+                      pa.map_(pa.string(), pa.string()))],
+            schema=_batch_schema())
+
     with zf.open(member) as fh:
         rows = csv.reader(io.TextIOWrapper(fh, encoding="utf-8-sig", newline=""))
         header = next(rows, None)
         width = len(header)
-        i = 0
+        i, pending = 0, []
         for row in rows:
             if not row:
                 continue
-            cells = itertools.islice(itertools.chain(row, itertools.repeat(None)), width)
-            yield (member, i, {h: (None if v is None or v in markers else v)
-                               for h, v in zip(header, cells)})
+            if i >= skip:
+                cells = itertools.islice(itertools.chain(row, itertools.repeat(None)), width)
+                pending.append((member, i, {h: (None if v is None or v in markers else v)
+                                            for h, v in zip(header, cells)}))
+                if len(pending) >= chunk:
+                    yield flush(pending)
+                    pending = []
             i += 1
+        if pending:
+            yield flush(pending)
 
 
 class ZipCsvReader(DataSourceReader):
@@ -157,14 +195,13 @@ class ZipCsvReader(DataSourceReader):
                 header = _header(zf, member)
                 if not header or PAYMENT_COLUMN not in header:
                     continue
+                emitted = 0
                 try:
-                    batches = list(_arrow_member(zf, member, header, markers))
+                    for batch in _arrow_member(zf, member, header, markers):
+                        emitted += batch.num_rows
+                        yield batch
                 except Exception:  # noqa: BLE001 - ragged or unusual rows
-                    batches = None
-                if batches is None:
-                    yield from _python_member(zf, member, markers)
-                else:
-                    yield from batches
+                    yield from _python_member(zf, member, markers, skip=emitted)
 
 
 class ZipCsvDataSource(DataSource):
