@@ -177,3 +177,19 @@ def test_invalid_amounts_observed_during_the_scan(spark, tmp_path):  # A13
     observed, obs = observe_invalid(read_payment_years(spark, d, [2015]))
     assert valid_payments(observed).count() == 2
     assert obs.get == {"invalid_rows": 2, "rows": 4}
+
+
+def test_years_sharing_a_header_share_one_scan(spark, tmp_path):  # S2, U2
+    from paylens.plans.checks import node_counts
+
+    old = covered_row("Ann", "Li", "1", npi="1", prefix=OLD)
+    d = year_dir(tmp_path, {2014: [old],
+                            2015: [covered_row("Ann", "Li", "2", npi="1")],
+                            2016: [covered_row("Ann", "Li", "4", npi="1")]})
+    pay = read_payment_years(spark, d, [2014, 2015, 2016])
+    # two header groups -> two row scans (+ one block-count pass each)
+    assert node_counts(pay)["FileScans"] == 4
+    rows = {r.year: (r.source_file, r.row_pos, float(r.amount)) for r in pay.collect()}
+    assert rows == {2014: ("2014_rsh_payments.csv", 0, 1.0),
+                    2015: ("2015_rsh_payments.csv", 0, 2.0),
+                    2016: ("2016_rsh_payments.csv", 0, 4.0)}
