@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from paylens.llm import chat, pieces
+from paylens.llm import chat, mixing, pieces, quality
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
+    "op5_quality_rules": quality.op5_quality_rules,
     "op8_chat_format": chat.op8_chat_format,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
