@@ -70,20 +70,25 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__l"),
         F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"))
-    w = F.col("__w")
-    window = lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("i"))
-    # A text whose windows all differ needs no positions.
-    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), window)
-    grams = split.withColumn("__g", F.when(F.size(w) >= 4, F.sort_array(hashes)))
+    # The functions below read nothing but their own arguments: were a column read
+    # inside one, an optimizer rule that moves the expression would count it anew
+    # for each element.
+    w, n = F.col("__w"), F.size("__w")
+    pairs = F.zip_with(F.slice(w, 1, n - 2), F.slice(w, 2, n - 2), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    hashes = F.zip_with(pairs, F.slice(w, 3, n - 2), lambda q, z: F.xxhash64(q["x"], q["y"], z))
+    found = split.withColumn("__g", F.when(n >= 4, F.sort_array(
+        F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     g = F.col("__g")
-    twin = lambda x, i: (((i > 0) & (F.get(g, i - 1)["h"] == x["h"]))
-                         | F.coalesce(F.get(g, i + 1)["h"] == x["h"], F.lit(False)))
-    found = grams.withColumn("__p", F.sort_array(F.transform(F.filter(g, twin), lambda x: x["i"])))
+    after = F.zip_with(g, F.slice(g, 2, F.size(g)), lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False)))
+    same = found.withColumn("__e", after)
+    twin = F.zip_with("__e", F.concat(F.array(F.lit(False)), F.col("__e")), lambda x, y: F.coalesce(x, F.lit(False)) | y)
+    marked = F.zip_with(g, twin, lambda x, f: F.when(f, x["i"]))
+    placed = same.withColumn("__p", F.sort_array(F.filter(marked, lambda i: i.isNotNull())))
     p = F.col("__p")
     # Each repeated window covers its words up to the next repeated window.
-    new = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
+    new = F.zip_with(p, F.slice(p, 2, F.size(p)), lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))))
     repeat = F.coalesce(F.aggregate(new, F.lit(0), lambda a, x: a + x), F.lit(0))
-    return found.select(
+    return placed.select(
         *keep, F.size(w).cast("long").alias("n_words"), "word_chars", "n_symbols",
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         repeat.cast("long").alias("n_repeat_words"), F.size("__l").alias("__lines"))
@@ -206,15 +211,16 @@ def judge(stats: DataFrame, estimate: DataFrame) -> DataFrame:
     chosen = rows.withColumn("__e", F.coalesce("__e0", "__e1", "__e2"))
     d2 = _distance([v / UNIT for v in vector()], lambda i: F.col(f"__e.m{i}"), lambda i, j: F.col(f"__e.l{i}_{j}"))
     return chosen.select(*keep, base_failed().alias("base_failed"), d2.alias("distance2")).withColumn(
-        "kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True)))
+        "kept", F.when(F.col("base_failed"), False).otherwise(F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True))))
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that are kept, columns as given. Estimates are fitted first;
     the second scan counts the statistics again rather than shuffle the texts."""
-    estimate = fit(with_statistics(docs.select("text", "lang", "source")))
-    judged = judge(with_statistics(docs), estimate)
-    return judged.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    estimate = fit(staged(with_statistics(docs.select("text", "lang", "source")).drop("text"), "quality-statistics"))
+    given = docs.select("*", F.struct("*").alias("__row"))
+    judged = judge(with_statistics(given), estimate)
+    return judged.where("kept").select("__row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from paylens.llm import quality
+from paylens.llm.common import staged
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string"
 
@@ -46,14 +47,14 @@ def corpus():
 
 def test_junk_goes_and_clean_documents_stay(spark):
     docs = spark.createDataFrame(corpus(), SCHEMA)
-    stats = quality.with_statistics(docs)
-    judged = quality.judge(stats, quality.fit(stats))
+    stats = staged(quality.with_statistics(docs), 't')
+    judged = quality.judge(stats, quality.fit(staged(stats, 't')))
     rows = judged.collect()
     assert len(rows) == len(corpus())
     for r in rows:
         junk = 6000 <= r.doc_id < 7000 or r.doc_id in (7001, 7002)
         assert r.kept is not junk, (r.doc_id, r.distance2)
-    again = quality.judge(stats, quality.fit(quality.with_statistics(docs.repartition(7)))).collect()
+    again = quality.judge(stats, quality.fit(staged(quality.with_statistics(docs.repartition(7)), 't'))).collect()
     assert sorted((r.doc_id, r.distance2 or -1) for r in rows) == sorted((r.doc_id, r.distance2 or -1) for r in again)
     kept = quality.quality_filter(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in rows)
@@ -73,14 +74,14 @@ def test_estimate_is_robust_covariance(spark):
         bins = np.floor(np.log2(d2 + 1e-9) * 16)
         near = x[bins <= np.sort(bins)[int(np.ceil(len(x) * quality.SHARE)) - 1]]
         mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * quality.CONSISTENCY + np.diag(spread**2)
-    got = quality.fit(quality.with_statistics(docs)).where("level = 0 AND g_lang = 'en' AND g_source = 'hot'").first()
+    got = quality.fit(staged(quality.with_statistics(docs), 't')).where("level = 0 AND g_lang = 'en' AND g_source = 'hot'").first()
     low = np.array([[got[f"l{i}_{j}"] if j <= i else 0 for j in range(quality.D)] for i in range(quality.D)])
     assert np.allclose([got[f"m{i}"] for i in range(quality.D)], mean, atol=1e-6) and np.allclose(low @ low.T, cov, atol=1e-6)
 
 
 def test_empty_table_and_no_python(spark):
     empty = quality.with_statistics(spark.createDataFrame([], SCHEMA))
-    assert quality.judge(empty, quality.fit(empty)).count() == 0
+    assert quality.judge(empty, quality.fit(staged(empty, 't'))).count() == 0
     docs = spark.createDataFrame(corpus()[:50], SCHEMA)
     out = quality.quality_filter(docs)
     assert out.count() == 50
