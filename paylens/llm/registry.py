@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from paylens.llm import chat, mixing, pieces, quality
+from paylens.llm import chat, mixing, pieces, quality, simhash
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op7_simhash": simhash.op7_simhash,
     "op8_chat_format": chat.op8_chat_format,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
