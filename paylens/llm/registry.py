@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from paylens.llm import chat, mixing, pieces, quality, simhash
+from paylens.llm import chat, mixing, pieces, quality, simhash, substrings, suffixes
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_substring_dedup": substrings.op6_substring_dedup,
     "op7_simhash": simhash.op7_simhash,
     "op8_chat_format": chat.op8_chat_format,
+    "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 
 ORACLE = {
+    "op6_substring_dedup": substrings.op6_sql(),
     "op8_chat_format": chat.op8_sql(),
 }
