@@ -197,18 +197,16 @@ def judge(stats: DataFrame, estimate: DataFrame) -> DataFrame:
     names = ["n_group", *[f"m{i}" for i in range(D)], *[f"l{i}_{j}" for i, j in PAIRS]]
     large = estimate.where(F.col("n_group") >= MIN_GROUP)
     rows = stats
-    for level in range(3):
+    for level in range(2):
         e = large.where(F.col("level") == level).select(
             F.col("g_lang").alias(f"__a{level}"), F.col("g_source").alias(f"__b{level}"), F.struct(*names).alias(f"__e{level}"))
-        on = F.lit(True)
-        if level < 2:
-            on = F.col("lang").cast("string").eqNullSafe(F.col(f"__a{level}"))
-        if level < 1:
+        on = F.col("lang").cast("string").eqNullSafe(F.col(f"__a{level}"))
+        if level == 0:
             on = on & F.col("source").cast("string").eqNullSafe(F.col(f"__b{level}"))
-        if level == 2:  # one row
-            rows, e, on = rows.withColumn("__one", F.lit(1)), e.withColumn("__two", F.lit(1)), F.col("__one") == F.col("__two")
         rows = rows.join(e, on, "left")
-    chosen = rows.withColumn("__e", F.coalesce("__e0", "__e1", "__e2"))
+    whole = large.where(F.col("level") == 2).select(F.struct(*names).alias("e")).first()  # one row at most
+    last = F.struct(*[F.lit(whole.e[c]).alias(c) for c in names]) if whole else F.lit(None).cast(large.select(F.struct(*names).alias("e")).schema["e"].dataType)
+    chosen = rows.withColumn("__e", F.coalesce("__e0", "__e1", last))
     d2 = _distance([v / UNIT for v in vector()], lambda i: F.col(f"__e.m{i}"), lambda i, j: F.col(f"__e.l{i}_{j}"))
     return chosen.select(*keep, base_failed().alias("base_failed"), d2.alias("distance2")).withColumn(
         "kept", F.when(F.col("base_failed"), False).otherwise(F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True))))
