@@ -36,6 +36,8 @@ SPACE_SYMBOL = "▁"
 #: Chunks whose ids are kept by a worker (two generations of this many) and the
 #: longest chunk that is kept, in characters.
 KEPT_CHUNKS, KEPT_CHARS = 200_000, 48
+#: Up to this many characters the agenda is a list, beyond it a heap.
+SHORT, NEVER = 32, float("inf")
 
 
 def model_path(name: str = MODEL) -> str:
@@ -70,6 +72,38 @@ class MergeEncoder:
         self.old: dict[str, bytes] = {}
 
     def merge(self, chunk: str) -> list[int]:
+        symbols = self.agenda(chunk) if len(chunk) > SHORT else self.short_agenda(chunk)
+        out: list[int] = []
+        for s in symbols:
+            i = self.ids.get(s)
+            if i is not None:
+                out.append(i)
+            elif self.byte_fallback:
+                out.extend(self.bytes[b] for b in s.encode())
+            else:
+                out.append(self.unknown)
+        return out
+
+    def short_agenda(self, chunk: str) -> list[str]:
+        """The agenda of a word as a plain list, one score for each adjacent pair;
+        the best pair, leftmost of equals, is found by a scan."""
+        get, symbols = self.rank.get, list(chunk)
+        agenda = [get(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = get(symbols[i] + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + symbols[i], NEVER)
+        return symbols
+
+    def agenda(self, chunk: str) -> list[str]:
+        """The agenda as a heap; symbols are linked so that a merge is cheap in a chunk of any length."""
         rank, symbols, n = self.rank, list(chunk), len(chunk)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda = [(rank[p], i, p) for i in range(n - 1) if (p := symbols[i] + symbols[i + 1]) in rank]
@@ -87,16 +121,7 @@ class MergeEncoder:
                     heappush(agenda, (rank[p], i, p))
             if (h := before[i]) >= 0 and (p := symbols[h] + piece) in rank:
                 heappush(agenda, (rank[p], h, p))
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                if s in self.ids:
-                    out.append(self.ids[s])
-                elif self.byte_fallback:
-                    out.extend(self.bytes[b] for b in s.encode())
-                else:
-                    out.append(self.unknown)
-        return out
+        return [s for s in symbols if s]
 
     def check(self, chunks: list[str], ids: list[list[int]]) -> None:
         """The library on the same chunks: the first space symbol of a chunk is the
@@ -136,23 +161,22 @@ class MergeEncoder:
         return [b"".join(map(got.__getitem__, c)) for c in cut]
 
 
-def _loader(spark: SparkSession, path: str):
-    """A function that makes the encoder in a worker; the model is sent once (its
-    size is the vocabulary's, not the data's)."""
+def _model(spark: SparkSession, path: str):
+    """The model, sent to the workers once (its size is the vocabulary's, not the data's)."""
     with open(path, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
-    return lambda: MergeEncoder(sent.value)
+    return sent
 
 
 def encode(docs: DataFrame, path: str | None = None, *, text: str = "text", bos: bool = True, eos: bool = True,
            check: bool = True, rows: int = 256) -> DataFrame:
     """``docs`` with ``n_tokens`` (long) and ``ids`` (binary: little-endian unsigned
     32-bit integers). Batches are worked ``rows`` texts at a time."""
-    load = _loader(docs.sparkSession, path or model_path())
+    model = _model(docs.sparkSession, path or model_path())
 
     @F.arrow_udf("struct<n_tokens: bigint, ids: binary>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = load()
+        enc = MergeEncoder(model.value)
         first = pack("<I", enc.library.bos_id()) if bos else b""
         last = pack("<I", enc.library.eos_id()) if eos else b""
         for batch in batches:
@@ -169,13 +193,15 @@ def encode(docs: DataFrame, path: str | None = None, *, text: str = "text", bos:
 
 def decode(encoded: DataFrame, path: str | None = None, *, ids: str = "ids", rows: int = 256) -> DataFrame:
     """``encoded`` with ``decoded``: the library's ``decode`` of each row's ids."""
-    load = _loader(encoded.sparkSession, path or model_path())
+    model = _model(encoded.sparkSession, path or model_path())
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
 
-        library = load().library
+        import sentencepiece
+
+        library = sentencepiece.SentencePieceProcessor(model_proto=model.value)
         for batch in batches:
             texts: list[str] = []
             for a in range(0, len(batch), rows):

@@ -40,6 +40,13 @@ def test_without_cuts_and_checks(library):
         assert np.frombuffer(x, "<u4").tolist() == library.encode(t or "")
 
 
+def test_both_agendas_agree():
+    enc = pieces.MergeEncoder(open(pieces.model_path(), "rb").read())
+    for t in hard_texts():
+        if t and len(t) < 3001:
+            assert enc.agenda(t) == enc.short_agenda(t)
+
+
 def test_empty_table_and_query(spark, library, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pieces.decode(pieces.encode(empty)).count() == 0
