@@ -63,26 +63,25 @@ class MergeEncoder:
         kinds = [(i, p) for i, p in enumerate(spec.pieces)]
         self.ids = {p.piece: i for i, p in kinds if p.type == 1}
         self.rank = {p.piece: -p.score for i, p in kinds if p.type == 1}
-        self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.byte_fallback, self.unknown = spec.trainer_spec.byte_fallback, self.library.unk_id()
+        self.code = {p: pack("<I", i) for p, i in self.ids.items()}
+        self.bytes = [pack("<I", self.library.piece_to_id(f"<0x{b:02X}>")) for b in range(256)]
+        self.byte_fallback, self.unknown = spec.trainer_spec.byte_fallback, pack("<I", self.library.unk_id())
         apart = not any(SPACE_SYMBOL in p.lstrip(SPACE_SYMBOL) or ("\n" in p and len(p) > 1) for p in self.ids)
         self.cut = re.compile(f"{SPACE_SYMBOL}*[^{SPACE_SYMBOL}\n]+|{SPACE_SYMBOL}+|\n").findall if apart else None
         self.line_feed = self.library.encode("\n")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def merge(self, chunk: str) -> list[int]:
+    def merge(self, chunk: str) -> bytes:
         symbols = self.agenda(chunk) if len(chunk) > SHORT else self.short_agenda(chunk)
-        out: list[int] = []
-        for s in symbols:
-            i = self.ids.get(s)
-            if i is not None:
-                out.append(i)
-            elif self.byte_fallback:
-                out.extend(self.bytes[b] for b in s.encode())
-            else:
-                out.append(self.unknown)
-        return out
+        try:
+            return b"".join(map(self.code.__getitem__, symbols))
+        except KeyError:
+            return b"".join([self.code.get(s) or self.fallback(s) for s in symbols])
+
+    def fallback(self, symbol: str) -> bytes:
+        """The code of a symbol that is no piece."""
+        return b"".join(self.bytes[b] for b in symbol.encode()) if self.byte_fallback else self.unknown
 
     def short_agenda(self, chunk: str) -> list[str]:
         """The agenda of a word as a plain list, one score for each adjacent pair;
@@ -123,42 +122,41 @@ class MergeEncoder:
                 heappush(agenda, (rank[p], h, p))
         return [s for s in symbols if s]
 
-    def check(self, chunks: list[str], ids: list[list[int]]) -> None:
+    def check(self, chunks: list[str], ids: list[bytes]) -> None:
         """The library on the same chunks: the first space symbol of a chunk is the
         one that the library adds itself; any other chunk stands behind a line feed,
         whose pieces come off again."""
         own = [len(c) > 1 and c[0] == SPACE_SYMBOL for c in chunks]
         shown = [c[1:] if o else "\n" + c for c, o in zip(chunks, own, strict=True)]
         for c, o, mine, theirs in zip(chunks, own, ids, self.library.encode(shown, num_threads=1), strict=True):
-            if mine != theirs[0 if o else len(self.line_feed):]:
-                raise ValueError(f"agenda and library differ on {c[:80]!r}: {mine[:20]}, {theirs[:20]}")
+            if mine != pack(f"<{len(theirs)}I", *theirs)[0 if o else 4 * len(self.line_feed):]:
+                raise ValueError(f"agenda and library differ on {c[:80]!r}: {mine[:80].hex()}, {theirs[:20]}")
 
     def encode(self, texts: list[str | None], check: bool) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, without begin and end."""
         whole = [SPACE_SYMBOL + t.replace(" ", SPACE_SYMBOL) if t else "" for t in texts]
         if self.cut is None:
-            ids = [self.merge(w) if w else [] for w in whole]
+            ids = [self.merge(w) if w else b"" for w in whole]
             if check:
                 some = [i for i, w in enumerate(whole) if w]
                 self.check([whole[i] for i in some], [ids[i] for i in some])
-            return [pack(f"<{len(x)}I", *x) for x in ids]
+            return ids
         cut = [self.cut(w) for w in whole]
-        need = set().union(*cut) if cut else set()
-        got, new = {}, []
-        for c in need:
-            x = self.young.get(c) or self.old.get(c)
-            if x is None:
-                new.append(c)
-            else:
-                got[c] = x
+        # Chunks of this batch are all in the young table until the batch is done.
+        if len(self.young) > KEPT_CHUNKS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = set().union(*cut).difference(young)
+        new = [c for c in missing if c not in old]
         merged = [self.merge(c) for c in new]
         if check and new:
             self.check(new, merged)
-        got.update((c, pack(f"<{len(x)}I", *x)) for c, x in zip(new, merged, strict=True))
-        if len(self.young) > KEPT_CHUNKS:
-            self.old, self.young = self.young, {}
-        self.young.update((c, x) for c, x in got.items() if len(c) <= KEPT_CHARS)
-        return [b"".join(map(got.__getitem__, c)) for c in cut]
+        young.update((c, old[c]) for c in missing if c in old)
+        young.update(zip(new, merged, strict=True))
+        out = [b"".join(map(young.__getitem__, c)) for c in cut]
+        for c in [c for c in new if len(c) > KEPT_CHARS]:
+            del young[c]
+        return out
 
 
 def _model(spark: SparkSession, path: str):
@@ -169,7 +167,7 @@ def _model(spark: SparkSession, path: str):
 
 
 def encode(docs: DataFrame, path: str | None = None, *, text: str = "text", bos: bool = True, eos: bool = True,
-           check: bool = True, rows: int = 256) -> DataFrame:
+           check: bool = True, rows: int = 512) -> DataFrame:
     """``docs`` with ``n_tokens`` (long) and ``ids`` (binary: little-endian unsigned
     32-bit integers). Batches are worked ``rows`` texts at a time."""
     model = _model(docs.sparkSession, path or model_path())
