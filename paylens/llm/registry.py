@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from paylens.llm import chat, mixing, pieces, quality, simhash, substrings, suffixes
+from paylens.llm import chat, language, mixing, neighbours, pieces, quality, simhash, substrings, suffixes
 
 QUERIES = {
+    "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
     "op2_mixing": mixing.op2_mixing,
+    "op3_language_id": language.op3_language_id,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_substring_dedup": substrings.op6_substring_dedup,
     "op7_simhash": simhash.op7_simhash,
