@@ -270,8 +270,10 @@ def repeats(docs: DataFrame, hashes: Callable, window: int, gram: int, by_place:
     texts = keyed.repartition(n, "__d")
     is_open = met.where("open > 0").groupBy(F.col("d").alias("__o")).agg(
         F.collect_list(F.struct("span", (F.col("open") == 2).alias("hot"))).alias("__open"))
-    asked = texts.select("__d", "text").join(is_open, F.col("__d") == F.col("__o")).select(
-        "__d", "text", F.col("__open.span").alias("spans"), F.col("__open.hot").alias("hot"))
+    # All columns, so that both joins read one exchange of the texts.
+    asked = texts.join(is_open, F.col("__d") == F.col("__o")).select(
+        "__d", "text", F.col("__open.span").alias("spans"), F.col("__open.hot").alias("hot"),
+        *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     fields = f"{RUN_SCHEMA}, left binary, right binary, first long"
     extended = asked.mapInArrow(fetch, fields).repartition(n, "key").mapInArrow(finish, "d long, span long")
     spans = met.where("open = 0").select("d", "span").union(extended).groupBy(F.col("d").alias("__o")).agg(

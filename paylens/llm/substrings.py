@@ -105,7 +105,7 @@ def op6_sql() -> str:
     return r"""
 WITH w AS (
   SELECT doc_id, row_number() OVER () AS r,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), g AS (
   SELECT r, doc_id, p, array_to_string(ws[p:p + 12], ' ') AS s
   FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM w WHERE len(ws) >= 13)
