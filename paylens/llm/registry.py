@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from paylens.llm import chat, language, mixing, neighbours, pieces, quality, simhash, substrings, suffixes
+from paylens.llm import chat, language, licenses, mixing, neighbours, pieces, quality, simhash, substrings, suffixes
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
     "op2_mixing": mixing.op2_mixing,
     "op3_language_id": language.op3_language_id,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_substring_dedup": substrings.op6_substring_dedup,
     "op7_simhash": simhash.op7_simhash,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_license_scan": licenses.op4_sql(),
     "op6_substring_dedup": substrings.op6_sql(),
     "op8_chat_format": chat.op8_sql(),
 }
