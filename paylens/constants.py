@@ -43,4 +43,4 @@ FILE_NAME_PATTERN = "{year}_rsh_payments.csv"
 YEAR_IN_PATH = r"((?:19|20)\d{2})"
 
 # Money is summed exactly; six decimals cover every published amount.
-AMOUNT_TYPE = "decimal(20,6)"
+AMOUNT_TYPE = "decimal(38,6)"

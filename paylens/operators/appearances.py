@@ -22,11 +22,12 @@ from paylens.constants import (
 from paylens.functions.text import all_tokens_in, join_name, year_from_path
 from paylens.plans.layouts import valid_payments
 
+# --- fixed values: grouping keys of the searchable index, in output order ---
 INDEX_KEYS = ["display_name", "first_name", "middle_name", "last_name", "role", "year",
               "identifier", "identifier_type", "specialty", "source_file"]
 
 
-def appearances(canonical: DataFrame) -> DataFrame:
+def appearances(canonical: DataFrame, keep=()) -> DataFrame:
     """P23 + P8 + P9 + F8: one row per named person of each valid payment row.
 
     (display_name, display_name_normalized, first_name, middle_name, last_name, role,
@@ -35,7 +36,7 @@ def appearances(canonical: DataFrame) -> DataFrame:
     # people filtered inside the array (see matching.match_specs for why)
     named = F.filter(F.col("persons"), lambda p: (p["first"] != "") & (p["last"] != ""))
     rows = valid_payments(canonical).select(
-        "source_file", "amount", "cov_npi", "cov_profile", "specialty",
+        "source_file", "amount", "cov_npi", "cov_profile", "specialty", *keep,
         F.explode(named).alias("p"))
     covered = F.col("p.slot") == 0
     cov_id = (F.when(F.col("cov_npi") != "", F.struct(F.col("cov_npi").alias("v"),
@@ -63,6 +64,7 @@ def appearances(canonical: DataFrame) -> DataFrame:
         ident["v"].alias("identifier"),
         ident["t"].alias("identifier_type"),
         F.when(covered, F.col("specialty")).otherwise(F.lit(SPECIALTY_PI)).alias("specialty"),
+        *keep,
     )
 
 
@@ -74,12 +76,12 @@ def index_order() -> list[Column]:
             F.col("source_file")]
 
 
-def appearance_index(canonical: DataFrame) -> DataFrame:
-    """Appearances grouped by ten keys with total_payment and instance_count.
+def appearance_index(canonical: DataFrame, keep=()) -> DataFrame:
+    """Appearances grouped by ten keys (and ``keep``) with total_payment and instance_count.
 
     The total stays an exact decimal here; callers cast for output.
     """
-    return (appearances(canonical).groupBy(*INDEX_KEYS)
+    return (appearances(canonical, keep).groupBy(*INDEX_KEYS, *keep)
             .agg(F.sum("payment_amount").alias("total_payment"),
                  F.count(F.lit(1)).alias("instance_count")))
 
@@ -93,7 +95,7 @@ def serialized_index(index: DataFrame) -> DataFrame:
         "display_name", F.lower("display_name").alias("display_name_normalized"),
         "first_name", "middle_name", "last_name", "role", "year", "identifier",
         "identifier_type", "specialty", "source_file",
-        F.col("total_payment").cast("decimal(18,2)").alias("total_payment"),
+        F.col("total_payment").cast("decimal(38,2)").alias("total_payment"),
         F.col("instance_count").cast("bigint").alias("instance_count"),
         label.alias("identifier_label"))
 

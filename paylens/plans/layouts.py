@@ -3,7 +3,7 @@
 Canonical schema (one row per payment line)::
 
     source_file STRING, year INT, row_pos BIGINT,
-    amount DECIMAL(20,6)            -- NULL when the text is not a number
+    amount DECIMAL(38,6)            -- NULL when the text is not a number
     persons ARRAY<STRUCT<slot INT, first, middle, last, npi STRING,
                          has_name BOOLEAN, has_middle BOOLEAN,
                          first_l, middle_l, last_l STRING>>   -- *_l: lower-cased
@@ -30,6 +30,15 @@ from paylens.constants import (
 )
 from paylens.functions.text import clean
 
+#: Schema of canonical rows.
+CANONICAL = (
+    "source_file string, year int, row_pos bigint, amount decimal(38,6), "
+    "persons array<struct<slot: int, first: string, middle: string, last: string, npi: string, has_name: boolean, "
+    "has_middle: boolean, first_l: string, middle_l: string, last_l: string>>, "
+    "cov_npi string, cov_profile string, specialty string, identifier string"
+)
+
+
 def _null_str():
     return F.lit(None).cast("string")
 
@@ -83,23 +92,17 @@ class _MapFields:
             self.get(NEW_LAYOUT["specialty"] + suffix))
 
 
-def detect_layout(columns) -> dict:
+def layout_of(columns) -> dict:
     """The older ``Physician_*`` layout when its first and last columns exist."""
-    cols = set(columns)
-    return OLD_LAYOUT if {OLD_LAYOUT["first"], OLD_LAYOUT["last"]} <= cols else NEW_LAYOUT
-
-
-def validate_columns(columns, required) -> None:
-    """Raise listing every required column that is absent."""
-    available = set(columns)
-    missing = [c for c in required if c not in available]
-    if missing:
-        raise ValueError(f"Missing required columns in CSV: {', '.join(missing)}")
+    older = all(OLD_LAYOUT[part] in columns for part in ("first", "last"))
+    return OLD_LAYOUT if older else NEW_LAYOUT
 
 
-def required_columns(columns) -> list[str]:
-    layout = detect_layout(columns)
-    return [PAYMENT_COLUMN, layout["first"], layout["last"]]
+def absent_columns(columns) -> str:
+    """The columns a report cannot do without that the header lacks, as text; empty if none."""
+    layout = layout_of(columns)
+    needed = (PAYMENT_COLUMN, layout["first"], layout["last"])
+    return ", ".join(sorted(set(needed).difference(columns)))
 
 
 def _person(slot: int, first, middle, last, npi, has_name, has_middle) -> Column:
@@ -172,12 +175,13 @@ def _canonical_columns(f, source_file: Column, year: Column, row_pos: Column,
 
 
 def canonicalize(wide: DataFrame, *, source_file: Column, year: Column, row_pos: Column,
-                 unknown_id: str = "row", validate: bool = True) -> DataFrame:
-    """Wide payment rows (real columns) -> canonical rows, invalid amounts kept as NULL."""
-    if validate:
-        validate_columns(wide.columns, required_columns(wide.columns))
+                 unknown_id: str = "row", validate: bool = True, keep=()) -> DataFrame:
+    """Wide payment rows (real columns) -> canonical rows, invalid amounts kept as
+    NULL; ``keep`` adds columns of the input."""
+    if validate and (gone := absent_columns(wide.columns)):
+        raise ValueError(f"the rows lack the columns {gone}")
     fields = _ColumnFields(wide.columns)
-    return wide.select(*_canonical_columns(fields, source_file, year, row_pos, unknown_id))
+    return wide.select(*_canonical_columns(fields, source_file, year, row_pos, unknown_id), *keep)
 
 
 def canonicalize_map(df: DataFrame, map_col: str, *, source_file: Column, year: Column,

@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -43,11 +43,13 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a local one only if unset."""
+    """Return the session's checkpoint folder. Only a local master gets one of its
+    own where none is set: on a cluster it must be a folder that all executors share."""
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
-        # Only when nothing is configured (local tests): a folder of our own.
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="paylens-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", current)
@@ -65,9 +67,26 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder as Parquet and read back: lineage
+    ends there, and a lost executor costs only the tasks that it ran."""
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark itself would give it (``fs.defaultFS``
+    for one without)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(hpath).toString()
+
+
 def arrow_fs(path: str):
-    """(pyarrow FileSystem, path) for a local path, a ``file:`` URI or any URI
-    pyarrow understands (hdfs://, s3://, ...)."""
+    """(pyarrow FileSystem, path) for a ``file:`` URI or any URI pyarrow understands
+    (hdfs://, s3://, ...). Callers qualify paths without a scheme first."""
     from pyarrow import fs as pafs
 
     if path.startswith("file:"):

@@ -1,45 +1,38 @@
 """Yearly payment CSV files.
 
-* Every cell is read as text (``inferSchema`` off: NPIs must stay strings) and
-  the strings a pandas read treats as missing become NULL.
-* Files with different headers are never read by one ``spark.read.csv`` call
-  (columns would bind by position); each header group is read and
-  canonicalised on its own, then the groups are unioned by name.
-* The 0-based data-row position of each line (used for ``UNKNOWN_<n>``
-  identifiers and for "first row in file order") is exact and distributed:
-  a line's position is the number of lines in earlier blocks of its file (a
-  prefix sum over the small per-block count table) plus its offset inside its
-  block (``monotonically_increasing_id`` is consecutive within a block).
-* ``multi_line=True`` (default) accepts quoted newlines like pandas; such files
-  are not splittable, so one file is one task -- repartition happens on the
-  matched rows downstream, never on the whole file.
+* Every cell is read as text (NPIs must stay strings) and the strings a pandas
+  read treats as missing become NULL.
+* The header of **every** data file is read, and files are grouped by it: columns
+  never bind by position across files, years or layouts.
+* Files are split: lines are read as text, checked for balanced quotes and parsed
+  with ``from_csv``. A quoted line feed leaves a line unbalanced; then
+  ``multi_line=False`` raises, and the default reads the files again as whole
+  files (``multiLine``, one task each). Nothing is parsed wrongly on the way.
+* The CSV is parsed **once**: canonical rows are staged as Parquet in the shared
+  folder, with each row's file, block and place in the block. Positions (W3) come
+  from that table: lines of earlier blocks (a prefix sum over one row per block)
+  plus the place in the block.
 """
 
 from __future__ import annotations
 
+import csv
 import os
 import re
+import warnings
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paylens.constants import FILE_NAME_PATTERN
 from paylens.functions.text import null_markers
-from paylens.plans.layouts import canonicalize, required_columns, validate_columns
+from paylens.plans.layouts import absent_columns, canonicalize
+from paylens.session import staged
 
-# The per-block offset table has one ~100-byte row per input split: 2M splits
-# (about 250 TB of CSV at 128 MB splits) is ~200 MB, still fine to broadcast.
-# Above it the join shuffles the rows on (file, block) -- exact, but a full
-# shuffle; at that size ingest once into the Parquet store instead.
-BROADCAST_BLOCK_ROWS = 2_000_000
-
-
-def _reader(spark: SparkSession, multi_line: bool):
-    return (spark.read.option("header", True).option("multiLine", multi_line)
-            .option("quote", '"').option("escape", '"').option("inferSchema", False)
-            .option("mode", "PERMISSIVE"))
+OPEN_QUOTE = "a quoted cell holds a line feed; such files need multi_line=True"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -48,107 +41,145 @@ def _fs(spark: SparkSession, path: str):
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
 
-def _data_files(spark: SparkSession, path: str) -> list:
-    """File statuses of a path: the file itself, or the non-hidden files of a folder."""
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """Paths of a file, or of the non-hidden, non-empty files of a folder."""
     fs, hpath = _fs(spark, path)
-    st = fs.getFileStatus(hpath)
-    if not st.isDirectory():
-        return [st]
-    files = [f for f in fs.listStatus(hpath)
-             if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
-    return sorted(files, key=lambda f: f.getPath().getName())
+    status = fs.getFileStatus(hpath)
+    found = [status] if not status.isDirectory() else [
+        f for f in fs.listStatus(hpath) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    return sorted(f.getPath().toString() for f in found if f.getLen() > 0)
 
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the first line of the first non-empty file, read
-    on the driver through the Hadoop file system (no Spark job, no data pass)."""
-    import csv as _csv
-
-    fs, _ = _fs(spark, path)
-    for st in _data_files(spark, path):
-        if st.getLen() == 0:
-            continue
-        stream = fs.open(st.getPath())
-        try:
-            reader = spark.sparkContext._jvm.java.io.BufferedReader(
-                spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+def header_line(spark: SparkSession, path: str) -> str:
+    """The first line that is not blank, read through the Hadoop file system."""
+    fs, hpath = _fs(spark, path)
+    stream = fs.open(hpath)
+    try:
+        jvm = spark.sparkContext._jvm
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        line = reader.readLine()
+        while line is not None and not line.strip("﻿ \t"):
             line = reader.readLine()
-        finally:
-            stream.close()
-        if line:
-            return next(_csv.reader([line.lstrip("\ufeff")]))
-    return _reader(spark, False).csv(path).columns
+    finally:
+        stream.close()
+    return line or ""
 
 
-def block_bound(spark: SparkSession, path: str, multi_line: bool) -> int:
-    """Upper bound on the input splits of a path, from the file listing: one per
-    file with ``multiLine``, else one per ``maxPartitionBytes`` slice."""
-    files = _data_files(spark, path)
-    if multi_line:
-        return len(files)
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", str(128 << 20))
-                .rstrip("b").rstrip("B") or 128 << 20)
-    return sum(st.getLen() // max(split, 1) + 1 for st in files)
+def columns_of(line: str) -> list[str]:
+    return next(csv.reader([line.lstrip("﻿")]), [])
+
+
+def read_header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a file, or of the first data file of a folder."""
+    files = data_files(spark, path)
+    return columns_of(header_line(spark, files[0])) if files else []
 
 
 def check_exists(spark: SparkSession, path: str) -> None:
-    """Fail early, naming the missing file."""
+    """Fail early, naming the absent file."""
     fs, hpath = _fs(spark, path)
     if not fs.exists(hpath):
-        raise FileNotFoundError(f"CSV file not found: {path}")
-
-
-def read_raw(spark: SparkSession, path, *, multi_line: bool = True,
-             unit=None) -> DataFrame:
-    """One file, or several files sharing one header, as all-string columns
-    with pandas NULL markers applied, plus the file-order columns. ``_unit`` is
-    the input whose rows are numbered together (default: the given path)."""
-    df = _reader(spark, multi_line).csv(path)
-    cols = [null_markers(F.col(f"`{c}`")).alias(c) for c in df.columns]
-    return df.select(*cols,
-                     (F.lit(path) if unit is None else unit).alias("_unit"),
-                     F.col("_metadata.file_path").alias("_file"),
-                     F.col("_metadata.file_block_start").alias("_block"),
-                     F.monotonically_increasing_id().alias("_mid"))
-
-
-def with_row_position(raw: DataFrame, max_blocks: int | None = None) -> DataFrame:
-    """Exact 0-based line position within each input unit (a file, or a
-    folder of part files read as one file), without a global sort: per-block
-    counts -> prefix sum over the (small) block table -> offset in block."""
-    blocks = raw.groupBy("_unit", "_file", "_block").agg(F.min("_mid").alias("_first"),
-                                                         F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_unit").orderBy("_file", "_block").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = blocks.select("_file", "_block", "_first",
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    n_blocks = max_blocks if max_blocks is not None else offsets.count()
-    side = F.broadcast(offsets) if n_blocks <= BROADCAST_BLOCK_ROWS else offsets
-    return (raw.join(side, ["_file", "_block"])
-            .withColumn("_pos", F.col("_before") + F.col("_mid") - F.col("_first"))
-            .drop("_first", "_before"))
-
-
-def read_payment_file(spark: SparkSession, path: str, *, year: int | None = None,
-                      source_file: str | None = None, multi_line: bool = True,
-                      unknown_id: str = "row") -> DataFrame:
-    """S1 + S5 + S6: one yearly file -> canonical rows (invalid amounts kept as NULL)."""
+        raise FileNotFoundError(f"no payment file at {path}")
+
+
+def _place() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+
+
+def _split_rows(spark: SparkSession, files: list[str], lines: set[str], names: list[str]) -> DataFrame:
+    """Rows of files that share a header, parsed line by line."""
+    text = spark.read.text(files).select("value", *_place())
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    odd = quotes % 2 == 1
+    is_row = (F.trim("value") != "") & ~((F.col("_block") == 0) & F.col("value").isin(*lines))
+    rows = text.where(F.when(odd, F.raise_error(F.lit(OPEN_QUOTE)).cast("boolean")).otherwise(is_row))
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    cells = F.from_csv("value", F.lit(schema), {"quote": '"', "escape": '"'})
+    parsed = rows.select(cells.alias("v"), "_file", "_block")
+    return parsed.select(*[F.col(f"v.c{i}").alias(n) for i, n in enumerate(names)], "_file", "_block")
+
+
+def _whole_rows(spark: SparkSession, files: list[str], names: list[str]) -> DataFrame:
+    """Rows of files that share a header, one task per file; quoted line feeds are cells' text."""
+    raw = (spark.read.option("header", True).option("enforceSchema", False).option("multiLine", True)
+           .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+           .schema(", ".join(f"`{n}` string" for n in names)).csv(files))
+    return raw.select(*[F.col(f"`{n}`") for n in names], *_place())
+
+
+def numbered(rows: DataFrame, unit: str = "_unit") -> DataFrame:
+    """``_pos``, the 0-based place of each row in its unit, over *stored* rows with
+    ``_file``, ``_block`` and ``_mid`` (consecutive in a block): lines of earlier
+    blocks plus the place in the block. Both sides read one stored table, so no row
+    can be lost or moved."""
+    blocks = rows.groupBy(unit, "_file", "_block").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(unit).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (rows.join(offsets, ["_file", "_block"])
+            .withColumn("_pos", F.col("_before") + F.col("_mid") - F.col("_first")).drop("_first", "_before"))
+
+
+def read_files(spark: SparkSession, files: Sequence[str], *, unit: Column, year: Column, source_file: Column,
+               multi_line: bool | None = None, unknown_id: str = "row") -> DataFrame:
+    """S1 + S5 + U2: data files of any headers -> canonical rows (invalid amounts as
+    NULL). ``unit``, ``year`` and ``source_file`` are expressions of ``_file``, the
+    path of a row's file; rows are numbered within a unit. The files are parsed and
+    staged when this is called."""
+    groups: dict[tuple, tuple[list[str], set[str]]] = {}
+    for path in files:
+        line = header_line(spark, path)
+        paths, lines = groups.setdefault(tuple(columns_of(line)), ([], set()))
+        paths.append(path)
+        lines.update((line, line.lstrip("﻿")))
+
+    def canonical(whole: bool) -> DataFrame:
+        parts = []
+        for header, (paths, lines) in groups.items():
+            names = [n if header.index(n) == i else f"{n}.{i}" for i, n in enumerate(header)]
+            rows = _whole_rows(spark, paths, names) if whole else _split_rows(spark, paths, lines, names)
+            cells = [null_markers(F.col(f"`{n}`")).alias(n) for n in names]
+            wide = rows.select(*cells, "_file", "_block", F.monotonically_increasing_id().alias("_mid"))
+            parts.append(canonicalize(wide, source_file=source_file, year=year, row_pos=F.lit(None).cast("bigint"),
+                                      unknown_id=unknown_id, validate=False,
+                                      keep=[unit.alias("_unit"), "_file", "_block", "_mid"]))
+        return reduce(lambda a, b: a.unionByName(b), parts)
+
+    try:
+        stored = staged(canonical(bool(multi_line)), "csv-rows")
+    except PySparkException as e:
+        if multi_line is not None or OPEN_QUOTE not in str(e):
+            raise
+        stored = staged(canonical(True), "csv-rows")
+    rows = numbered(stored).withColumn("row_pos", F.col("_pos"))
+    where = F.concat(F.col("source_file"), F.lit("#")) if unknown_id == "file_row" else F.lit("")
+    unknown = F.concat(F.lit("UNKNOWN_"), where, F.col("_pos").cast("string"))
+    return rows.withColumn("identifier", F.coalesce("identifier", unknown)).drop("_unit", "_file", "_block", "_mid", "_pos")
+
+
+def read_payment_file(spark: SparkSession, path: str, *, year: int | None = None, source_file: str | None = None,
+                      multi_line: bool | None = None, unknown_id: str = "row") -> DataFrame:
+    """S1 + S6: one yearly file (or a folder of its part files) -> canonical rows."""
     check_exists(spark, path)
-    header = read_header(spark, path)
-    validate_columns(header, required_columns(header))
-    raw = with_row_position(read_raw(spark, path, multi_line=multi_line),
-                            max_blocks=block_bound(spark, path, multi_line))
-    src = F.lit(source_file or os.path.basename(path))
-    yr = F.lit(year).cast("int") if year is not None else F.lit(None).cast("int")
-    return canonicalize(raw, source_file=src, year=yr, row_pos=F.col("_pos"),
-                        unknown_id=unknown_id, validate=False)
+    files = data_files(spark, path)
+    check_columns(spark, path, files)
+    return read_files(spark, files, unit=F.lit(path), year=F.lit(year).cast("int"), unknown_id=unknown_id,
+                      source_file=F.lit(source_file or os.path.basename(path)), multi_line=multi_line)
+
+
+def check_columns(spark: SparkSession, path: str, files: list[str]) -> None:
+    """Every data file must have the columns that its layout needs."""
+    if not files:
+        raise ValueError(f"{path} holds no data")
+    for f in files:
+        if gone := absent_columns(columns_of(header_line(spark, f))):
+            raise ValueError(f"{f} lacks the columns {gone}")
 
 
 def year_file(directory: str, year: int) -> str:
     return os.path.join(directory, FILE_NAME_PATTERN.format(year=year))
 
 
-def _unit_pattern() -> str:
+def unit_pattern() -> str:
     """Regex over a data file's path capturing the yearly file name -- the file
     itself, or the folder holding Spark's part files -- and its year."""
     prefix, suffix = FILE_NAME_PATTERN.split("{year}")
@@ -156,53 +187,40 @@ def _unit_pattern() -> str:
     return rf"^.*/({name})(?:/[^/]*)?$"
 
 
-def read_payment_years(spark: SparkSession, directory: str, years: Sequence[int], *,
-                       multi_line: bool = True, unknown_id: str = "row",
-                       on_error: str = "raise") -> DataFrame:
-    """S2 + U2: ``<year>_rsh_payments.csv`` per requested year.
+def read_payment_years(spark: SparkSession, directory: str, years: Sequence[int], *, multi_line: bool | None = None,
+                       unknown_id: str = "row", on_error: str = "raise") -> DataFrame:
+    """S2 + U2: ``<year>_rsh_payments.csv`` per requested year, layouts mixed at will.
 
-    Years whose files share one header are read by a single CSV scan (the year
-    and the numbering unit come from each row's file path); groups with
-    different headers -- e.g. the older and newer layouts -- are read and
-    canonicalised separately and unioned by name, so columns never bind by
-    position across layouts. ``on_error="skip_year"`` drops a year whose file
-    lacks required columns (a missing file always raises).
-    """
-    groups: dict[tuple, list[str]] = {}
+    Years and numbering units come from each row's file path. ``on_error="skip_year"``
+    drops, with a warning, a year of which a file lacks required columns (an absent
+    file always raises)."""
+    files: list[str] = []
     for y in dict.fromkeys(int(v) for v in years):
         path = year_file(directory, y)
         check_exists(spark, path)
-        header = read_header(spark, path)
+        mine = data_files(spark, path)
         try:
-            validate_columns(header, required_columns(header))
-        except ValueError:
+            check_columns(spark, path, mine)
+        except ValueError as e:
             if on_error != "skip_year":
                 raise
+            warnings.warn(f"year {y} is left out: {e}", stacklevel=2)
             continue
-        groups.setdefault(tuple(header), []).append(path)
-    if not groups:
+        files += mine
+    if not files:
         raise ValueError("no readable year file")
-    pattern = _unit_pattern()
-    parts = []
-    for paths in groups.values():
-        unit = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
-        raw = read_raw(spark, paths, multi_line=multi_line, unit=unit)
-        bound = sum(block_bound(spark, p, multi_line) for p in paths)
-        raw = with_row_position(raw, max_blocks=bound)
-        year = F.regexp_extract(F.col("_unit"), pattern.replace("^.*/(", "^("), 2).cast("int")
-        parts.append(canonicalize(raw, source_file=F.col("_unit"), year=year,
-                                  row_pos=F.col("_pos"), unknown_id=unknown_id,
-                                  validate=False))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
-def write_year_files(wide: DataFrame, directory: str, year_col: str = "year",
-                     order_col: str = "row_id") -> list[int]:
+    unit = F.regexp_extract("_file", unit_pattern(), 1)
+    year = F.regexp_extract("_file", unit_pattern(), 2).cast("int")
+    return read_files(spark, files, unit=unit, year=year, source_file=unit, multi_line=multi_line, unknown_id=unknown_id)
+
+
+def write_year_files(wide: DataFrame, directory: str, year_col: str = "year", order_col: str = "row_id") -> list[int]:
     """Write a wide table as header-bearing CSV per year in one Spark job
     (stand-in fixtures and the K1 writer): rows range-partitioned and sorted on
     ``(year, order_col)``, written with ``partitionBy(year)`` so every task
     writes its own slice. Each year's folder is then named like a yearly file
-    (``<year>_rsh_payments.csv``) so readers treat it as one input."""
+    (``<year>_rsh_payments.csv``) so readers treat it as one input; a name that is
+    taken raises."""
     staging = directory.rstrip("/") + "/_staging"
     (wide.repartitionByRange(F.col(year_col), F.col(order_col))
          .sortWithinPartitions(year_col, order_col).drop(order_col)
@@ -215,6 +233,8 @@ def write_year_files(wide: DataFrame, directory: str, year_col: str = "year",
         name = st.getPath().getName()
         if st.isDirectory() and name.startswith(f"{year_col}="):
             y = int(name.split("=", 1)[1])
-            fs.rename(st.getPath(), _fs(spark, year_file(directory, y))[1])
+            target = _fs(spark, year_file(directory, y))[1]
+            if fs.exists(target) or not fs.rename(st.getPath(), target):
+                raise FileExistsError(f"cannot name the rows of {y} {target.toString()}")
             years.append(y)
     return sorted(years)

@@ -1,103 +1,92 @@
 """Incremental ingestion of yearly payment files with Structured Streaming.
 
-The disclosure files arrive as whole CSV files (one per program year, plus
-re-publications). A file-source stream over the landing folder discovers new
-files; each micro-batch reads exactly those files with the batch reader (every
-file keeps its own header and layout, so columns never bind by position),
-canonicalises them, appends them to the canonical Parquet store and appends
-their appearance-index groups.
-
-Appending index groups is exact without a state store: ``source_file`` is one
-of the ten grouping keys and a file arrives whole within one micro-batch, so
-no group spans two batches. Each batch writes into its own
-``batch_id=<n>`` folder with overwrite, so a batch replayed after a failure
-replaces its own output (idempotent), and the stream's progress lives in the
-checkpoint location.
+The disclosure files arrive as whole CSV files, or as folders of part files, one per
+program year, and again when a year is re-published. A file-source stream over the
+landing folder discovers them; a micro-batch takes at most ``max_files`` paths, reads
+those files with the batch reader (grouped by header), appends the canonical rows to
+the Parquet store and, from the rows just stored, the groups of the appearance index.
+
+Rows keep ``published``, the folder that their yearly file landed in. Readers take,
+of each yearly file, the publication of the latest batch (of one batch, the folder
+that sorts last), so a re-publication replaces what was there. Each batch writes its
+own ``batch_id=<n>`` folder with overwrite: a batch replayed after a failure replaces
+its own output. The part files of a folder must land together to be numbered
+together.
 """
 
 from __future__ import annotations
 
 import os
-from functools import reduce
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylens.constants import YEAR_IN_PATH
 from paylens.operators.appearances import INDEX_KEYS, appearance_index
-from paylens.plans.layouts import canonicalize, required_columns, validate_columns
-from paylens.sources.csv_years import (
-    _unit_pattern, block_bound, read_header, read_raw, with_row_position,
-)
+from paylens.sources.csv_years import columns_of, header_line, read_files, unit_pattern
+from paylens.plans.layouts import absent_columns
 from paylens.sources.store import write_canonical
 
 
-def unit_of(path: str) -> tuple[str, int | None]:
-    """(source_file, year) of a landed data file: the yearly file itself, or the
-    ``<year>_rsh_payments.csv`` folder holding Spark's part files; otherwise the
-    file name and the first 19xx/20xx in it."""
-    import re
-
-    m = re.match(_unit_pattern(), path)
-    if m:
-        return m.group(1), int(m.group(2))
-    name = os.path.basename(path)
-    y = re.search(YEAR_IN_PATH, name)
-    return name, (int(y.group(1)) if y else None)
-
-
-def ingest_batch(spark: SparkSession, paths: list[str], store: str, index: str,
-                 batch_id: int, multi_line: bool = True) -> None:
-    """Canonicalise the given files and append them (one folder per batch).
-
-    Files of one logical yearly file are read together, so their rows are
-    numbered as one file."""
+def ingest_batch(spark: SparkSession, paths: list[str], store: str, index: str, batch_id: int,
+                 multi_line: bool | None = None) -> None:
+    """Canonicalise the given files and append them (one folder per batch)."""
     if not paths:
         return
-    units: dict[tuple, list[str]] = {}
-    for p in sorted(paths):
-        units.setdefault(unit_of(p), []).append(p)
-    parts = []
-    for (source_file, year), files in units.items():
-        header = read_header(spark, files[0])
-        validate_columns(header, required_columns(header))
-        raw = with_row_position(read_raw(spark, files, multi_line=multi_line),
-                                max_blocks=sum(block_bound(spark, f, multi_line) for f in files))
-        parts.append(canonicalize(raw, source_file=F.lit(source_file),
-                                  year=F.lit(year).cast("int"), row_pos=F.col("_pos"),
-                                  validate=False))
-    canonical = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    canonical = canonical.persist()
-    try:
-        write_canonical(canonical, os.path.join(store, f"batch_id={batch_id}"),
-                        mode="overwrite")
-        idx = appearance_index(canonical).withColumn(
-            "total_payment", F.col("total_payment").cast("decimal(38,6)"))
-        idx.write.mode("overwrite").parquet(os.path.join(index, f"batch_id={batch_id}"))
-    finally:
-        canonical.unpersist()
+    for p in paths:
+        if gone := absent_columns(columns_of(header_line(spark, p))):
+            raise ValueError(f"{p} lacks the columns {gone}")
+    pattern = unit_pattern()
+    name = F.regexp_extract("_file", r"[^/]*$", 0)
+    unit = F.coalesce(F.nullif(F.regexp_extract("_file", pattern, 1), F.lit("")), name)
+    year = F.coalesce(F.nullif(F.regexp_extract("_file", pattern, 2), F.lit("")),
+                      F.nullif(F.regexp_extract(name, YEAR_IN_PATH, 1), F.lit(""))).cast("int")
+    # The folder of the yearly file is what tells publications of a year apart.
+    folder = F.regexp_replace("_file", re.sub(r"^\^\.\*/", "/", pattern), "/")
+    rows = read_files(spark, sorted(paths), unit=F.concat(folder, unit), year=year, source_file=F.concat_ws("\u0001", unit, folder),
+                      multi_line=multi_line)
+    parts = F.split("source_file", "\u0001")
+    canonical = rows.withColumns({"published": F.element_at(parts, 2), "source_file": F.element_at(parts, 1)})
+    target = os.path.join(store, f"batch_id={batch_id}")
+    write_canonical(canonical, target, mode="overwrite")
+    stored = spark.read.schema(canonical.schema).parquet(target)
+    groups = appearance_index(stored, keep=["published"])
+    groups.withColumn("total_payment", F.col("total_payment").cast("decimal(38,6)")).write.mode("overwrite").parquet(
+        os.path.join(index, f"batch_id={batch_id}"))
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """Rows of each yearly file's latest publication."""
+    version = rows.groupBy("source_file").agg(F.max(F.struct("batch_id", "published")).alias("v")).select(
+        F.col("source_file").alias("_f"), F.col("v.published").alias("_p"))
+    return rows.join(version, (F.col("source_file") == F.col("_f")) & (F.col("published") == F.col("_p"))).drop("_f", "_p")
+
+
+def read_store(spark: SparkSession, store: str) -> DataFrame:
+    """The streamed canonical rows, latest publications only."""
+    return latest(spark.read.parquet(store)).drop("batch_id", "published")
 
 
 def read_index(spark: SparkSession, index: str) -> DataFrame:
     """The streamed index, re-aggregated so that a group whose files arrived in
     different micro-batches is still one exact row."""
-    parts = spark.read.parquet(index).drop("batch_id")
-    return (parts.groupBy(*INDEX_KEYS)
+    return (latest(spark.read.parquet(index)).groupBy(*INDEX_KEYS)
             .agg(F.sum("total_payment").alias("total_payment"),
                  F.sum("instance_count").alias("instance_count")))
 
 
-def start_ingest(spark: SparkSession, landing: str, store: str, index: str,
-                 checkpoint: str, *, available_now: bool = False,
-                 glob: str = "*.csv", multi_line: bool = True):
+def start_ingest(spark: SparkSession, landing: str, store: str, index: str, checkpoint: str, *,
+                 available_now: bool = False, glob: str = "*.[cC][sS][vV]", multi_line: bool | None = None,
+                 max_files: int = 1000):
     """Start the stream; returns the ``StreamingQuery``.
 
-    Only file paths travel through the driver (``binaryFile`` with its
-    ``content`` column pruned); the rows are read by the executors.
+    Only the paths of a micro-batch, ``max_files`` at most, travel through the driver
+    (``binaryFile`` with its ``content`` column pruned); executors read the rows.
     """
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     files: DataFrame = (spark.readStream.format("binaryFile").schema(schema)
-                        .option("pathGlobFilter", glob)
+                        .option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files)
                         .option("recursiveFileLookup", "true")
                         .load(landing).select("path"))
 
