@@ -55,9 +55,9 @@ def canon(kind: str = "bridge", chunk: int = 2048) -> str:
     pi_npis = ", ".join(f"nullif(p{j}n, '')" for j in SLOTS)
     people = " ".join(f"UNION ALL SELECT row_id, {j}, p{j}f, p{j}m, p{j}l, p{j}n FROM ci"
                       for j in SLOTS)
-    return f"""c AS (
+    return f"""c AS MATERIALIZED (
   SELECT row_id, year, {src} AS source_file, CAST({pos} AS BIGINT) AS pos,
-    TRY_CAST({PAY} AS DECIMAL(20,6)) AS amount,
+    TRY_CAST({PAY} AS DECIMAL(38,6)) AS amount,
     {cl(CR + 'First_Name')} AS cf, {cl(CR + 'Middle_Name')} AS cm,
     {cl(CR + 'Last_Name')} AS cln, {cl(CR + 'NPI')} AS cnpi,
     {cl(CR + 'Profile_ID')} AS cprof,
@@ -65,11 +65,11 @@ def canon(kind: str = "bridge", chunk: int = 2048) -> str:
                               nullif({cl(CR + 'Specialty_2')}, '')), ''), 'Unknown') AS spec,
     {pi_cols}
   FROM ({BRIDGE_SQL}) w
-), ci AS (
+), ci AS MATERIALIZED (
   SELECT *, coalesce(nullif(cnpi, ''), {pi_npis},
                      'PROFILE_' || nullif(cprof, ''), 'UNKNOWN_' || CAST(pos AS VARCHAR)) AS ident
   FROM c
-), people AS (
+), people AS MATERIALIZED (
   SELECT row_id, 0 AS slot, cf AS f, cm AS m, cln AS l, cnpi AS npi FROM ci
   {people}
 )"""
@@ -91,14 +91,19 @@ def queries_values(rows) -> str:
     return f"q AS (SELECT CAST(col0 AS BIGINT) AS query_id, col1 AS qf, col2 AS qm, col3 AS ql FROM (VALUES {vals}))"
 
 
-def parsed_names_values(names) -> str:
-    """Names list -> (query_id, raw, first, middle, last) with the name-parsing rule."""
+def names_values(names) -> str:
+    """A literal names list as a query (query_id, raw)."""
     vals = ", ".join(f"({i}, {sql_str(n)})" for i, n in enumerate(names, start=1))
+    return f"SELECT CAST(col0 AS BIGINT) AS query_id, col1 AS raw FROM (VALUES {vals})"
+
+
+def parsed_names(names_sql: str) -> str:
+    """A names query -> (query_id, raw, first, middle, last) with the name-parsing rule."""
     parts = (r"list_filter(string_split_regex("
              + strip(r"regexp_replace(raw, '\([^)]*\)', '', 'g')")
              + r", '\s+'), lambda x: x <> '')")
     return f"""nm AS (
-  SELECT CAST(col0 AS BIGINT) AS query_id, col1 AS raw FROM (VALUES {vals})
+  {names_sql}
 ), np AS (SELECT query_id, raw, {parts} AS parts FROM nm
 ), parsed AS (
   SELECT query_id, raw,
@@ -143,16 +148,16 @@ def report_ctes(years, merge: str = "reference") -> str:
   WHERE w.mode = 'wide'
 )"""
     return f""", {modes_cte()},
-hits AS (
+hits AS MATERIALIZED (
   SELECT DISTINCT m.query_id, m.mode, p.row_id
   FROM people p JOIN qm m ON lower(p.f) = m.kf AND lower(p.l) = m.kl
   WHERE p.f <> '' AND p.l <> '' AND (m.km IS NULL OR {middle_ok('p.m')})
-), pihit AS (
+), pihit AS MATERIALIZED (
   SELECT m.query_id, m.mode, p.row_id, min(p.slot) AS slot
   FROM people p JOIN qm m ON lower(p.f) = m.kf AND lower(p.l) = m.kl
   WHERE p.slot >= 1 AND p.f <> '' AND p.l <> '' AND (m.km IS NULL OR {middle_ok('p.m')})
   GROUP BY 1, 2, 3
-), named AS (
+), named AS MATERIALIZED (
   SELECT h.query_id, h.mode, x.year, x.row_id, x.amount, x.ident,
     CASE WHEN x.cf <> '' AND x.cln <> '' AND lower(x.cf) = m.kf AND lower(x.cln) = m.kl
               AND (m.km IS NULL OR {middle_ok('x.cm', 'm.km')}) THEN {jn('x.cf', 'x.cm', 'x.cln')}
@@ -170,7 +175,7 @@ hits AS (
   LEFT JOIN pihit ph ON ph.query_id = h.query_id AND ph.mode = h.mode AND ph.row_id = h.row_id
   LEFT JOIN people pp ON pp.row_id = h.row_id AND pp.slot = ph.slot
   WHERE x.amount IS NOT NULL AND x.year IN ({ylist})
-), ranked AS (
+), ranked AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY query_id, mode, year, ident ORDER BY row_id) AS rn,
          sum(amount) OVER (PARTITION BY query_id, mode, year, ident) AS total,
          count(*) OVER (PARTITION BY query_id, mode, year, ident) AS entries

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from paylens.sources.bridge import LISTED_SQL
 from oracle.base import (
-    BRIDGE_SQL, CANON, jn, middle_ok, modes_cte, parsed_names_values, queries_values,
+    BRIDGE_SQL, CANON, jn, middle_ok, modes_cte, names_values, parsed_names, queries_values,
     report_ctes, sql_str, strip,
 )
 from paylens.plans.parity import (
-    BATCH_NAMES, PERSON, SEARCH_YEAR, SUMMARY_FILTER, YEARS,
+    ABSENT_YEAR, BATCH_NAMES, PERSON, SEARCH_YEAR, SUMMARY_FILTER, TOP_LISTED, YEARS,
 )
 
 _ONE = queries_values([(0, *PERSON)])
@@ -61,11 +62,15 @@ _BQ = ("q AS (SELECT query_id, first_name AS qf, middle_name AS qm, last_name AS
        "WHERE first_name IS NOT NULL AND last_name IS NOT NULL)")
 
 
-def _batch_with(extra: str = "") -> str:
-    """Parsed names -> detail -> summary CTEs for the parity names list."""
+_LISTED = parsed_names(LISTED_SQL)
+
+
+def _batch_with(names: str | None = None) -> str:
+    """Parsed names -> detail -> summary CTEs, for the parity names list by default."""
+    names = names or parsed_names(names_values(BATCH_NAMES))
     pq = ", ".join(f"sum(CAST({c} AS DECIMAL(38,6))) AS {c}" for c in _PAY)
     sel = ", ".join(f"CAST(coalesce(s.{c}, 0) AS DOUBLE) AS {c}" for c in _PAY)
-    return f"""WITH {CANON}, {parsed_names_values(BATCH_NAMES)}, {_BQ}{report_ctes(YEARS)},
+    return f"""WITH {CANON}, {names}, {_BQ}{report_ctes(YEARS)},
 perq AS (
   SELECT query_id, {pq}, sum(CAST(Total_USD AS DECIMAL(38,6))) AS tp, sum(Entry_Count) AS te
   FROM detail GROUP BY query_id
@@ -79,7 +84,7 @@ perq AS (
   SELECT {jn('first_name', "coalesce(middle_name, '')", 'last_name')} AS display_name,
          max(query_id) AS query_id
   FROM parsed WHERE first_name IS NOT NULL AND last_name IS NOT NULL GROUP BY 1
-){extra}"""
+)"""
 
 
 def _batch_detail() -> str:
@@ -91,7 +96,7 @@ def _batch_summary() -> str:
 
 
 def _rejected() -> str:
-    return (f"WITH {parsed_names_values(BATCH_NAMES)} SELECT query_id, raw FROM parsed "
+    return (f"WITH {_LISTED} SELECT query_id, raw FROM parsed "
             "WHERE first_name IS NULL OR last_name IS NULL")
 
 
@@ -122,15 +127,47 @@ def _year_totals() -> str:
                             "AS DECIMAL(38,6))), 0) AS DOUBLE) FROM summary")
 
 
-def _top10() -> str:
+def _top(names: str | None, k: int) -> str:
     cols = ", ".join(_PAY)
-    return _batch_with() + f"""
+    return _batch_with(names) + f"""
 SELECT query_id, {jn('First_Name', 'Middle_Name', 'Last_Name')} AS Physician_Name, {cols},
-  Total_Payment, Total_Entries FROM summary ORDER BY Total_Payment DESC, query_id LIMIT 10"""
+  Total_Payment, Total_Entries FROM summary ORDER BY Total_Payment DESC, query_id LIMIT {k}"""
 
 
 def _last_wins() -> str:
-    return _batch_with() + "\nSELECT display_name, query_id FROM winners"
+    return f"""WITH {_LISTED}
+SELECT {jn('first_name', "coalesce(middle_name, '')", 'last_name')} AS display_name, max(query_id) AS query_id
+FROM parsed WHERE first_name IS NOT NULL AND last_name IS NOT NULL GROUP BY 1"""
+
+
+def _batch_errors() -> str:
+    zeros = ", ".join(f"CAST(0 AS DOUBLE) AS Payment_{y}_USD" for y in [*YEARS, ABSENT_YEAR])
+    return f"""WITH {_LISTED}
+SELECT query_id, raw AS Full_Name, first_name AS First_Name, coalesce(middle_name, '') AS Middle_Name,
+  last_name AS Last_Name, {zeros}, CAST(0 AS DOUBLE) AS Total_Payment, CAST(0 AS BIGINT) AS Total_Entries,
+  '{ABSENT_YEAR}_rsh_payments.csv' AS Error
+FROM parsed WHERE first_name IS NOT NULL AND last_name IS NOT NULL"""
+
+
+def _names_file() -> str:
+    return (f"SELECT CAST(row_number() OVER (ORDER BY query_id) - 1 AS BIGINT) AS query_id, {strip('raw')} AS raw "
+            f"FROM ({LISTED_SQL}) x")
+
+
+_SLUG = "replace(" + strip(r"regexp_replace(raw, '[^\w\s-]', '', 'g')") + ", ' ', '_')"
+_MONEY_TEXT = ", ".join(f"printf('%.2f', {c}) AS {c}" for c in [*_PAY, "Total_USD"])
+
+
+def _detail_export() -> str:
+    return _batch_with() + f"""
+SELECT {_SLUG} AS query_slug, d.query_id, NPI, Physician_Name, Specialty, Entry_Count, {_MONEY_TEXT}
+FROM detail d JOIN parsed p ON p.query_id = d.query_id"""
+
+
+def _physician_export() -> str:
+    return (f"WITH {CANON}, {_ONE}{report_ctes(YEARS)}\nSELECT NPI, Physician_Name, Specialty, Entry_Count, {_MONEY_TEXT}, "
+            f"'research_payments_{PERSON[2]}_{PERSON[0]}_' || "
+            f"(SELECT min(y) || '-' || max(y) FROM (VALUES {', '.join(f'({y})' for y in YEARS)}) t(y)) || '.csv' AS file_name FROM detail")
 
 
 def _summary_filter() -> str:
@@ -170,10 +207,11 @@ FROM np"""
 
 
 def _slug_label() -> str:
-    lab = f"{min(YEARS)}-{max(YEARS)}" if len(YEARS) > 1 else str(YEARS[0])
+    ends = ", ".join(f"({y})" for y in YEARS)
+    lab = f"(SELECT CASE WHEN min(y) < max(y) THEN min(y) || '-' || max(y) ELSE '' || min(y) END FROM (VALUES {ends}) t(y))"
     slug = "replace(" + strip(r"regexp_replace(raw, '[^\w\s-]', '', 'g')") + ", ' ', '_')"
     return (f"WITH {_DATA_NAMES} SELECT query_id, raw, {slug} AS slug, "
-            f"'research_payments_' || {slug} || '_{lab}.csv' AS file_name FROM nm")
+            f"'research_payments_' || {slug} || '_' || {lab} || '.csv' AS file_name FROM nm")
 
 
 def _batch_data_names() -> str:
@@ -217,7 +255,12 @@ ORACLE = {
     "multi_identifier": _multi(),
     "identifier_counts": _counts(),
     "year_totals": _year_totals(),
-    "top10": _top10(),
+    "top10": _top(None, 10),
+    "top_listed": _top(_LISTED, TOP_LISTED),
+    "batch_errors": _batch_errors(),
+    "names_file": _names_file(),
+    "detail_export": _detail_export(),
+    "physician_export": _physician_export(),
     "last_query_wins": _last_wins(),
     "summary_filter": _summary_filter(),
     "alert_flags": _alert_flags(),
@@ -336,8 +379,12 @@ def _dual_year() -> str:
             "FROM merged")
 
 
-_ORDINAL = (f"SELECT year, row_id AS row_pos, CAST(row_number() OVER (PARTITION BY year ORDER BY "
-            f"row_id) - 1 AS BIGINT) AS ordinal FROM ({BRIDGE_SQL}) w")
+_ORDINAL = (f"WITH {canon('csv')} SELECT year, pos AS ordinal, cf AS cov_first, cln AS cov_last, cnpi AS cov_npi, "
+            "CAST(amount AS DOUBLE) AS amount FROM ci")
+
+_MIXED = (f"WITH {canon('csv')} SELECT {_FLAT.replace(', pos AS row_pos', '').replace('ident AS', 'KNOWN AS')} FROM ci "
+          "WHERE amount IS NOT NULL").replace(
+    "KNOWN AS", "CASE WHEN starts_with(ident, 'UNKNOWN_') THEN 'UNKNOWN' ELSE ident END AS")
 
 _YEAR_PATH = (r"SELECT page_id, coalesce(nullif(regexp_extract(url, '((?:19|20)\d{2})', 1), ''), "
               r"'Unknown') AS year FROM pages")
@@ -411,7 +458,7 @@ def _index_json() -> str:
     for c in ("first_name", "middle_name", "last_name", "role", "year", "identifier",
               "identifier_type", "specialty", "source_file"):
         parts.append(f'"{c}":\' || {s(c)}')
-    parts.append('"total_payment":\' || CAST(CAST(total_payment AS DECIMAL(18,2)) AS VARCHAR)')
+    parts.append('"total_payment":\' || CAST(CAST(total_payment AS DECIMAL(38,2)) AS VARCHAR)')
     parts.append('"instance_count":\' || CAST(instance_count AS VARCHAR)')
     body = " || \',".join(parts)
     return _apps_ctes() + f"\nSELECT '{{{body} || '}}' AS record FROM idx"
@@ -421,7 +468,7 @@ def _search_report() -> str:
     return _apps_ctes() + f"""
 SELECT display_name, lower(display_name) AS display_name_normalized, first_name, middle_name, last_name,
   role, year, identifier, identifier_type, specialty, source_file,
-  CAST(CAST(total_payment AS DECIMAL(18,2)) AS DOUBLE) AS total_payment,
+  CAST(CAST(total_payment AS DECIMAL(38,2)) AS DOUBLE) AS total_payment,
   CAST(instance_count AS BIGINT) AS instance_count,
   CASE WHEN identifier = '' THEN 'Missing unique identifier' ELSE identifier_type || ': ' || identifier END
     AS identifier_label
@@ -465,6 +512,8 @@ ORACLE.update({
     "index_json": _index_json(),
     "search_report": _search_report(),
     "csv_roundtrip_scan": _canonical("csv"),
+    "csv_split_scan": _canonical("csv"),
+    "mixed_layout_years": _MIXED,
     "unioned_years": _unioned_years(),
     "zip_scan": _canonical("zip"),
     "zip_index": _apps_ctes("zip") + "\n" + _IDX_TYPED,

@@ -17,17 +17,21 @@ from pyspark.sql import functions as F
 from paylens.functions.text import join_name, parse_name, strip
 from paylens.operators import matching, report
 from paylens.operators.report import payment_column, unique_years
+from paylens.plans.layouts import CANONICAL
+from paylens.session import staged
+from paylens.sources.csv_years import (
+    check_columns, check_exists, data_files, numbered, read_payment_years, year_file,
+)
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
-    """One name per line, stripped, blank lines dropped, file order kept.
-
-    ``query_id`` grows with the line order (partition-major ids of the text scan).
-    """
-    lines = spark.read.text(path)
-    return (lines.select(F.monotonically_increasing_id().alias("query_id"),
-                         strip(F.col("value")).alias("raw"))
-            .where(F.col("raw") != ""))
+    """One name per line, stripped, blank lines dropped. ``query_id`` is the
+    name's place in the file (of a folder: in its files by name)."""
+    lines = spark.read.text(path).select(
+        strip(F.col("value")).alias("raw"), F.lit(path).alias("_unit"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"))
+    kept = lines.where(F.col("raw") != "").withColumn("_mid", F.monotonically_increasing_id())
+    return numbered(staged(kept, "names")).select(F.col("_pos").alias("query_id"), "raw")
 
 
 def names_frame(spark: SparkSession, names: Sequence[str]) -> DataFrame:
@@ -61,25 +65,24 @@ def display_name() -> "F.Column":
 
 def batch_detail(payments: DataFrame, accepted: DataFrame, years: Sequence[int], *,
                  case_sensitive: bool = False, merge: str = "reference",
-                 n_names: int | None = None) -> DataFrame:
-    """D3 for every accepted name in one pass: detail rows keyed by query_id.
-
-    ``n_names`` (the number of accepted names, counted once when not given) is
-    the proven size bound that decides whether the query side is broadcast."""
+                 names_bytes: int | None = None) -> DataFrame:
+    """D3 for every accepted name in one pass: detail rows keyed by query_id, money
+    exact. ``names_bytes`` (measured when not given) decides whether the names are
+    broadcast."""
     queries = accepted.select("query_id", "first_name", "middle_name", "last_name")
-    n = accepted.count() if n_names is None else n_names
+    size = matching.table_bytes(queries) if names_bytes is None else names_bytes
     return report.physician_detail(payments, queries, years, case_sensitive=case_sensitive,
-                                   merge=merge, query_rows=n)
+                                   merge=merge, query_bytes=size)
 
 
 def batch_summary(accepted: DataFrame, detail: DataFrame, years: Sequence[int],
-                  n_names: int | None = None) -> DataFrame:
+                  errors: dict[int, str] | None = None) -> DataFrame:
     """J5 + A10: one row per accepted name, zeros when nothing matched.
 
     Full_Name, First_Name, Middle_Name, Last_Name, Payment_<y>_USD..., Total_Payment,
-    Total_Entries (plus query_id). The per-name totals hold at most one row per
-    accepted name, so ``n_names`` bounds them and they are broadcast under the
-    limit (the names side is preserved by the outer join, so it streams).
+    Total_Entries (plus query_id). Where ``errors`` tells why years could not be read,
+    the tool could report no name: all amounts are zero and ``Error`` holds the first
+    reason in request order.
     """
     years = unique_years(years)
     exact = [F.sum(F.col(payment_column(y)).cast("decimal(38,6)")).alias(payment_column(y))
@@ -88,9 +91,8 @@ def batch_summary(accepted: DataFrame, detail: DataFrame, years: Sequence[int],
                  .agg(*exact,
                       F.sum(F.col("Total_USD").cast("decimal(38,6)")).alias("Total_Payment"),
                       F.sum("Entry_Count").alias("Total_Entries")))
-    if n_names is not None:
-        per_query = matching.broadcast_if_bounded(per_query, n_names)
     joined = accepted.join(per_query, "query_id", "left")
+    reason = [] if not errors else [F.lit(next(errors[y] for y in years if y in errors)).alias("Error")]
     return (joined.select(
         "query_id",
         F.col("raw").alias("Full_Name"),
@@ -101,6 +103,7 @@ def batch_summary(accepted: DataFrame, detail: DataFrame, years: Sequence[int],
           for y in years],
         F.coalesce(F.col("Total_Payment"), F.lit(0)).cast("double").alias("Total_Payment"),
         F.coalesce(F.col("Total_Entries"), F.lit(0)).cast("bigint").alias("Total_Entries"),
+        *reason,
     ))
 
 
@@ -118,31 +121,23 @@ def last_query_wins(accepted: DataFrame) -> DataFrame:
             .groupBy("display_name").agg(F.max("query_id").alias("query_id")))
 
 
-def multi_identifier(accepted: DataFrame, detail: DataFrame,
-                     n_names: int | None = None) -> DataFrame:
+def multi_identifier(accepted: DataFrame, detail: DataFrame) -> DataFrame:
     """A8 + P24: physicians whose report holds more than one identifier, with
     their detail rows: (name, NPI, Specialty, Entry_Count, Total_USD).
-    ``n_names`` bounds the winners table (one row per display name)."""
-    winners = last_query_wins(accepted)
-    if n_names is not None:
-        winners = matching.broadcast_if_bounded(winners, n_names)
-    # detail is already one row per (query, identifier): a window over one
-    # name's identifiers counts them without a second pass over the payments
-    n_ids = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-    multi = detail.withColumn("n_ids", n_ids).where(F.col("n_ids") > 1)
-    return (multi.join(winners, "query_id")
+
+    ``detail`` has one row per (query, identifier): counts per query, made with a
+    map-side step, pick the queries, so no name's identifiers gather in one task."""
+    several = detail.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_ids")).where(F.col("n_ids") > 1)
+    winners = last_query_wins(accepted).join(several.select("query_id"), "query_id")
+    return (detail.join(winners, "query_id")
             .select(F.col("display_name").alias("name"), "NPI", "Specialty",
-                    "Entry_Count", "Total_USD"))
+                    "Entry_Count", F.col("Total_USD").cast("double").alias("Total_USD")))
 
 
-def summary_with_alerts(accepted: DataFrame, detail: DataFrame,
-                        summary: DataFrame, n_names: int | None = None) -> DataFrame:
+def summary_with_alerts(accepted: DataFrame, detail: DataFrame, summary: DataFrame) -> DataFrame:
     """Each summary row flagged when its display name is in the alert set
     (a physician whose winning listing holds more than one identifier)."""
-    flagged = (multi_identifier(accepted, detail, n_names)
-               .select(F.col("name").alias("_n")).distinct())
-    if n_names is not None:
-        flagged = matching.broadcast_if_bounded(flagged, n_names)
+    flagged = multi_identifier(accepted, detail).select(F.col("name").alias("_n")).distinct()
     name = join_name(F.col("First_Name"), F.col("Middle_Name"), F.col("Last_Name"))
     return (summary.join(flagged, name == F.col("_n"), "left")
             .withColumn("Has_Multiple_NPIs", F.col("_n").isNotNull()).drop("_n"))
@@ -203,40 +198,63 @@ def summary_filter(summary: DataFrame, text: str) -> DataFrame:
 
 
 class BatchReport:
-    """Every output of one batch run, all lazily planned DataFrames."""
+    """Every output of one batch run.
 
-    def __init__(self, payments: DataFrame, names: DataFrame, years: Sequence[int], *,
-                 case_sensitive: bool = False, merge: str = "reference"):
-        from paylens.session import ensure_checkpoint_dir
+    The constructor parses and stores the names, matches them with the payments once
+    and stores the detail -- one row per (name, identifier) -- in the shared folder.
+    Every output is a lazy DataFrame over those two tables; none reads the payments
+    again. ``years`` that cannot be read are given as ``errors`` (year -> reason).
+    """
 
+    def __init__(self, payments: DataFrame, names: DataFrame, years: Sequence[int], *,
+                 case_sensitive: bool = False, merge: str = "reference", errors: dict[int, str] | None = None):
         self.years = unique_years(years)
-        self.parsed = parse_names(names)
-        # The names table feeds the size check, the searches, the fan-out and the
-        # summary: materialise it once in the shared checkpoint folder (cuts its
-        # lineage, survives executor loss) instead of re-deriving it four times.
-        ensure_checkpoint_dir(names.sparkSession)
-        self.accepted = accepted_names(self.parsed).checkpoint(eager=True)
+        self.parsed = staged(parse_names(names), "batch-names")
+        self.accepted = accepted_names(self.parsed)
         self.rejected = rejected_names(self.parsed)
-        self.n_names = self.accepted.count()
-        self.detail = batch_detail(payments, self.accepted, self.years,
-                                   case_sensitive=case_sensitive, merge=merge,
-                                   n_names=self.n_names)
-        self.summary = batch_summary(self.accepted, self.detail, self.years, self.n_names)
+        self.names_bytes = matching.table_bytes(self.accepted)
+        self.errors = {y: errors[y] for y in self.years if y in errors} if errors else {}
+        rows = payments.where(F.lit(False)) if self.errors else payments
+        self.exact_detail = staged(batch_detail(rows, self.accepted, self.years, case_sensitive=case_sensitive,
+                                                merge=merge, names_bytes=self.names_bytes), "batch-detail")
+        self.detail = report.as_doubles(self.exact_detail)
+        self.summary = batch_summary(self.accepted, self.exact_detail, self.years, self.errors)
 
     def ordered_summary(self) -> DataFrame:
         return order_summary(self.summary)
 
     def alerts(self) -> DataFrame:
-        return multi_identifier(self.accepted, self.detail, self.n_names)
+        return multi_identifier(self.accepted, self.exact_detail)
 
     def flagged_summary(self) -> DataFrame:
-        return summary_with_alerts(self.accepted, self.detail, self.summary, self.n_names)
+        return summary_with_alerts(self.accepted, self.exact_detail, self.summary)
 
     def counters(self) -> DataFrame:
-        return identifier_counts(self.accepted, self.detail)
+        return identifier_counts(self.accepted, self.exact_detail)
 
     def totals_by_year(self) -> DataFrame:
         return year_totals(self.summary, self.years)
 
     def top(self, k: int = 10) -> DataFrame:
         return top_physicians(self.summary, self.years, k)
+
+
+def report_years(spark: SparkSession, directory: str, names: DataFrame, years: Sequence[int], **options) -> BatchReport:
+    """A batch over a folder of yearly files. The tool reads the years for each name
+    and gives a name whose years cannot be read zeros and the reason; a year that is
+    absent or lacks columns does so for every name, and is found before any row is
+    read."""
+    errors: dict[int, str] = {}
+    for y in unique_years(years):
+        try:
+            path = year_file(directory, y)
+            check_exists(spark, path)
+            check_columns(spark, path, data_files(spark, path))
+        except (FileNotFoundError, ValueError) as e:
+            errors[y] = str(e)
+    good = [y for y in unique_years(years) if y not in errors]
+    if good and not errors:
+        payments = read_payment_years(spark, directory, good)
+    else:  # no name can be reported
+        payments = spark.createDataFrame([], CANONICAL)
+    return BatchReport(payments, names, years, errors=errors, **options)

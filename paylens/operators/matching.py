@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from paylens.constants import SPECIALTY_PI, UNKNOWN
 from paylens.functions.text import join_name, strip
 
-# Names tables up to this many rows are broadcast (a few hundred bytes each).
-BROADCAST_QUERY_ROWS = 2_000_000
+# A side is broadcast by hint only if its measured size is at most this many bytes.
+BROADCAST_BYTES = 32 << 20
 
 PAYLOAD = ["source_file", "year", "row_pos", "amount", "identifier", "specialty", "persons"]
 
@@ -145,17 +145,20 @@ def earlier_slot_matches(case_sensitive: bool) -> Column:
     return cond
 
 
-def broadcast_if_bounded(queries: DataFrame, known_rows: int | None = None,
-                         limit: int | None = None) -> DataFrame:
-    """Broadcast the query side only when its row count is proven small.
+def table_bytes(names: DataFrame) -> int:
+    """Measured size of a names table: the bytes of its text and 64 a row."""
+    text = [F.octet_length(F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c, t in names.dtypes if t == "string"]
+    size = F.lit(64)
+    for t in text:
+        size = size + t
+    return names.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
 
-    Above the limit the join falls back to a shuffle on the two name keys (the
-    residual is row-local, so that is exact); AQE's skew-join splitting handles a
-    name that holds a large share of the payment rows.
-    """
-    limit = BROADCAST_QUERY_ROWS if limit is None else limit
-    n = known_rows if known_rows is not None else queries.count()
-    return F.broadcast(queries) if n <= limit else queries
+
+def broadcast_if_bounded(side: DataFrame, known_bytes: int | None) -> DataFrame:
+    """Broadcast a side whose size is known to be small; else Spark decides from its
+    own statistics, and joins by shuffle where those say so (AQE splits a name that
+    holds a large share of the rows)."""
+    return F.broadcast(side) if known_bytes is not None and known_bytes <= BROADCAST_BYTES else side
 
 
 SPEC = ["q_kf", "q_kl", "q_km", "q_mid_prefix", "q_mid_initial"]
@@ -174,18 +177,26 @@ def search_specs(prepared_queries: DataFrame, single_query: bool = False) -> Dat
     return specs.withColumn("spec_hash", F.xxhash64(*SPEC))
 
 
+def spec_size(query_bytes: int | None) -> int | None:
+    """Bytes of the prepared searches at most: two modes, each name in two forms, and keys."""
+    return None if query_bytes is None else 6 * query_bytes
+
+
 def spec_join_keys(left: DataFrame, right: DataFrame) -> list[Column]:
     return [left[c].eqNullSafe(right[c]) for c in SPEC]
 
 
 def match_specs(payments: DataFrame, specs: DataFrame, *, case_sensitive: bool = False,
-                spec_rows: int | None = None) -> DataFrame:
+                spec_bytes: int | None = None) -> DataFrame:
     """J1 + J3 per search spec: one row per (spec, payment row) that mentions
     the person, with the row's identity for that spec.
 
     ``payments`` is canonical with valid amounts; ``specs`` has the SPEC
-    columns (see :func:`search_specs`).
+    columns (see :func:`search_specs`). Specs too large to broadcast meet people as
+    names and row numbers alone; the payload is attached to the matched rows.
     """
+    if spec_bytes is not None and spec_bytes > BROADCAST_BYTES:
+        return _match_narrow(payments, specs, case_sensitive)
     # Filter the people inside the array, before the explode: a filter on the
     # exploded struct over explode(array(struct(...))) sends the optimizer into
     # a very long rewrite loop.
@@ -194,7 +205,7 @@ def match_specs(payments: DataFrame, specs: DataFrame, *, case_sensitive: bool =
     exploded = (payments.select(*PAYLOAD, F.explode(people).alias("p"))
                 .withColumn("kf", _pf(F.col("p"), "first", case_sensitive))
                 .withColumn("kl", _pf(F.col("p"), "last", case_sensitive)))
-    q = broadcast_if_bounded(specs, spec_rows)
+    q = broadcast_if_bounded(specs, spec_bytes)
     cond = [
         exploded["kf"] == q["q_kf"],
         exploded["kl"] == q["q_kl"],
@@ -212,26 +223,51 @@ def match_specs(payments: DataFrame, specs: DataFrame, *, case_sensitive: bool =
                     ident["specialty"].alias("specialty")))
 
 
+def _match_narrow(payments: DataFrame, specs: DataFrame, case_sensitive: bool) -> DataFrame:
+    """The match for many specs. The shuffle by name carries (source_file, row_pos),
+    the names and whether the slot has a middle column; a row that a spec meets in
+    several slots is kept once, and only matched rows get their people back."""
+    named = F.filter(F.col("persons"), lambda p: p["has_name"] & (p["first"] != "") & (p["last"] != ""))
+    slim = F.transform(named, lambda p: F.struct(
+        _pf(p, "first", case_sensitive).alias("kf"), _pf(p, "last", case_sensitive).alias("kl"),
+        _pf(p, "middle", case_sensitive).alias("km"), p["has_middle"].alias("has_middle")))
+    # Archives may repeat a member's name, so a row is known by its content as well.
+    content = F.xxhash64("persons", "amount", "identifier")
+    people = payments.select(F.col("source_file").alias("_f"), F.col("row_pos").alias("_r"), content.alias("_h"),
+                             F.explode(slim).alias("p")).select("_f", "_r", "_h", "p.*")
+    met = people.join(specs, [
+        F.col("kf") == F.col("q_kf"), F.col("kl") == F.col("q_kl"),
+        F.col("q_km").isNull() | ~F.col("has_middle") | _middle_ok(F.col("km"))], "inner")
+    hits = met.select("_f", "_r", "_h", "spec_hash", *SPEC).distinct()
+    rows = payments.select(*PAYLOAD, content.alias("_own"))
+    whole = rows.join(hits, [F.col("source_file") == F.col("_f"), F.col("row_pos") == F.col("_r"), F.col("_own") == F.col("_h")], "inner")
+    ident = identity_from_slot(F.col("_id_slot"))
+    return whole.withColumn("_id_slot", identity_slot(case_sensitive)).select(
+        "spec_hash", *SPEC, "source_file", "year", "row_pos", "amount", "identifier",
+        ident["name"].alias("name"), ident["specialty"].alias("specialty"))
+
+
 def attach_queries(per_spec: DataFrame, prepared_queries: DataFrame,
-                   query_rows: int | None = None) -> DataFrame:
+                   query_bytes: int | None = None) -> DataFrame:
     """Fan spec-keyed results out to every (query_id, mode) asking that search."""
     mapping = broadcast_if_bounded(prepared_queries.select("query_id", "mode", *SPEC),
-                                   query_rows)
+                                   query_bytes)
     joined = per_spec.join(mapping, spec_join_keys(per_spec, mapping), "inner")
     keep = [c for c in per_spec.columns if c not in SPEC and c != "spec_hash"]
     return joined.select("query_id", "mode", *[per_spec[c] for c in keep])
 
 
 def match_rows(payments: DataFrame, prepared_queries: DataFrame, *,
-               case_sensitive: bool = False, query_rows: int | None = None) -> DataFrame:
+               case_sensitive: bool = False, query_bytes: int | None = None,
+               single: bool = False) -> DataFrame:
     """J1 + J3: one row per (query, mode, payment row) that mentions the person.
 
     Output: query_id, mode, source_file, year, row_pos, amount, identifier, and
     the identity (name, specialty) of the row for that query.
     """
-    bound = None if query_rows is None else 2 * query_rows  # narrow + wide per name
-    specs = search_specs(prepared_queries, single_query=query_rows == 1)
-    matched = match_specs(payments, specs, case_sensitive=case_sensitive, spec_rows=bound)
+    bound = spec_size(query_bytes)
+    specs = search_specs(prepared_queries, single_query=single)
+    matched = match_specs(payments, specs, case_sensitive=case_sensitive, spec_bytes=bound)
     return attach_queries(matched, prepared_queries, bound)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paylens.operators.matching import (
-    SPEC, attach_queries, match_rows, match_specs, prepare_queries, search_specs,
+    SPEC, attach_queries, match_specs, prepare_queries, search_specs, spec_size,
 )
 from paylens.plans.layouts import valid_payments
 
@@ -46,43 +46,44 @@ def payment_column(year: int) -> str:
 
 
 def year_search(matched: DataFrame, keys=("query_id", "mode")) -> DataFrame:
-    """D1 per year: (keys..., year, identifier, total, entries, name, specialty)."""
-    order = F.struct("source_file", "row_pos")
+    """D1 per year: (keys..., year, identifier, total, entries, name, specialty).
+
+    Rows are summed by identity first -- fixed-width buffers, so a hash aggregate
+    with a map-side step -- and the identity of the first row in file order is
+    picked from those few groups (W1)."""
     keys = list(keys)
-    # min_by over strings plans a sort-based aggregate; a leading 64-bit hash of
-    # the full key lets the sort decide almost every comparison on one long.
-    # The real key columns follow, so a hash collision cannot merge groups.
-    group_hash = F.xxhash64(*keys, "year", "identifier").alias("_g")
-    return (matched.groupBy(group_hash, *keys, "year", "identifier")
-            .agg(F.sum("amount").alias("total"),
-                 F.count(F.lit(1)).alias("entries"),
-                 F.min_by(F.struct("name", "specialty"), order).alias("ident"))
+    by_identity = matched.groupBy(*keys, "year", "identifier", "source_file", "name", "specialty").agg(
+        F.sum("amount").alias("total"), F.count(F.lit(1)).alias("entries"), F.min("row_pos").alias("first"))
+    return (by_identity.groupBy(*keys, "year", "identifier")
+            .agg(F.sum("total").alias("total"), F.sum("entries").alias("entries"),
+                 F.min_by(F.struct("name", "specialty"), F.struct("source_file", "first")).alias("ident"))
             .select(*keys, "year", "identifier", "total", "entries",
                     "ident.name", "ident.specialty"))
 
 
 def searched_years(payments: DataFrame, prepared: DataFrame, *, case_sensitive: bool = False,
-                   query_rows: int | None = None) -> DataFrame:
+                   query_bytes: int | None = None, single: bool = False) -> DataFrame:
     """Match + D1 aggregated per distinct search spec, then fanned out to the
     queries: (query_id, mode, year, identifier, total, entries, name, specialty).
 
     Aggregating before the fan-out keeps the large shuffle proportional to the
     distinct searches, not to the number of names asking them."""
-    bound = None if query_rows is None else 2 * query_rows  # narrow + wide per name
-    specs = search_specs(prepared, single_query=query_rows == 1)
-    matched = match_specs(payments, specs, case_sensitive=case_sensitive, spec_rows=bound)
+    bound = spec_size(query_bytes)
+    specs = search_specs(prepared, single_query=single)
+    matched = match_specs(payments, specs, case_sensitive=case_sensitive, spec_bytes=bound)
     return attach_queries(year_search(matched, ["spec_hash", *SPEC]), prepared, bound)
 
 
 def search_summary(payments: DataFrame, queries: DataFrame, *,
-                   case_sensitive: bool = False, query_rows: int | None = None) -> DataFrame:
+                   case_sensitive: bool = False, query_bytes: int | None = None,
+                   single: bool = False) -> DataFrame:
     """One search of one payment set per query, exactly as given.
 
     (query_id, year, NPI, Physician_Name, Specialty, Entry_Count, Total_Payment_USD).
     """
     prepared = prepare_queries(queries, case_sensitive, dual=False)
     per_year = searched_years(valid_payments(payments), prepared,
-                              case_sensitive=case_sensitive, query_rows=query_rows)
+                              case_sensitive=case_sensitive, query_bytes=query_bytes, single=single)
     return per_year.select(
         "query_id", "year", F.col("identifier").alias("NPI"),
         F.col("name").alias("Physician_Name"), F.col("specialty").alias("Specialty"),
@@ -128,24 +129,31 @@ def combine_years(merged: DataFrame, years: Sequence[int]) -> DataFrame:
         F.col("ident.name").alias("Physician_Name"),
         F.col("ident.specialty").alias("Specialty"),
         F.col("Entry_Count").cast("bigint").alias("Entry_Count"),
-        *[p.cast("double").alias(payment_column(y)) for p, y in zip(pay, years)],
-        total.cast("double").alias("Total_USD"),
+        *[p.alias(payment_column(y)) for p, y in zip(pay, years)],
+        total.alias("Total_USD"),
     )
 
 
+def as_doubles(report: DataFrame) -> DataFrame:
+    """The money columns, exact decimals until here, as doubles for output."""
+    money = [c for c, t in report.dtypes if t.startswith("decimal")]
+    return report.withColumns({c: F.col(c).cast("double") for c in money}) if money else report
+
+
 def physician_detail(payments: DataFrame, queries: DataFrame, years: Sequence[int], *,
                      case_sensitive: bool = False, merge: str = "reference",
-                     query_rows: int | None = None) -> DataFrame:
+                     query_bytes: int | None = None, single: bool = False) -> DataFrame:
     """Matched rows -> D1 -> D2 -> D3 for every query of ``queries``.
 
     ``payments`` is canonical (invalid amounts still present); rows outside the
-    requested years are filtered before the match.
+    requested years are filtered before the match. Money stays decimal (see
+    :func:`as_doubles`).
     """
     years = unique_years(years)
     scoped = valid_payments(payments).where(F.col("year").isin(years))
     prepared = prepare_queries(queries, case_sensitive)
     per_year = searched_years(scoped, prepared, case_sensitive=case_sensitive,
-                              query_rows=query_rows)
+                              query_bytes=query_bytes, single=single)
     # At most 2 x years rows per (query, identifier) from here on: one small
     # exchange on those two keys serves both the merge and the combine.
     per_year = per_year.repartition("query_id", "identifier")
@@ -160,6 +168,10 @@ QUERY_SCHEMA = T.StructType([
 ])
 
 
+#: What one literal name may take.
+SINGLE_BYTES = 64 << 10
+
+
 def single_query(spark: SparkSession, first: str, middle: str | None, last: str) -> DataFrame:
     """One name as a one-row query table (same path as a batch)."""
     return spark.createDataFrame([(0, first, middle, last)], QUERY_SCHEMA)
@@ -172,13 +184,17 @@ def physician_report(spark: SparkSession, payments: DataFrame, first: str,
     Payment_<y>_USD..., Total_USD, ordered by Total_USD descending (ties by NPI)."""
     q = single_query(spark, first, middle, last)
     detail = physician_detail(payments, q, years, case_sensitive=case_sensitive,
-                              merge=merge, query_rows=1)
-    return detail.drop("query_id").orderBy(F.desc("Total_USD"), "NPI")
-
-
-def physician_totals(detail: DataFrame) -> DataFrame:
-    """A5: per query the total payment and number of entries."""
-    return (detail.groupBy("query_id")
-            .agg(F.sum(F.col("Total_USD").cast("decimal(38,6)")).cast("double")
-                 .alias("total_payment"),
-                 F.sum("Entry_Count").cast("bigint").alias("total_entries")))
+                              merge=merge, query_bytes=SINGLE_BYTES, single=True)
+    return as_doubles(detail).drop("query_id").orderBy(F.desc("Total_USD"), "NPI")
+
+
+def physician_totals(detail: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """A5: per query the total payment and number of entries; with ``queries``, zeros
+    for each that matched nothing."""
+    totals = detail.groupBy("query_id").agg(
+        F.sum(F.col("Total_USD").cast("decimal(38,6)")).alias("total_payment"),
+        F.sum("Entry_Count").alias("total_entries"))
+    if queries is not None:
+        totals = queries.select("query_id").join(totals, "query_id", "left")
+    return totals.select("query_id", F.coalesce("total_payment", F.lit(0)).cast("double").alias("total_payment"),
+                         F.coalesce("total_entries", F.lit(0)).cast("bigint").alias("total_entries"))

@@ -31,13 +31,14 @@ def format_money(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                        for c in df.columns])
 
 
+# --- fixed values: column names and order of the exports ---
 def detail_columns(years: Sequence[int]) -> list[str]:
     years = unique_years(years)
     return ["NPI", "Physician_Name", "Specialty", "Entry_Count",
             *[payment_column(y) for y in years], "Total_USD"]
 
 
-def save_detail_csv(detail: DataFrame, years: Sequence[int], destination: str) -> str:
+def write_detail(detail: DataFrame, years: Sequence[int], destination: str) -> str:
     """K1: one physician's detail, ordered by Total_USD descending."""
     cols = detail_columns(years)
     ordered = detail.orderBy(F.desc("Total_USD"), "NPI").select(*cols)
@@ -53,18 +54,22 @@ def single_physician_file(directory: str, first: str, last: str, years: Sequence
 def save_physician_report(detail: DataFrame, first: str, last: str, years: Sequence[int],
                           directory: str) -> str:
     """K3: one physician's report under its conventional export name."""
-    return save_detail_csv(detail, years, single_physician_file(directory, first, last, years))
+    return write_detail(detail, years, single_physician_file(directory, first, last, years))
 
 
 def save_batch_details(detail: DataFrame, accepted: DataFrame, years: Sequence[int],
                        directory: str) -> str:
-    """K1 for a batch: every name's detail in one job, partitioned by the slug of
-    the name as listed (``query_slug=<slug>`` folders)."""
+    """K1 for a batch: every name's detail in one job, a folder for each name
+    (``query_slug=<slug>/query_id=<id>``: names may share a slug) with its rows by
+    Total_USD descending. Rows are dealt by ranges of (query_id, Total_USD): a name
+    with many rows has several files, in order by file name."""
     cols = detail_columns(years)
     slugs = accepted.select("query_id", safe_slug(F.col("raw")).alias("query_slug"))
-    rows = detail.join(slugs, "query_id").select("query_slug", *cols)
+    order = [F.col("query_slug"), F.col("query_id"), F.desc("Total_USD"), F.col("NPI")]
+    rows = detail.join(slugs, "query_id").repartitionByRange(*order).sortWithinPartitions(*order)
     money = [c for c in cols if c.startswith("Payment_") or c == "Total_USD"]
-    return _csv(format_money(rows, money), directory, partition_by=["query_slug"])
+    return _csv(format_money(rows.select("query_slug", "query_id", *cols), money), directory,
+                partition_by=["query_slug", "query_id"])
 
 
 def save_summary_csv(summary: DataFrame, years: Sequence[int], destination: str) -> str:

@@ -11,20 +11,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paylens.constants import NEW_LAYOUT, OLD_LAYOUT
 from paylens.functions import text as T
 from paylens.functions.text import money_label, money_text, safe_slug, year_range_label
 from paylens.operators import appearances as A
-from paylens.operators import batch, matching, report
+from paylens.operators import batch, matching, report, sinks
 from paylens.plans.layouts import valid_payments
-from paylens.plans.ordinal import ordinal_within
 from paylens.session import shared_dir
 from paylens.sources import csv_years, zip_source
-from paylens.sources.bridge import bridge_payments, bridge_wide
+from paylens.sources.bridge import LISTED_SQL, bridge_payments, bridge_wide, register_tables
 
 # --- fixed values: parity-suite requests ---
 PERSON = ("Benjamin", "G", "Domb")
 YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
 SEARCH_YEAR = 1996
+TOP_LISTED = 7
+ABSENT_YEAR = 2050
 BATCH_NAMES = ["Benjamin G Domb", "Ann Smith", "carla M Doe", "David (MD) Okafor",
                "Hugo Grant O'Neil", "Nobody Here", "Domb"]
 
@@ -51,14 +53,14 @@ def dual_search_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def physician_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: grand totals of the one-person report."""
     detail = report.physician_detail(_payments(spark, sf_dir), _person(spark), YEARS,
-                                     query_rows=1)
-    return report.physician_totals(detail).drop("query_id")
+                                     query_bytes=report.SINGLE_BYTES, single=True)
+    return report.physician_totals(detail, _person(spark)).drop("query_id")
 
 
 def search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One search of one year's file, query as given."""
     pay = _payments(spark, sf_dir).where(F.col("year") == SEARCH_YEAR)
-    return report.search_summary(pay, _person(spark), query_rows=1).drop("query_id", "year")
+    return report.search_summary(pay, _person(spark), query_bytes=report.SINGLE_BYTES, single=True).drop("query_id", "year")
 
 
 SUMMARY_FILTER = "dom"
@@ -79,9 +81,25 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batch(spark, sf_dir).ordered_summary()
 
 
+def _listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A names list as people keep them, a line per supplier: full names, single
+    words, names that are only a remark, and the same person listed again."""
+    register_tables(spark, sf_dir, ("supplier",))
+    return spark.sql(LISTED_SQL)
+
+
 def rejected_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that do not parse into first + last."""
-    return _batch(spark, sf_dir).rejected
+    """Listed names that do not parse into first + last."""
+    return batch.rejected_names(batch.parse_names(_listed_names(spark, sf_dir)))
+
+
+def _listed_batch(spark: SparkSession, sf_dir: str) -> batch.BatchReport:
+    return batch.BatchReport(_payments(spark, sf_dir), _listed_names(spark, sf_dir), YEARS)
+
+
+def top_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven largest of the listed names; persons listed twice tie."""
+    return _listed_batch(spark, sf_dir).top(TOP_LISTED)
 
 
 def multi_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +123,8 @@ def top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_query_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The listing that wins for each display name."""
-    return batch.last_query_wins(_batch(spark, sf_dir).accepted)
+    """Of a display name that is listed several times, the last listing."""
+    return batch.last_query_wins(batch.accepted_names(batch.parse_names(_listed_names(spark, sf_dir))))
 
 
 def summary_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,17 +247,17 @@ def specialty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _payments(spark, sf_dir).select("row_pos", "specialty")
 
 
-def _matched(spark, sf_dir, queries, dual=True, case_sensitive=False, rows=None):
+def _matched(spark, sf_dir, queries, dual=True, case_sensitive=False, size=None, single=False):
     scoped = valid_payments(_payments(spark, sf_dir)).where(F.col("year").isin(YEARS))
     prepared = matching.prepare_queries(queries, case_sensitive, dual=dual)
-    m = matching.match_rows(scoped, prepared, case_sensitive=case_sensitive, query_rows=rows)
+    m = matching.match_rows(scoped, prepared, case_sensitive=case_sensitive, query_bytes=size, single=single)
     return m.select("query_id", "mode", "row_pos", "year", "identifier",
                     F.col("amount").cast("double").alias("amount"), "name", "specialty")
 
 
 def identity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched rows of the dual search with their identity."""
-    return _matched(spark, sf_dir, _person(spark), rows=1)
+    return _matched(spark, sf_dir, _person(spark), size=report.SINGLE_BYTES, single=True)
 
 
 def batch_match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,14 +299,14 @@ def search_case_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a case-sensitive search, per year."""
     q = report.single_query(spark, *CASE_QUERY)
     return report.search_summary(valid_payments(_payments(spark, sf_dir)), q,
-                                 case_sensitive=True, query_rows=1).drop("query_id")
+                                 case_sensitive=True, query_bytes=report.SINGLE_BYTES, single=True).drop("query_id")
 
 
 def dual_search_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-year merge of the narrow and wide searches."""
     scoped = valid_payments(_payments(spark, sf_dir)).where(F.col("year").isin(YEARS))
     prepared = matching.prepare_queries(_person(spark))
-    merged = report.merge_modes(report.searched_years(scoped, prepared, query_rows=1))
+    merged = report.merge_modes(report.searched_years(scoped, prepared, query_bytes=report.SINGLE_BYTES, single=True))
     return merged.select("year", F.col("identifier").alias("NPI"),
                          F.col("name").alias("Physician_Name"),
                          F.col("specialty").alias("Specialty"),
@@ -297,9 +315,12 @@ def dual_search_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """0-based position of each row within its year's file."""
-    rows = _payments(spark, sf_dir).select("year", "row_pos")
-    return ordinal_within(rows, "year", "row_pos")
+    """0-based position of each row within its year's file, found by the split
+    CSV reader, beside the row's content."""
+    rows = csv_years.read_payment_years(spark, _staged_csv(spark, sf_dir), YEARS, multi_line=False)
+    cov = F.get(F.col("persons"), 0)
+    return rows.select("year", F.col("row_pos").alias("ordinal"), cov["first"].alias("cov_first"), cov["last"].alias("cov_last"),
+                       "cov_npi", F.col("amount").cast("double").alias("amount"))
 
 
 def year_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,13 +337,45 @@ def currency_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered summary columns with money as two-decimal text."""
+    """The summary written as CSV with money as text, and read back."""
     b = _batch(spark, sf_dir)
-    pay = [report.payment_column(y) for y in YEARS]
-    return b.summary.select(
-        "Full_Name", "First_Name", "Middle_Name", "Last_Name",
-        *[money_text(F.col(c)).alias(c) for c in pay],
-        money_text(F.col("Total_Payment")).alias("Total_Payment"), "Total_Entries")
+    path = sinks.save_summary_csv(b.summary, YEARS, f"{shared_dir(spark, 'export')}/summary.csv")
+    return spark.read.option("header", True).csv(path).withColumn("Total_Entries", F.col("Total_Entries").cast("bigint")).fillna("")
+
+
+def detail_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: every name's detail written as CSV, a folder for each name, and read back."""
+    b = _batch(spark, sf_dir)
+    path = sinks.save_batch_details(b.exact_detail, b.accepted, YEARS, shared_dir(spark, "details"))
+    back = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return back.withColumns({"Entry_Count": F.col("Entry_Count").cast("bigint"), "query_id": F.col("query_id").cast("bigint")})
+
+
+def physician_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: one person's report under its conventional name, read back."""
+    detail = report.physician_detail(_payments(spark, sf_dir), _person(spark), YEARS, query_bytes=report.SINGLE_BYTES, single=True)
+    path = sinks.save_physician_report(detail, PERSON[0], PERSON[2], YEARS, shared_dir(spark, "person"))
+    name = F.element_at(F.split(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""), "/"), -1)
+    back = spark.read.option("header", True).csv(path)
+    return back.withColumn("Entry_Count", F.col("Entry_Count").cast("bigint")).withColumn("file_name", name)
+
+
+def names_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed names written to a text file, a line each with stray blanks and
+    blank lines between, and read back in order."""
+    path = shared_dir(spark, "names")
+    order = _listed_names(spark, sf_dir).orderBy("query_id")
+    lines = order.select(F.explode(F.array(F.concat(F.lit("  "), "raw", F.lit("\t")), F.lit(" "))).alias("value"))
+    lines.coalesce(1).write.text(path)  # one file: a person keeps one
+    return batch.read_names(spark, path)
+
+
+def batch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch over yearly files of which one is absent: every name has zeros
+    and the reason."""
+    folder = _staged_csv(spark, sf_dir)
+    b = batch.report_years(spark, folder, _listed_names(spark, sf_dir), [*YEARS, ABSENT_YEAR])
+    return b.summary.withColumn("Error", F.regexp_extract("Error", r"[^/]*$", 0))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,25 +438,45 @@ def csv_roundtrip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(valid_payments(csv_years.read_payment_years(spark, folder, YEARS)))
 
 
-def unioned_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-year search results, each year read from its own file,
-    renamed to Payment_<year>_USD and unioned with outer columns."""
+def csv_split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly CSV files read in splits, whatever number of them a file has."""
     folder = _staged_csv(spark, sf_dir)
-    q = matching.prepare_queries(_person(spark))
-    frames = []
-    for y in YEARS:
-        pay = valid_payments(csv_years.read_payment_file(
-            spark, csv_years.year_file(folder, y), year=y))
-        merged = report.merge_modes(report.searched_years(pay, q, query_rows=1))
-        frames.append(merged.select(
-            "year", F.col("identifier").alias("NPI"), F.col("name").alias("Physician_Name"),
-            F.col("specialty").alias("Specialty"),
-            F.col("entries").cast("bigint").alias("Entry_Count"),
-            F.col("total").cast("double").alias(report.payment_column(y))))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    return _flat(valid_payments(csv_years.read_payment_years(spark, folder, YEARS, multi_line=False)))
+
+
+def mixed_layout_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd years in the older layout, even ones in the newer, and part files
+    of every year with their columns in another order."""
+    wide, folder = bridge_wide(spark, sf_dir), shared_dir(spark, "csv-mixed")
+    older = {NEW_LAYOUT[k]: OLD_LAYOUT[k] for k in ("first", "middle", "last", "npi", "profile")}
+    older |= {f"{NEW_LAYOUT['specialty']}_{j}": f"{OLD_LAYOUT['specialty']}_{j}" for j in (1, 2)}
+    for kind, rows in (("old", wide.where("year % 2 = 1").withColumnsRenamed(older)), ("new", wide.where("year % 2 = 0"))):
+        back = [c for c in reversed(rows.columns) if c not in ("year", "row_id")]
+        csv_years.write_year_files(rows.where("row_id % 3 != 0"), f"{folder}/{kind}-a")
+        csv_years.write_year_files(rows.where("row_id % 3 = 0").select("row_id", "year", *back), f"{folder}/{kind}-b")
+    found = []
+    for kind in ("old-a", "old-b", "new-a", "new-b"):
+        for y in YEARS:
+            path = csv_years.year_file(f"{folder}/{kind}", y)
+            if (y % 2 == 1) == kind.startswith("old"):
+                found += csv_years.data_files(spark, path)
+    unit = F.regexp_extract("_file", csv_years.unit_pattern(), 1)
+    rows = csv_years.read_files(spark, found, unit=unit, source_file=unit,
+                                year=F.regexp_extract("_file", csv_years.unit_pattern(), 2).cast("int"))
+    known = F.when(~F.col("identifier").startswith("UNKNOWN_"), F.col("identifier")).otherwise("UNKNOWN")
+    return _flat(valid_payments(rows)).drop("row_pos").withColumn("identifier", known)
+
+
+def unioned_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-year search results, each year's total in its own column, the
+    others empty: one scan and one search of all years, then a column per year."""
+    pay = valid_payments(csv_years.read_payment_years(spark, _staged_csv(spark, sf_dir), YEARS))
+    merged = report.merge_modes(report.searched_years(
+        pay, matching.prepare_queries(_person(spark)), query_bytes=report.SINGLE_BYTES, single=True))
+    return merged.select(
+        "year", F.col("identifier").alias("NPI"), F.col("name").alias("Physician_Name"),
+        F.col("specialty").alias("Specialty"), F.col("entries").cast("bigint").alias("Entry_Count"),
+        *[F.when(F.col("year") == y, F.col("total").cast("double")).alias(report.payment_column(y)) for y in YEARS])
 
 
 def _staged_zip(spark: SparkSession, sf_dir: str) -> str:
@@ -456,6 +529,7 @@ QUERIES = {
     "identifier_counts": identifier_counts,
     "year_totals": year_totals,
     "top10": top10,
+    "top_listed": top_listed,
     "last_query_wins": last_query_wins,
     "summary_filter": summary_filter,
     "alert_flags": alert_flags,
@@ -481,6 +555,10 @@ QUERIES = {
     "year_from_path": year_from_path,
     "currency_text": currency_text,
     "summary_export": summary_export,
+    "detail_export": detail_export,
+    "physician_export": physician_export,
+    "names_file": names_file,
+    "batch_errors": batch_errors,
     "appearances": appearances,
     "appearance_index": appearance_index,
     "token_search": token_search,
@@ -490,6 +568,8 @@ QUERIES = {
     "search_report": search_report,
     "csv_roundtrip_scan": csv_roundtrip_scan,
     "unioned_years": unioned_years,
+    "csv_split_scan": csv_split_scan,
+    "mixed_layout_years": mixed_layout_years,
     "zip_scan": zip_scan,
     "zip_index": zip_index,
     "stream_index": stream_index,

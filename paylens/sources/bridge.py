@@ -61,6 +61,15 @@ def bridge_select(source: str = "orders") -> str:
 
 BRIDGE_SQL = bridge_select()
 
+#: A names list, a line for each supplier; the same text runs in Spark and DuckDB.
+_PERSON_NO = "s_suppkey % 40"
+LISTED_SQL = f"""SELECT CAST(s_suppkey AS BIGINT) AS query_id,
+  CASE WHEN s_suppkey % 11 = 0 THEN {_pick(_PERSON_NO, [x.strip() for x in LAST])}
+       WHEN s_suppkey % 13 = 0 THEN '(retired)'
+       ELSE concat_ws(' ', trim({_pick(_PERSON_NO, FIRST)}), {_pick(_PERSON_NO, MIDDLE)}, {_pick(_PERSON_NO, LAST)},
+                      CASE WHEN s_suppkey % 4 = 1 THEN '(MD)' END) END AS raw
+FROM supplier"""
+
 
 def register_tables(spark: SparkSession, sf_dir: str, names=("orders",)) -> None:
     for name in names:

@@ -1,59 +1,103 @@
-"""Paths taken only at scale: split CSV files, many-slice ordinals, no broadcast."""
+"""Paths taken at scale: split CSV files, files with unlike headers, names too many to broadcast."""
 
-from pyspark.sql import Window
-from pyspark.sql import functions as F
+import pytest
+from pyspark.errors import PySparkException
 
+from paylens.constants import PAYMENT_COLUMN
 from paylens.operators import batch, matching, report
 from paylens.plans.checks import node_counts
-from paylens.plans.ordinal import ordinal_within
 from paylens.sources.csv_years import read_payment_file, read_payment_years
-from tests.helpers import covered_row, write_csv, year_dir
+from tests.helpers import NEW, OLD, covered_row, write_csv, year_dir
 
 
-def test_row_positions_exact_across_blocks(spark, tmp_path):
-    rows = [covered_row(f"N{i}", "Li", "N/A" if i % 7 == 0 else str(i)) for i in range(3000)]
-    path = write_csv(tmp_path / "2015_rsh_payments.csv", rows)
+@pytest.fixture
+def small_splits(spark):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
-    try:
-        canon = read_payment_file(spark, path, year=2015, multi_line=False)
-        assert canon.rdd.getNumPartitions() > 5
-        got = {r.row_pos: r.persons[0].first for r in canon.select("row_pos", "persons").collect()}
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert got == {i: f"N{i}" for i in range(3000)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def _names(canon):
+    return {r.row_pos: (r.persons[0].first, r.persons[0].last) for r in canon.select("row_pos", "persons").collect()}
+
+
+def test_row_positions_exact_across_blocks(spark, tmp_path, small_splits):
+    rows = [covered_row(f"N{i}", 'L "x", i', "N/A" if i % 7 == 0 else str(i)) for i in range(3000)]
+    path = write_csv(tmp_path / "2015_rsh_payments.csv", rows)
+    canon = read_payment_file(spark, path, year=2015, multi_line=False)
+    assert _names(canon) == {i: (f"N{i}", 'L "x", i') for i in range(3000)}
+    ids = {r.row_pos: r.identifier for r in canon.collect()}
+    assert all(ids[i] == f"UNKNOWN_{i}" for i in range(3000))
 
 
-def test_ordinals_match_row_number(spark):
-    df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 5000).alias("k"))
-    got = ordinal_within(df, "g", "k", partitions=13)
-    want = df.withColumn("ordinal", F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1)
-    assert sorted(got.collect()) == sorted(want.collect())
+def test_quoted_line_feed_raises_or_is_read_exactly(spark, tmp_path, small_splits):
+    rows = [covered_row("An\nn" if i == 700 else f"N{i}", "Li", str(i)) for i in range(1500)]
+    path = write_csv(tmp_path / "2015_rsh_payments.csv", rows)
+    with pytest.raises(PySparkException, match="line feed"):
+        read_payment_file(spark, path, year=2015, multi_line=False)
+    for how in (None, True):
+        got = _names(read_payment_file(spark, path, year=2015, multi_line=how))
+        assert len(got) == 1500 and got[700] == ("An\nn", "Li") and got[701] == ("N701", "Li")
+
+
+def test_part_files_with_other_headers_are_not_swapped(spark, tmp_path):
+    folder = tmp_path / "2016_rsh_payments.csv"
+    folder.mkdir()
+    write_csv(folder / "part-0.csv", [covered_row("Ann", "Li", "1", npi="1")])
+    names = list(covered_row("a", "b", "1"))
+    write_csv(folder / "part-1.csv", [covered_row("Bo", "Ng", "2")], columns=names[::-1])
+    write_csv(folder / "part-2.csv", [covered_row("Cy", "Oh", "3", npi="7", prefix=OLD)])
+    (folder / "part-3.csv").write_text("﻿\n" + ",".join(f'"{n}"' for n in names) + "\n\n" + ",".join(
+        {f"{NEW}First_Name": "Di", f"{NEW}Last_Name": "Pe", PAYMENT_COLUMN: "4"}.get(n, "") for n in names) + "\n")
+    got = read_payment_years(spark, str(tmp_path), [2016]).collect()
+    assert {(r.persons[0].first, r.persons[0].last, float(r.amount), r.identifier, r.row_pos, r.source_file) for r in got} == {
+        ("Ann", "Li", 1.0, "1", 0, "2016_rsh_payments.csv"), ("Bo", "Ng", 2.0, "UNKNOWN_1", 1, "2016_rsh_payments.csv"),
+        ("Cy", "Oh", 3.0, "7", 2, "2016_rsh_payments.csv"), ("Di", "Pe", 4.0, "UNKNOWN_3", 3, "2016_rsh_payments.csv")}
+
+
+def test_skipped_year_warns(spark, tmp_path):
+    write_csv(tmp_path / "2015_rsh_payments.csv", [{"x": 1}])
+    write_csv(tmp_path / "2016_rsh_payments.csv", [covered_row("Ann", "Li", "1")])
+    with pytest.warns(UserWarning, match="2015"):
+        assert read_payment_years(spark, str(tmp_path), [2015, 2016], on_error="skip_year").count() == 1
+
+
+def test_large_amounts_stay_exact(spark, tmp_path):
+    d = year_dir(tmp_path, {2015: [covered_row("Ann", "Li", "100000000000000.25", npi="1"), covered_row("Ann", "Li", "0.5", npi="1")]})
+    pay = read_payment_years(spark, d, [2015])
+    detail = report.physician_detail(pay, report.single_query(spark, "Ann", None, "Li"), [2015])
+    assert str(detail.first().Total_USD) == "100000000000000.750000"
 
 
 def test_batch_without_broadcast_gives_same_result(spark, tmp_path, monkeypatch):
     d = year_dir(tmp_path, {2015: [covered_row("Ann", "Li", "5", npi="1", middle="G"),
                                    covered_row("Bo", "Ng", "7", npi="2",
-                                               pi={1: ("Ann", "", "Li", "")})]})
+                                               pi={1: ("Ann", "", "Li", "")}),
+                                   covered_row("Ann", "Li", "1", npi="3", pi={1: ("Ann", "G", "Li", "")})]})
     pay = read_payment_years(spark, d, [2015])
     names = batch.names_frame(spark, ["Ann G Li", "Bo Ng", "Ann Li"])
+    q = names.select("query_id")
 
     def run():
         b = batch.BatchReport(pay, names, [2015])
-        return sorted((r.Full_Name, r.Total_Payment, r.Total_Entries) for r in b.summary.collect()), b
+        return sorted((r.Full_Name, r.Total_Payment, r.Total_Entries) for r in b.summary.collect())
 
-    small, _ = run()
-    monkeypatch.setattr(matching, "BROADCAST_QUERY_ROWS", 0)
+    small = run()
+    monkeypatch.setattr(matching, "BROADCAST_BYTES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        big, b = run()
-        counts = node_counts(b.detail)
+        big = run()
+        parsed = batch.accepted_names(batch.parse_names(names))
+        detail = batch.batch_detail(pay, parsed, [2015])
+        counts = node_counts(detail)
+        shuffled = [x for x in detail._jdf.queryExecution().executedPlan().toString().split("\n")
+                    if "Exchange hashpartitioning(kf" in x or "Exchange hashpartitioning(source_file" in x]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert small == big == [("Ann G Li", 12.0, 2), ("Ann Li", 12.0, 2), ("Bo Ng", 7.0, 1)]
-    # the names side is shuffled; the only broadcast left is the CSV reader's
-    # per-block offset table, whose size the file listing bounds
-    assert counts["SortMergeJoin"] >= 2 and counts["BroadcastHashJoin"] == 1
+    assert q.count() == 3 and small == big == [("Ann G Li", 14.0, 4), ("Ann Li", 13.0, 3), ("Bo Ng", 7.0, 1)]  # Q3: named twice, counted twice
+    assert counts["SortMergeJoin"] >= 2 and counts["BroadcastHashJoin"] == 0
     assert counts["BroadcastNestedLoopJoin"] == 0 and counts["CartesianProduct"] == 0
+    assert shuffled

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from paylens.operators.appearances import appearance_index
 from paylens.session import shared_dir
 from paylens.sources.csv_years import read_payment_years
-from paylens.streaming import start_ingest
+from paylens.streaming import read_index, start_ingest
+from paylens.streaming.ingest import read_store
 from tests.helpers import covered_row, pi_row, write_csv
 
 
@@ -28,7 +29,7 @@ def test_stream_ingest_matches_batch(spark, tmp_path):
     assert stored.count() == 3
     assert stored.where(F.col("amount").isNull()).count() == 1
     streamed = {(r.display_name, r.role, r.source_file): float(r.total_payment)
-                for r in spark.read.parquet(index).collect()}
+                for r in read_index(spark, index).collect()}
     batch = appearance_index(read_payment_years(spark, str(landing), [2015, 2016]))
     expected = {(r.display_name, r.role, r.source_file): float(r.total_payment)
                 for r in batch.collect()}
@@ -49,3 +50,27 @@ def test_parquet_store_round_trip(spark, tmp_path):
     want = report.physician_report(spark, pay, "Ann", "G", "Li", [2015, 2016]).collect()
     got = report.physician_report(spark, stored, "Ann", "G", "Li", [2015, 2016]).collect()
     assert got == want and stored.where(F.col("amount").isNull()).count() == 1
+
+
+def test_republished_year_and_unlike_headers(spark, tmp_path):
+    landing, base = tmp_path / "landing", shared_dir(spark, "stream-again")
+    store, index, ckpt = f"{base}/store", f"{base}/index", f"{base}/ckpt"
+
+    def land():
+        q = start_ingest(spark, str(landing), store, index, ckpt, available_now=True)
+        q.awaitTermination()
+
+    first = landing / "june" / "2015_rsh_payments.csv"
+    first.mkdir(parents=True)
+    write_csv(first / "a.csv", [covered_row("Ann", "Li", "5", npi="1")])
+    names = list(covered_row("a", "b", "1"))
+    write_csv(first / "b.CSV", [covered_row("Bo", "Ng", "5", npi="2")], columns=names[::-1])
+    land()
+    assert {(r.first_name, r.last_name, float(r.total_payment)) for r in read_index(spark, index).collect()} == {
+        ("Ann", "Li", 5.0), ("Bo", "Ng", 5.0)}
+    second = landing / "july"
+    second.mkdir()
+    write_csv(second / "2015_rsh_payments.csv", [covered_row("Ann", "Li", "6", npi="1")])
+    land()
+    assert [(r.first_name, float(r.total_payment)) for r in read_index(spark, index).collect()] == [("Ann", 6.0)]
+    assert read_store(spark, store).count() == 1
