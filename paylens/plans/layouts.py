@@ -16,7 +16,7 @@ Canonical schema (one row per payment line)::
 column is ignored by the row filter but an empty middle cell is not.
 
 The same builder serves a DataFrame with real columns (CSV files, the bridge
-view) and a ``MAP<STRING,STRING>`` per row (ZIP members with differing headers);
+view) and fixed slots with a bit mask per row (ZIP members with differing headers);
 in the first case the layout choice is folded away at plan time.
 """
 
@@ -67,19 +67,25 @@ class _ColumnFields:
         return self.get(base + suffix)
 
 
-class _MapFields:
-    """Field access over a per-row header map (each ZIP member has its own header)."""
+#: Every column that canonical rows are made of, in either layout.
+NEEDED = [PAYMENT_COLUMN,
+          *[lay[part] for lay in (OLD_LAYOUT, NEW_LAYOUT) for part in lay],
+          *[f"{lay['specialty']}_{j}" for lay in (OLD_LAYOUT, NEW_LAYOUT) for j in PI_SLOTS],
+          *[f"{PI_PREFIX}{j}_{part}" for j in PI_SLOTS for part in ("First_Name", "Middle_Name", "Last_Name", "NPI")]]
 
-    def __init__(self, map_col: Column):
-        self.m = map_col
-        self.old = (F.map_contains_key(map_col, F.lit(OLD_LAYOUT["first"]))
-                    & F.map_contains_key(map_col, F.lit(OLD_LAYOUT["last"])))
+
+class _SlotFields:
+    """Field access over rows with a fixed slot ``c<i>`` for each needed column; bit i
+    of ``present`` tells whether the row's file has it (ZIP members differ)."""
+
+    def __init__(self):
+        self.old = self.has(OLD_LAYOUT["first"]) & self.has(OLD_LAYOUT["last"])
 
     def get(self, name: str) -> Column:
-        return F.try_element_at(self.m, F.lit(name))
+        return F.col(f"c{NEEDED.index(name)}")
 
     def has(self, name: str) -> Column:
-        return F.map_contains_key(self.m, F.lit(name))
+        return F.col("present").bitwiseAND(F.lit(1 << NEEDED.index(name))) != 0
 
     def pick(self, kind: str) -> Column:
         return F.when(self.old, self.get(OLD_LAYOUT[kind])).otherwise(self.get(NEW_LAYOUT[kind]))
@@ -184,13 +190,10 @@ def canonicalize(wide: DataFrame, *, source_file: Column, year: Column, row_pos:
     return wide.select(*_canonical_columns(fields, source_file, year, row_pos, unknown_id), *keep)
 
 
-def canonicalize_map(df: DataFrame, map_col: str, *, source_file: Column, year: Column,
-                     row_pos: Column, unknown_id: str = "row") -> DataFrame:
-    """Rows carrying their header as a map -> canonical rows (members without the
-    payment column are dropped, as the archive reader skips them)."""
-    fields = _MapFields(F.col(map_col))
-    return (df.where(fields.has(PAYMENT_COLUMN))
-              .select(*_canonical_columns(fields, source_file, year, row_pos, unknown_id)))
+def canonicalize_slots(df: DataFrame, *, source_file: Column, year: Column,
+                       row_pos: Column, unknown_id: str = "row") -> DataFrame:
+    """Rows with a slot for each needed column -> canonical rows."""
+    return df.select(*_canonical_columns(_SlotFields(), source_file, year, row_pos, unknown_id))
 
 
 def valid_payments(canonical: DataFrame) -> DataFrame:

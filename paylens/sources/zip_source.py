@@ -2,17 +2,19 @@
 
 CSV members of each archive are packed into input partitions of about
 ``targetPartitionBytes`` (a large member is a partition of its own) and parsed
-inside the task by pyarrow's streaming CSV reader in bounded blocks (a member
-never sits whole in memory), handed to Spark as Arrow record batches; ragged
-members fall back to the ``csv`` module from the first row not yet emitted. Members carry their own header, so every row is emitted as
-``(source_file, row_no, fields MAP<STRING,STRING>)`` and canonicalised with
-Spark expressions (:func:`paylens.plans.layouts.canonicalize_map`). Members
-without the payment column are skipped, as are folders and non-``.csv`` names
-(case-insensitive). Archives are opened through ``pyarrow.fs`` so the same code
-reads local, HDFS or object-store paths.
-
-A very large member is one task; callers that do heavy work per row should
-``repartition`` right after the scan.
+inside the task by pyarrow's streaming CSV reader in bounded blocks: only the
+columns that reports need, straight into Arrow batches. Members the reader rejects
+(ragged rows) go on with the ``csv`` module from the first row not yet given out.
+
+Members carry their own header, so a row has a slot ``c<i>`` for each needed column
+and a bit mask of those that its member has. Blank lines before the header are
+skipped, as pandas does. Members without the payment column are skipped, as are
+folders and names that do not end in ``.csv`` (in any case). Paths are qualified as
+Spark would, and archives opened through ``pyarrow.fs``, so the same code reads
+local, HDFS or object-store paths.
+
+A member is one task (deflate cannot be split); callers that do heavy work per row
+should ``repartition`` right after the scan.
 """
 
 from __future__ import annotations
@@ -22,28 +24,28 @@ import io
 import itertools
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from paylens.constants import NULL_MARKERS, PAYMENT_COLUMN, YEAR_IN_PATH
-from paylens.plans.layouts import canonicalize_map
-from paylens.session import arrow_fs, ship_package
+from paylens.plans.layouts import NEEDED, canonicalize_slots
+from paylens.session import arrow_fs, qualified, ship_package
 
 FORMAT = "paylens_zip"
-SCHEMA = "source_file string, row_no bigint, fields map<string,string>"
+SCHEMA = "source_file string, row_no bigint, present bigint, " + ", ".join(f"c{i} string" for i in range(len(NEEDED)))
 
-
-def _fs(path: str):
-    return arrow_fs(path)
+# Members are packed into one input partition up to this many uncompressed bytes.
+TARGET_PARTITION_BYTES = 128 << 20
 
 
 def list_archives(path: str) -> list[str]:
     from pyarrow import fs as pafs
-    filesystem, root = _fs(path)
+    filesystem, root = arrow_fs(path)
     info = filesystem.get_file_info(root)
     if info.type == pafs.FileType.NotFound:
-        raise FileNotFoundError(f"ZIP file not found: {path}")
+        raise FileNotFoundError(f"no archive at {path}")
     if info.type == pafs.FileType.File:
         return [path]
     sel = pafs.FileSelector(root, recursive=True)
@@ -54,10 +56,6 @@ def list_archives(path: str) -> list[str]:
     return sorted(prefix + p for p in found)
 
 
-# Members are packed into one input partition up to this many uncompressed bytes.
-TARGET_PARTITION_BYTES = 128 << 20
-
-
 class MemberPartition(InputPartition):
     """A run of members of one archive, read by one task."""
 
@@ -80,94 +78,61 @@ def _pack(archive: str, infos, target: int) -> list[MemberPartition]:
     return parts
 
 
-def _header(zf: zipfile.ZipFile, member: str) -> list[str] | None:
-    with zf.open(member) as fh:
-        rows = csv.reader(io.TextIOWrapper(fh, encoding="utf-8-sig", newline=""))
-        return next(rows, None)
-
+def _rows(fh):
+    return csv.reader(io.TextIOWrapper(fh, encoding="utf-8-sig", newline=""))
 
-_BATCH_SCHEMA = None
 
+def _header(rows) -> list[str]:
+    """The first row that is not blank; a repeated name stands for its first column."""
+    for row in rows:
+        if any(cell.strip() for cell in row):
+            return [n if row.index(n) == i else f"{n}.{i}" for i, n in enumerate(row)]
+    return []
 
-def _batch_schema():
-    import pyarrow as pa
 
-    global _BATCH_SCHEMA
-    if _BATCH_SCHEMA is None:
-        _BATCH_SCHEMA = pa.schema([("source_file", pa.string()), ("row_no", pa.int64()),
-                                   ("fields", pa.map_(pa.string(), pa.string()))])
-    return _BATCH_SCHEMA
+def _batch(member: str, first: int, n: int, present: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    none = pa.nulls(n, pa.string())
+    slots = [columns.get(name, none) for name in NEEDED]
+    return pa.record_batch(
+        [pa.array([member] * n, pa.string()), pa.array(range(first, first + n), pa.int64()),
+         pa.array([present] * n, pa.int64()), *slots],
+        names=["source_file", "row_no", "present", *[f"c{i}" for i in range(len(NEEDED))]])
 
 
-def _arrow_member(zf: zipfile.ZipFile, member: str, header: list[str], markers):
-    """Stream one member through pyarrow's CSV reader in bounded blocks and turn
-    each block into (source_file, row_no, fields) with vectorised takes."""
-    import numpy as np
-    import pyarrow as pa
+def _arrow_member(zf: zipfile.ZipFile, member: str, header: list[str], lines: int, present: int):
+    """Stream one member through pyarrow's CSV reader in bounded blocks."""
     from pyarrow import csv as pacsv
 
-    k = len(header)
-    keys_one = np.array(header, dtype=object)
-    row0 = 0
+    names = [h for h in header if h in NEEDED]
+    first = 0
     with zf.open(member) as fh:
         reader = pacsv.open_csv(
             fh,
-            read_options=pacsv.ReadOptions(column_names=header, skip_rows=1,
-                                           block_size=8 << 20),
+            read_options=pacsv.ReadOptions(column_names=header, skip_rows=lines, block_size=8 << 20),
             parse_options=pacsv.ParseOptions(newlines_in_values=True),
             convert_options=pacsv.ConvertOptions(
-                column_types={h: pa.string() for h in header}, null_values=list(markers),
+                include_columns=names, column_types={h: pa.string() for h in names}, null_values=list(NULL_MARKERS),
                 strings_can_be_null=True, quoted_strings_can_be_null=True))
         for block in reader:
-            n = block.num_rows
-            if n == 0:
-                continue
-            stacked = pa.concat_arrays([block.column(i) for i in range(k)])
-            order = (np.arange(k)[None, :] * n + np.arange(n)[:, None]).ravel()
-            items = stacked.take(pa.array(order))
-            keys = pa.array(np.tile(keys_one, n), pa.string())
-            offsets = pa.array(np.arange(0, n * k + 1, k, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([member] * n, pa.string()),
-                 pa.array(np.arange(row0, row0 + n, dtype=np.int64)),
-                 pa.MapArray.from_arrays(offsets, keys, items)],
-                schema=_batch_schema())
-            row0 += n
-
-
-def _python_member(zf: zipfile.ZipFile, member: str, markers, skip: int = 0,
-                   chunk: int = 8192):
-    """Row-by-row fallback for members pyarrow rejects (e.g. ragged rows): short
-    rows read the missing cells as NULL, like pandas. Rows already emitted by
-    the pyarrow pass (``skip``) are not repeated; output is Arrow batches too."""
-    import pyarrow as pa
-
-    def flush(rows):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.string()),
-             pa.array([r[1] for r in rows], pa.int64()),
-             pa.array([list(r[2].items()) for r in rows],
-                      pa.map_(pa.string(), pa.string()))],
-            schema=_batch_schema())
+            if block.num_rows:
+                yield _batch(member, first, block.num_rows, present, {n: block.column(n) for n in names})
+                first += block.num_rows
 
+
+def _python_member(zf: zipfile.ZipFile, member: str, present: int, skip: int, chunk: int = 8192):
+    """Row by row, for members that pyarrow rejects: short rows read the absent cells
+    as NULL, like pandas. The ``skip`` rows already given out are not repeated."""
+    markers = set(NULL_MARKERS)
     with zf.open(member) as fh:
-        rows = csv.reader(io.TextIOWrapper(fh, encoding="utf-8-sig", newline=""))
-        header = next(rows, None)
-        width = len(header)
-        i, pending = 0, []
-        for row in rows:
-            if not row:
-                continue
-            if i >= skip:
-                cells = itertools.islice(itertools.chain(row, itertools.repeat(None)), width)
-                pending.append((member, i, {h: (None if v is None or v in markers else v)
-                                            for h, v in zip(header, cells)}))
-                if len(pending) >= chunk:
-                    yield flush(pending)
-                    pending = []
-            i += 1
-        if pending:
-            yield flush(pending)
+        rows = _rows(fh)
+        header = _header(rows)
+        at = [(i, h) for i, h in enumerate(header) if h in NEEDED]
+        data = itertools.islice((r for r in rows if r), skip, None)
+        first = skip
+        while part := list(itertools.islice(data, chunk)):
+            columns = {h: pa.array([None if i >= len(r) or r[i] in markers else r[i] for r in part], pa.string()) for i, h in at}
+            yield _batch(member, first, len(part), present, columns)
+            first += len(part)
 
 
 class ZipCsvReader(DataSourceReader):
@@ -178,7 +143,7 @@ class ZipCsvReader(DataSourceReader):
     def partitions(self):
         parts = []
         for archive in list_archives(self.path):
-            filesystem, p = _fs(archive)
+            filesystem, p = arrow_fs(archive)
             with filesystem.open_input_file(p) as fh, zipfile.ZipFile(fh) as zf:
                 infos = [i for i in zf.infolist()
                          if not i.filename.endswith("/") and i.filename.lower().endswith(".csv")]
@@ -188,20 +153,22 @@ class ZipCsvReader(DataSourceReader):
     def read(self, partition):
         if not partition.archive:
             return
-        markers = set(NULL_MARKERS)
-        filesystem, p = _fs(partition.archive)
+        filesystem, p = arrow_fs(partition.archive)
         with filesystem.open_input_file(p) as fh, zipfile.ZipFile(fh) as zf:
             for member in partition.members:
-                header = _header(zf, member)
-                if not header or PAYMENT_COLUMN not in header:
+                with zf.open(member) as head:
+                    rows = _rows(head)
+                    header, lines = _header(rows), rows.line_num
+                if PAYMENT_COLUMN not in header:
                     continue
-                emitted = 0
+                present = sum(1 << i for i, n in enumerate(NEEDED) if n in header)
+                given = 0
                 try:
-                    for batch in _arrow_member(zf, member, header, markers):
-                        emitted += batch.num_rows
+                    for batch in _arrow_member(zf, member, header, lines, present):
+                        given += batch.num_rows
                         yield batch
-                except Exception:  # noqa: BLE001 - ragged or unusual rows
-                    yield from _python_member(zf, member, markers, skip=emitted)
+                except pa.ArrowInvalid:  # a row the parser rejects; other errors are raised
+                    yield from _python_member(zf, member, present, given)
 
 
 class ZipCsvDataSource(DataSource):
@@ -223,57 +190,65 @@ def register(spark: SparkSession) -> None:
 
 
 def read_zip_rows(spark: SparkSession, path: str) -> DataFrame:
-    """S3: raw member rows ``(source_file, row_no, fields)``."""
-    list_archives(path)  # S9: fail early when the archive is missing
+    """S3: raw member rows (see ``SCHEMA``)."""
+    whole = qualified(spark, path)
+    list_archives(whole)  # S9: fail early when the archive is absent
     register(spark)
-    return spark.read.format(FORMAT).load(path)
+    return spark.read.format(FORMAT).load(whole)
 
 
 def read_zip_payments(spark: SparkSession, path: str, unknown_id: str = "row") -> DataFrame:
     """S3 + S5: canonical payment rows of every CSV member of the archive(s)."""
     rows = read_zip_rows(spark, path)
     year = F.nullif(F.regexp_extract("source_file", YEAR_IN_PATH, 1), F.lit("")).cast("int")
-    return canonicalize_map(rows, "fields", source_file=F.col("source_file"), year=year,
-                            row_pos=F.col("row_no"), unknown_id=unknown_id)
+    return canonicalize_slots(rows, source_file=F.col("source_file"), year=year,
+                              row_pos=F.col("row_no"), unknown_id=unknown_id)
 
 
 def _write_archive(batches, directory: str, member_col: str, order_col: str):
-    """mapInPandas body: one archive per task holding that task's members.
-
-    The task's rows are the members hashed to it (bounded by the member size,
-    never a whole year); the archive is built in memory and written once, so a
-    retried task simply rewrites the same archive."""
-    import pandas as pd
+    """mapInArrow body: one archive per task. The task's rows come sorted by member,
+    and each batch is written on as it comes; a retried task rewrites its archive."""
     from pyspark import TaskContext
 
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return
-    df = pd.concat(frames, ignore_index=True)
-    pid = TaskContext.get().partitionId()
-    target = f"{directory.rstrip('/')}/archive-{pid:05d}.zip"
-    buf = io.BytesIO()
-    names = []
-    with zipfile.ZipFile(buf, "w", compression=zipfile.ZIP_DEFLATED) as zf:
-        for member, part in df.groupby(member_col, sort=True):
-            body = part.sort_values(order_col).drop(columns=[member_col, order_col])
-            zf.writestr(member, body.to_csv(index=False))
-            names.append(member)
-    filesystem, path = _fs(target)
-    with filesystem.open_output_stream(path) as out:
-        out.write(buf.getvalue())
-    yield pd.DataFrame({"archive": [target] * len(names), "member": names})
+    target = f"{directory.rstrip('/')}/archive-{TaskContext.get().partitionId():05d}.zip"
+    filesystem, path = arrow_fs(target)
+    out = zf = sheet = member = None
+    names: list[str] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if zf is None:
+            out = filesystem.open_output_stream(path)
+            zf = zipfile.ZipFile(out, "w", compression=zipfile.ZIP_DEFLATED)
+        columns = [c for c in batch.schema.names if c not in (member_col, order_col)]
+        cells = [batch.column(c).to_pylist() for c in columns]
+        for i, name in enumerate(batch.column(member_col).to_pylist()):
+            if name != member:
+                if sheet:
+                    sheet.close()
+                member = name
+                names.append(name)
+                sheet = io.TextIOWrapper(zf.open(name, "w", force_zip64=True), encoding="utf-8", newline="")
+                writer = csv.writer(sheet, lineterminator="\n")
+                writer.writerow(columns)
+            writer.writerow(["" if col[i] is None else col[i] for col in cells])
+    if zf:
+        sheet.close()
+        zf.close()
+        out.close()
+    yield pa.record_batch([pa.array([target] * len(names), pa.string()), pa.array(names, pa.string())], names=["archive", "member"])
 
 
 def write_zip_members(wide: DataFrame, directory: str, member_col: str, order_col: str) -> int:
     """Pack a wide table into ZIP archives, one CSV member per ``member_col``
     value (rows in ``order_col`` order). Members are hash-spread over tasks and
-    each task writes its own archive into ``directory`` (any file system pyarrow
+    each task streams its own archive into ``directory`` (any file system pyarrow
     reaches), so no member list or data passes through the driver."""
-    filesystem, root = _fs(directory)
+    spark = wide.sparkSession
+    whole = qualified(spark, directory)
+    filesystem, root = arrow_fs(whole)
     filesystem.create_dir(root, recursive=True)
-    ship_package(wide.sparkSession)
-    out = wide.repartition(member_col).mapInPandas(
-        lambda it: _write_archive(it, directory, member_col, order_col),
-        "archive string, member string")
+    ship_package(spark)
+    out = wide.repartition(member_col).sortWithinPartitions(member_col, order_col).mapInArrow(
+        lambda it: _write_archive(it, whole, member_col, order_col), "archive string, member string")
     return out.count()

@@ -81,3 +81,34 @@ def test_ragged_member_falls_back_to_row_reader(spark, tmp_path):
     rows = read_zip_payments(spark, str(path)).orderBy("row_pos").collect()
     assert [r.row_pos for r in rows] == [0, 1, 2]
     assert rows[1].amount is None and rows[2].identifier == "3"
+
+
+def test_blank_lines_quotes_and_old_layout_members(spark, tmp_path):
+    new = "Covered_Recipient_First_Name,Covered_Recipient_Last_Name,Extra,Total_Amount_of_Payment_USDollars"
+    old = "Total_Amount_of_Payment_USDollars,Physician_Last_Name,Physician_First_Name,Physician_NPI"
+    path = tmp_path / "odd.zip"
+    with zipfile.ZipFile(path, "w") as zf:
+        zf.writestr("2020.csv", f'\n  \n{new}\n"Ann\nMay",Li,x,5\nBo,"Ng, Jr",,7\n')
+        zf.writestr("2014.csv", f"﻿{old}\n9,Oh,Cy,123\n")
+        zf.writestr("2013.csv", "\n\n")
+    rows = {(r.source_file, r.row_pos): r for r in read_zip_payments(spark, str(path)).collect()}
+    assert set(rows) == {("2020.csv", 0), ("2020.csv", 1), ("2014.csv", 0)}
+    names = {k: (r.persons[0].first, r.persons[0].last, float(r.amount), r.identifier) for k, r in rows.items()}
+    assert names["2020.csv", 0] == ("Ann\nMay", "Li", 5.0, "UNKNOWN_0")
+    assert names["2020.csv", 1] == ("Bo", "Ng, Jr", 7.0, "UNKNOWN_1")
+    assert names["2014.csv", 0] == ("Cy", "Oh", 9.0, "123")
+    assert not rows["2020.csv", 0].persons[0].has_middle and not rows["2020.csv", 0].persons[1].has_name
+
+
+def test_writer_streams_members(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from paylens.sources.zip_source import write_zip_members
+    wide = spark.range(5000).select(
+        F.concat(F.lit("200"), F.col("id") % 7, F.lit(".csv")).alias("m"), F.col("id").alias("o"),
+        F.concat(F.lit('a "q", \n'), F.col("id")).alias("Covered_Recipient_First_Name"), F.lit("Li").alias("Covered_Recipient_Last_Name"),
+        F.col("id").cast("string").alias("Total_Amount_of_Payment_USDollars"))
+    assert write_zip_members(wide, str(tmp_path / "zips"), "m", "o") == 7
+    rows = read_zip_payments(spark, str(tmp_path / "zips")).collect()
+    assert {(r.source_file, r.row_pos, r.persons[0].first) for r in rows} == {
+        (f"200{i % 7}.csv", i // 7, f'a "q", \n{i}') for i in range(5000)}
