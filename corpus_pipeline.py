@@ -26,10 +26,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Operator 6: words that repeat a passage of an earlier document are removed. A
     text that lost nothing stays as it is, line feeds included; of others, the kept
     words are joined by a space. ``n_chars`` follows."""
-    cut = substrings.without_repeats(docs)
+    own = {c: f"__own_{c}" for c in docs.columns if c in substrings.RESULTS}  # columns that happen to have its results' names
+    cut = substrings.without_repeats(docs.withColumnsRenamed(own))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     told = cut.withColumn("text", text)
-    return told.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    told = told.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return told.drop(*substrings.RESULTS).withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

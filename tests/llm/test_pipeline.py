@@ -28,7 +28,8 @@ def corpus():
 
 
 def test_every_stage_against_brute_force(spark):
-    docs = staged(spark.createDataFrame(corpus(), SCHEMA), "docs")
+    extra = {c: F.lit("own") for c in ("removed", "n_removed", "kept", "size", "component_id", "n_tokens", "fingerprint")}
+    docs = staged(spark.createDataFrame(corpus(), SCHEMA).withColumns(extra), "docs")
     names = docs.columns
     stages = [f for _, f in corpus_pipeline.STAGES]
     rows = lambda d: sorted(map(tuple, d.collect()), key=repr)
@@ -57,7 +58,7 @@ def test_every_stage_against_brute_force(spark):
     assert sum(gone for _, gone in want.values()) >= 11 * 55
 
     mix = staged(stages[3](spark, cut, ""), "t")
-    assert mix.columns == names
+    assert mix.columns == names and {r.removed + r.size for r in mix.collect()} == {"ownown"}
     plan = {r.doc_id: r.taken for r in mixing.mix(mixing.sized(cut)).collect() if r.taken}
     got = {}
     for r in mix.collect():
