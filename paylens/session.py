@@ -14,6 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_MADE: list[str] = []
+
+
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "paylens") -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
@@ -64,9 +67,20 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the shared checkpoint location for staged tables."""
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, f"{label}-{uuid.uuid4().hex[:12]}")
+    _MADE.append(path)
     return path
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the staged tables that this driver has made so far; call it when no
+    DataFrame that reads them is needed any more. Returns how many were deleted."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder as Parquet and read back: lineage
     ends there, and a lost executor costs only the tasks that it ran."""

@@ -101,3 +101,14 @@ def test_batch_without_broadcast_gives_same_result(spark, tmp_path, monkeypatch)
     assert counts["SortMergeJoin"] >= 2 and counts["BroadcastHashJoin"] == 0
     assert counts["BroadcastNestedLoopJoin"] == 0 and counts["CartesianProduct"] == 0
     assert shuffled
+
+
+def test_staged_tables_can_be_dropped(spark, monkeypatch):
+    import os
+
+    from paylens import session
+    monkeypatch.setattr(session, "_MADE", [])
+    df = session.staged(spark.range(3), "drop-me")
+    (path,) = session._MADE
+    assert df.count() == 3 and os.path.isdir(path)
+    assert session.drop_staged(spark) == 1 and not os.path.exists(path) and session.drop_staged(spark) == 0
