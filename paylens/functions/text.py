@@ -21,6 +21,11 @@ PY_WHITESPACE = (
 )
 
 
+# --- fixed values: what a name's remark is, and what a file name may not hold ---
+REMARK = r"\([^)]*\)"
+NOT_IN_SLUG = r"(?U)[^\w\s-]"
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -71,7 +76,7 @@ def parse_name(raw) -> Column:
     only a last name (first NULL -> the name is rejected), two give first/last,
     three first/middle/last, more put the inner words together as the middle.
     """
-    cleaned = strip(F.regexp_replace(_c(raw), r"\([^)]*\)", ""))
+    cleaned = strip(F.regexp_replace(_c(raw), REMARK, ""))
     parts = F.filter(F.split(cleaned, r"(?U)\s+"), lambda x: x != "")
     n = F.size(parts)
     first = F.when(n >= 2, F.get(parts, 0))
@@ -102,7 +107,7 @@ def money_label(col) -> Column:
 
 def safe_slug(col) -> Column:
     """Keep word characters, blanks and hyphens; strip; blanks -> '_'."""
-    kept = F.regexp_replace(_c(col), r"(?U)[^\w\s-]", "")
+    kept = F.regexp_replace(_c(col), NOT_IN_SLUG, "")
     return F.replace(strip(kept), F.lit(" "), F.lit("_"))
 
 
