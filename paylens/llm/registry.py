@@ -21,4 +21,5 @@ ORACLE = {
     "op4_license_scan": licenses.op4_sql(),
     "op6_substring_dedup": substrings.op6_sql(),
     "op8_chat_format": chat.op8_sql(),
+    "op9_suffix_dedup": suffixes.op9_sql(),
 }

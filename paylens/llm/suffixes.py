@@ -125,3 +125,38 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return without_repeats(docs).select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"),
                                         F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+def op9_sql() -> str:
+    """Every window of 100 bytes by its MD5; pieces of 199 bytes keep the slicing linear."""
+    return r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS d, hex(encode(coalesce(text, ''))) AS h FROM documents
+), c AS (
+  SELECT r, d, c, n, substring(h, CAST(2 * c + 1 AS BIGINT), 398) AS part
+  FROM (SELECT r, d, h, length(h) // 2 - 99 AS n, unnest(range(0, length(h) // 2 - 99, 100)) AS c FROM t WHERE length(h) >= 200)
+), w AS (
+  SELECT r, d, c + o AS p, md5(substring(part, CAST(2 * o + 1 AS BIGINT), 200)) AS k
+  FROM (SELECT r, d, c, part, unnest(range(0, least(100, n - c))) AS o FROM c)
+), f AS (
+  SELECT k, min(d) AS d FROM w GROUP BY k HAVING count(*) > 1
+), e AS (
+  SELECT w.r, min(w.p) AS p, w.k FROM w JOIN f ON f.k = w.k AND f.d = w.d GROUP BY w.r, w.k
+), s AS (
+  SELECT w.r, w.p FROM w JOIN f ON f.k = w.k LEFT JOIN e ON e.r = w.r AND e.k = w.k WHERE w.d > f.d OR w.p > e.p
+), i AS (
+  SELECT r, p, sum(CASE WHEN p <= q + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS island
+  FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS q FROM s)
+), spans AS (
+  SELECT r, island, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY r, island
+), gaps AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS since, lead(a) OVER (PARTITION BY r ORDER BY a) AS nxt FROM spans
+), cut AS (
+  SELECT g.r, sum(b - a) AS gone, count(*) AS n,
+         string_agg(substring(h, CAST(2 * since + 1 AS BIGINT), CAST(2 * (a - since) AS BIGINT)), '' ORDER BY a)
+         || any_value(substring(h, CAST(2 * last_b + 1 AS BIGINT))) AS kept
+  FROM (SELECT *, max(b) OVER (PARTITION BY r) AS last_b FROM gaps) g JOIN t ON t.r = g.r GROUP BY g.r
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM t LEFT JOIN cut ON cut.r = t.r"""
