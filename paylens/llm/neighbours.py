@@ -173,11 +173,11 @@ def search(vectors: DataFrame, queries: Column, k: int = K, recall: float = RECA
     limit = max(64, min(SAMPLE, SAMPLE_MB * 2**20 // (8 * dim)))
     some = found.orderBy(F.xxhash64("rep")).limit(limit).select("v").toArrow()
     tree = Tree(_matrix(some["v"], dim), n)
-    tree_sent = spark.sparkContext.broadcast(tree)  # bounded by the sample
+    # The tree travels with the functions below; the sample bounds its size.
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf = tree_sent.value.assign(_matrix(batch.column(2), dim))
+            leaf = tree.assign(_matrix(batch.column(2), dim))
             yield pa.record_batch([pa.array(leaf), *batch.columns], names=["leaf", "rep", "ids", "v"])
 
     placed = staged(found.mapInArrow(place, "leaf long, rep long, ids array<long>, v array<double>"), "ann-leaves")
@@ -229,7 +229,7 @@ def search(vectors: DataFrame, queries: Column, k: int = K, recall: float = RECA
             out: dict[str, list] = {"bucket": [], "q": [], "leaves": [], "v": []}
             for q, own in zip(_matrix(batch.column(1), dim), batch.column(0).to_pylist(), strict=True):
                 visits: dict[int, list[int]] = {}
-                for leaf in tree_sent.value.visits(q, least, held, k + 1):
+                for leaf in tree.visits(q, least, held, k + 1):
                     for piece in range(pieces_of[leaf]):
                         visits.setdefault(int(bucket_of[leaf]) + piece, []).append(leaf)
                 for b, leaves in visits.items():

@@ -35,7 +35,9 @@ from paylens.llm.common import ordering_id, staged
 
 HOT = 64
 #: Runs that a task gathers before it collapses equal ones.
-GATHERED = 2**20
+GATHERED = 2**19
+#: Rows of a batch that goes back to the JVM.
+SENT = 2**16
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
@@ -146,6 +148,13 @@ class Gather:
         self.parts, self.size = [], 0
 
 
+def _sent(columns: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Columns as record batches of bounded size."""
+    whole = pa.record_batch(columns, names=names)
+    for a in range(0, whole.num_rows, SENT):
+        yield whole.slice(a, SENT)
+
+
 def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
     """All rows of a partition as arrays (its size is the shuffle partition's)."""
     parts = list(batches)
@@ -177,8 +186,10 @@ def repeats(docs: DataFrame, hashes: Callable, window: int, gram: int, by_place:
                 key, content, start, windows, _ = anchored_runs(h, window, gram)
                 gather.add(key, content, d, packed(text_tag(data), start, windows))
                 if gather.size >= GATHERED:
-                    yield from (pa.record_batch(list(x), names=FIELDS) for x in gather.flush())
-        yield from (pa.record_batch(list(x), names=FIELDS) for x in gather.flush())
+                    for x in gather.flush():
+                        yield from _sent(list(x), FIELDS)
+        for x in gather.flush():
+            yield from _sent(list(x), FIELDS)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, content, d, span, done = _columns(batches, FIELDS)
@@ -187,8 +198,8 @@ def repeats(docs: DataFrame, hashes: Callable, window: int, gram: int, by_place:
         old = done.astype(bool)
         new = ~old
         k, c, e, s, settled = settle(key[new], content[new], d[new], span[new], old[new], by_place)
-        yield pa.record_batch([d[old], span[old], np.full(old.sum(), 0)], names=["d", "span", "open"])
-        yield pa.record_batch([e[settled], s[settled], np.full(settled.sum(), 0)], names=["d", "span", "open"])
+        yield from _sent([d[old], span[old], np.full(old.sum(), 0)], ["d", "span", "open"])
+        yield from _sent([e[settled], s[settled], np.full(settled.sum(), 0)], ["d", "span", "open"])
         k, c, e, s = (x[~settled] for x in (k, c, e, s))
         if not len(k):
             return
@@ -199,7 +210,7 @@ def repeats(docs: DataFrame, hashes: Callable, window: int, gram: int, by_place:
         several = np.zeros(len(starts), bool)
         several[group[1:][(group[1:] == group[:-1]) & (other[1:] != other[:-1])]] = True
         pick = several[group]
-        yield pa.record_batch([e[pick], s[pick], np.where(size[group[pick]] > HOT, 2, 1)], names=["d", "span", "open"])
+        yield from _sent([e[pick], s[pick], np.where(size[group[pick]] > HOT, 2, 1)], ["d", "span", "open"])
 
     found = keyed.select("__d", "text").mapInArrow(seeds, RUN_SCHEMA).repartition(n, "key")
     met = staged(found.mapInArrow(meet, "d long, span long, open long"), "runs-met")
@@ -211,10 +222,17 @@ def repeats(docs: DataFrame, hashes: Callable, window: int, gram: int, by_place:
         def windows_out() -> Iterator[pa.RecordBatch]:
             for x in gather.flush():
                 none = pa.nulls(len(x[0]), pa.binary())
-                yield pa.record_batch([*x, none, none, pa.nulls(len(x[0]), pa.int64())], names=names)
+                yield from _sent([*x, none, none, pa.nulls(len(x[0]), pa.int64())], names)
+
+        rows: list[tuple] = []
+        types = [pa.int64()] * 4 + [pa.bool_(), pa.binary(), pa.binary(), pa.int64()]
+
+        def contents_out() -> Iterator[pa.RecordBatch]:
+            if rows:
+                yield from _sent([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                rows.clear()
 
         for batch in batches:
-            rows = []
             for d, text, spans, hot in zip(*(batch.column(i) for i in range(4)), strict=True):
                 d, data = d.as_py(), (text.as_py() or "").encode()
                 tag, h = text_tag(data), hashes(data)
@@ -241,9 +259,9 @@ def repeats(docs: DataFrame, hashes: Callable, window: int, gram: int, by_place:
                     gather.add(mixed(whole), mixed(again), d, packed(tag, single, np.ones(len(single), np.int64)))
                     if gather.size >= GATHERED:
                         yield from windows_out()
-            if rows:
-                types = [pa.int64()] * 4 + [pa.bool_(), pa.binary(), pa.binary(), pa.int64()]
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                if len(rows) >= SENT:
+                    yield from contents_out()
+        yield from contents_out()
         yield from windows_out()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +272,7 @@ def repeats(docs: DataFrame, hashes: Callable, window: int, gram: int, by_place:
         single = whole.filter(whole["left"].is_null())
         key, content, d, span, done = (single[n].to_numpy() for n in FIELDS)
         key, content, d, span, done = settle(key, content, d, span, done.astype(bool), by_place)
-        yield pa.record_batch([d[done], span[done]], names=["d", "span"])
+        yield from _sent([d[done], span[done]], ["d", "span"])
         rest = whole.filter(whole["left"].is_valid()).sort_by([("key", "ascending"), ("d", "ascending"), ("span", "ascending")])
         key = rest["key"].to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)] if len(key) else [0]
@@ -265,7 +283,7 @@ def repeats(docs: DataFrame, hashes: Callable, window: int, gram: int, by_place:
             for i, offset, windows in extend(members):
                 out_d.append(d[a + i])
                 out_span.append((span[a + i] & ~0x7F) + (offset << 7) + windows - 1)
-        yield pa.record_batch([pa.array(out_d, pa.int64()), pa.array(out_span, pa.int64())], names=["d", "span"])
+        yield from _sent([pa.array(out_d, pa.int64()), pa.array(out_span, pa.int64())], ["d", "span"])
 
     texts = keyed.repartition(n, "__d")
     is_open = met.where("open > 0").groupBy(F.col("d").alias("__o")).agg(

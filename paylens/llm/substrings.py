@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylens.llm import runs
 from paylens.llm.common import table
+from paylens.llm.runs import covered, repeats, text_tag
 
 WINDOW, GRAM = 13, 5
 RESULTS = ["n_words", "n_removed", "kept_text", "removed"]
@@ -71,7 +71,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """``docs`` with n_words, n_removed, kept_text (kept words joined by a space) and
     removed (array of the removed runs of words: start, end)."""
     docs = docs.drop(*RESULTS)
-    spans = runs.repeats(docs, word_hashes, window, gram, False, around, lambda m: extend(m, window))
+    spans = repeats(docs, word_hashes, window, gram, False, around, lambda m: extend(m, window))
 
     @F.arrow_udf("struct<n_words: bigint, n_removed: bigint, kept_text: string, removed: array<struct<start: bigint, end: bigint>>>")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -83,7 +83,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 if not place.is_valid:
                     rows.append({"n_words": len(words), "n_removed": 0, "kept_text": b" ".join(words).decode(), "removed": []})
                     continue
-                gone = runs.covered(place.values.to_numpy(), runs.text_tag(data), len(words), window)
+                gone = covered(place.values.to_numpy(), text_tag(data), len(words), window)
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 rows.append({"n_words": len(words), "n_removed": int(gone.sum()),
                              "kept_text": b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode(),

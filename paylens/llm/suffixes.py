@@ -30,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylens.llm import runs
 from paylens.llm.common import table
+from paylens.llm.runs import BASE, covered, mixed, repeats, text_tag
 
 WINDOW, GRAM = 100, 20
 RESULTS = ["n_bytes", "n_removed", "kept_bytes", "removed"]
 
 
 def byte_hashes(data: bytes) -> np.ndarray:
-    values = runs.mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(runs.BASE))
+    values = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
     return values[np.frombuffer(data, np.uint8)]
 
 
@@ -97,7 +97,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """``docs`` with n_bytes, n_removed, kept_bytes and removed (array of the maximal
     removed runs of bytes: start, end)."""
     docs = docs.drop(*RESULTS)
-    spans = runs.repeats(docs, byte_hashes, window, gram, True, around, lambda m: extend(m, window))
+    spans = repeats(docs, byte_hashes, window, gram, True, around, lambda m: extend(m, window))
 
     @F.arrow_udf("struct<n_bytes: bigint, n_removed: bigint, kept_bytes: binary, removed: array<struct<start: bigint, end: bigint>>>")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -108,7 +108,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 if not place.is_valid:
                     rows.append({"n_bytes": len(data), "n_removed": 0, "kept_bytes": data, "removed": []})
                     continue
-                gone = runs.covered(place.values.to_numpy(), runs.text_tag(data), len(data), window)
+                gone = covered(place.values.to_numpy(), text_tag(data), len(data), window)
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 rows.append({"n_bytes": len(data), "n_removed": int(gone.sum()),
                              "kept_bytes": np.frombuffer(data, np.uint8)[~gone].tobytes(),
