@@ -91,13 +91,15 @@ def own_licences(files: DataFrame) -> DataFrame:
     templates, idf, other, rare = _weights(spark, files)
     name = F.element_at(F.split("path", "/"), -1)
     whole = files.where(name.rlike(LICENCE_FILE)).select("file", F.lit(0).alias("line"), F.lit("file").alias("kind"), terms(F.col("text")).alias("terms"))
-    lines = files.select("file", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "one"))
-    marked = (lines.where(F.col("one").rlike("(?i)" + "|".join(t.replace(".", r"\.") for t in rare)) if rare else F.lit(False))
-              .select("file", (F.col("at") + 1).alias("line"), F.lit("header").alias("kind"), terms(F.col("one")).alias("terms"))
+    # Only files that hold a rare term anywhere are cut into lines.
+    some = files.where(F.arrays_overlap(terms(F.col("text")), F.array(*[F.lit(t) for t in rare])) if rare else F.lit(False))
+    lines = some.select("file", F.posexplode(F.split("text", "\n")).alias("at", "one"))
+    marked = (lines.select("file", (F.col("at") + 1).alias("line"), F.lit("header").alias("kind"), terms(F.col("one")).alias("terms"))
               .where(F.exists("terms", lambda t: t.isin(rare))))
     passages = whole.unionByName(marked)
     counts = (passages.select("file", "line", "kind", F.explode("terms").alias("term"))
               .groupBy("file", "line", "kind", "term").agg(F.count("*").alias("n")))
+    counts = staged(counts, "licences-terms")  # read for lengths and for products
     weights = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     weighed = counts.join(F.broadcast(weights), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other)))
     lengths = weighed.groupBy("file", "line", "kind").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
