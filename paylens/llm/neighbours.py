@@ -39,6 +39,8 @@ from paylens.llm.common import staged, table
 K, EVERY = 20, 20
 SAMPLE, SAMPLE_MB, BRANCHES, LEAF, CALIBRATION, RECALL = 16384, 32, 16, 100, 256, 0.97
 BUCKET, QUERIES, SEED = 16384, 32768, 5
+#: Found rows that a task gathers before it keeps each query's best.
+MERGED = 2**20
 
 
 class Tree:
@@ -250,7 +252,8 @@ def search(vectors: DataFrame, queries: Column, k: int = K, recall: float = RECA
         leaf = rows["leaf"].to_numpy()
         rows = rows.take(np.argsort(leaf, kind="stable")).combine_chunks()
         leaf = rows["leaf"].to_numpy()
-        x, ids, best = _matrix(rows["v"], dim), rows["ids"].combine_chunks(), None
+        x, ids = _matrix(rows["v"], dim), rows["ids"].combine_chunks()
+        found, held_rows = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
         q, names = _matrix(asked["v"], dim), asked["q"].to_numpy()
         lists = asked["leaves"].combine_chunks()
         owner = np.repeat(np.arange(len(names)), np.diff(lists.offsets.to_numpy()))
@@ -260,10 +263,12 @@ def search(vectors: DataFrame, queries: Column, k: int = K, recall: float = RECA
             mine = owner[wanted == one]
             for s in range(0, len(mine), 2048):
                 who, i, score = _pairs(q[mine[s:s + 2048]], x[a:b], ids.slice(a, b - a), k)
-                got = (mine[s + who], i, score)
-                best = _top([got] if best is None else [got, tuple(best)], k + 1)
-        if best is None:
-            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                found.append((mine[s + who], i, score))
+                held_rows += len(i)
+                if held_rows > MERGED:  # the best so far and what came since
+                    found = [tuple(_top(found, k + 1))]
+                    held_rows = len(found[0][0]) // 2
+        best = _top(found, k + 1)
         return pa.table({"q": names[best[0]], "vec_id": best[1], "score": best[2]})
 
     columns = ["bucket", "part", "q", "leaves", "v"]
