@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: the ids of each document with begin and end (little-endian
     32-bit integers), checked against the library, and whether they decode to it."""
-    ids = pieces.decode(pieces.encode(docs))
+    ids = pieces.encode(docs, decoded=True)
     return ids.select("doc_id", "lang", "source", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

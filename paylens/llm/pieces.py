@@ -166,27 +166,39 @@ def _model(spark: SparkSession, path: str):
     return sent
 
 
+def _texts(library, ids: list[bytes]) -> list[str]:
+    """The library's ``decode`` of packed ids."""
+    import numpy as np
+
+    return library.decode([np.frombuffer(x, "<u4").tolist() for x in ids])
+
+
 def encode(docs: DataFrame, path: str | None = None, *, text: str = "text", bos: bool = True, eos: bool = True,
-           check: bool = True, rows: int = 512) -> DataFrame:
+           check: bool = True, decoded: bool = False, rows: int = 512) -> DataFrame:
     """``docs`` with ``n_tokens`` (long) and ``ids`` (binary: little-endian unsigned
-    32-bit integers). Batches are worked ``rows`` texts at a time."""
+    32-bit integers) and, if asked for, ``decoded``, the library's ``decode`` of the
+    ids in the same pass. Batches are worked ``rows`` texts at a time."""
     model = _model(docs.sparkSession, path or model_path())
+    fields = {"n_tokens": ("bigint", pa.int64()), "ids": ("binary", pa.binary())} | (
+        {"decoded": ("string", pa.string())} if decoded else {})
 
-    @F.arrow_udf("struct<n_tokens: bigint, ids: binary>")
+    @F.arrow_udf("struct<" + ", ".join(f"{n}: {t}" for n, (t, _) in fields.items()) + ">")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = MergeEncoder(model.value)
         first = pack("<I", enc.library.bos_id()) if bos else b""
         last = pack("<I", enc.library.eos_id()) if eos else b""
         for batch in batches:
-            ids: list[bytes] = []
+            parts = []
             for a in range(0, len(batch), rows):
-                ids += [first + x + last for x in enc.encode(batch.slice(a, rows).to_pylist(), check)]
-            yield pa.StructArray.from_arrays(
-                [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["n_tokens", "ids"])
+                ids = [first + x + last for x in enc.encode(batch.slice(a, rows).to_pylist(), check)]
+                columns = [[len(x) // 4 for x in ids], ids] + ([_texts(enc.library, ids)] if decoded else [])
+                parts.append(pa.StructArray.from_arrays(
+                    [pa.array(c, t) for c, (_, t) in zip(columns, fields.values(), strict=True)], list(fields)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(n, t) for n, (_, t) in fields.items()]))
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "ids")]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in fields]
     out = docs.select(*keep, run(F.col(text)).alias("__pieces"))
-    return out.select(*keep, "__pieces.n_tokens", "__pieces.ids")
+    return out.select(*keep, *[f"__pieces.{n}" for n in fields])
 
 
 def decode(encoded: DataFrame, path: str | None = None, *, ids: str = "ids", rows: int = 256) -> DataFrame:
@@ -195,15 +207,13 @@ def decode(encoded: DataFrame, path: str | None = None, *, ids: str = "ids", row
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import numpy as np
-
         import sentencepiece
 
         library = sentencepiece.SentencePieceProcessor(model_proto=model.value)
         for batch in batches:
             texts: list[str] = []
             for a in range(0, len(batch), rows):
-                texts += library.decode([np.frombuffer(x or b"", "<u4").tolist() for x in batch.slice(a, rows).to_pylist()])
+                texts += _texts(library, [x or b"" for x in batch.slice(a, rows).to_pylist()])
             yield pa.array(texts, pa.string())
 
     return encoded.withColumn("decoded", run(F.col(ids)))
@@ -211,6 +221,6 @@ def decode(encoded: DataFrame, path: str | None = None, *, ids: str = "ids", row
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = decode(encode(docs).drop("text"))
+    done = encode(docs, decoded=True)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

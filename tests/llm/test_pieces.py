@@ -26,7 +26,9 @@ def test_encode_equals_library_on_any_text(spark, library):
     docs = spark.createDataFrame([(i, t, "old", 1.5) for i, t in enumerate(texts)], "doc_id long, text string, ids string, extra double")
     rows = pieces.decode(pieces.encode(docs)).collect()
     assert len(rows) == len(texts) and set(rows[0].asDict()) == {"doc_id", "text", "extra", "n_tokens", "ids", "decoded"}
+    together = {r.doc_id: r for r in pieces.encode(docs, decoded=True, rows=100).collect()}
     for r in rows:
+        assert (together[r.doc_id].ids, together[r.doc_id].decoded) == (r.ids, r.decoded)
         want = library.encode(texts[r.doc_id] or "", add_bos=True, add_eos=True)
         assert np.frombuffer(r.ids, "<u4").tolist() == want and r.n_tokens == len(want)
         assert r.decoded == library.decode(want)
