@@ -35,7 +35,7 @@ MODEL = "piece_bpe_32k.model"
 SPACE_SYMBOL = "▁"
 #: Chunks whose ids are kept by a worker (two generations of this many) and the
 #: longest chunk that is kept, in characters.
-KEPT_CHUNKS, KEPT_CHARS = 120_000, 48
+KEPT_CHUNKS, KEPT_CHARS = 300_000, 48
 #: Up to this many characters the agenda is a list, beyond it a heap.
 SHORT, NEVER = 32, float("inf")
 
