@@ -5,8 +5,11 @@ kind: each line that may be a licence header, and each whole licence file (by it
 name). A passage's vector holds term counts times inverse document frequency, which
 is counted over all files for the templates' terms; a term of no template weighs as
 one that no file has, and only lengthens the passage's vector. A passage takes the
-template with the greatest cosine, if that is ``LEAST`` or more. A line may be a
-header if it holds a template term that at most ``RARE`` of all files hold.
+template with the greatest cosine, if that is ``LEAST`` or more. A line's cosine is at
+most the length of the part of the template's vector whose terms the line holds; lines
+that cannot reach ``LEAST`` so are not counted, which loses none, whatever the document
+frequencies. (The SQL counts lines with a term that at most ``RARE`` of all files hold;
+it agrees where each header line has one.)
 
 A file with a passage of its own keeps the best. Any other file inherits from the
 nearest directory above it whose licence file was recognised: paths are joined with
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from paylens.llm.common import staged, table
 
 LEAST, RARE = 0.6, 0.1
+#: The least squared length of what a line shares with a template to reach LEAST, less rounding.
+SHARED = LEAST * LEAST - 1e-6
 #: File names that hold a whole licence.
 LICENCE_FILE = r"(?i)^(un)?licen[cs]e([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$"
 
@@ -61,9 +66,22 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), *LOWER), F.lit(r"(?:[0-9]+(?:\.[0-9]+)+|[a-z0-9]+)"), 0)
 
 
-def _weights(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, dict[str, float], float, list[str]]:
+def _needed(headers: list[dict[str, float]], df: dict[str, int]) -> list[str]:
+    """Terms of which a line that reaches ``SHARED`` with a header template holds one at
+    least: of each template all but the most frequent, which do not reach it together."""
+    needed = set()
+    for weights in headers:
+        left = 0.0
+        for t in sorted(weights, key=lambda t: (-df.get(t, 0), t)):
+            left += weights[t] ** 2
+            if left >= SHARED:
+                needed.add(t)
+    return sorted(needed)
+
+
+def _weights(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, dict[str, float], float, list[dict[str, float]], list[str]]:
     """Templates' (license, kind, term, weight) with unit length; idf of their terms;
-    idf of any other; the rare terms."""
+    idf of any other; the header templates' weights; the terms that a header needs."""
     made = spark.createDataFrame(TEMPLATES, "license string, kind string, text string")
     of_template = made.select("license", "kind", F.explode(terms(F.col("text"))).alias("term"))
     known = sorted(r.term for r in of_template.select("term").distinct().collect())  # the templates' terms
@@ -80,22 +98,29 @@ def _weights(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, dict[str
     weight = F.col("count") * F.col("idf")
     length = F.sqrt(F.sum(weight * weight).over(Window.partitionBy("license", "kind")))
     rows = counted.select("license", "kind", "term", (weight / length).alias("weight"))
-    rows = spark.createDataFrame(rows.collect(), rows.schema)  # as many rows as the templates have terms
-    return rows, idf, other, [t for t in known if df.get(t, 0) <= RARE * n]
+    kept = rows.collect()  # as many rows as the templates have terms
+    headers: dict[str, dict[str, float]] = {}
+    for r in kept:
+        if r.kind == "header":
+            headers.setdefault(r.license, {})[r.term] = r.weight
+    headers = [headers[k] for k in sorted(headers)]
+    return spark.createDataFrame(kept, rows.schema), idf, other, headers, _needed(headers, df)
 
 
 def own_licences(files: DataFrame) -> DataFrame:
     """(file, path, text) -> file, license, score and line (1-based; 0 for a whole
     licence file) of each file's best passage."""
     spark = files.sparkSession
-    templates, idf, other, rare = _weights(spark, files)
+    templates, idf, other, headers, needed = _weights(spark, files)
+    need = F.array(*[F.lit(t) for t in needed])
+    reached = F.greatest(*[sum((F.when(F.array_contains("terms", t), w * w).otherwise(0.0) for t, w in sorted(x.items())), F.lit(0.0)) for x in headers])
     name = F.element_at(F.split("path", "/"), -1)
     whole = files.where(name.rlike(LICENCE_FILE)).select("file", F.lit(0).alias("line"), F.lit("file").alias("kind"), terms(F.col("text")).alias("terms"))
-    # Only files that hold a rare term anywhere are cut into lines.
-    some = files.where(F.arrays_overlap(terms(F.col("text")), F.array(*[F.lit(t) for t in rare])) if rare else F.lit(False))
+    # Only files that hold a needed term anywhere are cut into lines.
+    some = files.where(F.arrays_overlap(terms(F.col("text")), need))
     lines = some.select("file", F.posexplode(F.split("text", "\n")).alias("at", "one"))
     marked = (lines.select("file", (F.col("at") + 1).alias("line"), F.lit("header").alias("kind"), terms(F.col("one")).alias("terms"))
-              .where(F.exists("terms", lambda t: t.isin(rare))))
+              .where(F.arrays_overlap("terms", need)).where(reached >= SHARED))
     passages = whole.unionByName(marked)
     counts = (passages.select("file", "line", "kind", F.explode("terms").alias("term"))
               .groupBy("file", "line", "kind", "term").agg(F.count("*").alias("n")))

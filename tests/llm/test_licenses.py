@@ -73,3 +73,26 @@ def test_scan_equals_brute_force(spark):
 def test_empty_table_and_no_python(spark):
     out = licenses.scan(spark.createDataFrame([], SCHEMA))
     assert out.count() == 0 and "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_common_headers_and_small_tables_are_scored(spark):
+    header = "Released under the MIT License."
+    three = [(1, "a/x.txt", f"{header}\nsome code", ""), (2, "b/y.txt", "nothing at all", ""), (3, "c/LICENSE", "Licensed under CC BY 4.0", "")]
+    hot = [(i, f"d{i}/doc.txt", f"{header if i % 3 == 0 else 'under the counter'}\nword {i}", "") for i in range(60)]
+    for rows, want in ((three, {1: "MIT", 3: "CC-BY-4.0"}), (hot, {i: "MIT" for i in range(0, 60, 3)})):
+        got = licenses.scan(spark.createDataFrame(rows, SCHEMA)).where("license IS NOT NULL").collect()
+        assert {r.file: r.license for r in got} == want and all(r.score > 0.999 and r.line == 1 for r in got)
+
+
+def test_the_gate_loses_no_line_that_reaches_the_least_cosine(spark):
+    """Every line is scored by brute force, at any document frequency."""
+    words = sorted({w for _, kind, x in licenses.TEMPLATES if kind == "header" for w in re.findall(r"[A-Za-z]+", x)})
+    rows = [(i, f"{i}.txt", " ".join(words[(i * 7 + j * (1 + i % 3)) % len(words)] for j in range(2 + i % 9)), "") for i in range(150)]
+    rows += [(200 + i, f"h{i}.txt", " ".join(x.split()[i % 3:]), "") for i, (_, kind, x) in enumerate(licenses.TEMPLATES * 6) if kind == "header"]
+    rare, licenses.RARE = licenses.RARE, 1.0  # brute() then scores every line with a template term
+    try:
+        want = brute(rows)
+    finally:
+        licenses.RARE = rare
+    got = licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all((r.license, r.line) == (want[r.file][0], want[r.file][2]) for r in got) and sum(r.license is not None for r in got) > 60
