@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylens.llm.common import table
-from paylens.llm.runs import covered, repeats, text_tag
+from paylens.llm.runs import covered, repeats
 
 WINDOW, GRAM = 13, 5
 RESULTS = ["n_words", "n_removed", "kept_text", "removed"]
@@ -83,7 +83,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 if not place.is_valid:
                     rows.append({"n_words": len(words), "n_removed": 0, "kept_text": b" ".join(words).decode(), "removed": []})
                     continue
-                gone = covered(place.values.to_numpy(), text_tag(data), len(words), window)
+                gone = covered(place.values.to_numpy(), len(words), window)
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 rows.append({"n_words": len(words), "n_removed": int(gone.sum()),
                              "kept_text": b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode(),

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylens.llm.common import table
-from paylens.llm.runs import BASE, covered, mixed, repeats, text_tag
+from paylens.llm.runs import BASE, covered, mixed, repeats
 
 WINDOW, GRAM = 100, 20
 RESULTS = ["n_bytes", "n_removed", "kept_bytes", "removed"]
@@ -108,7 +108,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 if not place.is_valid:
                     rows.append({"n_bytes": len(data), "n_removed": 0, "kept_bytes": data, "removed": []})
                     continue
-                gone = covered(place.values.to_numpy(), text_tag(data), len(data), window)
+                gone = covered(place.values.to_numpy(), len(data), window)
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 rows.append({"n_bytes": len(data), "n_removed": int(gone.sum()),
                              "kept_bytes": np.frombuffer(data, np.uint8)[~gone].tobytes(),

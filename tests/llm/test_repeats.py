@@ -105,6 +105,26 @@ def test_results_beside_the_columns(spark):
         assert op.without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_texts_of_one_id_keep_their_own_spans(spark):
+    """Texts without an id whose hashes agree in 24 bits, and many equal ones."""
+    from xxhash import xxh64_intdigest
+    passage = " ".join(f"common{i}" for i in range(20))
+    clean = " ".join(f"{i}unlike" for i in range(60))
+    low = lambda t: xxh64_intdigest(t.encode()) & 0xFFFFFF
+    by = {low(t): t for t in (f"{passage} {i}" for i in range(20000))}
+    pairs = [(by[low(t)], t) for t in (f"{i} {clean} {i}" for i in range(20000)) if low(t) in by][:3]
+    assert pairs
+    rows = [(1, passage)] + [(None, t) for t in pairs[0]] + [(None, f"{i} {passage}") for i in range(30)] + [(None, f"again {passage}")] * 80
+    rows = [(*r, None, None) for r in rows]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    words = substrings.without_repeats(docs).select("*", substrings.F.sha2("kept_text", 256).alias("sha")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.sha) for r in words) == brute_words(rows)
+    cut = suffixes.without_repeats(docs).select("*", suffixes.F.sha2("kept_bytes", 256).alias("sha")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, len(r.removed), r.sha) for r in cut) == brute_bytes(rows)
+    spans = runs.repeats(docs.select("doc_id", "text"), substrings.word_hashes, 13, 5, False, substrings.around, substrings.extend)
+    assert all(len(r["__spans"] or []) <= len(r.text.split()) for r in spans.collect())
+
+
 def test_runs_cover_each_window_once_and_depend_on_content():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 4, 5000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
