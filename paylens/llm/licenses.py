@@ -11,6 +11,11 @@ that cannot reach ``LEAST`` so are not counted, which loses none, whatever the d
 frequencies. (The SQL counts lines with a term that at most ``RARE`` of all files hold;
 it agrees where each header line has one.)
 
+A licence file is compared to whole licence texts too (``licence_texts``; their terms
+weigh as above), and takes one at a cosine of ``WHOLE`` or more: an opening sentence is
+diluted over an unabridged file. A line with an SPDX tag is a passage of cosine 1 for
+each licence known by name in it (-only, -or-later and + aside). The SQL has neither.
+
 A file with a passage of its own keeps the best. Any other file inherits from the
 nearest directory above it whose licence file was recognised: paths are joined with
 the directories by equality, for each ancestor, and the longest wins.
@@ -25,6 +30,11 @@ no rows. Cosines are rounded to nine places before they are compared.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +43,10 @@ from paylens.llm.common import staged, table
 LEAST, RARE = 0.6, 0.1
 #: The least squared length of what a line shares with a template to reach LEAST, less rounding.
 SHARED = LEAST * LEAST - 1e-6
+#: The least cosine to a whole licence text; other licences' texts and common prose stay below.
+WHOLE = 0.9
+TEXTS = Path(__file__).with_name("licence_texts")
+SPDX = "SPDX-License-Identifier:"
 #: File names that hold a whole licence.
 LICENCE_FILE = r"(?i)^(un)?licen[cs]e([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$"
 
@@ -62,8 +76,22 @@ TEMPLATES = [
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+TERM = r"(?:[0-9]+(?:\.[0-9]+)+|[a-z0-9]+)"
+
+
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), *LOWER), F.lit(r"(?:[0-9]+(?:\.[0-9]+)+|[a-z0-9]+)"), 0)
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), *LOWER), F.lit(TERM), 0)
+
+
+def _whole_texts(idf: dict[str, float], other: float) -> list[tuple]:
+    """(license, kind, term, weight, least) of the whole licence texts, with unit length."""
+    rows = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        found = Counter(re.findall(TERM, path.read_text(encoding="utf-8").translate(str.maketrans(*LOWER))))
+        weights = {t: n * idf.get(t, other) for t, n in found.items()}
+        length = math.sqrt(sum(w * w for w in weights.values()))
+        rows += [(path.stem, "file", t, w / length, WHOLE) for t, w in sorted(weights.items())]
+    return rows
 
 
 def _needed(headers: list[dict[str, float]], df: dict[str, int]) -> list[str]:
@@ -80,7 +108,7 @@ def _needed(headers: list[dict[str, float]], df: dict[str, int]) -> list[str]:
 
 
 def _weights(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, dict[str, float], float, list[dict[str, float]], list[str]]:
-    """Templates' (license, kind, term, weight) with unit length; idf of their terms;
+    """Templates' (license, kind, term, weight, least) with unit length; idf of their terms;
     idf of any other; the header templates' weights; the terms that a header needs."""
     made = spark.createDataFrame(TEMPLATES, "license string, kind string, text string")
     of_template = made.select("license", "kind", F.explode(terms(F.col("text"))).alias("term"))
@@ -104,7 +132,19 @@ def _weights(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, dict[str
         if r.kind == "header":
             headers.setdefault(r.license, {})[r.term] = r.weight
     headers = [headers[k] for k in sorted(headers)]
-    return spark.createDataFrame(kept, rows.schema), idf, other, headers, _needed(headers, df)
+    every = [(*r, LEAST) for r in kept] + _whole_texts(idf, other)
+    return spark.createDataFrame(every, "license string, kind string, term string, weight double, least double"), idf, other, headers, _needed(headers, df)
+
+
+def _tagged(files: DataFrame) -> DataFrame:
+    """(file, line, license, score) of the licences that SPDX tags name."""
+    names = sorted({x[0] for x in TEMPLATES} | {p.stem for p in TEXTS.glob("*.txt")})
+    lines = files.where(F.col("text").contains(SPDX)).select("file", F.posexplode(F.split("text", "\n")).alias("at", "one"))
+    ids = F.regexp_extract_all(F.lower(F.substring_index("one", SPDX, -1)), F.lit(r"[a-z0-9.+-]+"), 0)
+    tags = lines.where(F.col("one").contains(SPDX)).select("file", (F.col("at") + 1).alias("line"), F.explode(ids).alias("id"))
+    known = F.create_map(*[F.lit(x) for n in names for x in (n.lower(), n)])
+    named = tags.select("file", "line", F.try_element_at(known, F.regexp_replace("id", r"(-only|-or-later|\+)$", "")).alias("license"))
+    return named.where(F.col("license").isNotNull()).select("file", "line", "license", F.lit(1.0).alias("score"))
 
 
 def own_licences(files: DataFrame) -> DataFrame:
@@ -128,10 +168,11 @@ def own_licences(files: DataFrame) -> DataFrame:
     weights = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     weighed = counts.join(F.broadcast(weights), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other)))
     lengths = weighed.groupBy("file", "line", "kind").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = weighed.join(F.broadcast(templates), ["kind", "term"]).groupBy("file", "line", "kind", "license").agg(
+    dots = weighed.join(F.broadcast(templates), ["kind", "term"]).groupBy("file", "line", "kind", "license", "least").agg(
         F.sum(F.col("w") * F.col("weight")).alias("dot"))
     score = F.round(F.col("dot") / F.col("length"), 9)
-    scored = dots.join(lengths, ["file", "line", "kind"]).select("file", "line", "license", score.alias("score")).where(F.col("score") >= LEAST)
+    scored = dots.join(lengths, ["file", "line", "kind"]).select("file", "line", "license", "least", score.alias("score")).where(F.col("score") >= F.col("least"))
+    scored = scored.drop("least").unionByName(_tagged(files))
     best = F.min(F.struct((-F.col("score")).alias("s"), "license", "line"))
     return scored.groupBy("file").agg(best.alias("b")).select("file", "b.license", (-F.col("b.s")).alias("score"), "b.line")
 
@@ -175,7 +216,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sql() -> str:
     values = ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in TEMPLATES)
-    pattern = r"(?:[0-9]+(?:\.[0-9]+)+|[a-z0-9]+)"
+    pattern = TERM
     name = LICENCE_FILE.removeprefix("(?i)")
     of = lambda t: f"regexp_extract_all(translate(coalesce({t}, ''), '{LOWER[0]}', '{LOWER[1]}'), '{pattern}')"
     return f"""

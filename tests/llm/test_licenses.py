@@ -96,3 +96,20 @@ def test_the_gate_loses_no_line_that_reaches_the_least_cosine(spark):
         licenses.RARE = rare
     got = licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()
     assert all((r.license, r.line) == (want[r.file][0], want[r.file][2]) for r in got) and sum(r.license is not None for r in got) > 60
+
+
+def test_unabridged_licence_files_and_tags(spark):
+    """Whole texts, with other titles and holders, in a table of few files and in one of many."""
+    whole = {p.stem: p.read_text() for p in licenses.TEXTS.glob("*.txt")}
+    assert {"MIT", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0"} <= set(whole)
+    rows = [(i, f"{name}/LICENSE", f"Some Project\n\nCopyright (c) 2021 A. Holder and contributors\n\n{text}", "") for i, (name, text) in enumerate(sorted(whole.items()))]
+    rows += [(50 + i, f"{name}/src/code.py", "code", "") for i, name in enumerate(sorted(whole))]
+    tags = {70: ("# SPDX-License-Identifier: MIT", "MIT"), 71: ("x\n// SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0"),
+            72: ("SPDX-License-Identifier: Foo-1.0", None), 73: ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "Apache-2.0")}
+    rows += [(i, f"tags/{i}.c", text, "") for i, (text, _) in tags.items()]
+    rows += [(80, "prose/LICENSE", "the work of the people and the terms of use in this form are not to be read as any part of it " * 40, "")]
+    for more in (0, 300):
+        got = {r.file: r for r in licenses.scan(spark.createDataFrame(rows + [(1000 + i, f"p/{i}", f"some words {i}", "") for i in range(more)], SCHEMA)).collect()}
+        for i, name in enumerate(sorted(whole)):
+            assert (got[i].license, got[i].line) == (name, 0) and got[50 + i].license == name, (name, got[i])
+        assert {i: got[i].license for i in tags} == {i: want for i, (_, want) in tags.items()} and got[80].license is None
