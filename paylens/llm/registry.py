@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paylens.llm import chat, language, licenses, mixing, neighbours, pieces, quality, simhash, substrings, suffixes
+from paylens.llm import chat, decontaminate, language, licenses, mixing, neighbours, pieces, quality, simhash, substrings, suffixes
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op12_decontamination": decontaminate.op12_decontamination,
 }
 
 ORACLE = {
@@ -22,4 +23,5 @@ ORACLE = {
     "op6_substring_dedup": substrings.op6_sql(),
     "op8_chat_format": chat.op8_sql(),
     "op9_suffix_dedup": suffixes.op9_sql(),
+    "op12_decontamination": decontaminate.op12_sql(),
 }
