@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paylens.llm import chat, decontaminate, language, licenses, mixing, neighbours, pieces, quality, simhash, substrings, suffixes
+from paylens.llm import chat, decontaminate, language, licenses, mixing, neighbours, pieces, quality, search, simhash, substrings, suffixes
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_sentencepiece": pieces.op10_sentencepiece,
     "op12_decontamination": decontaminate.op12_decontamination,
+    "op13_lexical_search": search.op13_lexical_search,
 }
 
 ORACLE = {
@@ -24,4 +25,5 @@ ORACLE = {
     "op8_chat_format": chat.op8_sql(),
     "op9_suffix_dedup": suffixes.op9_sql(),
     "op12_decontamination": decontaminate.op12_sql(),
+    "op13_lexical_search": search.op13_sql(),
 }
