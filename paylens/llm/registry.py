@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paylens.llm import chat, decontaminate, language, licenses, mixing, neighbours, pieces, quality, search, simhash, substrings, suffixes
+from paylens.llm import chat, decontaminate, language, licenses, mixing, neighbours, pieces, quality, repair, search, simhash, substrings, suffixes
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_conversation_repair": repair.op11_conversation_repair,
     "op12_decontamination": decontaminate.op12_decontamination,
     "op13_lexical_search": search.op13_lexical_search,
 }
