@@ -8,7 +8,7 @@ from oracle.base import (
     report_ctes, sql_str, strip,
 )
 from paylens.plans.parity import (
-    ABSENT_YEAR, BATCH_NAMES, PERSON, SEARCH_YEAR, SUMMARY_FILTER, TOP_LISTED, YEARS,
+    ABSENT_YEAR, BATCH_NAMES, PERSON, QUOTED_CELL, SEARCH_YEAR, SUMMARY_FILTER, TOP_LISTED, YEARS,
 )
 
 _ONE = queries_values([(0, *PERSON)])
@@ -286,6 +286,18 @@ def _canonical(kind: str = "bridge") -> str:
     return f"WITH {canon(kind, ZIP_CHUNK_ROWS)} SELECT {_FLAT} FROM ci WHERE amount IS NOT NULL"
 
 
+def _quoted() -> str:
+    cell = f"CASE WHEN row_id % 3 = 0 THEN {sql_str(QUOTED_CELL)} ELSE Covered_Recipient_Specialty_2 END"
+    wide = f"SELECT * REPLACE ({cell} AS Covered_Recipient_Specialty_2) FROM ({BRIDGE_SQL}) b"
+    return _canonical("csv").replace(f"FROM ({BRIDGE_SQL}) w", f"FROM ({wide}) w")
+
+
+_MANIFEST = f"""SELECT CAST(year AS VARCHAR) || '_rsh_payments.csv' AS source_file,
+  CASE WHEN year % 2 = 1 THEN 'older' ELSE 'newer' END AS layout, '' AS lacks,
+  CASE WHEN year IN ({', '.join(map(str, YEARS[-3:]))}) THEN 3 ELSE 1 END::BIGINT AS version, CAST(28 AS BIGINT) AS n_columns,
+  CAST(count(*) AS BIGINT) AS records
+FROM ({BRIDGE_SQL}) w WHERE year IN ({', '.join(map(str, YEARS))}) GROUP BY year"""
+
 _INVALID = (f"WITH {CANON} SELECT year, CAST(count(*) FILTER (WHERE amount IS NULL) AS BIGINT) "
             "AS invalid_rows, CAST(count(*) AS BIGINT) AS total_rows FROM ci GROUP BY year")
 
@@ -513,6 +525,8 @@ ORACLE.update({
     "search_report": _search_report(),
     "csv_roundtrip_scan": _canonical("csv"),
     "csv_split_scan": _canonical("csv"),
+    "csv_quoted_scan": _quoted(),
+    "file_manifest": _MANIFEST,
     "mixed_layout_years": _MIXED,
     "unioned_years": _unioned_years(),
     "zip_scan": _canonical("zip"),

@@ -19,9 +19,7 @@ from paylens.operators import matching, report
 from paylens.operators.report import payment_column, unique_years
 from paylens.plans.layouts import CANONICAL
 from paylens.session import staged
-from paylens.sources.csv_years import (
-    check_columns, check_exists, data_files, numbered, read_payment_years, year_file,
-)
+from paylens.sources.csv_years import check_columns, check_exists, numbered, read_payment_years, year_file, year_headers
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
@@ -247,10 +245,13 @@ def report_years(spark: SparkSession, directory: str, names: DataFrame, years: S
     errors: dict[int, str] = {}
     for y in unique_years(years):
         try:
-            path = year_file(directory, y)
-            check_exists(spark, path)
-            check_columns(spark, path, data_files(spark, path))
-        except (FileNotFoundError, ValueError) as e:
+            check_exists(spark, year_file(directory, y))
+        except FileNotFoundError as e:
+            errors[y] = str(e)
+    for y, known in year_headers(spark, directory, [y for y in unique_years(years) if y not in errors]).items():
+        try:
+            check_columns(year_file(directory, y), known)
+        except ValueError as e:
             errors[y] = str(e)
     good = [y for y in unique_years(years) if y not in errors]
     if good and not errors:

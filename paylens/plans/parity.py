@@ -18,7 +18,7 @@ from paylens.operators import appearances as A
 from paylens.operators import batch, matching, report, sinks
 from paylens.plans.layouts import valid_payments
 from paylens.session import shared_dir
-from paylens.sources import csv_years, zip_source
+from paylens.sources import csv_years, manifest, zip_source
 from paylens.sources.bridge import LISTED_SQL, bridge_payments, bridge_wide, register_tables
 
 # --- fixed values: parity-suite requests ---
@@ -27,6 +27,7 @@ YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
 SEARCH_YEAR = 1996
 TOP_LISTED = 7
 ABSENT_YEAR = 2050
+QUOTED_CELL = 'Phase "I",\nII'
 BATCH_NAMES = ["Benjamin G Domb", "Ann Smith", "carla M Doe", "David (MD) Okafor",
                "Hugo Grant O'Neil", "Nobody Here", "Domb"]
 
@@ -444,6 +445,31 @@ def csv_split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(valid_payments(csv_years.read_payment_years(spark, folder, YEARS, multi_line=False)))
 
 
+def csv_quoted_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly CSV files in which every third row has a cell with a quote, a
+    comma and a line feed; such files are read in splits as well."""
+    folder = shared_dir(spark, "csv-quoted")
+    cell = F.when(F.col("row_id") % 3 == 0, F.lit(QUOTED_CELL)).otherwise(F.col("Covered_Recipient_Specialty_2"))
+    csv_years.write_year_files(bridge_wide(spark, sf_dir).withColumn("Covered_Recipient_Specialty_2", cell), folder)
+    return _flat(valid_payments(csv_years.read_payment_years(spark, folder, YEARS)))
+
+
+def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory of yearly files in both layouts, brought up to date when the
+    last three years land; ``version`` tells in which refresh a header was read."""
+    wide, folder = bridge_wide(spark, sf_dir), shared_dir(spark, "csv-listed")
+    older = {NEW_LAYOUT[k]: OLD_LAYOUT[k] for k in ("first", "middle", "last", "npi", "profile")}
+    store = f"{folder}/inventory"
+    for landed in (YEARS[:-3], YEARS[-3:]):
+        for odd, names in ((1, older), (0, {})):
+            mine = wide.where(F.col("year").isin(landed) & (F.col("year") % 2 == odd)).withColumnsRenamed(names)
+            csv_years.write_year_files(mine, folder)
+        csv_years.read_payment_years(spark, folder, YEARS[:YEARS.index(landed[-1]) + 1], manifest=store)
+    unit = F.regexp_extract("file", csv_years.unit_pattern(), 1)
+    return manifest.read_manifest(spark, store).groupBy(unit.alias("source_file"), "layout", "lacks", "version").agg(
+        F.max("columns").cast("bigint").alias("n_columns"), F.sum("records").alias("records"))
+
+
 def mixed_layout_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd years in the older layout, even ones in the newer, and part files
     of every year with their columns in another order."""
@@ -569,6 +595,8 @@ QUERIES = {
     "csv_roundtrip_scan": csv_roundtrip_scan,
     "unioned_years": unioned_years,
     "csv_split_scan": csv_split_scan,
+    "csv_quoted_scan": csv_quoted_scan,
+    "file_manifest": file_manifest,
     "mixed_layout_years": mixed_layout_years,
     "zip_scan": zip_scan,
     "zip_index": zip_index,

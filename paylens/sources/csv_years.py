@@ -2,12 +2,14 @@
 
 * Every cell is read as text (NPIs must stay strings) and the strings a pandas
   read treats as missing become NULL.
-* The header of **every** data file is read, and files are grouped by it: columns
-  never bind by position across files, years or layouts.
-* Files are split: lines are read as text, checked for balanced quotes and parsed
-  with ``from_csv``. A quoted line feed leaves a line unbalanced; then
-  ``multi_line=False`` raises, and the default reads the files again as whole
-  files (``multiLine``, one task each). Nothing is parsed wrongly on the way.
+* The header of **every** data file is read, in tasks (``sources/manifest.py``), and
+  files are grouped by it: columns never bind by position across files, years or
+  layouts.
+* Files are split: lines are read as text, checked for cells left open and parsed
+  with ``from_csv``. A quoted line feed leaves a cell open at the end of a line; then
+  ``multi_line=False`` raises, and the default reads the files that have such lines
+  again, split by split (``sources/quoted.py``); the others stay as they were read.
+  ``multi_line=True`` reads all files that way at once. No file is read as a whole.
 * The CSV is parsed **once**: canonical rows are staged as Parquet in the shared
   folder, with each row's file, block and place in the block. Positions (W3) come
   from that table: lines of earlier blocks (a prefix sum over one row per block)
@@ -16,14 +18,12 @@
 
 from __future__ import annotations
 
-import csv
 import os
 import re
 import warnings
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +31,8 @@ from paylens.constants import FILE_NAME_PATTERN
 from paylens.functions.text import null_markers
 from paylens.plans.layouts import absent_columns, canonicalize
 from paylens.session import staged
+from paylens.sources import quoted
+from paylens.sources.manifest import Headers, columns_of, headers, with_records
 
 OPEN_QUOTE = "a quoted cell holds a line feed; such files need multi_line=True"
 
@@ -50,29 +52,9 @@ def data_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().toString() for f in found if f.getLen() > 0)
 
 
-def header_line(spark: SparkSession, path: str) -> str:
-    """The first line that is not blank, read through the Hadoop file system."""
-    fs, hpath = _fs(spark, path)
-    stream = fs.open(hpath)
-    try:
-        jvm = spark.sparkContext._jvm
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine()
-        while line is not None and not line.strip("﻿ \t"):
-            line = reader.readLine()
-    finally:
-        stream.close()
-    return line or ""
-
-
-def columns_of(line: str) -> list[str]:
-    return next(csv.reader([line.lstrip("﻿")]), [])
-
-
 def read_header(spark: SparkSession, path: str) -> list[str]:
     """Column names of a file, or of the first data file of a folder."""
-    files = data_files(spark, path)
-    return columns_of(header_line(spark, files[0])) if files else []
+    return next((columns_of(line) for line in headers(spark, [path]).lines.values()), [])
 
 
 def check_exists(spark: SparkSession, path: str) -> None:
@@ -82,29 +64,24 @@ def check_exists(spark: SparkSession, path: str) -> None:
         raise FileNotFoundError(f"no payment file at {path}")
 
 
-def _place() -> list[Column]:
-    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
-
-
-def _split_rows(spark: SparkSession, files: list[str], lines: set[str], names: list[str]) -> DataFrame:
-    """Rows of files that share a header, parsed line by line."""
-    text = spark.read.text(files).select("value", *_place())
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    odd = quotes % 2 == 1
-    is_row = (F.trim("value") != "") & ~((F.col("_block") == 0) & F.col("value").isin(*lines))
-    rows = text.where(F.when(odd, F.raise_error(F.lit(OPEN_QUOTE)).cast("boolean")).otherwise(is_row))
+def _parsed(rows: DataFrame, names: list[str], keep: Sequence[str]) -> DataFrame:
+    """Records as text -> their cells under the header's names."""
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
     cells = F.from_csv("value", F.lit(schema), {"quote": '"', "escape": '"'})
-    parsed = rows.select(cells.alias("v"), "_file", "_block")
-    return parsed.select(*[F.col(f"v.c{i}").alias(n) for i, n in enumerate(names)], "_file", "_block")
+    parsed = rows.select(cells.alias("v"), *keep)
+    return parsed.select(*[F.col(f"v.c{i}").alias(n) for i, n in enumerate(names)], *keep)
 
 
-def _whole_rows(spark: SparkSession, files: list[str], names: list[str]) -> DataFrame:
-    """Rows of files that share a header, one task per file; quoted line feeds are cells' text."""
-    raw = (spark.read.option("header", True).option("enforceSchema", False).option("multiLine", True)
-           .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-           .schema(", ".join(f"`{n}` string" for n in names)).csv(files))
-    return raw.select(*[F.col(f"`{n}`") for n in names], *_place())
+def _split_rows(spark: SparkSession, files: list[str], lines: set[str], names: list[str], strict: bool) -> DataFrame:
+    """Rows of files that share a header, parsed line by line; ``_odd`` marks lines
+    that end inside a quoted cell, whose file has to be read by ``quoted.records``."""
+    text = spark.read.text(files).select("value", *quoted.place())
+    is_row = (F.trim("value") != "") & ~((F.col("_block") == 0) & F.col("value").isin(*lines))
+    odd = quoted.opens(F.col("value"))
+    if strict:
+        odd = F.when(odd, F.raise_error(F.lit(OPEN_QUOTE)).cast("boolean")).otherwise(False)
+    rows = text.where(is_row).select("value", "_file", "_block", odd.alias("_odd"))
+    return _parsed(rows, names, ["_file", "_block", "_odd"]).withColumn("_mid", F.monotonically_increasing_id())
 
 
 def numbered(rows: DataFrame, unit: str = "_unit") -> DataFrame:
@@ -120,59 +97,88 @@ def numbered(rows: DataFrame, unit: str = "_unit") -> DataFrame:
 
 
 def read_files(spark: SparkSession, files: Sequence[str], *, unit: Column, year: Column, source_file: Column,
-               multi_line: bool | None = None, unknown_id: str = "row") -> DataFrame:
+               multi_line: bool | None = None, unknown_id: str = "row", known: Headers | None = None,
+               manifest: str | None = None) -> DataFrame:
     """S1 + S5 + U2: data files of any headers -> canonical rows (invalid amounts as
     NULL). ``unit``, ``year`` and ``source_file`` are expressions of ``_file``, the
     path of a row's file; rows are numbered within a unit. The files are parsed and
-    staged when this is called."""
-    groups: dict[tuple, tuple[list[str], set[str]]] = {}
-    for path in files:
-        line = header_line(spark, path)
-        paths, lines = groups.setdefault(tuple(columns_of(line)), ([], set()))
-        paths.append(path)
-        lines.update((line, line.lstrip("﻿")))
-
-    def canonical(whole: bool) -> DataFrame:
-        parts = []
-        for header, (paths, lines) in groups.items():
-            names = [n if header.index(n) == i else f"{n}.{i}" for i, n in enumerate(header)]
-            rows = _whole_rows(spark, paths, names) if whole else _split_rows(spark, paths, lines, names)
-            cells = [null_markers(F.col(f"`{n}`")).alias(n) for n in names]
-            wide = rows.select(*cells, "_file", "_block", F.monotonically_increasing_id().alias("_mid"))
-            parts.append(canonicalize(wide, source_file=source_file, year=year, row_pos=F.lit(None).cast("bigint"),
-                                      unknown_id=unknown_id, validate=False,
-                                      keep=[unit.alias("_unit"), "_file", "_block", "_mid"]))
+    staged when this is called; ``known`` holds their headers if they were read before,
+    and a ``manifest`` gets their numbers of records."""
+    known = known or headers(spark, files, manifest)
+    groups: dict[str, list[str]] = {}
+    for path, line in known.lines.items():
+        groups.setdefault(line.lstrip("\ufeff"), []).append(path)
+
+    def canonical(rows: DataFrame, header: str) -> DataFrame:
+        """Parsed records of files with that header -> what is staged of them."""
+        names = _names(header)
+        own = ["_file", "_block", "_mid", *[c for c in ("_odd", "_kind", "_part") if c in rows.columns]]
+        cells = [null_markers(F.col(f"`{n}`")).alias(n) for n in names]
+        return canonicalize(rows.select(*cells, *own), source_file=source_file, year=year, row_pos=F.lit(None).cast("bigint"),
+                            unknown_id=unknown_id, validate=False, keep=[unit.alias("_unit"), *own])
+
+    def union(parts: list[DataFrame]) -> DataFrame:
         return reduce(lambda a, b: a.unionByName(b), parts)
 
-    try:
-        stored = staged(canonical(bool(multi_line)), "csv-rows")
-    except PySparkException as e:
-        if multi_line is not None or OPEN_QUOTE not in str(e):
-            raise
-        stored = staged(canonical(True), "csv-rows")
+    def open_cells(chosen: set[str]) -> DataFrame:
+        """Rows of files whose cells may hold line feeds."""
+        parts = []
+        mine = [(header, [p for p in paths if known.files[p] in chosen]) for header, paths in groups.items()]
+        for header, paths in mine:
+            if paths:
+                rows = quoted.records(spark, paths)
+                whole = F.when(F.col("_kind") == quoted.WHOLE, F.col("value"))
+                rest = F.when(F.col("_kind") != quoted.WHOLE, F.col("value"))
+                told = rows.select(whole.alias("value"), "_file", "_block", "_mid", "_kind", rest.alias("_part"))
+                parts.append(canonical(_parsed(told, _names(header), ["_file", "_block", "_mid", "_kind", "_part"]), header))
+        stored = staged(union(parts), "csv-open")
+        split = stored.where(F.col("_kind") != quoted.WHOLE).select("_file", "_block", "_mid", "_kind", F.col("_part").alias("value"))
+        joined = staged(quoted.joined_parts(split), "csv-parts")
+        mended = [canonical(_parsed(joined.where(F.col("_file").isin([known.files[p] for p in paths])), _names(header),
+                                    ["_file", "_block", "_mid"]), header) for header, paths in mine if paths]
+        return stored.where(F.col("_kind") == quoted.WHOLE).drop("_kind", "_part").unionByName(staged(union(mended), "csv-joined"))
+
+    if multi_line:
+        stored = open_cells(set(known.files.values()))
+    else:
+        parts = []
+        for header, paths in groups.items():
+            lines = {v for p in paths for v in (known.lines[p], known.lines[p].lstrip("\ufeff"))}
+            parts.append(canonical(_split_rows(spark, paths, lines, _names(header), multi_line is False), header))
+        stored = staged(union(parts), "csv-rows")
+        odd = {r[0] for r in stored.where("_odd").select("_file").distinct().collect()}  # paths of files, as listed
+        stored = stored.drop("_odd") if not odd else (
+            stored.join(stored.where("_odd").select("_file").distinct(), "_file", "left_anti").drop("_odd").unionByName(open_cells(odd)))
+    if manifest:
+        with_records(spark, manifest, stored.groupBy(F.col("_file").alias("file")).agg(F.count("*").alias("records")))
     rows = numbered(stored).withColumn("row_pos", F.col("_pos"))
     where = F.concat(F.col("source_file"), F.lit("#")) if unknown_id == "file_row" else F.lit("")
     unknown = F.concat(F.lit("UNKNOWN_"), where, F.col("_pos").cast("string"))
     return rows.withColumn("identifier", F.coalesce("identifier", unknown)).drop("_unit", "_file", "_block", "_mid", "_pos")
 
 
+def _names(header: str) -> list[str]:
+    """A header's names; a name that was there before gets its place."""
+    names = columns_of(header)
+    return [n if names.index(n) == i else f"{n}.{i}" for i, n in enumerate(names)]
+
+
 def read_payment_file(spark: SparkSession, path: str, *, year: int | None = None, source_file: str | None = None,
-                      multi_line: bool | None = None, unknown_id: str = "row") -> DataFrame:
+                      multi_line: bool | None = None, unknown_id: str = "row", manifest: str | None = None) -> DataFrame:
     """S1 + S6: one yearly file (or a folder of its part files) -> canonical rows."""
     check_exists(spark, path)
-    files = data_files(spark, path)
-    check_columns(spark, path, files)
-    return read_files(spark, files, unit=F.lit(path), year=F.lit(year).cast("int"), unknown_id=unknown_id,
-                      source_file=F.lit(source_file or os.path.basename(path)), multi_line=multi_line)
+    known = headers(spark, [path], manifest)
+    check_columns(path, known)
+    return read_files(spark, list(known.lines), unit=F.lit(path), year=F.lit(year).cast("int"), unknown_id=unknown_id,
+                      source_file=F.lit(source_file or os.path.basename(path)), multi_line=multi_line, known=known, manifest=manifest)
 
 
-def check_columns(spark: SparkSession, path: str, files: list[str]) -> None:
+def check_columns(path: str, known: Headers) -> None:
     """Every data file must have the columns that its layout needs."""
-    if not files:
+    if not known:
         raise ValueError(f"{path} holds no data")
-    for f in files:
-        if gone := absent_columns(columns_of(header_line(spark, f))):
-            raise ValueError(f"{f} lacks the columns {gone}")
+    for f, gone in known.lacks.items():
+        raise ValueError(f"{f} lacks the columns {gone}")
 
 
 def year_file(directory: str, year: int) -> str:
@@ -187,31 +193,41 @@ def unit_pattern() -> str:
     return rf"^.*/({name})(?:/[^/]*)?$"
 
 
+def year_headers(spark: SparkSession, directory: str, years: Sequence[int], manifest: str | None = None) -> dict[int, Headers]:
+    """S2 + S9: the data files of each year, all headers by one job; an absent yearly
+    file raises, naming it."""
+    paths = {y: year_file(directory, y) for y in dict.fromkeys(int(v) for v in years)}
+    for path in paths.values():
+        check_exists(spark, path)
+    known = headers(spark, list(paths.values()), manifest)
+    names = {y: os.path.basename(p) for y, p in paths.items()}
+    return {y: known.where(lambda p, n=names[y]: n in p.split("/")[-2:]) for y in paths}
+
+
 def read_payment_years(spark: SparkSession, directory: str, years: Sequence[int], *, multi_line: bool | None = None,
-                       unknown_id: str = "row", on_error: str = "raise") -> DataFrame:
+                       unknown_id: str = "row", on_error: str = "raise", manifest: str | None = None) -> DataFrame:
     """S2 + U2: ``<year>_rsh_payments.csv`` per requested year, layouts mixed at will.
 
     Years and numbering units come from each row's file path. ``on_error="skip_year"``
     drops, with a warning, a year of which a file lacks required columns (an absent
-    file always raises)."""
-    files: list[str] = []
-    for y in dict.fromkeys(int(v) for v in years):
-        path = year_file(directory, y)
-        check_exists(spark, path)
-        mine = data_files(spark, path)
+    file always raises). ``manifest``: the folder of a stored inventory
+    (``sources/manifest.py``), brought up to date and planned from."""
+    good = Headers({}, {}, {})
+    for y, known in year_headers(spark, directory, years, manifest).items():
         try:
-            check_columns(spark, path, mine)
+            check_columns(year_file(directory, y), known)
         except ValueError as e:
             if on_error != "skip_year":
                 raise
             warnings.warn(f"year {y} is left out: {e}", stacklevel=2)
             continue
-        files += mine
-    if not files:
+        good = good.plus(known)
+    if not good:
         raise ValueError("no readable year file")
     unit = F.regexp_extract("_file", unit_pattern(), 1)
     year = F.regexp_extract("_file", unit_pattern(), 2).cast("int")
-    return read_files(spark, files, unit=unit, year=year, source_file=unit, multi_line=multi_line, unknown_id=unknown_id)
+    return read_files(spark, list(good.lines), unit=unit, year=year, source_file=unit, multi_line=multi_line, unknown_id=unknown_id,
+                      known=good, manifest=manifest)
 
 
 def write_year_files(wide: DataFrame, directory: str, year_col: str = "year", order_col: str = "row_id") -> list[int]:

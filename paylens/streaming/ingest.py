@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from paylens.constants import YEAR_IN_PATH
 from paylens.operators.appearances import INDEX_KEYS, appearance_index
-from paylens.sources.csv_years import columns_of, header_line, read_files, unit_pattern
-from paylens.plans.layouts import absent_columns
+from paylens.sources.csv_years import read_files, unit_pattern
+from paylens.sources.manifest import headers
 from paylens.sources.store import write_canonical
 
 
@@ -34,9 +34,9 @@ def ingest_batch(spark: SparkSession, paths: list[str], store: str, index: str,
     """Canonicalise the given files and append them (one folder per batch)."""
     if not paths:
         return
-    for p in paths:
-        if gone := absent_columns(columns_of(header_line(spark, p))):
-            raise ValueError(f"{p} lacks the columns {gone}")
+    known = headers(spark, paths)
+    for p, gone in known.lacks.items():
+        raise ValueError(f"{p} lacks the columns {gone}")
     pattern = unit_pattern()
     name = F.regexp_extract("_file", r"[^/]*$", 0)
     unit = F.coalesce(F.nullif(F.regexp_extract("_file", pattern, 1), F.lit("")), name)
@@ -45,7 +45,7 @@ def ingest_batch(spark: SparkSession, paths: list[str], store: str, index: str,
     # The folder of the yearly file is what tells publications of a year apart.
     folder = F.regexp_replace("_file", re.sub(r"^\^\.\*/", "/", pattern), "/")
     rows = read_files(spark, sorted(paths), unit=F.concat(folder, unit), year=year, source_file=F.concat_ws("\u0001", unit, folder),
-                      multi_line=multi_line)
+                      multi_line=multi_line, known=known)
     parts = F.split("source_file", "\u0001")
     canonical = rows.withColumns({"published": F.element_at(parts, 2), "source_file": F.element_at(parts, 1)})
     target = os.path.join(store, f"batch_id={batch_id}")
