@@ -530,6 +530,8 @@ ORACLE.update({
     "mixed_layout_years": _MIXED,
     "unioned_years": _unioned_years(),
     "zip_scan": _canonical("zip"),
+    "zip_year_scan": _canonical("zip") + f" AND year = {SEARCH_YEAR}",
+    "zip_store_scan": _canonical("zip"),
     "zip_index": _apps_ctes("zip") + "\n" + _IDX_TYPED,
     "stream_index": _apps_ctes("csv") + "\n" + _IDX_TYPED,
 })

@@ -18,7 +18,7 @@ from paylens.operators import appearances as A
 from paylens.operators import batch, matching, report, sinks
 from paylens.plans.layouts import valid_payments
 from paylens.session import shared_dir
-from paylens.sources import csv_years, manifest, zip_source
+from paylens.sources import csv_years, manifest, zip_source, zip_store
 from paylens.sources.bridge import LISTED_SQL, bridge_payments, bridge_wide, register_tables
 
 # --- fixed values: parity-suite requests ---
@@ -521,6 +521,22 @@ def zip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(valid_payments(canon))
 
 
+def zip_year_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One year of the archives; the filter reaches the source, which opens that
+    year's members only."""
+    canon = zip_source.read_zip_payments(spark, _staged_zip(spark, sf_dir))
+    return _flat(valid_payments(canon.where(F.col("year") == SEARCH_YEAR)))
+
+
+def zip_store_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives' members decoded into the store, and their rows read from it
+    after a second refresh that finds nothing to decode."""
+    folder = _staged_zip(spark, sf_dir)
+    zip_store.refresh(spark, folder, f"{folder}-store")
+    again = zip_store.refresh(spark, folder, f"{folder}-store")
+    return _flat(valid_payments(zip_store.read_store(spark, f"{folder}-store"))).where(F.lit(again) == 0)
+
+
 def zip_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D5 over a ZIP source: the appearance index of the archive members."""
     canon = zip_source.read_zip_payments(spark, _staged_zip(spark, sf_dir))
@@ -599,6 +615,8 @@ QUERIES = {
     "file_manifest": file_manifest,
     "mixed_layout_years": mixed_layout_years,
     "zip_scan": zip_scan,
+    "zip_year_scan": zip_year_scan,
+    "zip_store_scan": zip_store_scan,
     "zip_index": zip_index,
     "stream_index": stream_index,
 }

@@ -115,18 +115,19 @@ def _described(files: DataFrame, version: int) -> DataFrame:
         F.lit(None).cast("long").alias("records"), F.lit(version).cast("long").alias("version"))
 
 
-def _versions(spark: SparkSession, store: str) -> list[int]:
+def complete_versions(spark: SparkSession, store: str, prefix: str = "v=") -> list[int]:
+    """Versions of a stored table that were written to their end."""
     fs, root = _fs(spark, store)
     if not fs.exists(root):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
-    done = [n for n in names if n.startswith("v=") and fs.exists(_fs(spark, f"{store}/{n}/_SUCCESS")[1])]
-    return sorted(int(n[2:]) for n in done)
+    done = [n for n in names if n.startswith(prefix) and fs.exists(_fs(spark, f"{store}/{n}/_SUCCESS")[1])]
+    return sorted(int(n[len(prefix):]) for n in done)
 
 
 def read_manifest(spark: SparkSession, store: str) -> DataFrame:
     """The newest complete version; no rows where there is none."""
-    versions = _versions(spark, store)
+    versions = complete_versions(spark, store)
     if not versions:
         return spark.createDataFrame([], SCHEMA)
     return spark.read.schema(SCHEMA).parquet(f"{store.rstrip('/')}/v={versions[-1]}")
@@ -135,7 +136,7 @@ def read_manifest(spark: SparkSession, store: str) -> DataFrame:
 def _write(spark: SparkSession, store: str, rows: DataFrame, version: int) -> DataFrame:
     store = store.rstrip("/")
     rows.select(*[c.split()[0] for c in SCHEMA.split(", ")]).coalesce(8).write.mode("overwrite").parquet(f"{store}/v={version}")
-    for old in _versions(spark, store)[:-2]:
+    for old in complete_versions(spark, store)[:-2]:
         fs, path = _fs(spark, f"{store}/v={old}")
         fs.delete(path, True)
     return read_manifest(spark, store)
@@ -153,7 +154,7 @@ def refresh(spark: SparkSession, store: str, paths: Sequence[str]) -> DataFrame:
     n_fresh, n_gone = fresh.count(), gone.count()
     if not n_fresh and not n_gone:
         return known
-    version = max(_versions(spark, store), default=0) + 1
+    version = max(complete_versions(spark, store), default=0) + 1
     kept = known.join(gone, "file", "left_anti")
     rows = kept.unionByName(_described(fresh, version)) if n_fresh else kept
     return _write(spark, store, rows, version)
@@ -168,7 +169,7 @@ def with_records(spark: SparkSession, store: str, counts: DataFrame) -> DataFram
     known = read_manifest(spark, store)
     told = counts.select("file", F.col("records").cast("long").alias("_n"))
     rows = known.join(told, "file", "left").withColumn("records", F.coalesce("_n", "records")).drop("_n")
-    return _write(spark, store, rows, max(_versions(spark, store), default=0) + 1)
+    return _write(spark, store, rows, max(complete_versions(spark, store), default=0) + 1)
 
 
 class Headers:

@@ -13,8 +13,12 @@ folders and names that do not end in ``.csv`` (in any case). Paths are qualified
 Spark would, and archives opened through ``pyarrow.fs``, so the same code reads
 local, HDFS or object-store paths.
 
-A member is one task (deflate cannot be split); callers that do heavy work per row
-should ``repartition`` right after the scan.
+Filters on ``source_file`` and on ``year`` (of the member's name) are pushed down: they
+hold for whole members, so others are neither planned nor opened.
+
+A member is one task here (deflate cannot be entered in the middle); callers that do
+heavy work per row should ``repartition`` right after the scan. ``zip_store.py`` decodes
+each member once, and its rows are read in splits ever after.
 """
 
 from __future__ import annotations
@@ -22,11 +26,14 @@ from __future__ import annotations
 import csv
 import io
 import itertools
+import re
 import zipfile
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import datasource as ds
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from paylens.constants import NULL_MARKERS, PAYMENT_COLUMN, YEAR_IN_PATH
@@ -34,7 +41,7 @@ from paylens.plans.layouts import NEEDED, canonicalize_slots
 from paylens.session import arrow_fs, qualified, ship_package
 
 FORMAT = "paylens_zip"
-SCHEMA = "source_file string, row_no bigint, present bigint, " + ", ".join(f"c{i} string" for i in range(len(NEEDED)))
+SCHEMA = "source_file string, year int, row_no bigint, present bigint, " + ", ".join(f"c{i} string" for i in range(len(NEEDED)))
 
 # Members are packed into one input partition up to this many uncompressed bytes.
 TARGET_PARTITION_BYTES = 128 << 20
@@ -56,6 +63,26 @@ def list_archives(path: str) -> list[str]:
     return sorted(prefix + p for p in found)
 
 
+def member_year(member: str) -> int | None:
+    """P13 for a member: the first year in its name."""
+    found = re.search(YEAR_IN_PATH, member)
+    return int(found.group(1)) if found else None
+
+
+def csv_members(zf: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
+    return [i for i in zf.infolist() if not i.filename.endswith("/") and i.filename.lower().endswith(".csv")]
+
+
+#: Comparisons that are decided for a member as a whole.
+COMPARED: dict[type, Callable] = {
+    ds.EqualTo: lambda a, b: a is not None and a == b, ds.EqualNullSafe: lambda a, b: a == b,
+    ds.In: lambda a, b: a is not None and a in b, ds.GreaterThan: lambda a, b: a is not None and a > b,
+    ds.GreaterThanOrEqual: lambda a, b: a is not None and a >= b, ds.LessThan: lambda a, b: a is not None and a < b,
+    ds.LessThanOrEqual: lambda a, b: a is not None and a <= b, ds.StringStartsWith: lambda a, b: a.startswith(b),
+    ds.StringEndsWith: lambda a, b: a.endswith(b), ds.StringContains: lambda a, b: b in a,
+}
+
+
 class MemberPartition(InputPartition):
     """A run of members of one archive, read by one task."""
 
@@ -94,9 +121,9 @@ def _batch(member: str, first: int, n: int, present: int, columns: dict[str, pa.
     none = pa.nulls(n, pa.string())
     slots = [columns.get(name, none) for name in NEEDED]
     return pa.record_batch(
-        [pa.array([member] * n, pa.string()), pa.array(range(first, first + n), pa.int64()),
+        [pa.array([member] * n, pa.string()), pa.array([member_year(member)] * n, pa.int32()), pa.array(range(first, first + n), pa.int64()),
          pa.array([present] * n, pa.int64()), *slots],
-        names=["source_file", "row_no", "present", *[f"c{i}" for i in range(len(NEEDED))]])
+        names=["source_file", "year", "row_no", "present", *[f"c{i}" for i in range(len(NEEDED))]])
 
 
 def _arrow_member(zf: zipfile.ZipFile, member: str, header: list[str], lines: int, present: int):
@@ -135,18 +162,50 @@ def _python_member(zf: zipfile.ZipFile, member: str, present: int, skip: int, ch
             first += len(part)
 
 
+def member_rows(zf: zipfile.ZipFile, member: str):
+    """Batches of a member's rows (see ``SCHEMA``); none without the payment column."""
+    with zf.open(member) as head:
+        rows = _rows(head)
+        header, lines = _header(rows), rows.line_num
+    if PAYMENT_COLUMN not in header:
+        return
+    present = sum(1 << i for i, n in enumerate(NEEDED) if n in header)
+    given = 0
+    try:
+        for batch in _arrow_member(zf, member, header, lines, present):
+            given += batch.num_rows
+            yield batch
+    except pa.ArrowInvalid:  # a row the parser rejects; other errors are raised
+        yield from _python_member(zf, member, present, given)
+
+
 class ZipCsvReader(DataSourceReader):
     def __init__(self, path: str, target: int = TARGET_PARTITION_BYTES):
         self.path = path
         self.target = target
+        self.wanted: list[tuple] = []
+
+    def pushFilters(self, filters):
+        for f in filters:
+            value = getattr(f, "value", None)
+            if isinstance(f, ds.IsNotNull) and f.attribute in (("year",), ("source_file",)):
+                self.wanted.append((f.attribute[0], ds.IsNotNull, None))
+            elif type(f) in COMPARED and f.attribute in (("year",), ("source_file",)) and value is not None:
+                self.wanted.append((f.attribute[0], type(f), value))
+            else:
+                yield f
+
+    def _chosen(self, member: str) -> bool:
+        told = {"source_file": member, "year": member_year(member)}
+        return all(told[name] is not None if kind is ds.IsNotNull else COMPARED[kind](told[name], value)
+                   for name, kind, value in self.wanted)
 
     def partitions(self):
         parts = []
         for archive in list_archives(self.path):
             filesystem, p = arrow_fs(archive)
             with filesystem.open_input_file(p) as fh, zipfile.ZipFile(fh) as zf:
-                infos = [i for i in zf.infolist()
-                         if not i.filename.endswith("/") and i.filename.lower().endswith(".csv")]
+                infos = [i for i in csv_members(zf) if self._chosen(i.filename)]
             parts.extend(_pack(archive, infos, self.target))
         return parts or [MemberPartition("", [])]
 
@@ -156,19 +215,7 @@ class ZipCsvReader(DataSourceReader):
         filesystem, p = arrow_fs(partition.archive)
         with filesystem.open_input_file(p) as fh, zipfile.ZipFile(fh) as zf:
             for member in partition.members:
-                with zf.open(member) as head:
-                    rows = _rows(head)
-                    header, lines = _header(rows), rows.line_num
-                if PAYMENT_COLUMN not in header:
-                    continue
-                present = sum(1 << i for i, n in enumerate(NEEDED) if n in header)
-                given = 0
-                try:
-                    for batch in _arrow_member(zf, member, header, lines, present):
-                        given += batch.num_rows
-                        yield batch
-                except pa.ArrowInvalid:  # a row the parser rejects; other errors are raised
-                    yield from _python_member(zf, member, present, given)
+                yield from member_rows(zf, member)
 
 
 class ZipCsvDataSource(DataSource):
@@ -186,6 +233,7 @@ class ZipCsvDataSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     ship_package(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ZipCsvDataSource)
 
 
@@ -197,12 +245,15 @@ def read_zip_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format(FORMAT).load(whole)
 
 
+def canonical_members(rows: DataFrame, unknown_id: str = "row") -> DataFrame:
+    """Member rows -> canonical payment rows."""
+    return canonicalize_slots(rows, source_file=F.col("source_file"), year=F.col("year"), row_pos=F.col("row_no"), unknown_id=unknown_id)
+
+
 def read_zip_payments(spark: SparkSession, path: str, unknown_id: str = "row") -> DataFrame:
-    """S3 + S5: canonical payment rows of every CSV member of the archive(s)."""
-    rows = read_zip_rows(spark, path)
-    year = F.nullif(F.regexp_extract("source_file", YEAR_IN_PATH, 1), F.lit("")).cast("int")
-    return canonicalize_slots(rows, source_file=F.col("source_file"), year=year,
-                              row_pos=F.col("row_no"), unknown_id=unknown_id)
+    """S3 + S5: canonical payment rows of every CSV member of the archive(s). A filter
+    on ``year`` or ``source_file`` opens the members that it names only."""
+    return canonical_members(read_zip_rows(spark, path), unknown_id)
 
 
 def _write_archive(batches, directory: str, member_col: str, order_col: str):
