@@ -274,7 +274,7 @@ ORACLE = {
 from oracle.base import canon  # noqa: E402
 from paylens.plans.parity import (  # noqa: E402
     CASE_QUERY, MIDDLE_FULL_QUERY, MIDDLE_INITIAL_QUERY, REPORT_QUERY, ROLE_QUERY,
-    TOKEN_QUERY, ZIP_CHUNK_ROWS,
+    SHORT_QUERY, TOKEN_QUERY, TOP_HITS, ZIP_CHUNK_ROWS,
 )
 
 _FLAT = ("source_file, year, pos AS row_pos, CAST(amount AS DOUBLE) AS amount, cf AS cov_first, "
@@ -519,6 +519,9 @@ ORACLE.update({
     "appearances": _appearances(),
     "appearance_index": _apps_ctes() + "\n" + _IDX_TYPED,
     "token_search": _apps_ctes() + "\n" + _IDX_TYPED + f" WHERE {_tokens_match(TOKEN_QUERY)}",
+    "indexed_search": _apps_ctes() + "\n" + _IDX_TYPED + f" WHERE {_tokens_match(TOKEN_QUERY)}",
+    "indexed_top": _apps_ctes() + "\n" + _IDX_TYPED + f" WHERE {_tokens_match(SHORT_QUERY)} ORDER BY idx.total_payment DESC, "
+                   f"display_name, year, role, identifier, identifier_type, specialty, source_file LIMIT {TOP_HITS}",
     "index_stats": _index_stats(),
     "missing_identifier": _apps_ctes() + "\n" + _IDX_TYPED + " WHERE identifier = ''",
     "index_json": _index_json(),

@@ -15,7 +15,7 @@ from paylens.constants import NEW_LAYOUT, OLD_LAYOUT
 from paylens.functions import text as T
 from paylens.functions.text import money_label, money_text, safe_slug, year_range_label
 from paylens.operators import appearances as A
-from paylens.operators import batch, matching, report, sinks
+from paylens.operators import batch, matching, name_search, report, sinks
 from paylens.plans.layouts import valid_payments
 from paylens.session import shared_dir
 from paylens.sources import csv_years, manifest, zip_source, zip_store
@@ -185,6 +185,7 @@ ROLE_QUERY = ("Benjamin", None, "Domb")
 CASE_QUERY = ("DAVID", None, "Okafor")
 TOKEN_QUERY = "ben domb"
 REPORT_QUERY = "benjamin g"
+SHORT_QUERY, TOP_HITS = "a Do", 25
 ZIP_CHUNK_ROWS = 2048
 
 
@@ -404,6 +405,21 @@ def token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _typed(A.token_search(_index(spark, sf_dir), TOKEN_QUERY))
 
 
+def _stored_index(spark: SparkSession, sf_dir: str) -> name_search.NameIndex:
+    path = name_search.write_index(_index(spark, sf_dir), shared_dir(spark, "name-index"))
+    return name_search.NameIndex(spark, path)
+
+
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over the stored inverted index."""
+    return _typed(_stored_index(spark, sf_dir).search(TOKEN_QUERY))
+
+
+def indexed_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest hits of a search with short tokens, tier by tier."""
+    return _typed(_stored_index(spark, sf_dir).search(SHORT_QUERY, TOP_HITS))
+
+
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index size, distinct names and known years."""
     return A.index_stats(_index(spark, sf_dir))
@@ -604,6 +620,8 @@ QUERIES = {
     "appearances": appearances,
     "appearance_index": appearance_index,
     "token_search": token_search,
+    "indexed_search": indexed_search,
+    "indexed_top": indexed_top,
     "index_stats": index_stats,
     "missing_identifier": missing_identifier,
     "index_json": index_json,
