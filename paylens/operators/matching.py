@@ -240,7 +240,7 @@ def _match_narrow(payments: DataFrame, specs: DataFrame, case_sensitive: bool) -
         F.col("q_km").isNull() | ~F.col("has_middle") | _middle_ok(F.col("km"))], "inner")
     hits = met.select("_f", "_r", "_h", "spec_hash", *SPEC).distinct()
     rows = payments.select(*PAYLOAD, content.alias("_own"))
-    whole = rows.join(hits, [F.col("source_file") == F.col("_f"), F.col("row_pos") == F.col("_r"), F.col("_own") == F.col("_h")], "inner")
+    whole = rows.join(hits, [F.col("source_file").eqNullSafe(F.col("_f")), F.col("row_pos").eqNullSafe(F.col("_r")), F.col("_own") == F.col("_h")], "inner")
     ident = identity_from_slot(F.col("_id_slot"))
     return whole.withColumn("_id_slot", identity_slot(case_sensitive)).select(
         "spec_hash", *SPEC, "source_file", "year", "row_pos", "amount", "identifier",

@@ -98,12 +98,13 @@ def numbered(rows: DataFrame, unit: str = "_unit") -> DataFrame:
 
 def read_files(spark: SparkSession, files: Sequence[str], *, unit: Column, year: Column, source_file: Column,
                multi_line: bool | None = None, unknown_id: str = "row", known: Headers | None = None,
-               manifest: str | None = None) -> DataFrame:
+               manifest: str | None = None, keep_place: bool = False) -> DataFrame:
     """S1 + S5 + U2: data files of any headers -> canonical rows (invalid amounts as
     NULL). ``unit``, ``year`` and ``source_file`` are expressions of ``_file``, the
     path of a row's file; rows are numbered within a unit. The files are parsed and
     staged when this is called; ``known`` holds their headers if they were read before,
-    and a ``manifest`` gets their numbers of records."""
+    and a ``manifest`` gets their numbers of records. ``keep_place`` keeps what rows are
+    numbered by (``PLACE``), for tables whose parts come in turn."""
     known = known or headers(spark, files, manifest)
     groups: dict[str, list[str]] = {}
     for path, line in known.lines.items():
@@ -151,10 +152,20 @@ def read_files(spark: SparkSession, files: Sequence[str], *, unit: Column, year:
             stored.join(stored.where("_odd").select("_file").distinct(), "_file", "left_anti").drop("_odd").unionByName(open_cells(odd)))
     if manifest:
         with_records(spark, manifest, stored.groupBy(F.col("_file").alias("file")).agg(F.count("*").alias("records")))
-    rows = numbered(stored).withColumn("row_pos", F.col("_pos"))
+    rows = identified(numbered(stored.withColumn("_unknown", F.col("identifier").isNull())), unknown_id)
+    return rows.drop("_pos") if keep_place else rows.drop("_pos", *PLACE)
+
+
+#: What tells a row's place in its unit, and whether its identifier follows from that.
+PLACE = ["_unit", "_file", "_block", "_mid", "_unknown"]
+
+
+def identified(rows: DataFrame, unknown_id: str = "row") -> DataFrame:
+    """Numbered rows with their place as ``row_pos``, and ``UNKNOWN_<place>`` for those
+    without an identifier of their own."""
     where = F.concat(F.col("source_file"), F.lit("#")) if unknown_id == "file_row" else F.lit("")
     unknown = F.concat(F.lit("UNKNOWN_"), where, F.col("_pos").cast("string"))
-    return rows.withColumn("identifier", F.coalesce("identifier", unknown)).drop("_unit", "_file", "_block", "_mid", "_pos")
+    return rows.withColumns({"row_pos": F.col("_pos"), "identifier": F.when(F.col("_unknown"), unknown).otherwise(F.col("identifier"))})
 
 
 def _names(header: str) -> list[str]:

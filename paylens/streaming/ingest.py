@@ -10,8 +10,9 @@ Rows keep ``published``, the folder that their yearly file landed in. Readers ta
 of each yearly file, the publication of the latest batch (of one batch, the folder
 that sorts last), so a re-publication replaces what was there. Each batch writes its
 own ``batch_id=<n>`` folder with overwrite: a batch replayed after a failure replaces
-its own output. The part files of a folder must land together to be numbered
-together.
+its own output. Rows keep their place in their part file, and are numbered when the
+store is read, over all part files that the publication has by then, whichever batches
+brought them.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from paylens.constants import YEAR_IN_PATH
 from paylens.operators.appearances import INDEX_KEYS, appearance_index
-from paylens.sources.csv_years import read_files, unit_pattern
+from paylens.sources.csv_years import PLACE, identified, numbered, read_files, unit_pattern
 from paylens.sources.manifest import headers
 from paylens.sources.store import write_canonical
 
@@ -45,7 +46,7 @@ def ingest_batch(spark: SparkSession, paths: list[str], store: str, index: str,
     # The folder of the yearly file is what tells publications of a year apart.
     folder = F.regexp_replace("_file", re.sub(r"^\^\.\*/", "/", pattern), "/")
     rows = read_files(spark, sorted(paths), unit=F.concat(folder, unit), year=year, source_file=F.concat_ws("\u0001", unit, folder),
-                      multi_line=multi_line, known=known)
+                      multi_line=multi_line, known=known, keep_place=True)
     parts = F.split("source_file", "\u0001")
     canonical = rows.withColumns({"published": F.element_at(parts, 2), "source_file": F.element_at(parts, 1)})
     target = os.path.join(store, f"batch_id={batch_id}")
@@ -65,7 +66,8 @@ def latest(rows: DataFrame) -> DataFrame:
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
     """The streamed canonical rows, latest publications only."""
-    return latest(spark.read.parquet(store)).drop("batch_id", "published")
+    rows = latest(spark.read.parquet(store))
+    return identified(numbered(rows)).drop("batch_id", "published", "_pos", *PLACE)
 
 
 def read_index(spark: SparkSession, index: str) -> DataFrame:

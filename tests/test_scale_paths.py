@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from paylens.constants import PAYMENT_COLUMN
 from paylens.operators import batch, matching, report
@@ -103,6 +104,15 @@ def test_batch_without_broadcast_gives_same_result(spark, tmp_path, monkeypatch)
     assert shuffled
 
 
+def test_rows_without_a_number_match_alike_on_both_paths(spark, tmp_path, monkeypatch):
+    d = year_dir(tmp_path, {2015: [covered_row("Ann", "Li", "5", npi="1"), covered_row("Ann", "Li", "5", npi="1"), covered_row("Bo", "Ng", "7")]})
+    pay = read_payment_years(spark, d, [2015]).withColumn("row_pos", F.lit(None).cast("bigint"))
+    prepared = matching.prepare_queries(report.single_query(spark, "Ann", None, "Li"))
+    few = matching.match_rows(pay, prepared, query_bytes=100).count()
+    monkeypatch.setattr(matching, "BROADCAST_BYTES", 0)
+    assert few == matching.match_rows(pay, prepared, query_bytes=100).count() == 2
+
+
 def test_staged_tables_can_be_dropped(spark, monkeypatch):
     import os
 

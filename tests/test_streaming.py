@@ -74,3 +74,17 @@ def test_republished_year_and_unlike_headers(spark, tmp_path):
     land()
     assert [(r.first_name, float(r.total_payment)) for r in read_index(spark, index).collect()] == [("Ann", 6.0)]
     assert read_store(spark, store).count() == 1
+
+
+def test_part_files_of_several_batches_are_numbered_together(spark, tmp_path):
+    landing, base = tmp_path / "landing", shared_dir(spark, "stream-parts")
+    folder = landing / "2015_rsh_payments.csv"
+    folder.mkdir(parents=True)
+    for i in range(3):
+        write_csv(folder / f"part-{i}.csv", [covered_row(f"N{i}-{j}", "Li", "5", npi="7" if j == 1 else "") for j in range(4)])
+    q = start_ingest(spark, str(landing), f"{base}/store", f"{base}/index", f"{base}/ckpt", available_now=True, max_files=1)
+    q.awaitTermination()
+    assert spark.read.parquet(f"{base}/store").select("batch_id").distinct().count() == 3
+    whole = {(r.row_pos, r.persons[0].first, r.identifier) for r in read_payment_years(spark, str(landing), [2015]).collect()}
+    got = [(r.row_pos, r.persons[0].first, r.identifier) for r in read_store(spark, f"{base}/store").collect()]
+    assert len(got) == 12 and set(got) == whole and (2, "N0-2", "UNKNOWN_2") in whole
