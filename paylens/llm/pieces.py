@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import sha256
 from heapq import heapify, heappop, heappush
 from struct import pack
 
@@ -35,7 +36,7 @@ MODEL = "piece_bpe_32k.model"
 SPACE_SYMBOL = "▁"
 #: Chunks whose ids are kept by a worker (two generations of this many) and the
 #: longest chunk that is kept, in characters.
-KEPT_CHUNKS, KEPT_CHARS = 300_000, 48
+KEPT_CHUNKS, KEPT_CHARS = 250_000, 48
 #: Up to this many characters the agenda is a list, beyond it a heap.
 SHORT, NEVER = 32, float("inf")
 
@@ -159,6 +160,20 @@ class MergeEncoder:
         return out
 
 
+def shared_encoder(model: bytes) -> MergeEncoder:
+    """A worker's encoder of a model. Workers are reused, so one task's chunks serve the
+    next; the tables stay as bounded as they are (functions here travel by value, hence
+    the library's module as the place that a process has once)."""
+    import sentencepiece
+
+    held = sentencepiece.__dict__.setdefault("_paylens_encoders", {})
+    key = sha256(model).digest()
+    if key not in held:
+        held.clear()
+        held[key] = MergeEncoder(model)
+    return held[key]
+
+
 def _model(spark: SparkSession, path: str):
     """The model, sent to the workers once (its size is the vocabulary's, not the data's)."""
     with open(path, "rb") as f:
@@ -184,7 +199,7 @@ def encode(docs: DataFrame, path: str | None = None, *, text: str = "text", bos:
 
     @F.arrow_udf("struct<" + ", ".join(f"{n}: {t}" for n, (t, _) in fields.items()) + ">")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = MergeEncoder(model.value)
+        enc = shared_encoder(model.value)
         first = pack("<I", enc.library.bos_id()) if bos else b""
         last = pack("<I", enc.library.eos_id()) if eos else b""
         for batch in batches:
