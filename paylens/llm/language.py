@@ -7,10 +7,12 @@ the logistic losses of the bit margins are summed, weighted by how well the bit'
 classifier does on that language; the smallest sum wins. ``score`` is its softmax
 share, and ``ambiguous`` marks a text whose best two codewords are near each other.
 
-The classifiers are fitted on a bounded sample, ``SAMPLE`` rows at most over all
-languages (the same share for each), of texts of up to ``SAMPLE_CHARS`` characters;
-prediction reads every whole text. Up to ``LANGUAGES`` languages, the most
-frequent, are learned.
+The classifiers are fitted on a bounded sample, ``SAMPLE`` rows over all languages (the
+same share for each, one row at least): tasks turn whole texts into feature vectors, and
+those are what the driver gets (16 KB a row). ``learn`` leaves out texts of more than
+``longest`` characters (``SAMPLE_CHARS`` unless told; None: none), and with them a language
+that has no others; the registered query passes None, so that every language with a
+labelled text that holds a letter is learned. Prediction reads every whole text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and
 so is every text where no language can be learned. A single language is always
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 
 from paylens.llm.common import table
 
-BUCKETS, SAMPLE, SAMPLE_CHARS, LANGUAGES = 4096, 4000, 20_000, 256
+BUCKETS, SAMPLE, SAMPLE_CHARS = 4096, 4000, 20_000
 STEPS, RATE, DECAY, SEED, NEAR = 150, 0.1, 1e-4, 11, 0.2
+#: Languages beyond which codewords are drawn once.
+MANY = 512
 _LETTERS: list[np.ndarray] = []
 
 
@@ -69,6 +73,9 @@ def codewords(n: int) -> np.ndarray:
     if n <= 6:
         return np.array([(1, *c) for c in product((1, -1), repeat=n - 1) if -1 in c]).T.reshape(n, -1)
     rng, best = np.random.default_rng(SEED), None
+    if n > MANY:  # so many bits that random words are far apart
+        code = rng.choice([-1, 1], size=(n, 15 * (n - 1).bit_length()))
+        return code[:, np.abs(code.sum(axis=0)) < n]
     for _ in range(100):
         code = rng.choice([-1, 1], size=(n, 15 * (n - 1).bit_length()))
         distance = code.shape[1] - code @ code.T
@@ -98,21 +105,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame) -> dict:
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, place, text) -> (lang, place, vector) of texts that have letters."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            found = [features(t.as_py()) for t in part.column(2)]
+            some = pa.array([f is not None for f in found])
+            yield pa.record_batch([part.column(0).filter(some), part.column(1).filter(some),
+                                   pa.array([f.tobytes() for f in found if f is not None], pa.binary())], names=["lang", "place", "vector"])
+
+
+def learn(docs: DataFrame, longest: int | None = SAMPLE_CHARS) -> dict:
     """(text, lang, doc_id) of the rows to learn from -> the model, a few MB at most."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if longest is not None:
+        usable = usable.where(F.length("text") <= longest)
+    counts = usable.groupBy("lang").count().collect()  # a row a language
     names = sorted(r.lang for r in counts)
     if not names:
         return {"names": []}
     share = max(1, SAMPLE // len(names))
     place = F.xxhash64(F.lit(SEED), "text", "doc_id")
-    rate = F.create_map(*[F.lit(z) for r in counts for z in (r.lang, min(1.0, 2.0 * share / r["count"] + 0.001))])
-    few = usable.where(F.col("lang").isin(names) & (F.length("text") <= SAMPLE_CHARS)
-                       & (F.pmod(place, F.lit(1_000_003)) < rate[F.col("lang")] * 1_000_003))
-    row = F.row_number().over(Window.partitionBy("lang").orderBy(place, "text"))
-    rows = few.withColumn("__n", row).where(F.col("__n") <= share).select("lang", "text").orderBy("lang", "text").collect()
-    kept = [(names.index(r.lang), f) for r in rows if (f := features(r.text)) is not None]
+    rate = F.create_map(*[F.lit(z) for r in counts for z in (r.lang, min(1.0, (2.0 * share + 30) / r["count"]))])
+    few = usable.where(F.pmod(place, F.lit(1_000_003)) < rate[F.col("lang")] * 1_000_003)
+    vectors = few.select("lang", place.alias("place"), "text").mapInArrow(_vectors, "lang string, place long, vector binary")
+    row = F.row_number().over(Window.partitionBy("lang").orderBy("place", "vector"))
+    rows = vectors.withColumn("__n", row).where(F.col("__n") <= share).drop("__n").collect()
+    if missed := sorted(set(names).difference(r.lang for r in rows)):
+        one = usable.where(F.col("lang").isin(missed)).groupBy("lang").agg(F.min_by("text", place).alias("text"))
+        rows += one.select("lang", F.lit(0).cast("long").alias("place"), "text").mapInArrow(_vectors, "lang string, place long, vector binary").collect()
+    number = {n: k for k, n in enumerate(names)}
+    kept = [(number[r.lang], np.frombuffer(r.vector, np.float32)) for r in sorted(rows, key=lambda r: (r.lang, r.place, bytes(r.vector)))]
     names = [n for k, n in enumerate(names) if any(y == k for y, _ in kept)]
     seen = sorted({y for y, _ in kept})
     y = np.array([seen.index(a) for a, _ in kept])
@@ -166,6 +190,6 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = learn(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    model = learn(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), longest=None)
     told = predict(docs.select("doc_id", "text"), model).drop("text")
     return told.withColumn("held_out", held_out(F.col("doc_id")))

@@ -89,3 +89,16 @@ def test_ambiguity_is_flagged():
         else:
             hi = middle
     assert language.decode(middle[None], model)[2][0]
+
+
+def test_a_language_of_long_texts_and_many_languages_are_learned(spark, monkeypatch):
+    rows = corpus("aabb", 120)
+    rows += [(5000 + i, "sch ung ein keit ö ß " * 1200, "cc", "x") for i in range(30)]
+    model = language.learn(spark.createDataFrame(rows, SCHEMA), longest=None)
+    assert model["names"] == ["aa", "bb", "cc"]
+    out = language.predict(spark.createDataFrame(rows[-30:], SCHEMA), model).collect()
+    assert all(r.lang_pred == "cc" for r in out)
+    monkeypatch.setattr(language, "SAMPLE", 100)
+    many = [(i, chr(0x4E00 + 7 * (i % 300)) * 40, f"l{i % 300:03d}", "x") for i in range(900)]
+    model = language.learn(spark.createDataFrame(many, SCHEMA))
+    assert len(model["names"]) == 300 and language.codewords(2000).shape[0] == 2000
