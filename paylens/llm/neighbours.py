@@ -147,10 +147,19 @@ def _pairs(q: np.ndarray, x: np.ndarray, ids: pa.Array, k: int):
     offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
     offsets = offsets - offsets[0]
     rough = q @ x.T
-    some = min(k + 8, x.shape[0])
-    pick = np.argpartition(-rough, some - 1, axis=1)[:, :some] if some < x.shape[0] else np.tile(np.arange(x.shape[0]), (len(q), 1))
-    who, row = np.repeat(np.arange(len(q)), some), pick.ravel()
+    some = min(k + 1, x.shape[0])
+    # Rows within twice the rounding error of the (k + 1)-th best may be among the best.
+    error = 4 * x.shape[1] * np.finfo(np.float64).eps * np.linalg.norm(q, axis=1) * np.sqrt((x * x).sum(axis=1).max(initial=0))
+    least = -np.partition(-rough, some - 1, axis=1)[:, some - 1] - 2 * error
+    who, row = np.nonzero(rough >= least[:, None])
     score = _exact(q[who], x[row])
+    # An entry's first id is its smallest: more entries than k + 1 by score and id cannot count.
+    smallest = values[ids.offsets[0].as_py() + offsets[row]]
+    order = np.lexsort((smallest, -score, who))
+    who, row, score = who[order], row[order], score[order]
+    first = np.concatenate([[0], np.flatnonzero(np.diff(who)) + 1])
+    kept = np.arange(len(who)) - np.repeat(first, np.diff(np.concatenate([first, [len(who)]]))) <= k
+    who, row, score = who[kept], row[kept], score[kept]
     n = (offsets[1:] - offsets[:-1])[row]
     each = np.repeat(np.arange(len(row)), n)
     inside = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
