@@ -250,6 +250,7 @@ ORACLE = {
     "physician_totals": _totals(),
     "search_summary": _search_summary(),
     "batch_detail": _batch_detail(),
+    "incremental_detail": _batch_detail(),
     "batch_summary": _batch_summary(),
     "rejected_names": _rejected(),
     "multi_identifier": _multi(),

@@ -15,9 +15,9 @@ from paylens.constants import NEW_LAYOUT, OLD_LAYOUT
 from paylens.functions import text as T
 from paylens.functions.text import money_label, money_text, safe_slug, year_range_label
 from paylens.operators import appearances as A
-from paylens.operators import batch, matching, name_search, report, sinks
+from paylens.operators import batch, matching, name_search, partials, report, sinks
 from paylens.plans.layouts import valid_payments
-from paylens.session import shared_dir
+from paylens.session import shared_dir, staged
 from paylens.sources import csv_years, manifest, zip_source, zip_store
 from paylens.sources.bridge import LISTED_SQL, bridge_payments, bridge_wide, register_tables
 
@@ -77,6 +77,18 @@ def batch_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batch(spark, sf_dir).detail
 
 
+def incremental_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same detail from stored search results: first some names and years,
+    then the other names, then the last year, each scanning what is not held."""
+    pay = _payments(spark, sf_dir)
+    names = staged(batch.accepted_names(batch.parse_names(batch.names_frame(spark, BATCH_NAMES))), "listed")
+    store = partials.PartialStore(spark, shared_dir(spark, "partials"))
+    store.update(pay, names.where("query_id <= 3"), YEARS[:-1])
+    store.update(pay, names, YEARS[:-1])
+    store.update(pay, names, YEARS)
+    return report.as_doubles(store.detail(names, YEARS))
+
+
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One summary row per accepted name, zeros when nothing matched."""
     return _batch(spark, sf_dir).ordered_summary()
@@ -581,6 +593,7 @@ QUERIES = {
     "physician_totals": physician_totals,
     "search_summary": search_summary,
     "batch_detail": batch_detail,
+    "incremental_detail": incremental_detail,
     "batch_summary": batch_summary,
     "rejected_names": rejected_names,
     "multi_identifier": multi_identifier,
