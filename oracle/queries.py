@@ -8,7 +8,7 @@ from oracle.base import (
     report_ctes, sql_str, strip,
 )
 from paylens.plans.parity import (
-    ABSENT_YEAR, BATCH_NAMES, PERSON, QUOTED_CELL, SEARCH_YEAR, SUMMARY_FILTER, TOP_LISTED, YEARS,
+    ABSENT, ABSENT_YEAR, BATCH_NAMES, PERSON, QUOTED_CELL, SEARCH_YEAR, SUMMARY_FILTER, TOP_LISTED, YEARS,
 )
 
 _ONE = queries_values([(0, *PERSON)])
@@ -16,8 +16,8 @@ _DETAIL_COLS = ("NPI, Physician_Name, Specialty, Entry_Count, "
                 + ", ".join(f"Payment_{y}_USD" for y in YEARS) + ", Total_USD")
 
 
-def _report(merge: str = "reference") -> str:
-    return f"WITH {CANON}, {_ONE}{report_ctes(YEARS, merge)}\nSELECT {_DETAIL_COLS} FROM detail"
+def _report(merge: str = "reference", asked: str = _ONE) -> str:
+    return f"WITH {CANON}, {asked}{report_ctes(YEARS, merge)}\nSELECT {_DETAIL_COLS} FROM detail"
 
 
 def _totals() -> str:
@@ -246,6 +246,7 @@ WHERE a.first_name IS NOT NULL AND a.last_name IS NOT NULL"""
 
 ORACLE = {
     "physician_report": _report(),
+    "absent_report": _report(asked=queries_values([(0, *ABSENT)])),
     "dual_search_by_id": _report("by_id"),
     "physician_totals": _totals(),
     "search_summary": _search_summary(),
@@ -455,12 +456,11 @@ def _appearances() -> str:
             "CAST(amount AS DOUBLE) AS payment_amount, identifier, identifier_type, specialty FROM apps")
 
 
-def _index_stats() -> str:
+def _index_stats(more: str = "") -> str:
     return _apps_ctes() + """
 SELECT CAST(count(*) AS BIGINT) AS indexed_matches, CAST(count(DISTINCT display_name) AS BIGINT) AS physicians,
   coalesce(nullif(array_to_string(list_sort(list_distinct(list(year) FILTER (WHERE year <> 'Unknown'))), ', '), ''),
-           'Unknown') AS years
-FROM idx"""
+           'Unknown') AS years""" + more + "\nFROM idx"
 
 
 def _index_json() -> str:
@@ -524,6 +524,7 @@ ORACLE.update({
     "indexed_top": _apps_ctes() + "\n" + _IDX_TYPED + f" WHERE {_tokens_match(SHORT_QUERY)} ORDER BY idx.total_payment DESC, "
                    f"display_name, year, role, identifier, identifier_type, specialty, source_file LIMIT {TOP_HITS}",
     "index_stats": _index_stats(),
+    "merged_stats": _index_stats(", CAST(count(DISTINCT nullif(identifier, '')) AS BIGINT) AS identifiers"),
     "missing_identifier": _apps_ctes() + "\n" + _IDX_TYPED + " WHERE identifier = ''",
     "index_json": _index_json(),
     "search_report": _search_report(),

@@ -55,17 +55,16 @@ def prepare_queries(queries: DataFrame, case_sensitive: bool = False,
         F.explode(modes).alias("mode"),
     )
     q_middle = F.when(F.col("mode") == "narrow", F.col("q_middle_given"))
-    km = _norm(q_middle, case_sensitive)
+    return q.select("query_id", "mode", "q_first", "q_last", q_middle.alias("q_middle"),
+                    *_search_keys(F.col("q_first"), q_middle, F.col("q_last"), case_sensitive))
+
+
+def _search_keys(first: Column, middle: Column, last: Column, case_sensitive: bool) -> list[Column]:
+    """The SPEC columns of a search for stripped names; a null middle is not checked."""
+    km = _norm(middle, case_sensitive)
     prefix = F.replace(km, F.lit("."), F.lit(""))
-    return q.select(
-        "query_id", "mode", "q_first", "q_last",
-        q_middle.alias("q_middle"),
-        _norm(F.col("q_first"), case_sensitive).alias("q_kf"),
-        _norm(F.col("q_last"), case_sensitive).alias("q_kl"),
-        km.alias("q_km"),
-        prefix.alias("q_mid_prefix"),
-        (F.length(strip(prefix)) == 1).alias("q_mid_initial"),
-    )
+    return [_norm(first, case_sensitive).alias("q_kf"), _norm(last, case_sensitive).alias("q_kl"), km.alias("q_km"),
+            prefix.alias("q_mid_prefix"), (F.length(strip(prefix)) == 1).alias("q_mid_initial")]
 
 
 def _middle_ok(middle_norm: Column) -> Column:
@@ -302,14 +301,56 @@ def row_filter(payments: DataFrame, first: str, middle: str | None, last: str, *
 
     A single lookup needs no join: the predicate runs inside the scan stage.
     """
-    persons = F.col("persons")
-    covered = person_predicate(F.get(persons, 0), first, middle, last, case_sensitive)
-    pi = F.exists(F.slice(persons, 2, 5),
-                  lambda p: person_predicate(p, first, middle, last, case_sensitive))
+    # The slots one by one: generated code tests the cells, and builds no array of people.
+    covered, *slots = [person_predicate(_slot(i), first, middle, last, case_sensitive) for i in range(N_SLOTS)]
+    pi = slots[0]
+    for p in slots[1:]:
+        pi = pi | p
     pred = {"covered": covered, "pi": pi, "any": covered | pi}[roles]
     return payments.where(pred)
 
 
+def _names_person(p: Column, first: str, middle: str | None, last: str, case_sensitive: bool) -> Column:
+    """F7 for one person struct against a literal name; an absent middle is ''."""
+    f, l = (x.strip() if case_sensitive else x.strip().lower() for x in (first, last))
+    pred = (_pf(p, "first", case_sensitive) == F.lit(f)) & (_pf(p, "last", case_sensitive) == F.lit(l))
+    if middle:
+        pred = pred & middle_rule(_pf(p, "middle", case_sensitive), middle, case_sensitive)
+    return pred
+
+
+def match_literal(payments: DataFrame, first: str, middle: str | None, last: str, *,
+                  case_sensitive: bool = False) -> DataFrame:
+    """J1 + J3 for one literal name: (mode, source_file, year, row_pos, amount,
+    identifier, name, specialty), as :func:`match_rows` gives for a table of it.
+
+    No person is exploded and nothing is joined: the wide search is a filter in the
+    scan's stage, and only rows that pass it are looked at again for the narrow one.
+    A name without first or last part matches nothing."""
+    first, last = (x or "" for x in (first, last))
+    middle = middle if middle and middle.strip() else None
+    rows = any_slot_filter(payments.select(*PAYLOAD), first, None, last, case_sensitive=case_sensitive)
+    if not (first.strip() and last.strip()):
+        rows = rows.where(F.lit(False))
+    persons = F.col("persons")
+
+    def search(mode: str, given: str | None) -> Column:
+        own = F.transform(persons, lambda p: _names_person(p, first, given, last, case_sensitive))
+        slot = (F.array_position(own, F.lit(True)) - 1).cast("int")  # the first matching person, else -1
+        named = (_slot(0)["first"] != "") & (_slot(0)["last"] != "")
+        slot = F.when((slot == -1) & named, F.lit(0)).otherwise(slot)
+        asked = F.struct(F.lit(mode).alias("mode"), slot.alias("slot"))
+        if given is None:
+            return asked
+        return F.when(F.exists(persons, lambda p: person_predicate(p, first, given, last, case_sensitive)), asked)
+
+    searches = [search("wide", None)] + ([search("narrow", middle)] if middle else [])
+    hits = rows.select(*PAYLOAD, F.explode(F.array_compact(F.array(*searches))).alias("q"))
+    ident = identity_from_slot(F.col("q.slot"))
+    return hits.select("q.mode", "source_file", "year", "row_pos", "amount", "identifier",
+                       ident["name"].alias("name"), ident["specialty"].alias("specialty"))
+
+
 def any_slot_filter(payments: DataFrame, first: str, middle: str | None, last: str, *,
                     case_sensitive: bool = False) -> DataFrame:
     """U4: the same row filter written as an OR of the six slot predicates."""

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paylens.operators.matching import (
-    SPEC, attach_queries, match_specs, prepare_queries, search_specs, spec_size,
+    SPEC, attach_queries, match_literal, match_specs, prepare_queries, search_specs, spec_size,
 )
 from paylens.plans.layouts import valid_payments
 
@@ -45,15 +45,18 @@ def payment_column(year: int) -> str:
     return f"Payment_{year}_USD"
 
 
-def year_search(matched: DataFrame, keys=("query_id", "mode")) -> DataFrame:
+def year_search(matched: DataFrame, keys=("query_id", "mode"), meet=()) -> DataFrame:
     """D1 per year: (keys..., year, identifier, total, entries, name, specialty).
 
     Rows are summed by identity first -- fixed-width buffers, so a hash aggregate
     with a map-side step -- and the identity of the first row in file order is
-    picked from those few groups (W1)."""
+    picked from those few groups (W1). ``meet``: keys that all later steps group by
+    as well; the groups are exchanged once, by these."""
     keys = list(keys)
     by_identity = matched.groupBy(*keys, "year", "identifier", "source_file", "name", "specialty").agg(
         F.sum("amount").alias("total"), F.count(F.lit(1)).alias("entries"), F.min("row_pos").alias("first"))
+    if meet:
+        by_identity = by_identity.repartition(*meet)
     return (by_identity.groupBy(*keys, "year", "identifier")
             .agg(F.sum("total").alias("total"), F.sum("entries").alias("entries"),
                  F.min_by(F.struct("name", "specialty"), F.struct("source_file", "first")).alias("ident"))
@@ -160,6 +163,18 @@ def physician_detail(payments: DataFrame, queries: DataFrame, years: Sequence[in
     return combine_years(merge_modes(per_year, merge), years)
 
 
+def literal_detail(payments: DataFrame, first: str, middle: str | None, last: str,
+                   years: Sequence[int], *, case_sensitive: bool = False,
+                   merge: str = "reference") -> DataFrame:
+    """:func:`physician_detail` of one literal name (query_id 0), without a query table:
+    one exchange of the groups by identity, one by identifier for all the rest."""
+    years = unique_years(years)
+    scoped = valid_payments(payments).where(F.col("year").isin(years))
+    hits = match_literal(scoped, first, middle, last, case_sensitive=case_sensitive)
+    per_year = year_search(hits, ["mode"], meet=["identifier"]).withColumn("query_id", F.lit(0).cast("long"))
+    return combine_years(merge_modes(per_year, merge), years)
+
+
 QUERY_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType(), False),
     T.StructField("first_name", T.StringType(), True),
@@ -182,9 +197,7 @@ def physician_report(spark: SparkSession, payments: DataFrame, first: str,
                      case_sensitive: bool = False, merge: str = "reference") -> DataFrame:
     """D3 for one person: NPI, Physician_Name, Specialty, Entry_Count,
     Payment_<y>_USD..., Total_USD, ordered by Total_USD descending (ties by NPI)."""
-    q = single_query(spark, first, middle, last)
-    detail = physician_detail(payments, q, years, case_sensitive=case_sensitive,
-                              merge=merge, query_bytes=SINGLE_BYTES, single=True)
+    detail = literal_detail(payments, first, middle, last, years, case_sensitive=case_sensitive, merge=merge)
     return as_doubles(detail).drop("query_id").orderBy(F.desc("Total_USD"), "NPI")
 
 

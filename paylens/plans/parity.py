@@ -15,7 +15,7 @@ from paylens.constants import NEW_LAYOUT, OLD_LAYOUT
 from paylens.functions import text as T
 from paylens.functions.text import money_label, money_text, safe_slug, year_range_label
 from paylens.operators import appearances as A
-from paylens.operators import batch, matching, name_search, partials, report, sinks
+from paylens.operators import batch, counts, matching, name_search, partials, report, sinks
 from paylens.plans.layouts import valid_payments
 from paylens.session import shared_dir, staged
 from paylens.sources import csv_years, manifest, zip_source, zip_store
@@ -23,6 +23,7 @@ from paylens.sources.bridge import LISTED_SQL, bridge_payments, bridge_wide, reg
 
 # --- fixed values: parity-suite requests ---
 PERSON = ("Benjamin", "G", "Domb")
+ABSENT = ("Nobody", "Q", "Here")
 YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
 SEARCH_YEAR = 1996
 TOP_LISTED = 7
@@ -45,6 +46,11 @@ def physician_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.physician_report(spark, _payments(spark, sf_dir), *PERSON, YEARS)
 
 
+def absent_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the report of a name that nobody bears has its columns and no rows."""
+    return report.physician_report(spark, _payments(spark, sf_dir), *ABSENT, YEARS)
+
+
 def dual_search_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3 with the by-identifier merge of the two searches."""
     return report.physician_report(spark, _payments(spark, sf_dir), *PERSON, YEARS,
@@ -53,8 +59,7 @@ def dual_search_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def physician_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: grand totals of the one-person report."""
-    detail = report.physician_detail(_payments(spark, sf_dir), _person(spark), YEARS,
-                                     query_bytes=report.SINGLE_BYTES, single=True)
+    detail = report.literal_detail(_payments(spark, sf_dir), *PERSON, YEARS)
     return report.physician_totals(detail, _person(spark)).drop("query_id")
 
 
@@ -367,7 +372,7 @@ def detail_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def physician_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3: one person's report under its conventional name, read back."""
-    detail = report.physician_detail(_payments(spark, sf_dir), _person(spark), YEARS, query_bytes=report.SINGLE_BYTES, single=True)
+    detail = report.literal_detail(_payments(spark, sf_dir), *PERSON, YEARS)
     path = sinks.save_physician_report(detail, PERSON[0], PERSON[2], YEARS, shared_dir(spark, "person"))
     name = F.element_at(F.split(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""), "/"), -1)
     back = spark.read.option("header", True).csv(path)
@@ -437,6 +442,16 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.index_stats(_index(spark, sf_dir))
 
 
+def merged_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts, and distinct identifiers, from the bitmaps of each
+    file: the files arrive in three steps, one of them twice."""
+    index = staged(_index(spark, sf_dir).withColumn("total_payment", F.col("total_payment").cast("decimal(38,6)")), "stats-index")
+    store = counts.DistinctCounts(spark, shared_dir(spark, "counts"))
+    for some in ("year < '1994'", "year >= '1994' AND year < '1997'", "year >= '1997'", "year = '1995'"):
+        store.add(index.where(some))
+    return store.stats()
+
+
 def missing_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """grouped appearances without an identifier."""
     return _typed(A.missing_identifier(_index(spark, sf_dir)))
@@ -590,6 +605,7 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "physician_report": physician_report,
     "dual_search_by_id": dual_search_by_id,
+    "absent_report": absent_report,
     "physician_totals": physician_totals,
     "search_summary": search_summary,
     "batch_detail": batch_detail,
@@ -636,6 +652,7 @@ QUERIES = {
     "indexed_search": indexed_search,
     "indexed_top": indexed_top,
     "index_stats": index_stats,
+    "merged_stats": merged_stats,
     "missing_identifier": missing_identifier,
     "index_json": index_json,
     "search_report": search_report,

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from paylens.operators import matching
+from paylens.operators import matching, report
 from paylens.plans.layouts import canonicalize
 from tests.helpers import covered_row
 
@@ -52,3 +52,24 @@ def test_absent_middle_column_is_not_checked(spark):  # Q6 (row filter side)
     canon = _canon(spark, [row])
     assert matching.row_filter(canon, "Benjamin", "G", "Domb", roles="pi").count() == 1
     assert matching.any_slot_filter(canon, "Benjamin", "G", "Domb").count() == 1
+
+
+def test_literal_name_equals_the_table_path(spark):
+    rows = [covered_row("Ben", "Domb", "1", middle="G", npi="1"), covered_row("ben", "domb", "2", middle="Grant", npi="1"),
+            covered_row("Ann", "Smith", "3", npi="2", pi={1: ("Ben", "G.", "Domb", "9"), 2: ("Ben", "", "Domb", "8")}),
+            covered_row("Ben", "Domb", "4", middle="X", npi="3", pi={3: ("Ben", "G", "Domb", "7")}),
+            covered_row("", "", "5", pi={1: ("Ben", "", "Domb", "")}), covered_row("Carl", "Doe", "6", npi="4"),
+            covered_row("", "Domb", "7", npi="5")]
+    canon = _canon(spark, rows)
+    for first, middle, last in [("Ben", "G", "Domb"), ("Ben", None, "Domb"), (" ben", "Grant", "DOMB "), ("Ben", " ", "Domb"),
+                                ("", "", "Domb"), (None, None, "Domb"), ("No", "B", "One")]:
+        for case in (False, True):
+            prepared = matching.prepare_queries(report.single_query(spark, first, middle, last), case)
+            want = matching.match_rows(canon, prepared, case_sensitive=case, query_bytes=100, single=True)
+            got = matching.match_literal(canon, first, middle, last, case_sensitive=case)
+            assert sorted(map(str, got.select(*sorted(got.columns)).collect())) == sorted(
+                map(str, want.select(*sorted(got.columns)).collect())), (first, middle, last, case)
+        for merge in ("reference", "by_id"):
+            want = report.physician_detail(canon, report.single_query(spark, first, middle, last), [2015], merge=merge, query_bytes=100)
+            got = report.literal_detail(canon, first, middle, last, [2015], merge=merge)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
