@@ -8,13 +8,12 @@ one that no file has, and only lengthens the passage's vector. A passage takes t
 template with the greatest cosine, if that is ``LEAST`` or more. A line's cosine is at
 most the length of the part of the template's vector whose terms the line holds; lines
 that cannot reach ``LEAST`` so are not counted, which loses none, whatever the document
-frequencies. (The SQL counts lines with a term that at most ``RARE`` of all files hold;
-it agrees where each header line has one.)
+frequencies. (The SQL has no such bound: it counts every line.)
 
 A licence file is compared to whole licence texts too (``licence_texts``; their terms
 weigh as above), and takes one at a cosine of ``WHOLE`` or more: an opening sentence is
 diluted over an unabridged file. A line with an SPDX tag is a passage of cosine 1 for
-each licence known by name in it (-only, -or-later and + aside). The SQL has neither.
+each licence known by name in it (-only, -or-later and + aside).
 
 A file with a passage of its own keeps the best. Any other file inherits from the
 nearest directory above it whose licence file was recognised: paths are joined with
@@ -40,7 +39,7 @@ from pyspark.sql import functions as F
 
 from paylens.llm.common import staged, table
 
-LEAST, RARE = 0.6, 0.1
+LEAST = 0.6
 #: The least squared length of what a line shares with a template to reach LEAST, less rounding.
 SHARED = LEAST * LEAST - 1e-6
 #: The least cosine to a whole licence text; other licences' texts and common prose stay below.
@@ -215,7 +214,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sql() -> str:
-    values = ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in TEMPLATES)
+    quoted = lambda *t: "({})".format(", ".join("'" + x.replace("'", "''") + "'" for x in t))
+    values = ", ".join(quoted(*t) for t in TEMPLATES)
+    texts = {p.stem: p.read_text(encoding="utf-8") for p in sorted(TEXTS.glob("*.txt"))}
+    unabridged = ", ".join(quoted(*t) for t in texts.items())
+    names = ", ".join(quoted(n.lower(), n) for n in sorted({t[0] for t in TEMPLATES} | set(texts)))
     pattern = TERM
     name = LICENCE_FILE.removeprefix("(?i)")
     of = lambda t: f"regexp_extract_all(translate(coalesce({t}, ''), '{LOWER[0]}', '{LOWER[1]}'), '{pattern}')"
@@ -223,22 +226,26 @@ def op4_sql() -> str:
 WITH files AS (
   SELECT doc_id, text, source || '/' || (doc_id // 1000) || '/' || (doc_id // 100 % 10) || '/'
          || CASE WHEN doc_id % 100 = 0 THEN 'LICENSE' ELSE 'doc' || doc_id || '.txt' END AS path FROM documents
-), made(license, kind, text) AS (VALUES {values}),
+), made(license, kind, text) AS (VALUES {values}), unabridged(license, text) AS (VALUES {unabridged}), spdx(id, license) AS (VALUES {names}),
 tt AS (SELECT license, kind, unnest({of('text')}) AS term FROM made),
 known AS (SELECT DISTINCT term FROM tt),
 ft AS (SELECT DISTINCT doc_id, unnest({of('text')}) AS term FROM files),
 n AS (SELECT count(*) AS n FROM files),
 df AS (SELECT k.term, count(ft.term) AS df FROM known k LEFT JOIN ft ON ft.term = k.term GROUP BY k.term),
-idf AS (SELECT term, df, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf, df <= {RARE} * n AS rare FROM df, n),
-tw AS (SELECT license, kind, tt.term, count(*) * any_value(idf) AS w FROM tt JOIN idf ON tt.term = idf.term GROUP BY 1, 2, 3),
-tn AS (SELECT license, kind, sqrt(sum(w * w)) AS length FROM tw GROUP BY 1, 2),
-tpl AS (SELECT tw.license, tw.kind, term, w / length AS weight FROM tw JOIN tn ON tw.license = tn.license AND tw.kind = tn.kind),
+idf AS (SELECT term, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM df, n),
+tt2 AS (SELECT license, kind, {LEAST} AS least, term FROM tt UNION ALL
+        SELECT license, 'file', {WHOLE}, unnest({of('text')}) FROM unabridged),
+tw AS (SELECT license, kind, least, tt2.term, count(*) * coalesce(any_value(idf), (SELECT ln(1.0 + n) + 1.0 FROM n)) AS w
+       FROM tt2 LEFT JOIN idf ON tt2.term = idf.term GROUP BY 1, 2, 3, 4),
+tn AS (SELECT license, kind, least, sqrt(sum(w * w)) AS length FROM tw GROUP BY 1, 2, 3),
+tpl AS (SELECT license, kind, least, term, w / length AS weight FROM tw JOIN tn USING (license, kind, least)),
 lines AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS one
           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM files)),
 lt AS (SELECT doc_id, line, unnest({of('one')}) AS term FROM lines),
-headers AS (SELECT DISTINCT doc_id, line FROM lt JOIN idf ON lt.term = idf.term WHERE rare),
-passage AS (
-  SELECT lt.doc_id, lt.line, 'header' AS kind, lt.term, count(*) AS n FROM lt JOIN headers h ON h.doc_id = lt.doc_id AND h.line = lt.line GROUP BY 1, 2, 3, 4
+tags AS (
+  SELECT doc_id, line, unnest(regexp_extract_all(lower(string_split(one, '{SPDX}')[-1]), '[a-z0-9.+-]+')) AS id FROM lines WHERE contains(one, '{SPDX}')
+), passage AS (
+  SELECT doc_id, line, 'header' AS kind, term, count(*) AS n FROM lt GROUP BY 1, 2, 3, 4
   UNION ALL
   SELECT doc_id, 0, 'file', term, count(*) FROM (SELECT doc_id, unnest({of('text')}) AS term FROM files
     WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '{name}', 'i')) GROUP BY 1, 2, 3, 4
@@ -246,12 +253,16 @@ passage AS (
   SELECT doc_id, line, kind, p.term, p.n * coalesce(idf, (SELECT ln(1.0 + n) + 1.0 FROM n)) AS w FROM passage p LEFT JOIN idf ON idf.term = p.term
 ), len AS (SELECT doc_id, line, kind, sqrt(sum(w * w)) AS length FROM w GROUP BY 1, 2, 3),
 scored AS (
-  SELECT w.doc_id, w.line, t.license, round(sum(w.w * t.weight) / any_value(len.length), 9) AS score
+  SELECT w.doc_id, w.line, t.license, t.least, round(sum(w.w * t.weight) / any_value(len.length), 9) AS score
   FROM w JOIN tpl t ON t.term = w.term AND t.kind = w.kind JOIN len ON len.doc_id = w.doc_id AND len.line = w.line AND len.kind = w.kind
-  GROUP BY 1, 2, 3
+  GROUP BY 1, 2, 3, 4
+), found AS (
+  SELECT doc_id, license, score, line FROM scored WHERE score >= least
+  UNION ALL
+  SELECT doc_id, license, 1.0, line FROM tags JOIN spdx ON spdx.id = regexp_replace(tags.id, '(-only|-or-later|\\+)$', '')
 ), own AS (
   SELECT doc_id, license, score, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license, line) AS r
-    FROM scored WHERE score >= {LEAST}) WHERE r = 1
+    FROM found) WHERE r = 1
 ), named AS (SELECT f.doc_id, f.path, o.license, o.score, o.line FROM files f LEFT JOIN own o ON o.doc_id = f.doc_id),
 dirs AS (
   SELECT dir, license, score FROM (SELECT regexp_extract(path, '^(.*/)?') AS dir, license, score,

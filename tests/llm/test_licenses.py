@@ -2,6 +2,9 @@ import math
 import re
 from collections import Counter
 
+import duckdb
+import pandas as pd
+
 from paylens.llm import licenses
 
 SCHEMA = "file long, path string, text string, license string"
@@ -24,7 +27,6 @@ def brute(rows):
     known = {t for _, _, x in licenses.TEMPLATES for t in terms(x)}
     n, df = len(rows), Counter(t for r in rows for t in set(terms(r[2])) & known)
     idf = lambda t: math.log((1 + n) / (1 + df[t] * (t in known))) + 1
-    rare = {t for t in known if df[t] <= licenses.RARE * n}
 
     def unit(x):
         c = {t: k * idf(t) for t, k in Counter(x).items()}
@@ -34,7 +36,7 @@ def brute(rows):
     templates = [(name, kind, unit(terms(x))) for name, kind, x in licenses.TEMPLATES]
     own, is_file = {}, lambda p: p is not None and re.search(licenses.LICENCE_FILE, p.split("/")[-1])
     for f, path, text, _ in rows:
-        passages = [(i + 1, "header", terms(x)) for i, x in enumerate((text or "").split("\n")) if set(terms(x)) & rare]
+        passages = [(i + 1, "header", terms(x)) for i, x in enumerate((text or "").split("\n"))]
         passages += [(0, "file", terms(text))] if is_file(path) else []
         found = [(-round(s, 9), name, line) for line, kind, x in passages for name, k, t in templates
                  if k == kind and round(s := sum(v * t.get(w, 0) for w, v in unit(x).items()), 9) >= licenses.LEAST]
@@ -89,11 +91,7 @@ def test_the_gate_loses_no_line_that_reaches_the_least_cosine(spark):
     words = sorted({w for _, kind, x in licenses.TEMPLATES if kind == "header" for w in re.findall(r"[A-Za-z]+", x)})
     rows = [(i, f"{i}.txt", " ".join(words[(i * 7 + j * (1 + i % 3)) % len(words)] for j in range(2 + i % 9)), "") for i in range(150)]
     rows += [(200 + i, f"h{i}.txt", " ".join(x.split()[i % 3:]), "") for i, (_, kind, x) in enumerate(licenses.TEMPLATES * 6) if kind == "header"]
-    rare, licenses.RARE = licenses.RARE, 1.0  # brute() then scores every line with a template term
-    try:
-        want = brute(rows)
-    finally:
-        licenses.RARE = rare
+    want = brute(rows)
     got = licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()
     assert all((r.license, r.line) == (want[r.file][0], want[r.file][2]) for r in got) and sum(r.license is not None for r in got) > 60
 
@@ -113,3 +111,21 @@ def test_unabridged_licence_files_and_tags(spark):
         for i, name in enumerate(sorted(whole)):
             assert (got[i].license, got[i].line) == (name, 0) and got[50 + i].license == name, (name, got[i])
         assert {i: got[i].license for i in tags} == {i: want for i, (_, want) in tags.items()} and got[80].license is None
+
+
+def test_sql_states_the_querys_rule(spark, tmp_path):
+    """Common headers, tags and whole texts, which are many in a small table."""
+    whole = {p.stem: p.read_text() for p in licenses.TEXTS.glob("*.txt")}
+    texts = ["Released under the MIT License\nand more" if i % 3 == 0 else f"the terms of this work\nare under use {i}" for i in range(90)]
+    texts[7], texts[8], texts[10] = "# SPDX-License-Identifier: GPL-2.0-or-later", "x\n SPDX-License-Identifier: (MIT OR Apache-2.0+)\n", None
+    texts += [f"A project\n\n{t}" for t in whole.values()] + ["", "word " * 5000]
+    ids = [*range(90), *[100 * (i + 1) for i in range(len(whole))], 1101, 1102]
+    docs = pd.DataFrame({"doc_id": ids, "source": [f"s{i // 300}" for i in ids], "text": texts})
+    docs.to_parquet(tmp_path / "documents.parquet")
+    got = licenses.op4_license_scan(spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet')")
+    want = con.sql(licenses.op4_sql()).df()
+    rows = lambda x: sorted(tuple(None if pd.isna(v) else round(v, 6) if isinstance(v, float) else v for v in r)
+                            for r in x[["doc_id", "path", "license", "score", "line", "licence_dir"]].astype(object).itertuples(index=False))
+    assert rows(got) == rows(want) and got.license.nunique() >= 6
