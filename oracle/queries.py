@@ -164,6 +164,12 @@ SELECT {_SLUG} AS query_slug, d.query_id, NPI, Physician_Name, Specialty, Entry_
 FROM detail d JOIN parsed p ON p.query_id = d.query_id"""
 
 
+def _detail_files() -> str:
+    return _batch_with() + f"""
+SELECT {_SLUG} || '-' || d.query_id || '.csv' AS file_name, NPI, Physician_Name, Specialty, Entry_Count, {_MONEY_TEXT}
+FROM detail d JOIN parsed p ON p.query_id = d.query_id"""
+
+
 def _physician_export() -> str:
     return (f"WITH {CANON}, {_ONE}{report_ctes(YEARS)}\nSELECT NPI, Physician_Name, Specialty, Entry_Count, {_MONEY_TEXT}, "
             f"'research_payments_{PERSON[2]}_{PERSON[0]}_' || "
@@ -262,6 +268,7 @@ ORACLE = {
     "batch_errors": _batch_errors(),
     "names_file": _names_file(),
     "detail_export": _detail_export(),
+    "detail_files": _detail_files(),
     "physician_export": _physician_export(),
     "last_query_wins": _last_wins(),
     "summary_filter": _summary_filter(),

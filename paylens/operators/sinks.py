@@ -1,8 +1,9 @@
 """Sinks (K1-K4): report exports with money as text, and the appearance index.
 
-Spark writes a folder of part files per output; the folder carries the file
-name the disclosure tool would have used. Batch detail exports are one job
-partitioned by the name's slug instead of one file per name.
+A report is one CSV file under the name the disclosure tool would have used, or
+numbered files where it is too large for one (:mod:`exports`). The details of a batch
+are one job: a file for each name, or folders of part files, which need no step of the
+driver per name.
 """
 
 from __future__ import annotations
@@ -14,14 +15,13 @@ from pyspark.sql import functions as F
 
 from paylens.functions.text import money_text, safe_slug, year_range_label
 from paylens.operators.appearances import index_order, serialized_index
+from paylens.operators.exports import write_file, write_files
 from paylens.operators.report import payment_column, unique_years
 
 
-def _csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
-    w = df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.csv(path)
+def _csv(df: DataFrame, path: str, partition_by: Sequence[str]) -> str:
+    (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+     .partitionBy(*partition_by).csv(path))
     return path
 
 
@@ -43,7 +43,8 @@ def write_detail(detail: DataFrame, years: Sequence[int], destination: str) -> s
     cols = detail_columns(years)
     ordered = detail.orderBy(F.desc("Total_USD"), "NPI").select(*cols)
     money = [c for c in cols if c.startswith("Payment_") or c == "Total_USD"]
-    return _csv(format_money(ordered, money), destination)
+    write_file(format_money(ordered, money), destination)
+    return destination
 
 
 def single_physician_file(directory: str, first: str, last: str, years: Sequence[int]) -> str:
@@ -63,13 +64,25 @@ def save_batch_details(detail: DataFrame, accepted: DataFrame, years: Sequence[i
     (``query_slug=<slug>/query_id=<id>``: names may share a slug) with its rows by
     Total_USD descending. Rows are dealt by ranges of (query_id, Total_USD): a name
     with many rows has several files, in order by file name."""
+    rows = _batch_rows(detail, accepted, years)
+    return _csv(rows, directory, partition_by=["query_slug", "query_id"])
+
+
+def _batch_rows(detail: DataFrame, accepted: DataFrame, years: Sequence[int]) -> DataFrame:
     cols = detail_columns(years)
     slugs = accepted.select("query_id", safe_slug(F.col("raw")).alias("query_slug"))
     order = [F.col("query_slug"), F.col("query_id"), F.desc("Total_USD"), F.col("NPI")]
     rows = detail.join(slugs, "query_id").repartitionByRange(*order).sortWithinPartitions(*order)
     money = [c for c in cols if c.startswith("Payment_") or c == "Total_USD"]
-    return _csv(format_money(rows.select("query_slug", "query_id", *cols), money), directory,
-                partition_by=["query_slug", "query_id"])
+    return format_money(rows.select("query_slug", "query_id", *cols), money)
+
+
+def save_batch_files(detail: DataFrame, accepted: DataFrame, years: Sequence[int], directory: str) -> str:
+    """K1 for a batch as files: ``<slug>-<query_id>.csv`` for each name that has rows."""
+    rows = _batch_rows(detail, accepted, years)
+    named = rows.withColumn("file", F.concat_ws("-", "query_slug", "query_id")).drop("query_slug", "query_id")
+    write_files(named, "file", directory)
+    return directory
 
 
 def save_summary_csv(summary: DataFrame, years: Sequence[int], destination: str) -> str:
@@ -82,7 +95,8 @@ def save_summary_csv(summary: DataFrame, years: Sequence[int], destination: str)
         cols.append("Error")
     ordered = summary.orderBy(F.desc("Total_Payment"), "query_id").select(*cols)
     money = [payment_column(y) for y in years] + ["Total_Payment"]
-    return _csv(format_money(ordered, money), destination)
+    write_file(format_money(ordered, money), destination)
+    return destination
 
 
 def save_index(index: DataFrame, path: str, fmt: str = "parquet") -> str:

@@ -374,9 +374,16 @@ def physician_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3: one person's report under its conventional name, read back."""
     detail = report.literal_detail(_payments(spark, sf_dir), *PERSON, YEARS)
     path = sinks.save_physician_report(detail, PERSON[0], PERSON[2], YEARS, shared_dir(spark, "person"))
-    name = F.element_at(F.split(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""), "/"), -1)
     back = spark.read.option("header", True).csv(path)
-    return back.withColumn("Entry_Count", F.col("Entry_Count").cast("bigint")).withColumn("file_name", name)
+    return back.withColumn("Entry_Count", F.col("Entry_Count").cast("bigint")).withColumn("file_name", F.col("_metadata.file_name"))
+
+
+def detail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: every name's detail as a file of its own, read back."""
+    b = _batch(spark, sf_dir)
+    path = sinks.save_batch_files(b.exact_detail, b.accepted, YEARS, shared_dir(spark, "detail-files"))
+    back = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    return back.withColumn("Entry_Count", F.col("Entry_Count").cast("bigint")).withColumn("file_name", F.col("_metadata.file_name"))
 
 
 def names_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -643,6 +650,7 @@ QUERIES = {
     "currency_text": currency_text,
     "summary_export": summary_export,
     "detail_export": detail_export,
+    "detail_files": detail_files,
     "physician_export": physician_export,
     "names_file": names_file,
     "batch_errors": batch_errors,
