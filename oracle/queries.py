@@ -546,4 +546,5 @@ ORACLE.update({
     "zip_store_scan": _canonical("zip"),
     "zip_index": _apps_ctes("zip") + "\n" + _IDX_TYPED,
     "stream_index": _apps_ctes("csv") + "\n" + _IDX_TYPED,
+    "republished_index": _apps_ctes("csv") + "\n" + _IDX_TYPED,
 })

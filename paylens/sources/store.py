@@ -7,16 +7,20 @@ with ``multiLine``). Writing the canonical rows once as Parquet partitioned by
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def write_canonical(canonical: DataFrame, path: str, mode: str = "append") -> str:
-    """Persist canonical rows (invalid amounts included, for A13) by year.
+def write_canonical(canonical: DataFrame, path: str, mode: str = "append", by: Sequence[str] = ()) -> str:
+    """Persist canonical rows (invalid amounts included, for A13) by ``by`` and year.
 
-    No repartition by year: each task writes its own slice of every year, so a
-    year holding most of the rows is still written by all tasks."""
-    (canonical.sortWithinPartitions("year", "source_file", "row_pos")
-     .write.mode(mode).partitionBy("year").parquet(path))
+    Rows are rebalanced by the folders first: a small year is one file whatever the
+    number of tasks, and a year holding most of the rows is split over many."""
+    folders = [*by, "year"]
+    (canonical.hint("rebalance", *[F.col(c) for c in folders]).sortWithinPartitions(*folders, "source_file", "row_pos")
+     .write.mode(mode).partitionBy(*folders).parquet(path))
     return path
 
 

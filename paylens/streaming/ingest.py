@@ -13,6 +13,9 @@ own ``batch_id=<n>`` folder with overwrite: a batch replayed after a failure rep
 its own output. Rows keep their place in their part file, and are numbered when the
 store is read, over all part files that the publication has by then, whichever batches
 brought them.
+
+Inside a batch each publication has a folder (``pub=<digest>``), so that
+:func:`compact` drops superseded ones by deleting folders; no row is rewritten.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylens.constants import YEAR_IN_PATH
@@ -49,25 +52,59 @@ def ingest_batch(spark: SparkSession, paths: list[str], store: str, index: str,
                       multi_line=multi_line, known=known, keep_place=True)
     parts = F.split("source_file", "\u0001")
     canonical = rows.withColumns({"published": F.element_at(parts, 2), "source_file": F.element_at(parts, 1)})
+    canonical = canonical.withColumn("pub", publication(F.col("source_file"), F.col("published")))
     target = os.path.join(store, f"batch_id={batch_id}")
-    write_canonical(canonical, target, mode="overwrite")
+    write_canonical(canonical, target, mode="overwrite", by=["pub"])
     stored = spark.read.schema(canonical.schema).parquet(target)
-    groups = appearance_index(stored, keep=["published"])
-    groups.withColumn("total_payment", F.col("total_payment").cast("decimal(38,6)")).write.mode("overwrite").parquet(
-        os.path.join(index, f"batch_id={batch_id}"))
+    groups = appearance_index(stored, keep=["published", "pub"])
+    (groups.withColumn("total_payment", F.col("total_payment").cast("decimal(38,6)")).hint("rebalance", F.col("pub"))
+     .write.mode("overwrite").partitionBy("pub").parquet(os.path.join(index, f"batch_id={batch_id}")))
+
+
+def publication(source_file: Column, published: Column) -> Column:
+    """The name of a publication's folder; never one that reads as a number."""
+    return F.concat(F.lit("p"), F.lower(F.lpad(F.hex(F.xxhash64(source_file, published)), 16, "0")))
+
+
+def versions(rows: DataFrame) -> DataFrame:
+    """(_f, _p): each yearly file and the folder of its latest publication."""
+    return rows.groupBy("source_file").agg(F.max(F.struct("batch_id", "published")).alias("v")).select(
+        F.col("source_file").alias("_f"), F.col("v.published").alias("_p"))
 
 
 def latest(rows: DataFrame) -> DataFrame:
     """Rows of each yearly file's latest publication."""
-    version = rows.groupBy("source_file").agg(F.max(F.struct("batch_id", "published")).alias("v")).select(
-        F.col("source_file").alias("_f"), F.col("v.published").alias("_p"))
-    return rows.join(version, (F.col("source_file") == F.col("_f")) & (F.col("published") == F.col("_p"))).drop("_f", "_p")
+    return rows.join(versions(rows), (F.col("source_file") == F.col("_f")) & (F.col("published") == F.col("_p"))).drop("_f", "_p")
+
+
+def compact(spark: SparkSession, store: str, index: str) -> int:
+    """Delete the folders of publications that a later one has replaced, in store and
+    index; returns how many. Reads then cost what one publication of each file costs.
+
+    The driver takes one name per yearly file. A call that is cut off is run again. A
+    query planned before the call may miss files that it listed: run it again as well."""
+    kept = versions(spark.read.parquet(store)).select(publication(F.col("_f"), F.col("_p")).alias("pub"))
+    live = {f"pub={r.pub}" for r in kept.collect()}
+    jvm, gone = spark.sparkContext._jvm, 0
+    for base in (index, store):  # the store tells what is live, so it goes last
+        path = jvm.org.apache.hadoop.fs.Path(base)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for batch in fs.listStatus(path):
+            if not batch.getPath().getName().startswith("batch_id="):
+                continue
+            inside = [s.getPath() for s in fs.listStatus(batch.getPath()) if s.getPath().getName().startswith("pub=")]
+            dead = [p for p in inside if p.getName() not in live]
+            for p in dead:
+                gone += fs.delete(p, True)
+            if dead and len(dead) == len(inside):
+                fs.delete(batch.getPath(), True)
+    return gone
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
     """The streamed canonical rows, latest publications only."""
     rows = latest(spark.read.parquet(store))
-    return identified(numbered(rows)).drop("batch_id", "published", "_pos", *PLACE)
+    return identified(numbered(rows)).drop("batch_id", "published", "pub", "_pos", *PLACE)
 
 
 def read_index(spark: SparkSession, index: str) -> DataFrame:
@@ -80,8 +117,9 @@ def read_index(spark: SparkSession, index: str) -> DataFrame:
 
 def start_ingest(spark: SparkSession, landing: str, store: str, index: str, checkpoint: str, *,
                  available_now: bool = False, glob: str = "*.[cC][sS][vV]", multi_line: bool | None = None,
-                 max_files: int = 1000):
-    """Start the stream; returns the ``StreamingQuery``.
+                 max_files: int = 1000, compact_every: int = 0):
+    """Start the stream; returns the ``StreamingQuery``. With ``compact_every``, superseded
+    publications are deleted after each so many batches.
 
     Only the paths of a micro-batch, ``max_files`` at most, travel through the driver
     (``binaryFile`` with its ``content`` column pruned); executors read the rows.
@@ -95,6 +133,8 @@ def start_ingest(spark: SparkSession, landing: str, store: str, index: str, chec
     def run(batch: DataFrame, batch_id: int) -> None:
         paths = [r.path for r in batch.collect()]
         ingest_batch(batch.sparkSession, paths, store, index, batch_id, multi_line)
+        if compact_every and paths and (batch_id + 1) % compact_every == 0:
+            compact(batch.sparkSession, store, index)
 
     writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(

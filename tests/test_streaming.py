@@ -6,7 +6,7 @@ from paylens.operators.appearances import appearance_index
 from paylens.session import shared_dir
 from paylens.sources.csv_years import read_payment_years
 from paylens.streaming import read_index, start_ingest
-from paylens.streaming.ingest import read_store
+from paylens.streaming.ingest import compact, read_store
 from tests.helpers import covered_row, pi_row, write_csv
 
 
@@ -75,6 +75,17 @@ def test_republished_year_and_unlike_headers(spark, tmp_path):
     assert [(r.first_name, float(r.total_payment)) for r in read_index(spark, index).collect()] == [("Ann", 6.0)]
     assert read_store(spark, store).count() == 1
 
+    third = landing / "august"
+    third.mkdir()
+    write_csv(third / "2015_rsh_payments.csv", [covered_row("Ann", "Li", "8", npi="1"), covered_row("Cy", "Ng", "1", npi="3")])
+    write_csv(third / "2016_rsh_payments.csv", [covered_row("Ann", "Li", "2", npi="1")])
+    land()
+    want = sorted(map(str, read_index(spark, index).collect())), sorted(map(str, read_store(spark, store).collect()))
+    assert spark.read.parquet(store).select("pub").distinct().count() == 4  # june, july, and two of august
+    assert compact(spark, store, index) == 4 and compact(spark, store, index) == 0  # june and july, in both
+    assert spark.read.parquet(store).count() == 3 and spark.read.parquet(index).count() == 3
+    assert want == (sorted(map(str, read_index(spark, index).collect())), sorted(map(str, read_store(spark, store).collect())))
+
 
 def test_part_files_of_several_batches_are_numbered_together(spark, tmp_path):
     landing, base = tmp_path / "landing", shared_dir(spark, "stream-parts")
