@@ -73,9 +73,30 @@ def batch_detail(payments: DataFrame, accepted: DataFrame, years: Sequence[int],
                                    merge=merge, query_bytes=size)
 
 
+def shared_searches(accepted: DataFrame, case_sensitive: bool = False) -> DataFrame:
+    """(query_id, search_id): listings whose names normalise alike ask the same search,
+    known by the smallest ``query_id`` of them. An id that is null, or listed with names
+    that differ, stands for itself."""
+    queries = accepted.select("query_id", "first_name", "middle_name", "last_name")
+    key = ["q_kf", "q_kl", "q_km"]
+    asked = matching.prepare_queries(queries, case_sensitive, dual=False).select("query_id", F.struct(*key).alias("_n"))
+    listed = asked.groupBy("query_id").agg(F.min("_n").alias("_n"), F.max("_n").alias("_m"))
+    alone = F.col("query_id").isNull() | ~F.col("_n").eqNullSafe(F.col("_m"))
+    plain = listed.where(~alone).select("query_id", "_n.*")
+    first = plain.groupBy(*key).agg(F.min("query_id").alias("search_id"))
+    met = plain.join(first, [plain[k].eqNullSafe(first[k]) for k in key], "inner").select("query_id", "search_id")
+    return met.unionByName(listed.where(alone).select("query_id", F.col("query_id").alias("search_id")))
+
+
+def _by_search(names: DataFrame, searches: DataFrame | None) -> DataFrame:
+    """Listed names with the ``search_id`` that ``detail`` is keyed by."""
+    return names.withColumn("search_id", F.col("query_id")) if searches is None else names.join(searches, "query_id")
+
+
 def batch_summary(accepted: DataFrame, detail: DataFrame, years: Sequence[int],
-                  errors: dict[int, str] | None = None) -> DataFrame:
-    """J5 + A10: one row per accepted name, zeros when nothing matched.
+                  errors: dict[int, str] | None = None, searches: DataFrame | None = None) -> DataFrame:
+    """J5 + A10: one row per accepted name, zeros when nothing matched. With ``searches``
+    (see :func:`shared_searches`) ``detail`` holds each search once, by its ``search_id``.
 
     Full_Name, First_Name, Middle_Name, Last_Name, Payment_<y>_USD..., Total_Payment,
     Total_Entries (plus query_id). Where ``errors`` tells why years could not be read,
@@ -89,6 +110,8 @@ def batch_summary(accepted: DataFrame, detail: DataFrame, years: Sequence[int],
                  .agg(*exact,
                       F.sum(F.col("Total_USD").cast("decimal(38,6)")).alias("Total_Payment"),
                       F.sum("Entry_Count").alias("Total_Entries")))
+    if searches is not None:
+        per_query = searches.join(per_query.withColumnRenamed("query_id", "search_id"), "search_id").drop("search_id")
     joined = accepted.join(per_query, "query_id", "left")
     reason = [] if not errors else [F.lit(next(errors[y] for y in years if y in errors)).alias("Error")]
     return (joined.select(
@@ -119,47 +142,48 @@ def last_query_wins(accepted: DataFrame) -> DataFrame:
             .groupBy("display_name").agg(F.max("query_id").alias("query_id")))
 
 
-def multi_identifier(accepted: DataFrame, detail: DataFrame) -> DataFrame:
+def multi_identifier(accepted: DataFrame, detail: DataFrame, searches: DataFrame | None = None) -> DataFrame:
     """A8 + P24: physicians whose report holds more than one identifier, with
     their detail rows: (name, NPI, Specialty, Entry_Count, Total_USD).
 
     ``detail`` has one row per (query, identifier): counts per query, made with a
     map-side step, pick the queries, so no name's identifiers gather in one task."""
     several = detail.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_ids")).where(F.col("n_ids") > 1)
-    winners = last_query_wins(accepted).join(several.select("query_id"), "query_id")
-    return (detail.join(winners, "query_id")
+    winners = _by_search(last_query_wins(accepted), searches).join(several.select(F.col("query_id").alias("search_id")), "search_id")
+    return (detail.withColumnRenamed("query_id", "search_id").join(winners, "search_id")
             .select(F.col("display_name").alias("name"), "NPI", "Specialty",
                     "Entry_Count", F.col("Total_USD").cast("double").alias("Total_USD")))
 
 
-def summary_with_alerts(accepted: DataFrame, detail: DataFrame, summary: DataFrame) -> DataFrame:
+def summary_with_alerts(accepted: DataFrame, detail: DataFrame, summary: DataFrame, searches: DataFrame | None = None) -> DataFrame:
     """Each summary row flagged when its display name is in the alert set
     (a physician whose winning listing holds more than one identifier)."""
-    flagged = multi_identifier(accepted, detail).select(F.col("name").alias("_n")).distinct()
+    flagged = multi_identifier(accepted, detail, searches).select(F.col("name").alias("_n")).distinct()
     name = join_name(F.col("First_Name"), F.col("Middle_Name"), F.col("Last_Name"))
     return (summary.join(flagged, name == F.col("_n"), "left")
             .withColumn("Has_Multiple_NPIs", F.col("_n").isNotNull()).drop("_n"))
 
 
-def identifier_counts(accepted: DataFrame, detail: DataFrame) -> DataFrame:
+def identifier_counts(accepted: DataFrame, detail: DataFrame, searches: DataFrame | None = None) -> DataFrame:
     """A9 + A12: dashboard counters in one row.
 
     ``total_unique_npis`` is the sum of per-physician distinct identifiers (as
     the disclosure tool reports it); ``global_unique_npis`` is the true distinct
     count across physicians.
     """
-    winners = last_query_wins(accepted).select("query_id")
-    # detail already holds one row per (query, identifier): a row is a distinct id
-    kept = detail.join(winners, "query_id").select("query_id", "NPI")
-    totals = kept.agg(F.struct(F.count(F.lit(1)).cast("bigint").alias("t"),
-                               F.count_distinct("NPI").cast("bigint").alias("g"))).scalar()
-    multi = (kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-             .agg(F.count_if(F.col("n") > 1).cast("bigint")).scalar())
+    winners = _by_search(last_query_wins(accepted).groupBy("query_id").agg(F.count(F.lit(1)).alias("_won")), searches)
+    found = detail.withColumnRenamed("query_id", "search_id")
+    # detail already holds one row per (search, identifier): a row is a distinct id
+    ids = found.groupBy("search_id").agg(F.count(F.lit(1)).alias("_ids"))
+    n = F.col("_ids") * F.col("_won")
+    totals = winners.join(ids, "search_id").agg(F.struct(
+        F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("t"), F.count_if(n > 1).cast("bigint").alias("m"))).scalar()
+    distinct = found.join(winners, "search_id", "left_semi").agg(F.count_distinct("NPI").cast("bigint")).scalar()
     return accepted.agg(F.count(F.lit(1)).cast("bigint").alias("physicians_processed")).select(
         "physicians_processed",
         totals["t"].alias("total_unique_npis"),
-        totals["g"].alias("global_unique_npis"),
-        multi.alias("physicians_with_multiple_npis"),
+        distinct.alias("global_unique_npis"),
+        totals["m"].alias("physicians_with_multiple_npis"),
     )
 
 
@@ -199,9 +223,10 @@ class BatchReport:
     """Every output of one batch run.
 
     The constructor parses and stores the names, matches them with the payments once
-    and stores the detail -- one row per (name, identifier) -- in the shared folder.
-    Every output is a lazy DataFrame over those two tables; none reads the payments
-    again. ``years`` that cannot be read are given as ``errors`` (year -> reason).
+    and stores what is found -- one row per (search, identifier), however often a name is
+    listed -- in the shared folder. Every output is a lazy DataFrame over those tables;
+    none reads the payments again. Summaries, alerts and counters take each search once;
+    only ``detail`` has its rows for every listing. ``years`` that cannot be read are given as ``errors`` (year -> reason).
     """
 
     def __init__(self, payments: DataFrame, names: DataFrame, years: Sequence[int], *,
@@ -210,25 +235,31 @@ class BatchReport:
         self.parsed = staged(parse_names(names), "batch-names")
         self.accepted = accepted_names(self.parsed)
         self.rejected = rejected_names(self.parsed)
-        self.names_bytes = matching.table_bytes(self.accepted)
         self.errors = {y: errors[y] for y in self.years if y in errors} if errors else {}
         rows = payments.where(F.lit(False)) if self.errors else payments
-        self.exact_detail = staged(batch_detail(rows, self.accepted, self.years, case_sensitive=case_sensitive,
-                                                merge=merge, names_bytes=self.names_bytes), "batch-detail")
+        self.searches = staged(shared_searches(self.accepted, case_sensitive), "batch-searches")
+        own = self.searches.where(F.col("query_id").eqNullSafe(F.col("search_id"))).select(F.col("search_id").alias("_s"))
+        asked = self.accepted.join(own, F.col("query_id").eqNullSafe(F.col("_s")), "left_semi")
+        self.names_bytes = matching.table_bytes(asked)
+        self.found = staged(batch_detail(rows, asked, self.years, case_sensitive=case_sensitive,
+                                         merge=merge, names_bytes=self.names_bytes), "batch-detail")
+        by_search = self.found.withColumnRenamed("query_id", "_s")
+        listed = by_search.join(self.searches, F.col("_s").eqNullSafe(F.col("search_id")), "inner")
+        self.exact_detail = listed.select(*self.found.columns)
         self.detail = report.as_doubles(self.exact_detail)
-        self.summary = batch_summary(self.accepted, self.exact_detail, self.years, self.errors)
+        self.summary = batch_summary(self.accepted, self.found, self.years, self.errors, self.searches)
 
     def ordered_summary(self) -> DataFrame:
         return order_summary(self.summary)
 
     def alerts(self) -> DataFrame:
-        return multi_identifier(self.accepted, self.exact_detail)
+        return multi_identifier(self.accepted, self.found, self.searches)
 
     def flagged_summary(self) -> DataFrame:
-        return summary_with_alerts(self.accepted, self.exact_detail, self.summary)
+        return summary_with_alerts(self.accepted, self.found, self.summary, self.searches)
 
     def counters(self) -> DataFrame:
-        return identifier_counts(self.accepted, self.exact_detail)
+        return identifier_counts(self.accepted, self.found, self.searches)
 
     def totals_by_year(self) -> DataFrame:
         return year_totals(self.summary, self.years)

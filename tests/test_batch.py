@@ -115,3 +115,24 @@ def test_report_plan_keeps_one_scan_and_few_exchanges(spark, tmp_path):
     # input split: its group-by and its prefix-sum window)
     assert c["FileScans"] == 2 and c["ShuffleExchange"] <= 6
     assert "csv-rows" in " ".join(one.inputFiles()) and b.detail.count() == 3
+
+
+def test_names_listed_often_are_searched_once(spark, tmp_path):
+    d = year_dir(tmp_path, {2015: [covered_row("Ann", "Li", str(i), npi=str(1000 + i)) for i in range(1, 5)] + [covered_row("Bo", "Ng", "7", npi="2")]})
+    names = batch.names_frame(spark, ["Ann Li", "ANN  li", "Bo Ng", "Ann G Li", "ann Li (MD)"])
+    b = batch.BatchReport(read_payment_years(spark, d, [2015]), names, [2015])
+    assert b.found.count() == 4 + 4 + 1  # Ann Li, Ann G Li (wide), Bo Ng: not once more for a listing
+    assert b.detail.groupBy("query_id").count().orderBy("query_id").collect() == [(1, 4), (2, 4), (3, 1), (4, 4), (5, 4)]
+    assert [(r.query_id, r.Total_Payment, r.Total_Entries) for r in b.summary.orderBy("query_id").collect()] == [
+        (1, 10.0, 4), (2, 10.0, 4), (3, 7.0, 1), (4, 10.0, 4), (5, 10.0, 4)]
+    assert b.top(2).select("query_id").collect() == [(1,), (2,)]
+    assert b.alerts().groupBy("name").count().orderBy("name").collect() == [("ANN li", 4), ("Ann G Li", 4), ("Ann Li", 4), ("ann Li", 4)][:3] + [("ann Li", 4)]
+    assert b.counters().collect() == [(5, 17, 5, 4)]
+
+
+def test_an_id_listed_with_two_names_stands_for_itself(spark):
+    rows = [(1, "Ann", "Li"), (2, "Ann", "Li"), (3, "Ann", "Li"), (3, "Bo", "Ng"), (None, "Ann", "Li"), (2, "Ann", "Li"), (4, "Bo", "Ng")]
+    names = spark.createDataFrame([(i, f, None, l) for i, f, l in rows], "query_id long, first_name string, middle_name string, last_name string")
+    told = sorted(tuple(r) for r in batch.shared_searches(names).where("query_id IS NOT NULL").collect())
+    assert told == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    assert [tuple(r) for r in batch.shared_searches(names).where("query_id IS NULL").collect()] == [(None, None)]
