@@ -84,14 +84,22 @@ def _split_rows(spark: SparkSession, files: list[str], lines: set[str], names: l
     return _parsed(rows, names, ["_file", "_block", "_odd"]).withColumn("_mid", F.monotonically_increasing_id())
 
 
+#: Blocks whose offsets are sent to all tasks (a path and three numbers each); with more
+#: of them, rows and offsets meet by an exchange that has a small share of them a task.
+BLOCKS = 2**17
+
+
 def numbered(rows: DataFrame, unit: str = "_unit") -> DataFrame:
     """``_pos``, the 0-based place of each row in its unit, over *stored* rows with
     ``_file``, ``_block`` and ``_mid`` (consecutive in a block): lines of earlier
     blocks plus the place in the block. Both sides read one stored table, so no row
-    can be lost or moved."""
+    can be lost or moved. The offsets, a row per block, are sent to the rows: an exchange
+    by block would gather whole splits, several where their hashes meet, in one task."""
     blocks = rows.groupBy(unit, "_file", "_block").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(unit).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = staged(blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "block-offsets")
+    if offsets.count() <= BLOCKS:
+        offsets = F.broadcast(offsets)
     return (rows.join(offsets, ["_file", "_block"])
             .withColumn("_pos", F.col("_before") + F.col("_mid") - F.col("_first")).drop("_first", "_before"))
 

@@ -122,3 +122,23 @@ def test_staged_tables_can_be_dropped(spark, monkeypatch):
     (path,) = session._MADE
     assert df.count() == 3 and os.path.isdir(path)
     assert session.drop_staged(spark) == 1 and not os.path.exists(path) and session.drop_staged(spark) == 0
+
+
+def test_rows_are_numbered_without_an_exchange_of_rows(spark, monkeypatch):
+    from paylens.session import staged
+    from paylens.sources import csv_years
+    told = [("u", "a", 0, 5), ("u", "a", 0, 6), ("u", "a", 9, 7), ("u", "b", 0, 9), ("v", "c", 0, 1)]
+    rows = staged(spark.createDataFrame(told, "_unit string, _file string, _block long, _mid long"), "numbered-rows")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        few, places = csv_years.numbered(rows), {}
+        counts = node_counts(few)
+        for blocks in (csv_years.BLOCKS, 0):
+            monkeypatch.setattr(csv_years, "BLOCKS", blocks)
+            places[blocks] = sorted((r["_unit"], r["_file"], r["_mid"], r["_pos"]) for r in csv_years.numbered(rows).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert counts["BroadcastHashJoin"] == 1 and counts["SortMergeJoin"] == 0
+    assert [p[3] for p in places[0]] == [0, 1, 2, 3, 0] and len(set(map(tuple, places.values()))) == 1
