@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from paylens.constants import FILE_NAME_PATTERN, PAYMENT_COLUMN
 from paylens.plans.layouts import canonicalize
+from paylens.session import limit_methods
 
 # --- fixed values: name and specialty pools of the stand-in file ---
 FIRST = ["Ann", "Benjamin", "carla", "DAVID", " Elena ", "Farid", "Grace", "Hugo"]
@@ -78,6 +79,7 @@ def register_tables(spark: SparkSession, sf_dir: str, names=("orders",)) -> None
 
 def bridge_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide stand-in file over ``{sf_dir}/orders.parquet``."""
+    limit_methods(spark)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     view = f"orders_{abs(hash(sf_dir)) % 10**8}"
     orders.createOrReplaceTempView(view)

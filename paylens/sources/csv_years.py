@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from paylens.constants import FILE_NAME_PATTERN
 from paylens.functions.text import null_markers
 from paylens.plans.layouts import absent_columns, canonicalize
-from paylens.session import staged
+from paylens.session import limit_methods, staged
 from paylens.sources import quoted
 from paylens.sources.manifest import Headers, columns_of, headers, with_records
 
@@ -113,6 +113,7 @@ def read_files(spark: SparkSession, files: Sequence[str], *, unit: Column, year:
     staged when this is called; ``known`` holds their headers if they were read before,
     and a ``manifest`` gets their numbers of records. ``keep_place`` keeps what rows are
     numbered by (``PLACE``), for tables whose parts come in turn."""
+    limit_methods(spark)
     known = known or headers(spark, files, manifest)
     groups: dict[str, list[str]] = {}
     for path, line in known.lines.items():

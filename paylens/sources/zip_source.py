@@ -38,7 +38,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from paylens.constants import NULL_MARKERS, PAYMENT_COLUMN, YEAR_IN_PATH
 from paylens.plans.layouts import NEEDED, canonicalize_slots
-from paylens.session import arrow_fs, qualified, ship_package
+from paylens.session import arrow_fs, limit_methods, qualified, ship_package
 
 FORMAT = "paylens_zip"
 SCHEMA = "source_file string, year int, row_no bigint, present bigint, " + ", ".join(f"c{i} string" for i in range(len(NEEDED)))
@@ -233,6 +233,7 @@ class ZipCsvDataSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     ship_package(spark)
+    limit_methods(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ZipCsvDataSource)
 

@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylens.session import arrow_fs, qualified, ship_package, staged
+from paylens.session import arrow_fs, limit_methods, qualified, ship_package, staged
 from paylens.sources.manifest import complete_versions
 from paylens.sources.zip_source import SCHEMA, TARGET_PARTITION_BYTES, canonical_members, csv_members, list_archives, member_rows
 
@@ -89,6 +89,7 @@ def refresh(spark: SparkSession, path: str, store: str) -> int:
 def read_store(spark: SparkSession, store: str, unknown_id: str = "row") -> DataFrame:
     """Canonical payment rows of the members in the newest inventory. Filters on
     ``year`` read that year's folders."""
+    limit_methods(spark)
     known = known_members(spark, store).select("archive", F.col("member").alias("source_file"), F.col("version").cast("int").alias("version"))
     if not complete_versions(spark, f"{store}/rows", prefix="version="):
         rows = spark.createDataFrame([], f"archive string, {SCHEMA}, version int")

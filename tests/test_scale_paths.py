@@ -124,6 +124,17 @@ def test_staged_tables_can_be_dropped(spark, monkeypatch):
     assert session.drop_staged(spark) == 1 and not os.path.exists(path) and session.drop_staged(spark) == 0
 
 
+def test_readers_limit_generated_methods(spark, tmp_path):  # beyond 8000 bytes the JIT compiles none
+    name = "spark.sql.codegen.hugeMethodLimit"
+    d = year_dir(tmp_path, {2015: [covered_row("Ann", "Li", "5", npi="1")]})
+    try:
+        for given, after in (("65535", "8000"), ("9000", "9000")):
+            spark.conf.set(name, given)
+            assert read_payment_years(spark, d, [2015]).count() == 1 and spark.conf.get(name) == after
+    finally:
+        spark.conf.unset(name)
+
+
 def test_rows_are_numbered_without_an_exchange_of_rows(spark, monkeypatch):
     from paylens.session import staged
     from paylens.sources import csv_years
