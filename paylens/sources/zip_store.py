@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from paylens.session import arrow_fs, limit_methods, qualified, ship_package, staged
 from paylens.sources.manifest import complete_versions
-from paylens.sources.zip_source import SCHEMA, TARGET_PARTITION_BYTES, canonical_members, csv_members, list_archives, member_rows
+from paylens.sources.zip_source import SCHEMA, canonical_members, csv_members, list_archives, member_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MEMBERS = "archive string, member string, crc long, bytes long, packed long"
+# Members decoded by one task, in uncompressed bytes: less than a scan's, for Python parses them.
+DECODE_BYTES = 32 << 20
 SAME = ["archive", "member", "crc", "bytes", "packed"]
 
 
@@ -78,7 +80,7 @@ def refresh(spark: SparkSession, path: str, store: str) -> int:
         return 0
     version = max(complete_versions(spark, f"{store}/members"), default=0) + 1
     if n:
-        parts = max(1, min(n, -(-size // TARGET_PARTITION_BYTES)))
+        parts = max(1, min(n, -(-size // DECODE_BYTES)))
         rows = fresh.select("archive", "member").repartition(parts).mapInArrow(_decode, f"archive string, {SCHEMA}")
         rows.write.mode("overwrite").partitionBy("year").parquet(f"{store}/rows/version={version}")
     listed = kept.select(*SAME, "version").unionByName(fresh.withColumn("version", F.lit(version).cast("long")))
